@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
+from driftlex.llm.decontaminate import OP4_SQL, op4_decontaminate
+from driftlex.llm.language import op5_language_id
+from driftlex.llm.mixing import op7_mixing
 from driftlex.llm.ngram_join import op2_ngram_join
+from driftlex.llm.pii import op1_pii
+from driftlex.llm.secrets import op8_secrets
+from driftlex.llm.topk import OP3_SQL, op3_topk
+from driftlex.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_ngram_join": op2_ngram_join,
+    "op3_topk": op3_topk,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_language_id": op5_language_id,
+    "op7_mixing": op7_mixing,
+    "op8_secrets": op8_secrets,
+    "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_topk": OP3_SQL,
+    "op4_decontaminate": OP4_SQL,
+}
