@@ -26,6 +26,8 @@ WEIGHTS, MOST = (5, 2, 1), 3
 STEPS, CLOSE = 60, 1e-7
 #: Documents of a source and size that are ranked together.
 BUCKET_ROWS = 512
+#: Single copies then added or taken away in each source.
+REPAIRS = 3
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -135,7 +137,24 @@ def copies(docs: DataFrame) -> DataFrame:
     ranked = dealt.withColumn("rank", rank)
     out = ranked.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("bucket") == F.col("b")))
     n = F.least(F.floor("rate") + F.when(F.col("rank") <= F.col("extra"), 1).otherwise(0), F.lit(MOST))
-    return out.select("doc_id", "source", "size", "source_size", "target", n.cast("long").alias("n_copies"), "rate")
+    out = materialise(out.select("doc_id", "source", "size", "source_size", "target", n.cast("long").alias("n_copies"), "rate", "bucket", "rank"), "copies")
+    for _ in range(REPAIRS):
+        out = _repaired(out)
+    return out.select("doc_id", "source", "size", "source_size", "target", "n_copies", "rate")
+
+
+def _repaired(out: DataFrame) -> DataFrame:
+    """One copy more or less in each source, of the document whose size is nearest to what is missing or over."""
+    sums = out.groupBy("source").agg((F.first("target") - F.sum(F.col("size") * F.col("n_copies"))).alias("gap"))
+    sums = sums.select(F.col("source").alias("s"), "gap")
+    here = F.col("source").eqNullSafe(F.col("s"))
+    off = F.abs(F.abs("gap") - F.col("size"))
+    able = F.when(F.col("gap") > 0, F.col("n_copies") < MOST).otherwise(F.col("n_copies") > 0) & (F.col("size") > 0) & (off < F.abs("gap"))
+    place = F.struct("size", "bucket", "rank")
+    best = out.join(F.broadcast(sums), here).where(able).groupBy("s", "gap").agg(F.min(F.struct(off.alias("off"), place.alias("place"))).alias("best"))  # a row for each source
+    best = best.select("s", F.when(F.col("gap") > 0, 1).otherwise(-1).alias("change"), F.col("best.place").alias("place"))
+    changed = F.col("n_copies") + F.when(F.col("place") == place, F.col("change")).otherwise(0)
+    return out.join(F.broadcast(best), here, "left").withColumn("n_copies", changed.cast("long")).drop("s", "change", "place")
 
 
 def mix(docs: DataFrame) -> DataFrame:
