@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from driftlex.llm.chat import OP9_SQL, op9_preference_format
 from driftlex.llm.decontaminate import OP4_SQL, op4_decontaminate
 from driftlex.llm.language import op5_language_id
+from driftlex.llm.licenses import OP6_SQL, op6_licenses
 from driftlex.llm.mixing import op7_mixing
 from driftlex.llm.ngram_join import op2_ngram_join
 from driftlex.llm.pii import op1_pii
@@ -17,12 +19,16 @@ QUERIES = {
     "op3_topk": op3_topk,
     "op4_decontaminate": op4_decontaminate,
     "op5_language_id": op5_language_id,
+    "op6_licenses": op6_licenses,
     "op7_mixing": op7_mixing,
     "op8_secrets": op8_secrets,
+    "op9_preference_format": op9_preference_format,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_topk": OP3_SQL,
     "op4_decontaminate": OP4_SQL,
+    "op6_licenses": OP6_SQL,
+    "op9_preference_format": OP9_SQL,
 }
