@@ -1,6 +1,6 @@
 """Toxicity scores: a bidirectional gated recurrent network with attention pooling.
 
-A word's input is a word embedding beside the mean embedding of its character
+A word's input is a word embedding beside the pooled embeddings of its character
 n-grams. The network reads windows of ``WINDOW`` words that overlap by
 ``WINDOW - STRIDE``; every window of every text is scored. A text's score is a
 logistic function of its strongest windows and their number, fitted on
@@ -18,17 +18,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlex.llm.npwords import _INV, _MULT, BYTE_VALUE, NON_ALNUM, Words, _powers, mix, text_chunks
+from driftlex.llm.npwords import _INV, _MULT, BYTE_VALUE, NON_ALNUM, SPACE, Words, _powers, mix, shingle_sets, text_chunks
 
-WINDOW, STRIDE = 24, 16
+WINDOW, STRIDE = 32, 24
 UNITS, WORD_DIM, CHAR_DIM = 8, 8, 8
 GRAMS = (5, 6, 7)
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 16, 1 << 18
 #: Labelled rows that the model is fitted on, of each class, and characters of a training text at most.
 MOST_TOXIC, MOST_CLEAN, LONGEST = 1200, 3600, 20_000
-#: A word or n-gram must be in so many training texts to have an embedding of its own.
-LEAST_DF = 4
-BATCH, PRESENTED = 512, 160_000
+#: A word or n-gram must be in so many training texts, and such a share of them, to have an embedding of its own.
+LEAST_DF, LEAST_SHARE = 4, 0.008
+#: Texts of prior evidence that a word's first weight is shrunk by.
+PRIOR = 12
+BATCH, PRESENTED = 512, 120_000
+N_FEATURES = 6
 
 
 def _sigmoid(x):
@@ -65,13 +68,13 @@ class Vocabulary:
         self.word = (self.keys & np.uint64(WORD_BUCKETS - 1)).astype(np.int64)
 
 
-def _mean_rows(table, index, cut):
-    """Mean of ``table[index[cut[i]:cut[i + 1]]]`` for each i, 0 where there is none."""
+def _pooled_rows(table, index, cut):
+    """Sum of ``table[index[cut[i]:cut[i + 1]]]`` over the root of their number for each i, 0 where there is none."""
     n = np.diff(cut)
     out = np.zeros((len(n), table.shape[1]), np.float32)
     if len(index):
         sums = np.add.reduceat(np.vstack([table[index], np.zeros((1, table.shape[1]), np.float32)]), np.minimum(cut[:-1], len(index)))
-        out[n > 0] = sums[n > 0] / n[n > 0, None]
+        out[n > 0] = sums[n > 0] / np.sqrt(n[n > 0, None])
     return out
 
 
@@ -95,12 +98,13 @@ class Network:
         self.gram_of = np.zeros(GRAM_BUCKETS, np.int32)
         self.words = np.zeros((1, WORD_DIM), np.float32)
         self.chars = np.zeros((1, CHAR_DIM), np.float32)
-        self.text = np.zeros(5)
+        self.text = np.zeros(N_FEATURES)
         self.text[0] = -30
+        self.usual = 0.0
 
     def inputs(self, v: Vocabulary) -> np.ndarray:
         """A row for each distinct word; the last row stands for no word."""
-        x = np.hstack([self.words[self.word_of[v.word]], _mean_rows(self.chars, self.gram_of[v.grams], v.cut)])
+        x = np.hstack([self.words[self.word_of[v.word]], _pooled_rows(self.chars, self.gram_of[v.grams], v.cut)])
         return np.vstack([x, np.zeros((1, x.shape[1]), np.float32)])
 
     def _pass(self, g, mask, u, keep):
@@ -201,13 +205,12 @@ class Network:
         return out
 
     def features(self, data, off) -> np.ndarray:
-        """Of each text: 1, strongest and second window, log of the expected number of toxic ones, log of words."""
+        """Of each text: 1, what its three strongest windows have above the usual, the log of that over all windows, log of words."""
         words = Words(data, off, NON_ALNUM)
         n = np.diff(words.first)
-        out = np.zeros((len(n), 5))
+        out = np.zeros((len(n), N_FEATURES))
         out[:, 0] = 1
-        out[:, 1:3] = -8
-        out[:, 4] = np.log1p(n)
+        out[:, 5] = np.log1p(n) - 5
         doc, a, b = windows(words.first)
         if len(doc):
             v = Vocabulary(words)
@@ -218,10 +221,12 @@ class Network:
             order = np.lexsort((z, doc))
             z, d = z[order], doc[order]
             last = np.flatnonzero(np.append(d[1:] != d[:-1], True))
-            out[d[last], 1] = z[last]
-            prior = np.maximum(last - 1, 0)
-            out[d[last], 2] = np.where((d[prior] == d[last]) & (last > 0), z[prior], z[last])
-            out[d[last], 3] = np.log1p(np.add.reduceat(_sigmoid(z), np.append(0, last[:-1] + 1)))
+            rise = np.maximum(z - self.usual, 0)
+            out[d[last], 1] = rise[last]
+            for k in (1, 2):
+                other = np.maximum(last - k, 0)
+                out[d[last], 1 + k] = np.where((d[other] == d[last]) & (last >= k), rise[other], 0)
+            out[d[last], 4] = np.log1p(np.add.reduceat(rise, np.append(0, last[:-1] + 1)))
         return out
 
     def scores(self, data, off) -> np.ndarray:
@@ -233,10 +238,26 @@ def _bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw])).astype(np.int64)
 
 
+def _apart(texts: list[str]) -> list[int]:
+    """Texts without those that are near copies of an earlier one, by eight least shingle hashes."""
+    kept: list[int] = []
+    seen: dict[tuple[int, int], list[int]] = {}
+    for i, s in enumerate(shingle_sets(Words(*_bytes(texts), SPACE), 3)):
+        marks = [(b, int(x.min())) for b in range(8) if len(x := s[(s >> np.uint64(61)) == b])]
+        met = np.bincount([j for m in marks for j in seen.get(m, [])], minlength=1)
+        if len(marks) and met.max() * 3 >= len(marks):
+            continue
+        for m in marks:
+            seen.setdefault(m, []).append(i)
+        kept.append(i)
+    return kept
+
+
 def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, seed: int = 7) -> Network:
-    """A network fitted on labelled texts; weights: the rows that each text stands for."""
+    """A network fitted on labelled texts, near copies aside; weights: the rows that each text stands for."""
     net = Network(seed)
-    labels = labels.astype(np.float64)
+    own = _apart(texts)
+    texts, labels, weights = [texts[i] for i in own], labels[own].astype(np.float64), weights[own]
     if not labels.any() or labels.all():
         net.text[0] = -30 if not labels.any() else 30
         return net
@@ -257,9 +278,9 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, seed: int = 7
         pair = np.unique(buckets.astype(np.int64) * len(train) + doc)
         bucket, y = pair // len(train), y_doc[pair % len(train)]
         df, pos = np.bincount(bucket, minlength=size), np.bincount(bucket, y, size)
-        have = np.flatnonzero(df >= LEAST_DF)
+        have = np.flatnonzero(df >= max(LEAST_DF, LEAST_SHARE * len(train)))
         base = y_doc.mean()
-        odds = np.log((pos[have] + 4 * base) / (df[have] - pos[have] + 4 * (1 - base))) - np.log(base / (1 - base))
+        odds = np.log((pos[have] + PRIOR * base) / (df[have] - pos[have] + PRIOR * (1 - base))) - np.log(base / (1 - base))
         number = np.zeros(size, np.int32)
         number[have] = 1 + np.arange(len(have))
         return number, odds
@@ -297,7 +318,7 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, seed: int = 7
         cut = np.append(0, np.cumsum(n))
         g_idx = net.gram_of[v.grams[np.repeat(v.cut[real] - cut[:-1], n) + np.arange(cut[-1])]]
         w_idx = net.word_of[v.word[real]]
-        x = np.hstack([net.words[w_idx], _mean_rows(net.chars, g_idx, cut)])
+        x = np.hstack([net.words[w_idx], _pooled_rows(net.chars, g_idx, cut)])
         x = np.vstack([x, np.zeros((len(uq) - len(real), x.shape[1]), np.float32)])
         grads, dx = net.gradients(x, idx, mask, y[pick], weight)
         rate = 0.01 * min(1, step / 20) * (1 if step < 0.7 * PRESENTED / BATCH else 0.2)
@@ -306,15 +327,16 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, seed: int = 7
             m += 0.1 * (g - m)
             s += 0.01 * (g * g - s)
             net.p[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
-        for name, index, grad in (("words", w_idx, dx[: len(real), :WORD_DIM]), ("chars", g_idx, np.repeat(dx[: len(real), WORD_DIM:] / np.maximum(n, 1)[:, None], n, axis=0))):
+        for name, index, grad in (("words", w_idx, dx[: len(real), :WORD_DIM]), ("chars", g_idx, np.repeat(dx[: len(real), WORD_DIM:] / np.sqrt(np.maximum(n, 1))[:, None], n, axis=0))):
             table, sq = getattr(net, name), squares[name]
             some, to = np.unique(index, return_inverse=True)
             total = np.stack([np.bincount(to, grad[:, k], len(some)) for k in range(grad.shape[1])], 1)
             sq[some] += (total**2).mean(1).astype(np.float32)
-            step_by = (0.05 * total / np.sqrt(sq[some])[:, None]).astype(np.float32)
+            step_by = (0.02 * total / np.sqrt(sq[some])[:, None]).astype(np.float32)
             step_by[some == 0] = 0
             table[some] -= step_by
     keep = np.flatnonzero(held)
+    net.usual = float(net.p["b"][0])
     x = net.features(*_bytes([texts[i] for i in keep]))
     net.text = _logistic(x, labels[keep], weights[keep])
     return net
