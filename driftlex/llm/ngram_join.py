@@ -13,7 +13,9 @@ task's documents hold are found first by lossy counting and travel apart, so
 no hash range grows with one passage. A prefix group of n classes yields n
 pairs with its centre, not n^2; what the centres have joined needs no more
 pairs, and only groups that still span several components are compared in
-full, across components. That loses no link that could join two components.
+full, across components: small ones by a join, large ones in packed blocks,
+each class outside the main component against the rest, once. That loses no
+link that could join two components.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from driftlex.llm.components import components
 from driftlex.llm.npwords import SPACE, Words, shingle_sets, text_chunks
-from driftlex.llm.scratch import input_bytes, materialise
+from driftlex.llm.scratch import materialise
 
 #: A shingle is common if it lies in more than this share of the documents that a task has seen.
 COMMON_SHARE = 1 / 1000
@@ -37,6 +39,8 @@ MOST_COMMON = 1 << 20
 #: Shingle bytes that one hash range should hold.
 RANGE_BYTES = 24 << 20
 BUCKETS = 16
+#: Entries up to which a prefix group is simply joined with itself; chunk and block sizes for larger ones.
+LARGE, CHUNK, BLOCK = 256, 512, 4096
 
 
 def _least_overlap(n: str) -> str:
@@ -124,8 +128,8 @@ def _deal(width: int, ranges: int, common):
                 p = (h >> bits).astype(np.int64) if ranges > 1 else np.zeros(len(h), np.int64)
                 order = np.argsort(p, kind="stable")
                 p, h, who = p[order], h[order], who[order]
-                cut = np.flatnonzero(np.diff(p, prepend=-1))
-                for a, b in zip(cut.tolist(), np.append(cut[1:], len(p)).tolist(), strict=True):
+                cut = np.flatnonzero(np.diff(p, prepend=-1)).tolist()
+                for a, b in zip(cut, [*cut[1:], len(p)] if cut else [], strict=True):
                     put(int(p[a]), 0, who[a:b], h[a:b])
                 yield pa.RecordBatch.from_pydict(rows, schema=_DEALT)
 
@@ -173,7 +177,7 @@ def _count(classes: int, common):
         order = np.argsort(p, kind="stable")
         p, sig, h, rank = p[order], sig[order], h[order], rank[order]
         cut = np.flatnonzero(np.diff(p, prepend=-1)).tolist()
-        ends = [*cut[1:], len(p)]
+        ends = [*cut[1:], len(p)] if cut else []
         cols = [[v[a:b].tobytes() for a, b in zip(cut, ends, strict=True)] for v in (sig, h, rank)]
         return pa.table([pa.array([int(p[a]) for a in cut], pa.int32()), *cols], schema=_SHARED)
 
@@ -239,28 +243,76 @@ def shingle_classes(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFra
     order = np.argsort(keys)
     common = spark.sparkContext.broadcast((keys[order], ranks[order]))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    want = max(n, 4 * input_bytes(docs.select("text")) // RANGE_BYTES)
-    ranges = 1 << max(0, (want - 1).bit_length())
+    total = info.agg(F.sum("n")).first()[0] or 0
+    want = max(n, 16 * total // RANGE_BYTES)
+    ranges = min(1 << 24, 1 << max(0, (want - 1).bit_length()))
     dealt = scanned.select("text").mapInArrow(_deal(width, ranges, common), "part int, kind byte, sigs binary, runs binary, hashes binary")
     shared = dealt.groupBy("part").applyInArrow(_count(ranges, common), "part int, sigs binary, hashes binary, ranks binary")
     classes = shared.groupBy("part").applyInArrow(_gather, "sig long, n int, toks array<long>, spread array<int>")
     return info.where("h is null").select("doc_id", "n", "sig"), materialise(classes, "classes")
 
 
+def _large_groups(entries: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links across components in large prefix groups, found in packed blocks.
+
+    ``entries``: (tok, sig, root, main) of the groups, ``main`` being a group's largest component. Classes
+    outside it are dealt in chunks by the largest group that they are in; a chunk meets each class of its
+    groups once, whatever number of shingles they share, in blocks of bounded size.
+    """
+    strays = entries.where("root <> main")
+    hubs = strays.groupBy("sig").agg(F.max(F.struct("m", "tok")).alias("hub")).select("sig", F.col("hub.tok").alias("hub"))
+    many = hubs.groupBy("hub").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    chunked = materialise(hubs.join(many, "hub").select("sig", F.xxhash64("hub", F.pmod(F.xxhash64("sig"), F.col("chunks"))).alias("chunk")), "chunks")
+    groups = strays.join(chunked, "sig").select("chunk", "tok").distinct()
+    met = materialise(entries.select("tok", "sig", "root").join(groups, "tok").select("chunk", "sig", "root").distinct(), "met")
+    blocks = met.groupBy("chunk").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    sets = classes.select("sig", "n", "toks")
+    right = met.join(blocks, "chunk").select("chunk", F.pmod(F.xxhash64("sig"), F.col("blocks")).alias("block"), "sig", "root").join(sets, "sig")
+    own = met.join(chunked, ["chunk", "sig"]).join(blocks, "chunk")
+    left = own.select("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "sig", "root").join(sets, "sig")
+    left = left.toDF(*left.columns)  # fresh attributes: both sides come from the same tables
+    return left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInArrow(_compare, "a long, b long")
+
+
+def _compare(left: pa.Table, right: pa.Table) -> pa.Table:
+    """One link of each left class to each other component that it is similar to a class of."""
+    a, b = [], []
+    if left.num_rows and right.num_rows:
+        toks = right["toks"].combine_chunks()
+        owner = np.repeat(np.arange(len(toks)), np.diff(np.asarray(toks.offsets)))
+        value = np.asarray(toks.flatten())
+        order = np.argsort(value)
+        value, owner = value[order], owner[order]
+        n, sig, root = (np.asarray(right[c].combine_chunks()) for c in ("n", "sig", "root"))
+        for row in range(left.num_rows):
+            own = np.asarray(left["toks"][row].values)
+            size, home, mine = (left[c][row].as_py() for c in ("n", "root", "sig"))
+            lo, hi = np.searchsorted(value, own, "left"), np.searchsorted(value, own, "right")
+            k = hi - lo
+            at = np.repeat(hi - np.cumsum(k), k) + np.arange(k.sum())
+            meet = np.bincount(owner[at], minlength=len(n))
+            near = np.flatnonzero((7 * meet >= 3 * (n + size)) & (root != home))
+            _, first = np.unique(root[near], return_index=True)
+            a.extend([mine] * len(first))
+            b.extend(sig[near[first]].tolist())
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def linked_classes(classes: DataFrame) -> DataFrame:
     """(v, root): components of the graph of classes with a similarity of 0.75 or more."""
-    spark = classes.sparkSession
     # full order: the n - size(toks) unshared shingles come before all shared ones
     prefix = f"n - {_least_overlap('n')} + 1 - (n - size(toks))"
     entries = classes.selectExpr("sig", "n", f"posexplode(slice(toks, 1, {prefix})) as (k, tok)", "n - size(toks) as unshared")
     entries = materialise(entries.selectExpr("tok", "sig", "n", "k + unshared as pos"), "entries")
     centres = entries.groupBy("tok").agg(F.min("sig").alias("a"), F.count("*").alias("m")).where("m > 1").drop("m")
     stars = entries.join(centres, "tok").where("a < sig").select("a", F.col("sig").alias("b")).distinct()
-    found = materialise(_verified(stars, classes), "stars")
-    roots = components(found).select(F.col("v").alias("sig"), "root")
-    entries = entries.join(roots, "sig", "left").select("tok", "sig", "n", "pos", F.coalesce("root", "sig").alias("root"))
-    open_ = entries.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("tok")
-    left = materialise(entries.join(open_, "tok"), "open")
+    roots = components(_verified(stars, classes))
+    labels = roots.select(F.col("v").alias("sig"), "root")
+    rooted = materialise(entries.join(labels, "sig", "left").select("tok", "sig", "n", "pos", F.coalesce("root", "sig").alias("root")), "rooted")
+    parts = rooted.groupBy("tok", "root").agg(F.count("*").alias("m"))
+    groups = parts.groupBy("tok").agg(F.count("*").alias("k"), F.sum("m").alias("m"), F.max(F.struct("m", "root")).alias("main")).where("k > 1")
+    groups = materialise(groups.select("tok", "m", F.col("main.root").alias("main")), "groups")
+    left = materialise(rooted.join(groups.where(F.col("m") <= LARGE), "tok"), "open")
     x, y = left.alias("x"), left.alias("y")
     could = "least(x.n - x.pos, y.n - y.pos)"  # positional filter: this shingle is the first in common
     across = (
@@ -270,7 +322,15 @@ def linked_classes(classes: DataFrame) -> DataFrame:
         .distinct()
     )
     more = _verified(across, classes)
-    return components(found.union(more))
+    large = groups.where(F.col("m") > LARGE)
+    if not large.isEmpty():
+        more = more.union(_large_groups(rooted.join(large, "tok").select("tok", "sig", "root", "main", "m"), classes))
+    # what is found between components joins their roots
+    between = more.select(F.col("a").alias("sig"), "b").join(labels, "sig", "left").select(F.coalesce("root", "sig").alias("a"), F.col("b").alias("sig"))
+    between = between.join(labels, "sig", "left").select("a", F.coalesce("root", "sig").alias("b"))
+    joined = components(between)
+    over = joined.select(F.col("v").alias("root"), F.col("root").alias("top"))
+    return roots.join(over, "root", "left").select("v", F.coalesce("top", "root").alias("root")).union(joined)
 
 
 def similar_documents(docs: DataFrame, width: int = 5) -> DataFrame:

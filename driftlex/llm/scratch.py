@@ -51,8 +51,3 @@ def clean() -> None:
 
 atexit.register(clean)
 
-
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan, for choosing partition counts; at least 1."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return max(1, int(str(size)))
