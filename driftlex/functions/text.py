@@ -65,8 +65,8 @@ def group_key(text: Text) -> Column:
 def word_slug(text: Text) -> Column:
     """Letters, digits and underscores only; the code points in hexadecimal if nothing is left."""
     kept = F.regexp_replace(_col(text), "[^A-Za-z0-9_]", "")
-    points = F.transform(F.split(_col(text), ""), lambda c: F.lower(F.hex(F.conv(F.hex(F.encode(c, "UTF-32BE")), 16, 10).cast("long"))))
-    return F.when(kept != "", kept).otherwise(F.array_join(F.filter(points, lambda p: p.isNotNull() & (p != "")), "_"))
+    points = F.transform(F.split(_col(text), ""), lambda c: F.when(c != "", F.lower(F.hex(F.ascii(c)))))
+    return F.when(kept != "", kept).otherwise(F.array_join(F.filter(points, lambda p: p.isNotNull()), "_"))
 
 
 def file_slug(text: Text) -> Column:

@@ -74,7 +74,11 @@ def scored(rows: DataFrame, score: Callable[[Iterator[pd.Series]], Iterator[pd.S
     ``score`` maps batches of prompts to probabilities p; the score is 2p - 1. The two parts are
     separate branches, since a conditional wouldn't keep a UDF from running on all rows.
     """
-    model = F.pandas_udf(score, t.DoubleType())
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from score(batches)
+
+    model = F.pandas_udf(run, t.DoubleType())
     sure = F.lower(F.btrim(F.col(target))).isin(bypass)
     known = rows.where(sure).withColumn(name, F.lit(1.0))
     rest = rows.where(~F.coalesce(sure, F.lit(False))).withColumn(name, F.round(2 * model(prompt) - 1, 4))

@@ -70,7 +70,7 @@ def _beta(a: float, b: float, x: float) -> float:
         h *= c * d
         if abs(1 - c * d) < 1e-14:
             break
-    return front * h
+    return front * (h - 1)
 
 
 def p_value(r: float | None, n: int) -> float | None:

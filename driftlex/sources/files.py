@@ -39,28 +39,28 @@ def file_name() -> Column:
 
 def read_json_objects(spark: SparkSession, path: str, schema: str, required: str) -> DataFrame:
     """Files of pretty-printed objects one after another; a truncated last one is left out."""
-    whole = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("modified"))
+    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("modified"))
     each = whole.select("file", "modified", F.explode(F.split("value", r"(?m)(?<=^\})\s*(?=^\{)")).alias("json"))
     return each.select("file", "modified", F.from_json("json", schema).alias("r")).select("file", "modified", "r.*").where(F.col(required).isNotNull())
 
 
 def read_json_map(spark: SparkSession, path: str, key: str = "dump", value: str = "tokens") -> DataFrame:
     """One JSON object of numbers as rows."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.explode(F.from_json("value", "map<string,bigint>")).alias(key, value))
 
 
 def read_word_counts(spark: SparkSession, path: str) -> DataFrame:
     """(word, count, total): a count file; the total is of tokens, or of occurrences where that is absent or 0."""
     schema = "total_word_occurrences bigint, total_corpus_tokens bigint, words array<struct<word: string, count: bigint>>"
-    r = spark.read.option("wholetext", True).text(path).select(F.from_json("value", schema).alias("r")).select("r.*")
+    r = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("r")).select("r.*")
     total = F.coalesce(F.nullif("total_corpus_tokens", F.lit(0)), F.col("total_word_occurrences"))
     return r.select(F.explode("words").alias("w"), total.alias("total")).select("w.word", "w.count", "total")
 
 
 def read_words(spark: SparkSession, path: str, comments: str = "prefix") -> DataFrame:
     """(word, line): trimmed, lower case, first seen of equal ones. Comments: lines that begin with, or hold, ``#``; or none."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "word"))
+    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "word"))
     w = raw.withColumn("word", F.lower(F.btrim("word"))).where("word <> ''")
     if comments == "prefix":
         w = w.where(~F.col("word").startswith("#"))
