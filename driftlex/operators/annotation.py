@@ -55,10 +55,10 @@ def confusion(rows: DataFrame, truth: Column, predicted: Column, *groupings: str
 
 
 def balance(rows: DataFrame, by: str, label: str = "label", most: int = 30) -> DataFrame:
-    """Per group the numbers of each label, and which label to add, how often, if they are more than ``most`` apart."""
+    """Per group the numbers of each label, which label to add (-1: neither), and how often, if they are more than ``most`` apart."""
     n = rows.groupBy(by).agg(F.sum((F.col(label) == 1).cast("long")).alias("n1"), F.sum((F.col(label) == 0).cast("long")).alias("n0"))
     need = F.abs(F.col("n1") - F.col("n0"))
-    return n.withColumn("add_label", F.when(need > most, F.when(F.col("n1") < F.col("n0"), 1).otherwise(0))).withColumn("add_n", F.when(need > most, need).otherwise(F.lit(0).cast("long")))
+    return n.withColumn("add_label", F.when(need > most, F.when(F.col("n1") < F.col("n0"), 1).otherwise(0)).otherwise(-1)).withColumn("add_n", F.when(need > most, need).otherwise(F.lit(0).cast("long")))
 
 
 def class_weights(rows: DataFrame, label: str = "label") -> DataFrame:

@@ -85,6 +85,20 @@ def kwic(docs: DataFrame, targets: list[str], k: int = 20, keep: tuple[str, ...]
     return df.select(*keep, F.explode_outer(F.transform("__kept", cut)).alias("m")).where("m is not null").select(*keep, "m.*")
 
 
+def count_targets(docs: DataFrame, targets: list[str], by: tuple[str, ...], text: str = "text") -> DataFrame:
+    """(by, target, n) in one pass over the texts: matches of each target, and under a null target all tokens.
+
+    The result has a row for each group and target, and is cached: what is derived from it (lists of
+    periods and words, rates, grids) doesn't read the texts again.
+    """
+    df = docs.select(*by, T.pieces(F.coalesce(F.col(text), F.lit(""))).alias("__pieces"))
+    df = df.withColumn("__keys", F.transform("__pieces", T.token_key)).withColumn("__hits", _matches(targets, False)).withColumn("__kept", _folded("__hits"))
+    tokens = F.struct(F.lit(None).cast("string").alias("target"), F.size("__pieces").cast("long").alias("n"))
+    found = F.transform("__kept", lambda m: F.struct(m["target"].alias("target"), F.lit(1).cast("long").alias("n")))
+    each = df.select(*by, F.explode_outer(F.concat(F.array(tokens), found)).alias("m"))
+    return each.groupBy(*by, F.col("m.target").alias("target")).agg(F.sum("m.n").alias("n")).cache()
+
+
 def kwic_tokens(docs: DataFrame, targets: list[str], k: int = 10, keep: tuple[str, ...] = (), text: str = "text") -> DataFrame:
     """The crawl variant: letter tokens, phrases before single words, the context lower-case tokens joined by blanks."""
     df = docs.where(F.col(text).isNotNull()).select(*keep, T.alpha_tokens(text).alias("__keys"))

@@ -9,7 +9,7 @@ from driftlex.functions import dumps as D
 from driftlex.functions import text as T
 from driftlex.operators import annotation, rates, sampling, scoring, trajectory
 from driftlex.operators import stats as S
-from driftlex.operators.kwic import kwic, kwic_tokens, prefilter_pattern
+from driftlex.operators.kwic import count_targets, kwic, kwic_tokens, prefilter_pattern
 from driftlex.plans.base import CORPUS, HITS, KEYS, LEAST_SCORE, PEAKS, PHRASES, RATES, SCORED, SINGLES, TOKENS, WS, corpus, pseudo_score, query, quoted, table
 
 _RTRIM = f"regexp_replace(array_to_string(%s, ''), '[{WS}]+$', '')"
@@ -23,10 +23,15 @@ def scored(spark, d: str) -> DataFrame:
     return hits(spark, d).withColumn("sense_score", pseudo_score(F.col("doc_id"), F.col("pos")))
 
 
+def totals(spark, d: str) -> DataFrame:
+    """(dump, year, target, n): all counts that trends need, from one scan."""
+    return count_targets(corpus(spark, d), SINGLES, ("dump", "year"))
+
+
 def year_rates(spark, d: str) -> DataFrame:
-    c = corpus(spark, d)
-    tokens = c.groupBy("year").agg(F.sum(T.n_tokens("text")).alias("tokens"))
-    counts = rates.counts_by(hits(spark, d), "year")
+    t = totals(spark, d)
+    tokens = t.where("target is null").groupBy("year").agg(F.sum("n").alias("tokens"))
+    counts = t.where("target is not null").groupBy("year", "target").agg(F.sum("n").alias("hits"))
     grid = rates.dense(counts, counts.select("year").distinct(), counts.select("target").distinct())
     return rates.with_rate(grid, tokens, "year")
 
@@ -70,7 +75,9 @@ def dump_filter(spark, d):
 @query(f"with {HITS} select g.dump, g.target, cast(coalesce(c.hits, 0) as bigint) as hits from (select distinct dump, w.target from corpus cross join (select unnest([{quoted(SINGLES)}]) as target) w) g left join (select dump, target, count(*) as hits from hits group by 1, 2) c on c.dump = g.dump and c.target = g.target")
 def dump_counts(spark, d):
     words = spark.createDataFrame([(w,) for w in SINGLES], "target string")
-    return rates.dense(rates.counts_by(hits(spark, d), "dump"), corpus(spark, d).select("dump").distinct(), words)
+    t = totals(spark, d)
+    counts = t.where("target is not null").select("dump", "target", F.col("n").alias("hits"))
+    return rates.dense(counts, t.select("dump").distinct(), words)
 
 
 @query(f"with {CORPUS}, {TOKENS} select dump, cast(tokens as bigint) as tokens from sizes")
@@ -107,8 +114,12 @@ grid as (
 
 
 def date_grid(spark, d: str) -> DataFrame:
-    tokens = token_totals(spark, d)
-    return dump_counts(spark, d).join(F.broadcast(tokens), "dump").groupBy("target", D.monday_of(F.col("dump")).alias("day")).agg(F.sum("hits").alias("hits"), F.sum("tokens").alias("tokens"))
+    t = totals(spark, d)
+    words = spark.createDataFrame([(w,) for w in SINGLES], "target string")
+    tokens = t.where("target is null").select("dump", F.col("n").alias("tokens"))
+    counts = t.where("target is not null").select("dump", "target", F.col("n").alias("hits"))
+    grid = rates.dense(counts, tokens.select("dump"), words).join(F.broadcast(tokens), "dump")
+    return grid.groupBy("target", D.monday_of(F.col("dump")).alias("day")).agg(F.sum("hits").alias("hits"), F.sum("tokens").alias("tokens"))
 
 
 @query(_GRID + ", w as (select target, day, sum(hits) over win as k, sum(tokens) over win as n from grid window win as (partition by target order by day rows between 4 preceding and 4 following)) select target, cast(day as varchar) as day, cast(k as bigint) as window_hits, cast(n as bigint) as window_tokens, cast(k as bigint) * 1000000 / cast(n as bigint) as smoothed_rate from w")
@@ -162,7 +173,7 @@ def series_spread(spark, d):
 
 @query()
 def quadratic_noise(spark, d):
-    c = corpus(spark, d).groupBy("year").agg(F.sum(T.n_tokens("text")).alias("tokens"))
+    c = totals(spark, d).where("target is null").groupBy("year").agg(F.sum("n").alias("tokens"))
     fitted = trajectory.quadratic(year_rates(spark, d), "rate_per_million").join(F.broadcast(c), "year")
     return fitted.groupBy("target").agg(F.first("r2").alias("r2")).join(trajectory.noise(fitted), "target")
 
@@ -341,7 +352,7 @@ def confusion_metrics(spark, d):
     return annotation.confusion(table(spark, d, "labels"), F.col("quality"), F.col("toxic"), "quality")
 
 
-@query("with b as (select source, sum(case when toxic = 1 then 1 else 0 end)::bigint as n1, sum(case when toxic = 0 then 1 else 0 end)::bigint as n0 from labels join documents using (doc_id) group by 1) select *, case when abs(n1 - n0) > 10 then case when n1 < n0 then 1 else 0 end end as add_label, case when abs(n1 - n0) > 10 then abs(n1 - n0) else 0 end::bigint as add_n from b")
+@query("with b as (select source, sum(case when toxic = 1 then 1 else 0 end)::bigint as n1, sum(case when toxic = 0 then 1 else 0 end)::bigint as n0 from labels join documents using (doc_id) group by 1) select *, case when abs(n1 - n0) > 10 then case when n1 < n0 then 1 else 0 end else -1 end as add_label, case when abs(n1 - n0) > 10 then abs(n1 - n0) else 0 end::bigint as add_n from b")
 def label_balance(spark, d):
     j = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
     return annotation.balance(j, "source", "toxic", 10)
