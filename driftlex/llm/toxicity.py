@@ -6,12 +6,14 @@ n-grams. The network reads windows of ``WINDOW`` words that overlap by
 logistic function of its strongest windows and their number, fitted on
 labelled texts that the network hasn't seen.
 
-Training is numpy on the driver, on a bounded sample of labelled rows. Scoring
+Training is numpy in one task, on a bounded sample of labelled rows. Scoring
 is one pass over the table, without a shuffle.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -25,7 +27,7 @@ UNITS, WORD_DIM, CHAR_DIM = 8, 8, 8
 GRAMS = (5, 6, 7)
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 16, 1 << 18
 #: Labelled rows that the model is fitted on, of each class, and characters of a training text at most.
-MOST_TOXIC, MOST_CLEAN, LONGEST = 1200, 3600, 20_000
+MOST_TOXIC, MOST_CLEAN, LONGEST = 1200, 2800, 12_000
 #: A word or n-gram must be in so many training texts, and such a share of them, to have an embedding of its own.
 LEAST_DF, LEAST_SHARE = 4, 0.008
 #: Texts of prior evidence that a word's first weight is shrunk by.
@@ -238,11 +240,47 @@ def _bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw])).astype(np.int64)
 
 
+def _parts(texts: list[str], limit: int = 1 << 20):
+    """Bytes and offsets of runs of texts, of about a megabyte each: what training holds at once is bounded."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= limit:
+            yield _bytes(part)
+            part, size = [], 0
+    if part:
+        yield _bytes(part)
+
+
+class _Training:
+    """The distinct words of all training texts with their n-grams, and each text's words by number."""
+
+    def __init__(self, texts: list[str]):
+        parts, self.first = [], np.zeros(1, np.int64)
+        for data, off in _parts(texts):
+            words = Words(data, off, NON_ALNUM)
+            parts.append(Vocabulary(words))
+            self.first = np.append(self.first, self.first[-1] + words.first[1:])
+        keys = np.concatenate([v.keys for v in parts])
+        self.keys, one, to = np.unique(keys, return_index=True, return_inverse=True)
+        base = np.cumsum([0, *[len(v.keys) for v in parts]])
+        self.of = np.concatenate([to[base[i] + v.of] for i, v in enumerate(parts)]).astype(np.int32)
+        shift = np.cumsum([0, *[len(v.grams) for v in parts]])
+        start = np.concatenate([v.cut[:-1] + shift[i] for i, v in enumerate(parts)])[one]
+        n = np.concatenate([np.diff(v.cut) for v in parts])[one]
+        grams = np.concatenate([v.grams.astype(np.int32) for v in parts])
+        self.cut = np.append(0, np.cumsum(n))
+        self.grams = grams[np.repeat(start - self.cut[:-1], n) + np.arange(self.cut[-1])]
+        self.word = (self.keys & np.uint64(WORD_BUCKETS - 1)).astype(np.int64)
+
+
 def _apart(texts: list[str]) -> list[int]:
     """Texts without those that are near copies of an earlier one, by eight least shingle hashes."""
     kept: list[int] = []
     seen: dict[tuple[int, int], list[int]] = {}
-    for i, s in enumerate(shingle_sets(Words(*_bytes(texts), SPACE), 3)):
+    sets = (s for part in _parts(texts) for s in shingle_sets(Words(*part, SPACE), 3))
+    for i, s in enumerate(sets):
         marks = [(b, int(x.min())) for b in range(8) if len(x := s[(s >> np.uint64(61)) == b])]
         met = np.bincount([j for m in marks for j in seen.get(m, [])], minlength=1)
         if len(marks) and met.max() * 3 >= len(marks):
@@ -258,8 +296,8 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, seed: int = 7
     net = Network(seed)
     own = _apart(texts)
     texts, labels, weights = [texts[i] for i in own], labels[own].astype(np.float64), weights[own]
-    if not labels.any() or labels.all():
-        net.text[0] = -30 if not labels.any() else 30
+    if not len(labels) or not labels.any() or labels.all():
+        net.text[0] = 30 if labels.any() else -30
         return net
     r = np.random.default_rng(seed)
     # every fourth text of each class is kept for the final logistic function
@@ -268,36 +306,42 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, seed: int = 7
         own = np.flatnonzero(labels == y)
         held[r.permutation(own)[: len(own) // 4]] = True
     train = np.flatnonzero(~held)
-    words = Words(*_bytes([texts[i] for i in train]), NON_ALNUM)
-    v = Vocabulary(words)
+    v = _Training([texts[i] for i in train])
     y_doc = labels[train]
-    doc_of = np.repeat(np.arange(len(train)), np.diff(words.first))
-
-    def known(buckets, doc, size):
+    used = np.diff(v.cut)
+    # texts that hold each bucket, and toxic ones of them, some texts at a time
+    held_by = {k: (np.zeros(size), np.zeros(size)) for k, size in (("words", WORD_BUCKETS), ("chars", GRAM_BUCKETS))}
+    for a in range(0, len(train), 64):
+        b = min(a + 64, len(train))
+        doc = np.repeat(np.arange(b - a), np.diff(v.first[a : b + 1]))
+        pair = np.unique(v.of[v.first[a] : v.first[b]].astype(np.int64) * 64 + doc)
+        word, doc = pair // 64, pair % 64
+        n = used[word]
+        gram = v.grams[np.repeat(v.cut[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())].astype(np.int64)
+        for name, bucket, of in (("words", v.word[word], doc), ("chars", gram, np.repeat(doc, n))):
+            pair = np.unique(bucket * 64 + of)
+            df, pos = held_by[name]
+            df += np.bincount(pair // 64, minlength=len(df))
+            pos += np.bincount(pair // 64, y_doc[a + pair % 64], len(df))
+
+    def known(name):
         """Buckets in enough texts, numbered from 1, and the log-odds of their texts being toxic."""
-        pair = np.unique(buckets.astype(np.int64) * len(train) + doc)
-        bucket, y = pair // len(train), y_doc[pair % len(train)]
-        df, pos = np.bincount(bucket, minlength=size), np.bincount(bucket, y, size)
+        df, pos = held_by[name]
         have = np.flatnonzero(df >= max(LEAST_DF, LEAST_SHARE * len(train)))
         base = y_doc.mean()
         odds = np.log((pos[have] + PRIOR * base) / (df[have] - pos[have] + PRIOR * (1 - base))) - np.log(base / (1 - base))
-        number = np.zeros(size, np.int32)
+        number = np.zeros(len(df), np.int32)
         number[have] = 1 + np.arange(len(have))
         return number, odds
 
-    used = np.diff(v.cut)
-    gram_at = np.repeat(v.of, used[v.of]) if len(v.of) else v.of
-    start = np.repeat(np.cumsum(used[v.of]) - used[v.of], used[v.of])
-    grams = v.grams[v.cut[gram_at] + np.arange(len(gram_at)) - start]
-    net.word_of, word_odds = known(v.word[v.of], doc_of, WORD_BUCKETS)
-    net.gram_of, gram_odds = known(grams, np.repeat(doc_of, used[v.of]), GRAM_BUCKETS)
-    del gram_at, start, grams
+    net.word_of, word_odds = known("words")
+    net.gram_of, gram_odds = known("chars")
     for name, odds, dim in (("words", word_odds, WORD_DIM), ("chars", gram_odds, CHAR_DIM)):
         e = (r.normal(size=(len(odds) + 1, dim)) * 0.05).astype(np.float32)
         e[0] = 0
         e[1:, 0] += 0.5 * np.clip(odds, -4, 4)
         setattr(net, name, e)
-    doc, a, b = windows(words.first)
+    doc, a, b = windows(v.first)
     y = y_doc[doc]
     net.p["b"][0] = np.log(max(y.mean(), 1e-3) / max(1 - y.mean(), 1e-3))
     moments = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in net.p.items()}
@@ -337,7 +381,7 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, seed: int = 7
             table[some] -= step_by
     keep = np.flatnonzero(held)
     net.usual = float(net.p["b"][0])
-    x = net.features(*_bytes([texts[i] for i in keep]))
+    x = np.vstack([net.features(*part) for part in _parts([texts[i] for i in keep])])
     net.text = _logistic(x, labels[keep], weights[keep])
     return net
 
@@ -363,23 +407,30 @@ def held_out(doc_id=None):
 
 
 def train(docs: DataFrame, labels: DataFrame, seed: int = 7) -> Network:
-    """Fit on at most ``MOST_TOXIC`` and ``MOST_CLEAN`` labelled rows, picked by a hash of their ids."""
+    """Fit on at most ``MOST_TOXIC`` and ``MOST_CLEAN`` labelled rows, picked by a hash of their ids; of repeated ids one."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     order = [F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id")]
     picked = known.where("toxic = 1").orderBy(*order).limit(MOST_TOXIC).union(known.where("toxic = 0").orderBy(*order).limit(MOST_CLEAN))
-    rows = (
+    sample = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .join(F.broadcast(picked), "doc_id")  # at most MOST_TOXIC + MOST_CLEAN ids
         .where(F.length("text") <= LONGEST)
-        .dropDuplicates(["doc_id"])
-        .orderBy("doc_id")
-        .collect()
+        .select("doc_id", "toxic", "text")
     )
-    y = np.array([r["toxic"] for r in rows], float)
-    weight = np.array([total[r["toxic"]] for r in rows], float) / np.where(y == 1, max(1, y.sum()), max(1, (1 - y).sum()))
-    return fit([r["text"] for r in rows], y, weight, seed)
+
+    def run(batches):
+        own = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        rows = {i: (y, t) for i, y, t in sorted(own, key=lambda r: (r[0], r[2]), reverse=True)}
+        ids = sorted(rows)
+        y = np.array([rows[i][0] for i in ids], float)
+        weight = np.array([total[rows[i][0]] for i in ids], float) / np.where(y == 1, max(1, y.sum()), max(1, (1 - y).sum()))
+        net = fit([rows[i][1] for i in ids], y, weight, seed)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
+
+    # the bounded sample meets in one task, whose memory is an executor's and not the driver's
+    return pickle.loads(sample.repartition(1).mapInArrow(run, "net binary").first()["net"])
 
 
 def score(docs: DataFrame, net: Network, *columns: str) -> DataFrame:
