@@ -411,8 +411,14 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 7) -> Network:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    order = [F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id")]
-    picked = known.where("toxic = 1").orderBy(*order).limit(MOST_TOXIC).union(known.where("toxic = 0").orderBy(*order).limit(MOST_CLEAN))
+    unit = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30))
+
+    def pick(y: int, most: int) -> DataFrame:
+        """By a share first, so that the limit meets little more than it keeps, whatever the number of tasks."""
+        some = known.where(F.col("toxic") == y).withColumn("unit", unit).where(F.col("unit") < min(1.0, 1.5 * most / max(1, total.get(y, 0))) * (1 << 30))
+        return some.orderBy("unit", "doc_id").limit(most).drop("unit")
+
+    picked = pick(1, MOST_TOXIC).union(pick(0, MOST_CLEAN))
     sample = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .join(F.broadcast(picked), "doc_id")  # at most MOST_TOXIC + MOST_CLEAN ids
