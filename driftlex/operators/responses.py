@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 # First words that read as yes and as no.
 YES = "yes|yeah|yep|yup|sure|absolutely|definitely|totally|true|appropriate|ok|okay|current|contemporary"
 NO = "no|nope|nah|never|not|inappropriate|false|dated|anachronistic|archaic|early"
+# The option block of a prompt, one option of it, a chosen letter, a bare letter.
+OPTION_BLOCK = r"(?is)multiple choice:\s*(.*)$"
+OPTION = r"(?s)\b([ABCD])\)\s*(.*?)(?=\s+\b[ABCD]\)|$)"
+LETTER = r"^\W*([ABCD])\b"
+BARE_LETTER = r"^[ABCD][).]?$"
+# A slot whose word its name can't spell; the years that answers are drawn in.
+SLOT_WORDS = {"exp3_skull": "💀"}
 FIRST_YEAR, LAST_YEAR = 2010, 2024
 
 
@@ -53,9 +60,8 @@ def clamped(year: Column, low: int = FIRST_YEAR, high: int = LAST_YEAR) -> Colum
 
 def options(prompt: Column) -> Column:
     """Letters and words of a multiple-choice prompt, as a map; empty if there is no option block."""
-    tail = F.regexp_extract(prompt, r"(?is)multiple choice:\s*(.*)$", 1)
-    item = r"(?s)\b([ABCD])\)\s*(.*?)(?=\s+\b[ABCD]\)|$)"
-    letters, words = F.regexp_extract_all(tail, F.lit(item), F.lit(1)), F.regexp_extract_all(tail, F.lit(item), F.lit(2))
+    tail = F.regexp_extract(prompt, OPTION_BLOCK, 1)
+    letters, words = F.regexp_extract_all(tail, F.lit(OPTION), F.lit(1)), F.regexp_extract_all(tail, F.lit(OPTION), F.lit(2))
     pairs = F.zip_with(letters, words, lambda a, b: F.struct(a.alias("key"), F.btrim(b).alias("value")))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.lit(1000)), lambda q: q["key"] == p["key"]))
     return F.map_from_entries(last)
@@ -66,8 +72,8 @@ def answer(response: Column) -> Column:
     ws = F.lit(" \t\r\n\x0b\x0c")
     s = F.btrim(F.btrim(F.btrim(F.coalesce(response, F.lit("")), ws), F.lit("*")), ws)
     several = F.size(F.array_distinct(F.regexp_extract_all(s, F.lit(r"\b([ABCD])\b"), F.lit(1)))) >= 3
-    first = F.regexp_extract(s, r"^\W*([ABCD])\b", 1)
-    status = F.when(s == "", "empty").when(several, "enumeration").when(first == "", "unparsed").when(s.rlike(r"^[ABCD][).]?$"), "clean").otherwise("lenient")
+    first = F.regexp_extract(s, LETTER, 1)
+    status = F.when(s == "", "empty").when(several, "enumeration").when(first == "", "unparsed").when(s.rlike(BARE_LETTER), "clean").otherwise("lenient")
     return F.struct(F.when(status.isin("clean", "lenient"), first).alias("letter"), status.alias("status"))
 
 
@@ -78,7 +84,7 @@ def normal_word(word: Column) -> Column:
 def target_letter(slot: Column, opts: Column, overrides: dict[str, str] | None = None) -> Column:
     """Letter of the option that is the slot's own word."""
     want = F.regexp_replace(slot, "^exp3_", "")
-    for k, v in (overrides or {"exp3_skull": "💀"}).items():
+    for k, v in (overrides or SLOT_WORDS).items():
         want = F.when(slot == k, v).otherwise(want)
     want = normal_word(want)
     return F.try_element_at(F.map_keys(F.map_filter(opts, lambda k, v: normal_word(v) == want)), F.lit(1))

@@ -31,6 +31,8 @@ ALWAYS_SLANG = (
     "yoooooo", "nahhh", "nahhhh", "nahhhhh", "omggg",
 )
 LANG_LEAST, QUALITY_LEAST = 0.85, 0.70
+# What trends leave out, and the sense score from which a row counts.
+EXCLUDED_TERMS, EXCLUDED_YEARS, SENSE_LEAST = ("💀", "😭"), (2013,), 0.99
 
 
 def quality(text: Column | str, words: tuple[str, ...] = FUNCTION_WORDS) -> Column:
@@ -117,7 +119,7 @@ def sense_order(rows: DataFrame, *ties: str, score: str = "sense_score") -> Data
     return rows.orderBy(F.col(score).isNotNull(), F.when(F.col(score).isNull(), F.col("group_key")), F.desc(score), *ties)
 
 
-def counted(rows: DataFrame, least: float, drop_terms: tuple[str, ...] = (), drop_years: tuple[int, ...] = (), score: str = "sense_score") -> DataFrame:
+def counted(rows: DataFrame, least: float = SENSE_LEAST, drop_terms: tuple[str, ...] = EXCLUDED_TERMS, drop_years: tuple[int, ...] = EXCLUDED_YEARS, score: str = "sense_score") -> DataFrame:
     """Rows that count towards trends: scored ``least`` or more, outside excluded terms and years."""
     out = rows.where(F.col(score) >= least)
     if drop_terms:

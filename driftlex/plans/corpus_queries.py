@@ -414,3 +414,26 @@ def bootstrap_vintage(spark, d):
     rows = rates.peaks(year_rates(spark, d)).select("peak_year", "total_hits").collect()  # a row for each target word
     years, n = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float)
     return S.poisson_bootstrap(spark, n, lambda x: float(x @ years / x.sum()), 2000)
+
+
+@query(f"with {KEYS} select d.lang, key as target, count(*) as n from keys k join documents d using (doc_id) where key in ({quoted(SINGLES)}) group by 1, 2")
+def raw_word_count(spark, d):
+    return count_targets(corpus(spark, d), SINGLES, ("lang",)).where("target is not null")
+
+
+@query(f"with {HITS} select dump, count(*) as hits from hits where target in ('the', 'of', 'la') group by 1")
+def aggregate_series(spark, d):
+    t = totals(spark, d).where(F.col("target").isin("the", "of", "la"))
+    return t.groupBy("dump").agg(F.sum("n").alias("hits"))
+
+
+@query()
+def annotation_pool(spark, d):
+    rows = kwic(corpus(spark, d), ["haha", "hahaha", "und"], 20, ("doc_id", "uri"))
+    return annotation.annotation_batch(annotation.usable_contexts(rows, table(spark, d, "benchmark")), 25, "doc_id", "pos").select("group_key", "doc_id", "pos", "clean")
+
+
+@query()
+def reference_examples(spark, d):
+    labelled = corpus(spark, d).select("doc_id", "lang", "uri").join(table(spark, d, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id")
+    return annotation.reference_examples(labelled, "lang", 5, "doc_id").select("lang", "label", "doc_id")

@@ -250,3 +250,33 @@ def topup_loop(spark, d):
     score = lambda rows: rows.withColumn("score", pseudo_score(F.col("doc_id"), F.lit(0)))
     kept = collect_until(c, None, score, lambda rows: rows.where("score >= 0.2"), "dump", 5, ("doc_id",), rounds=4)
     return kept.select("dump", "doc_id", "score")
+
+
+WORDS = ["glow-up", "red pill", "lol", "solo dolo"]
+
+
+@query("select conv_id, turn, 4 as n_options, chr(cast(65 + conv_id % 4 as integer)) as target_letter, 'glow-up' as target from conversations")
+def option_parse(spark, d):
+    # the four words in an order that turns with the conversation, the target at place conv_id % 4
+    k = F.col("conv_id") % 4
+    word = lambda i: F.element_at(F.array(*map(F.lit, WORDS)), (F.pmod(F.lit(i) - k, F.lit(4)) + 1).cast("int"))
+    text = F.concat(F.lit("Choose. Multiple choice: A) "), word(0), F.lit(" B) "), word(1), F.lit(" C) "), word(2), F.lit(" D) "), word(3))
+    rows = turns(spark, d).select("conv_id", "turn", responses.options(text).alias("o"))
+    letter = responses.target_letter(F.lit("exp3_glow_up"), F.col("o"))
+    return rows.select("conv_id", "turn", F.size("o").alias("n_options"), letter.alias("target_letter")).join(rows.select("conv_id", "turn", "o"), ["conv_id", "turn"]).select("conv_id", "turn", "n_options", "target_letter", F.try_element_at("o", F.col("target_letter")).alias("target"))
+
+
+@query("select 0.25::double as chance_rate")
+def chance_rate(spark, d):
+    text = F.lit("Multiple choice: A) a B) b C) c D) d")
+    return responses.chance_rate(turns(spark, d).select(responses.options(text).alias("options")))
+
+
+@query()
+def bootstrap_responses(spark, d):
+    import numpy as np
+
+    found = vocabulary_hits(turns(spark, d).where("role = 'assistant' and conv_id < 2000"), VOCABULARY, ("conv_id", "turn"))
+    wide = found.groupBy("conv_id", "turn").pivot("word", VOCABULARY).sum("n").fillna(0).orderBy("conv_id", "turn").toPandas()  # a bounded set of responses
+    years = np.arange(2013, 2013 + len(VOCABULARY), dtype=float)
+    return S.response_bootstrap(spark, wide[VOCABULARY].to_numpy(float), lambda x: float(x @ years / x.sum()), 500)
