@@ -272,9 +272,9 @@ def rare_groups(spark, d):
     return scoring.rare_groups(kwic(corpus(spark, d), SINGLES, 20, ("doc_id",))).select("group_key", "usable", "rare").distinct()
 
 
-@query(f"select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(substr(text, 1, 200)), '[''’‘ʼ]', '', 'g'), '\\p{{P}}', ' ', 'g'), '[{WS}]+', ' ', 'g'), ' ') as group_key from documents")
+@query(f"select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[''’‘ʼ]', '', 'g'), '\\p{{P}}', ' ', 'g'), '[{WS}]+', ' ', 'g'), ' ') as group_key from documents")
 def group_key(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.group_key(F.substring("text", 1, 200)).alias("group_key"))
+    return table(spark, d, "documents").select("doc_id", T.group_key("text").alias("group_key"))
 
 
 @query("select lower(trim(regexp_replace(text, '[\\x09-\\x0D ]+', ' ', 'g'), ' ')) as clean, min(doc_id) as doc_id, count(*) as copies from documents where doc_id not in (select item_id from benchmark) group by 1")
@@ -304,9 +304,10 @@ def crawl_seeds(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), sampling.crawl_seed(7, i).alias("seed"))
 
 
-@query(f"with {HITS}, kept as (select dump, target, count(*) as hits from hits where doc_id % 2 = 0 group by 1, 2) select target, cast(sum(hits) as bigint) as total from kept group by 1 order by total desc, target limit 5")
+@query(f"with {HITS} select target, count(*) as total from hits group by 1 order by total desc, target limit 5")
 def top_words(spark, d):
-    return rates.top_words(rates.counts_by(hits(spark, d).where("doc_id % 2 = 0"), "dump"), 5)
+    t = totals(spark, d).where("target is not null").select("dump", "target", F.col("n").alias("hits"))
+    return rates.top_words(t, 5)
 
 
 @query(f"with {RATES}, p as (select target, max(case when year = 2013 then rate end) as rate_first, max(case when year = 2024 then rate end) as rate_last from rates group by 1) select *, log2(rate_last / rate_first) as log2_ratio from p where rate_first > 0 and rate_last > 0")
@@ -319,10 +320,11 @@ def variation(spark, d):
     return rates.variation(year_rates(spark, d))
 
 
-@query(f"with {HITS} select year, target, count(*) as hits from (select year, target from hits union all select year, target from hits where doc_id % 3 = 0) group by 1, 2")
+@query(f"with {HITS} select year, target, count(*) as hits from hits group by 1, 2")
 def pooled_counts(spark, d):
-    h = hits(spark, d)
-    return rates.pooled(rates.counts_by(h, "year"), rates.counts_by(h.where("doc_id % 3 = 0"), "year"))
+    # two runs, over English texts and over the rest
+    h = kwic(corpus(spark, d), SINGLES, 0, ("year", "lang"), context=False)
+    return rates.pooled(rates.counts_by(h.where("lang = 'en'"), "year"), rates.counts_by(h.where("lang <> 'en' or lang is null"), "year"))
 
 
 @query(f"with {PEAKS} select target, peak_year, case when peak_year <= 2017 then '<=2017' when peak_year <= 2021 then '2018-2021' else '>2021' end as cohort from peaks")
@@ -369,18 +371,17 @@ def stratified_split(spark, d):
     return s.groupBy(F.col("toxic").alias("label")).agg(F.count("*").alias("n"), F.sum(F.col("is_train").cast("long")).alias("n_train"))
 
 
-@query(f"with {CORPUS}, done as (select uri from corpus where doc_id % 4 = 0) select doc_id, dump from corpus where uri not in (select uri from done)")
+@query(f"with {CORPUS} select doc_id, dump from corpus where doc_id not in (select doc_id from labels)")
 def anti_join_unscored(spark, d):
     from driftlex.sources.files import remaining
 
-    c = corpus(spark, d)
-    return remaining(c, c.where("doc_id % 4 = 0"), "uri").select("doc_id", "dump")
+    return remaining(corpus(spark, d), table(spark, d, "labels"), "doc_id").select("doc_id", "dump")
 
 
-@query(f"with {CORPUS}, have as (select dump, count(*) as h from corpus where doc_id % 5 = 0 group by 1), n as (select dump, sum(case when doc_id % 5 <> 0 then 1 else 0 end) as fresh from corpus group by 1) select n.dump, cast(least(greatest(12 - coalesce(h, 0), 0), fresh) as bigint) as drawn from n left join have using (dump) where least(greatest(12 - coalesce(h, 0), 0), fresh) > 0")
+@query(f"with {CORPUS}, n as (select dump, sum(case when doc_id in (select doc_id from labels) then 1 else 0 end) as have, sum(case when doc_id in (select doc_id from labels) then 0 else 1 end) as fresh from corpus group by 1) select dump, cast(least(greatest(400 - have, 0), fresh) as bigint) as drawn from n where least(greatest(400 - have, 0), fresh) > 0")
 def topup_resume(spark, d):
     c = corpus(spark, d).select("dump", "doc_id")
-    got = sampling.top_up(c, c.where("doc_id % 5 = 0"), "dump", 12, "doc_id", seed=1)
+    got = sampling.top_up(c, c.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi"), "dump", 400, "doc_id", seed=1)
     return got.groupBy("dump").agg(F.count("*").alias("drawn"))
 
 
