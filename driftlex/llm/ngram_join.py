@@ -40,7 +40,7 @@ MOST_COMMON = 1 << 20
 RANGE_BYTES = 24 << 20
 BUCKETS = 16
 #: Entries up to which a prefix group is simply joined with itself; chunk and block sizes for larger ones.
-LARGE, CHUNK, BLOCK = 256, 512, 4096
+LARGE, CHUNK, BLOCK = 1024, 512, 4096
 
 
 def _least_overlap(n: str) -> str:
