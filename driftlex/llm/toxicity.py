@@ -28,8 +28,9 @@ GRAMS = (5, 6, 7)
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 16, 1 << 18
 #: Labelled rows that the model is fitted on, of each class, and characters of a training text at most.
 MOST_TOXIC, MOST_CLEAN, LONGEST = 1200, 2800, 12_000
-#: A word or n-gram must be in so many training texts, and such a share of them, to have an embedding of its own.
-LEAST_DF, LEAST_SHARE = 4, 0.008
+#: A word or n-gram has an embedding of its own if so many training texts hold it, of whatever language, and their labels
+#: differ from the others': twice the log-likelihood ratio (chance exceeds 10.83 once in a thousand).
+LEAST_DF, LEAST_EVIDENCE = 4, 10.83
 #: Texts of prior evidence that a word's first weight is shrunk by.
 PRIOR = 12
 BATCH, PRESENTED = 512, 120_000
@@ -235,6 +236,12 @@ class Network:
         return _sigmoid(self.features(data, off) @ self.text)
 
 
+def _evidence(df, pos, base):
+    """Twice the log-likelihood ratio of ``pos`` toxic texts out of ``df`` against a share of ``base``."""
+    neg = df - pos
+    return 2 * (pos * np.log(np.maximum(pos, 1e-9) / (df * base)) + neg * np.log(np.maximum(neg, 1e-9) / (df * (1 - base))))
+
+
 def _bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     raw = [t.encode("utf-8", "replace") for t in texts]
     return np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw])).astype(np.int64)
@@ -325,10 +332,11 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, seed: int = 7
             pos += np.bincount(pair // 64, y_doc[a + pair % 64], len(df))
 
     def known(name):
-        """Buckets in enough texts, numbered from 1, and the log-odds of their texts being toxic."""
+        """Buckets that tell labels apart, numbered from 1, and the log-odds of their texts being toxic."""
         df, pos = held_by[name]
-        have = np.flatnonzero(df >= max(LEAST_DF, LEAST_SHARE * len(train)))
         base = y_doc.mean()
+        have = np.flatnonzero(df >= LEAST_DF)
+        have = have[_evidence(df[have], pos[have], base) > LEAST_EVIDENCE]
         odds = np.log((pos[have] + PRIOR * base) / (df[have] - pos[have] + PRIOR * (1 - base))) - np.log(base / (1 - base))
         number = np.zeros(len(df), np.int32)
         number[have] = 1 + np.arange(len(have))

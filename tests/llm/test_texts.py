@@ -162,6 +162,30 @@ def test_toxicity(spark):
     assert max(x.score for x in toxicity.score(docs, none, "doc_id").collect()) < 0.01
 
 
+def test_toxicity_of_a_rare_language():
+    r = random.Random(11)
+    made = lambda n: ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(n)]
+    main, rare = (made(300), made(4)), (made(300), made(12))
+
+    def text(language, bad):
+        w = [r.choice(language[0]) for _ in range(r.randrange(20, 60))]
+        for _ in range(2 * bad):
+            w[r.randrange(len(w))] = r.choice(language[1])
+        return " ".join(w)
+
+    # each insult of the rare language is in fewer than 0.8% of the texts
+    y = np.array([int(i % 10 == 0) for i in range(2300)])
+    texts = [text(main if i < 1700 else rare, b) for i, b in enumerate(y)]
+    assert max(sum(w in t for t in texts) for w in rare[1]) < 0.008 * len(texts)
+    net = toxicity.fit(texts, y, np.ones(len(y)))
+    words = toxicity.Vocabulary(toxicity.Words(*toxicity._bytes([" ".join(rare[1])]), toxicity.NON_ALNUM)).word
+    assert np.mean(net.word_of[words] > 0) >= 0.75
+    for language in (main, rare):
+        for bad in (0, 1):
+            got = net.scores(*toxicity._bytes([text(language, bad) for _ in range(50)])) >= 0.5
+            assert np.mean(got == bool(bad)) >= 0.9
+
+
 def test_network_gradients():
     net = toxicity.Network(1)
     r = np.random.default_rng(0)
