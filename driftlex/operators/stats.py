@@ -176,17 +176,35 @@ def poisson_bootstrap(spark, n: np.ndarray, value, replicates: int, seed: int =
     return draws.agg(F.avg("value").alias("mean"), F.percentile("value", tail).alias("low"), F.percentile("value", 1 - tail).alias("high"), F.count("*").alias("replicates"))
 
 
-def response_bootstrap(spark, per_response: np.ndarray, value, replicates: int, seed: int = 42) -> DataFrame:
-    """The same, resampling responses (rows of counts) with replacement."""
-
-    def run(batches):
+def response_bootstrap(counts: DataFrame, columns: list[str], value, replicates: int, seed: int = 42) -> DataFrame:
+    """The same, resampling responses (rows of counts in ``columns``) with replacement.
+
+    Equal rows are drawn together: a replicate's numbers of draws are multinomial over
+    hash buckets, then over the distinct rows of each bucket. Only the buckets' sizes
+    reach the driver.
+    """
+    buckets = 256
+    c = [f"c{i}" for i in range(len(columns))]
+    rows = counts.select(*[F.col(f"`{x}`").cast("long").alias(y) for x, y in zip(columns, c, strict=True)])
+    distinct = rows.groupBy(*c).agg(F.count("*").alias("m")).withColumn("bucket", F.pmod(F.xxhash64(*c), F.lit(buckets)).cast("int"))
+    size = np.zeros(buckets, np.int64)
+    for r in distinct.groupBy("bucket").agg(F.sum("m").alias("m")).collect():
+        size[r["bucket"]] = r["m"]
+    total = int(size.sum())
+    draws = np.random.default_rng(seed).multinomial(total, size / total if total else np.full(buckets, 1 / buckets), replicates)
+
+    def sums(own):
+        own = own.sort_values(c)
+        b, m, x = int(own["bucket"].iloc[0]), own["m"].to_numpy(float), own[c].to_numpy(np.int64)
+        r = np.random.default_rng([seed, b])
+        part = max(1, (1 << 22) // len(m))
+        got = np.vstack([r.multinomial(draws[i : i + part, b], m / m.sum()) @ x for i in range(0, replicates, part)])
+        return pd.DataFrame(got, columns=c).assign(id=np.arange(replicates))
+
+    def values(batches):
         for b in batches:
-            got = []
-            for i in b["id"]:
-                r = np.random.default_rng([seed, int(i)])
-                x = per_response[r.integers(0, len(per_response), len(per_response))].sum(0)
-                got.append(value(x.astype(float)) if x.sum() else None)
-            yield pd.DataFrame({"value": pd.Series(got, dtype="float64")})
+            yield pd.DataFrame({"value": pd.Series([value(x) if x.sum() else None for x in b[c].to_numpy(float)], dtype="float64")})
 
-    draws = spark.range(replicates).mapInPandas(run, "value double").where("value is not null")
-    return draws.agg(F.avg("value").alias("mean"), F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high"), F.count("*").alias("replicates"))
+    drawn = distinct.groupBy("bucket").applyInPandas(sums, ", ".join(f"{x} long" for x in c) + ", id long")
+    found = drawn.groupBy("id").agg(*[F.sum(x).alias(x) for x in c]).mapInPandas(values, "value double").where("value is not null")
+    return found.agg(F.avg("value").alias("mean"), F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high"), F.count("*").alias("replicates"))

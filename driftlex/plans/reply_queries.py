@@ -274,9 +274,10 @@ def chance_rate(spark, d):
 
 @query()
 def bootstrap_responses(spark, d):
+    """Assistant replies that hold a word of the vocabulary, resampled."""
     import numpy as np
 
-    found = vocabulary_hits(turns(spark, d).where("role = 'assistant' and conv_id < 2000"), VOCABULARY, ("conv_id", "turn"))
-    wide = found.groupBy("conv_id", "turn").pivot("word", VOCABULARY).sum("n").fillna(0).orderBy("conv_id", "turn").toPandas()  # a bounded set of responses
+    hits = [T.bounded_count("text", w).cast("long").alias(w) for w in VOCABULARY]
+    found = turns(spark, d).where("role = 'assistant' and text <> ''").select(*hits).where(F.greatest(*VOCABULARY) > 0)
     years = np.arange(2013, 2013 + len(VOCABULARY), dtype=float)
-    return S.response_bootstrap(spark, wide[VOCABULARY].to_numpy(float), lambda x: float(x @ years / x.sum()), 500)
+    return S.response_bootstrap(found, VOCABULARY, lambda x: float(x @ years / x.sum()), 500)

@@ -232,3 +232,20 @@ def test_stream_equals_batch(spark, data, tmp_path):
     q = ingest.stream_counts(docs, ["the"], "running", str(tmp_path / "cp2"))
     q.awaitTermination(120)
     assert spark.sql("select sum(hits) from running").first()[0] == want.where("target = 'the'").count()
+
+
+def test_response_bootstrap_equals_brute_force(spark, tmp_path):
+    from driftlex.plans import reply_queries
+
+    r = np.random.default_rng(3)
+    # the later conversations speak of the last word only
+    text = lambda i: " ".join(["the"] * r.integers(1, 4) if i < 2000 else ["on"] * r.integers(1, 4))
+    rows = [(i, 1, "assistant", text(i)) for i in range(1900, 2100)] + [(5, 0, "user", "la la"), (6, 1, "assistant", "nothing"), (7, 1, "assistant", None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = reply_queries.bootstrap_responses(spark, str(tmp_path)).first()
+    x = np.array([[t.count("the"), t.count("on")] for _, _, role, t in rows if role == "assistant" and t and t != "nothing"], float)
+    sums = np.array([x[r.integers(0, len(x), len(x))].sum(0) for _ in range(4000)])
+    want = sums @ [2013, 2019] / sums.sum(1)
+    assert got.replicates == 500 and got.mean == pytest.approx(want.mean(), abs=0.05)
+    assert [got.low, got.high] == pytest.approx(np.percentile(want, [2.5, 97.5]).tolist(), abs=0.12)
+    assert reply_queries.S.response_bootstrap(spark.createDataFrame([], "a long, b long"), ["a", "b"], lambda v: 1.0, 10).first().replicates == 0
