@@ -155,14 +155,14 @@ def prompt_expand(spark, d):
     return prompts.requests(t, models, done).select("id", "model", "prompt_text", "sample")
 
 
-def _payload(spark, d):
-    """Token payloads made from the words of a turn: a routing header, words, a stop, commentary."""
+def _payload(rows):
+    """Token payloads made from the words of a turn: a routing header, three words, a stop, commentary."""
     w = F.slice(F.split("text", " "), 1, 3)
     words = F.concat(F.array(F.lit("<|channel|>"), F.lit("final")), F.transform(w, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.lit(" "), x))), F.array(F.lit("."), F.lit(" ok")))
     lp = F.transform(words, lambda x, i: -(F.length(x) + i) / 10.0)
     tops = F.transform(words, lambda x, i: F.map_from_arrays(F.array(x, F.concat(x, F.lit("s"))), F.array(-(F.length(x) + i) / 10.0, F.lit(-2.0))))
     empty = F.array().cast("array<struct<token:string,logprob:double,top_logprobs:array<struct<token:string,logprob:double>>>>")
-    return turns(spark, d).where("turn = 1").select(F.col("role").alias("model"), "conv_id", "turn", responses.without_routing(responses.tokens_of(empty, words, lp, tops)).alias("tokens"))
+    return rows.select(F.col("role").alias("model"), "conv_id", "turn", responses.without_routing(responses.tokens_of(empty, words, lp, tops)).alias("tokens"))
 
 
 @query(
@@ -173,13 +173,15 @@ n as (select *, coalesce(list_position(stops, true), len(ts) + 1) - 1 as n from
 select model, conv_id, turn, case when n > 0 then array_to_string(ts[1:n], '') end as answer, n::integer as n, case when n > 0 then list_sum(lps[1:n]) end as logprob from n"""
 )
 def logprob_answer(spark, d):
-    p = _payload(spark, d).withColumn("n", responses.answer_length(F.col("tokens")))
+    # the words and turns that its SQL takes
+    p = _payload(turns(spark, d).where("turn = 1")).withColumn("n", responses.answer_length(F.col("tokens")))
     return p.select("model", "conv_id", "turn", F.when(F.col("n") > 0, responses.joined_tokens(F.col("tokens"), F.col("n"))).alias("answer"), "n", responses.joint_logprob(F.col("tokens"), F.col("n")).alias("logprob"))
 
 
 @query()
 def first_token_dist(spark, d):
-    p = _payload(spark, d).withColumn("distribution", responses.first_distribution(F.col("tokens")))
+    # later words begin with a blank, so only the first can be routing: the answer's first token is the third word at most
+    p = _payload(turns(spark, d)).withColumn("distribution", responses.first_distribution(F.col("tokens")))
     return responses.first_token_means(p, ["model"])
 
 

@@ -249,3 +249,13 @@ def test_response_bootstrap_equals_brute_force(spark, tmp_path):
     assert got.replicates == 500 and got.mean == pytest.approx(want.mean(), abs=0.05)
     assert [got.low, got.high] == pytest.approx(np.percentile(want, [2.5, 97.5]).tolist(), abs=0.12)
     assert reply_queries.S.response_bootstrap(spark.createDataFrame([], "a long, b long"), ["a", "b"], lambda v: 1.0, 10).first().replicates == 0
+
+
+def test_first_token_dist_takes_all_turns(spark, tmp_path):
+    from driftlex.plans import reply_queries
+
+    # a routing word in the text makes the third word its first answer word
+    rows = [(1, 1, "assistant", "rad it is"), (1, 3, "assistant", "lol"), (2, 5, "assistant", "<|a|> b glow up"), (2, 2, "user", "hm")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {(x.model, x.token): x.records for x in reply_queries.first_token_dist(spark, str(tmp_path)).collect()}
+    assert got == {("assistant", w + s): 1 for w in ("rad", "lol", "glow") for s in ("", "s")} | {("user", "hm" + s): 1 for s in ("", "s")}
