@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlex.llm.scratch import materialise
+from driftlex.llm.scratch import discard, materialise
 
 
 def _stamp(edges: DataFrame) -> tuple:
@@ -39,7 +39,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 5
             .where("u < v")
             .distinct()
         )
-        e = materialise(small, "edges")
+        old, e = e, materialise(small, "edges")
+        discard(old)
         now = _stamp(e)
         if now == stamp:
             break

@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftlex.llm.nativetext import ascii_lower, at_offsets, window_hash
+from driftlex.llm.rowflags import parted, row_key
+from driftlex.llm.scratch import materialise
 
 WINDOW = 13
-#: A larger set of window hashes is joined, not sent in the plan (8 bytes a hash).
+#: A larger set of window hashes is joined with the documents' hashes, not sent in the plan (8 bytes a hash).
 MOST_SENT = 200_000
 #: Windows (about 100 bytes each) that may be broadcast for verification.
 MOST_BROADCAST = 400_000
@@ -68,47 +70,70 @@ def _cut(n: int):
     return lambda x: F.struct(x["pos"].alias("pos"), F.lit(n).alias("length"), F.array_join(F.slice(F.col("words"), x["pos"] + 1, F.lit(n)), " ").alias("gram"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """A row for each document: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``.
+def _filtered(base: DataFrame, hashes: dict[int, Column], grams: DataFrame) -> DataFrame:
+    """``found``: candidate windows of each row, by a set of hashes that the plan holds."""
+    known: dict[int, list[int]] = {}
+    for r in grams.select("length", "hash").distinct().collect():  # MOST_SENT at most
+        known.setdefault(r["length"], []).append(r["hash"])
+    parts = []
+    for n, keys in sorted(known.items()):
+        base = base.withColumn(f"w{n}", window_hash(hashes, n))
+        at = F.transform(f"w{n}", lambda x, i: F.struct(x.alias("hash"), i.alias("pos")))
+        at = F.when(F.exists(f"w{n}", _among(keys)), F.filter(at, _hash_among(keys))).otherwise(F.slice(at, 1, 0))
+        # the row that verification needs: the words of each candidate window, cut from the document itself
+        parts.append(F.transform(at, _cut(n)))
+    return base.withColumn("found", F.concat(*parts))
+
+
+def _joined(base: DataFrame, hashes: dict[int, Column], grams: DataFrame, lengths: list[int]) -> DataFrame:
+    """The same for any number of windows: hashes and places alone leave their rows, and what hits comes back to few rows."""
+    each = F.concat(*[F.transform(window_hash(hashes, n), _numbered(n)) for n in lengths])
+    windows = base.select("key", F.explode(each).alias("w")).select("key", "w.length", "w.hash", "w.pos")
+    some = windows.join(grams.select("length", "hash").distinct(), ["length", "hash"], "left_semi")
+    hit = materialise(some.groupBy("key").agg(F.collect_set(F.struct("length", "pos")).alias("at")), "window-hits")
+    clear, maybe = parted(base, hit.select("key"))
+    cut = lambda x: F.struct(x["pos"].alias("pos"), x["length"].alias("length"), F.array_join(F.slice(F.col("words"), x["pos"] + 1, x["length"]), " ").alias("gram"))
+    found = maybe.join(hit, "key", "left").withColumn("found", F.coalesce(F.transform("at", cut), _none())).drop("at")
+    return clear.withColumn("found", _none()).unionByName(found)
+
+
+def _numbered(n: int):
+    return lambda x, i: F.struct(F.lit(n).alias("length"), x.alias("hash"), i.alias("pos"))
+
+
+def _none() -> Column:
+    return F.array().cast("array<struct<pos:int,length:int,gram:string>>")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each document: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``, then the columns in ``keep``.
 
     A word is hit inside any occurrence of a window of the benchmark; an item of fewer words than a
     window is one window. A document is contaminated if one word in twenty is hit. Null and empty
-    texts have no words and hit nothing; items without words, or with a null id, are in no list.
-    Repeated rows are judged each by itself; other columns are ignored.
+    texts have no words and hit nothing; items without words, or with a null id, are in no list; an empty
+    benchmark hits nothing, and an empty table gives an empty result. Texts of any length are taken whole.
+    Repeated rows are judged each by itself; other columns, whatever their names, are ignored.
     """
     grams = benchmark_windows(benchmark, window)
-    per_length = {r["length"]: r["count"] for r in grams.groupBy("length").count().collect()}
+    per_length = {r["length"]: r["count"] for r in grams.groupBy("length").count().collect()}  # window rows at most
     total = sum(per_length.values())
     lengths = sorted(per_length) or [window]
-    known: dict[int, list[int]] = {}
-    if 0 < total <= MOST_SENT:
-        for r in grams.select("length", "hash").distinct().collect():
-            known.setdefault(r["length"], []).append(r["hash"])
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text").cast("string")).alias("words"))
+    kept = [F.col(c).alias(f"__keep_{c}") for c in keep]
+    base = docs.select(F.monotonically_increasing_id().alias("row"), row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), *kept, words_of(F.col("text").cast("string")).alias("words"))
     base = base.withColumn("n_words", F.size("words").cast("long"))
     base = _with_hashes(base, lengths)
     h = _hashes(lengths)
-    none = F.array().cast("array<struct<pos:int,length:int,gram:string>>")
     if not total:
-        found = base.select("row", "doc_id", "n_words", none.alias("found"))
+        found = base.withColumn("found", _none())
     else:
-        parts = []
-        for n in lengths:
-            base = base.withColumn(f"w{n}", window_hash(h, n))
-            at = F.transform(f"w{n}", lambda x, i: F.struct(x.alias("hash"), i.alias("pos")))
-            if known:
-                keys = known[n]
-                at = F.when(F.exists(f"w{n}", _among(keys)), F.filter(at, _hash_among(keys))).otherwise(F.slice(at, 1, 0))
-            parts.append(F.transform(at, _cut(n)))
-        # the row that verification needs: the words of each candidate window, cut from the document itself
-        found = base.select("row", "doc_id", "n_words", F.concat(*parts).alias("found"))
-    each = found.select("row", "doc_id", "n_words", F.explode_outer("found").alias("f")).select("row", "doc_id", "n_words", "f.pos", "f.length", "f.gram")
+        found = _filtered(base, h, grams) if total <= MOST_SENT else _joined(base, h, grams, lengths)
+    held = ["doc_id", "n_words", *[f"__keep_{c}" for c in keep]]
+    each = found.select("row", *held, F.explode_outer("found").alias("f")).select("row", *held, "f.pos", "f.length", "f.gram")
     side = grams.select("length", "gram", "items")
     hits = each.join(F.broadcast(side) if total <= MOST_BROADCAST else side, ["length", "gram"], "left")
     touched = F.when(F.col("items").isNotNull(), F.sequence("pos", F.col("pos") + F.col("length") - 1))
     per = hits.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.first("n_words").alias("n_words"),
+        *[F.first(c).alias(c) for c in held],
         F.array_distinct(F.flatten(F.collect_list(touched))).alias("words_hit"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
@@ -120,6 +145,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        *[F.col(f"__keep_{c}").alias(c) for c in keep],
     )
 
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftlex.llm.rowflags import row_key
 from driftlex.llm.scratch import materialise
 
 #: Weights of the sources in order of name, repeating; the most copies of a document.
@@ -112,9 +113,9 @@ def tilts(histogram: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def copies(docs: DataFrame) -> DataFrame:
-    """Copies of each document: ``doc_id, source, size, source_size, target, n_copies, rate``, from ``doc_id, source, size``.
+    """Copies of each document: ``doc_id, key, source, size, source_size, target, n_copies, rate``, from ``doc_id, key, source, size``.
 
-    Documents without words have no copy. Ties are broken by a hash of ``doc_id``, so reruns agree.
+    Documents without words have no copy. Ties are broken by a hash of ``key``, so reruns agree.
     """
     histogram = materialise(docs.groupBy("source", "size").agg(F.count("*").alias("n")), "sizes")
     sizes = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -123,9 +124,9 @@ def copies(docs: DataFrame) -> DataFrame:
     hist = histogram.join(F.broadcast(solved), F.col("source").eqNullSafe(F.col("s"))).drop("s")  # a row for each source
     hist = hist.withColumn("rate", F.when(F.col("size") > 0, _rate(F.col("tilt"), F.col("size"), F.col("mean"))).otherwise(0.0))
     hist = hist.withColumn("buckets", F.ceil(F.col("n") / BUCKET_ROWS)).drop("mean", "tilt")
-    hash_ = F.xxhash64(F.col("doc_id"), F.lit(19))
+    hash_ = F.xxhash64(F.col("key"), F.lit(19))
     same = (F.col("d.source").eqNullSafe(F.col("h.source"))) & (F.col("d.size") == F.col("h.size"))
-    dealt = docs.withColumn("hash", hash_).alias("d").join(hist.alias("h"), same).select("d.doc_id", "d.source", "d.size", "d.hash", "h.source_size", "h.target", "h.rate", F.pmod("d.hash", "h.buckets").alias("bucket"))
+    dealt = docs.withColumn("hash", hash_).alias("d").join(hist.alias("h"), same).select("d.doc_id", "d.key", "d.source", "d.size", "d.hash", "h.source_size", "h.target", "h.rate", F.pmod("d.hash", "h.buckets").alias("bucket"))
     dealt = materialise(dealt, "dealt")
     cells = dealt.groupBy("source", "size", "bucket").agg(F.count("*").alias("n"), F.first("rate").alias("rate"))
     part = F.col("rate") - F.floor("rate")
@@ -133,14 +134,14 @@ def copies(docs: DataFrame) -> DataFrame:
     # copies beyond the whole ones of a cell: how often the running sum of the parts passes a half
     ends = cells.select("source", "size", "bucket", F.floor(F.sum(F.col("n") * part).over(along) + 0.5).alias("end"), F.floor(F.sum(F.col("n") * part).over(along) - F.col("n") * part + 0.5).alias("start"))
     ends = ends.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("bucket").alias("b"), (F.col("end") - F.col("start")).alias("extra"))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("hash", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("hash", "key"))
     ranked = dealt.withColumn("rank", rank)
     out = ranked.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("bucket") == F.col("b")))
     n = F.least(F.floor("rate") + F.when(F.col("rank") <= F.col("extra"), 1).otherwise(0), F.lit(MOST))
-    out = materialise(out.select("doc_id", "source", "size", "source_size", "target", n.cast("long").alias("n_copies"), "rate", "bucket", "rank"), "copies")
+    out = materialise(out.select("doc_id", "key", "source", "size", "source_size", "target", n.cast("long").alias("n_copies"), "rate", "bucket", "rank"), "copies")
     for _ in range(REPAIRS):
         out = _repaired(out)
-    return out.select("doc_id", "source", "size", "source_size", "target", "n_copies", "rate")
+    return out.select("doc_id", "key", "source", "size", "source_size", "target", "n_copies", "rate")
 
 
 def _repaired(out: DataFrame) -> DataFrame:
@@ -163,7 +164,7 @@ def mix(docs: DataFrame) -> DataFrame:
     Null texts have no words and are not taken; a null source is a source of its own; repeated rows and
     a null ``doc_id`` are documents like any other. Other columns are ignored.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text").cast("string")).alias("size"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("source").cast("string").alias("source"), size_of(F.col("text").cast("string")).alias("size"))
     own = materialise(own, "sizes-of-documents")
     return copies(own).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"))
 

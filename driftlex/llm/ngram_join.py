@@ -1,21 +1,30 @@
 """N-gram Jaccard self-join of documents and its connected components.
 
 Method: rare-first prefix filtering. Texts become sets of 64-bit shingle
-hashes; equal sets collapse into a class. A shingle of one class only can
-lie in no intersection, so classes keep their *shared* shingles, ordered by
-rising document frequency, and are matched on their prefixes under length,
-positional and suffix filters. Each surviving pair is verified once, on whole
-sets.
-
-Scale. Document frequencies are counted exactly, by hash range, in packed
-arrays (about 9 bytes a shingle shuffled). Shingles that a large share of a
-task's documents hold are found first by lossy counting and travel apart, so
-no hash range grows with one passage. A prefix group of n classes yields n
-pairs with its centre, not n^2; what the centres have joined needs no more
-pairs, and only groups that still span several components are compared in
-full, across components: small ones by a join, large ones in packed blocks,
-each class outside the main component against the rest, once. That loses no
-link that could join two components.
+hashes; equal sets collapse into a class, of which one row goes on. A shingle
+of one class only can lie in no intersection, so classes keep their *shared*
+shingles, ordered by rising document frequency, and are matched on their
+prefixes under length, positional and suffix filters. Each surviving pair is
+verified once, on whole sets.
+
+Scale. Rows are dealt in blocks of some megabytes of text. A block sends each
+hash range its shingles as 5 bytes and 2 bytes for the row within the block,
+and gets back the shared ones with their frequency, to be put together block
+by block: what a shingle costs doesn't grow with the number of ranges or rows.
+Shingles that a large share of a task's documents hold are found first by
+lossy counting and travel apart, so no hash range grows with one passage. A
+shingle's token, the bits that name its range and 40 more, is at least 45 bits
+wide and widens with the input; two shingles with one token are taken for
+shared, and two texts of a thousand shingles each meet in a false one with a
+probability of about 1 in 30 million.
+
+A prefix group of n classes yields n pairs with its centre, not n^2; what the
+centres have joined needs no more pairs, and only groups that still span
+several components are compared in full, across components: small ones by a
+join, large ones in packed blocks, each class outside the main component
+against the rest, once. That loses no link that could join two components.
+A class is known by its least document id first, so the least vertex of a
+component is the component's id and no join gathers a component's classes.
 """
 
 from __future__ import annotations
@@ -24,20 +33,22 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlex.llm.components import components
 from driftlex.llm.npwords import SPACE, Words, shingle_sets, text_chunks
-from driftlex.llm.scratch import materialise
+from driftlex.llm.rowflags import row_key, settle, surplus
+from driftlex.llm.scratch import discard, materialise
 
 #: A shingle is common if it lies in more than this share of the documents that a task has seen.
 COMMON_SHARE = 1 / 1000
 #: Most common shingles sent to all tasks: 16 MB of hashes and counts. The rest take the ordinary way.
 MOST_COMMON = 1 << 20
-#: Shingle bytes that one hash range should hold.
-RANGE_BYTES = 24 << 20
+#: Shingles of documents that one hash range should hold; text bytes and rows of a block.
+RANGE_SHINGLES, BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 8 << 20, 1 << 16
+#: Ranks of common shingles begin here; the others have eight times the binary logarithm of their frequency.
+COMMON_RANK = 1024
 BUCKETS = 16
 #: Entries up to which a prefix group is simply joined with itself; chunk and block sizes for larger ones.
 LARGE, CHUNK, BLOCK = 1024, 512, 4096
@@ -51,23 +62,25 @@ def _signature(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+_INFO = "doc_id long, key long, n long, sig long, h long, c long"
+
+
 def _scan(width: int):
-    """Per document: id, set size, class signature. Besides: hashes common in this task, with counts."""
+    """Per document: id, key, set size, class signature. Besides: hashes common in this task, with counts."""
 
     def run(batches):
         keys, counts, seen = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        names = [c.split()[0] for c in _INFO.split(", ")]
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, own, texts = (batch.column(i) for i in range(3))
             for a, b, data, off in text_chunks(texts):
                 sets = shingle_sets(Words(data, off, SPACE), width)
                 sig = [_signature(s) if len(s) else None for s in sets]
                 fresh = {g: s for g, s in zip(sig, sets, strict=True) if g is not None}
                 seen += len(fresh)
                 n = [len(s) for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids.slice(a, b - a)), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.nulls(b - a, pa.int64()), pa.nulls(b - a, pa.int64())],
-                    names=["doc_id", "n", "sig", "h", "c"],
-                )
+                none = pa.nulls(b - a, pa.int64())
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), own.slice(a, b - a), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), none, none], names=names)
                 if fresh:
                     h, c = np.unique(np.concatenate(list(fresh.values())), return_counts=True)
                     keep = c > 1
@@ -81,133 +94,138 @@ def _scan(width: int):
         if keep.any():
             h = keys[keep].view(np.int64)
             z = pa.nulls(len(h), pa.int64())
-            yield pa.RecordBatch.from_arrays([z, z, z, pa.array(h), pa.array(counts[keep])], names=["doc_id", "n", "sig", "h", "c"])
+            yield pa.RecordBatch.from_arrays([z, z, z, z, pa.array(h), pa.array(counts[keep])], names=names)
 
     return run
 
 
-def _deal(width: int, ranges: int, common):
-    """Packed shingles of each chunk by hash range: class signatures, how many hashes each has here, hashes."""
+# A piece of a block: its shingles of one range (kind 0), its classes (1), or its common shingles (2).
+_PIECE = "part int, kind int, block long, who binary, tokens binary, ranks binary"
+_PIECES = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), ("who", pa.binary()), ("tokens", pa.binary()), ("ranks", pa.binary())])
 
-    def run(batches):
+
+def _five(x: np.ndarray) -> bytes:
+    """The low 40 bits of each value."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _unfive(blob: bytes) -> np.ndarray:
+    wide = np.zeros((len(blob) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
+    return wide.reshape(-1).view("<u8")
+
+
+def _deal(width: int, bits: int, common):
+    """Pieces of each block of rows. ``bits`` of a hash name its range, the next 40 are sent."""
+
+    def pieces(block, sigs, parts):
         hot = common.value[0]
-        met: set[int] = set()
-        bits = np.uint64(64 - (ranges.bit_length() - 1))
+        rows = []
+        size = np.array([len(p) for p in parts])
+        h = np.concatenate(parts)
+        who = np.repeat(np.arange(len(sigs), dtype=np.uint16), size)
+        at = np.minimum(np.searchsorted(hot, h), max(0, len(hot) - 1))
+        is_hot = hot[at] == h if len(hot) else np.zeros(len(h), bool)
+        # what is known without counting goes to any range: classes with their sizes, and common shingles
+        spread = sigs[0] & ((1 << bits) - 1)
+        rows.append((spread, 1, block, np.array(sigs, np.int64).tobytes(), size.astype(np.uint32).tobytes(), b""))
+        if is_hot.any():
+            rows.append((spread, 2, block, who[is_hot].tobytes(), at[is_hot].astype(np.uint32).tobytes(), b""))
+            h, who = h[~is_hot], who[~is_hot]
+        p = (h >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
+        order = np.argsort(p, kind="stable")
+        p, who = p[order], who[order]
+        token = (h[order] << np.uint64(bits)) >> np.uint64(24)
+        cut = np.flatnonzero(np.append(True, p[1:] != p[:-1])).tolist() if len(p) else []
+        for a, b in zip(cut, [*cut[1:], len(p)], strict=False):
+            rows.append((int(p[a]), 0, block, who[a:b].tobytes(), _five(token[a:b]), b""))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECES, strict=True)], schema=_PIECES)
+
+    def run(batches):
+        sigs, parts, held = [], [], 0
         for batch in batches:
             for _, _, data, off in text_chunks(batch.column(0)):
-                sigs, parts = [], []
                 for s in shingle_sets(Words(data, off, SPACE), width):
-                    if len(s) and (g := _signature(s)) not in met:
-                        met.add(g)
-                        sigs.append(g)
+                    if len(s):
+                        sigs.append(_signature(s))
                         parts.append(s)
-                if not sigs:
-                    continue
-                h = np.concatenate(parts)
-                size = np.array([len(p) for p in parts])
-                who = np.repeat(np.arange(len(sigs)), size)
-                sig = np.array(sigs, np.int64)
-                at = np.minimum(np.searchsorted(hot, h), max(0, len(hot) - 1))
-                is_hot = hot[at] == h if len(hot) else np.zeros(len(h), bool)
-                rows = {"part": [], "kind": [], "sigs": [], "runs": [], "hashes": []}
-
-                def put(part, kind, w, x, sig=sig, rows=rows):
-                    cut = np.flatnonzero(np.diff(w, prepend=-1))
-                    rows["part"].append(part)
-                    rows["kind"].append(kind)
-                    rows["sigs"].append(sig[w[cut]].tobytes())
-                    rows["runs"].append(np.diff(np.append(cut, len(w))).astype(np.uint32).tobytes())
-                    rows["hashes"].append(x.tobytes())
-
-                # what is known without counting goes to any range: set sizes and common shingles
-                spread = int(sig[0]) % ranges
-                put(spread, 1, np.arange(len(sigs)), size.astype(np.uint64))
-                if is_hot.any():
-                    put(spread, 2, who[is_hot], h[is_hot])
-                    h, who = h[~is_hot], who[~is_hot]
-                p = (h >> bits).astype(np.int64) if ranges > 1 else np.zeros(len(h), np.int64)
-                order = np.argsort(p, kind="stable")
-                p, h, who = p[order], h[order], who[order]
-                cut = np.flatnonzero(np.diff(p, prepend=-1)).tolist()
-                for a, b in zip(cut, [*cut[1:], len(p)] if cut else [], strict=True):
-                    put(int(p[a]), 0, who[a:b], h[a:b])
-                yield pa.RecordBatch.from_pydict(rows, schema=_DEALT)
+                held += len(data)
+                while len(sigs) >= BLOCK_ROWS or held >= BLOCK_BYTES and sigs:
+                    yield pieces(sigs[0], sigs[:BLOCK_ROWS], parts[:BLOCK_ROWS])
+                    sigs, parts, held = sigs[BLOCK_ROWS:], parts[BLOCK_ROWS:], 0
+        if sigs:
+            yield pieces(sigs[0], sigs, parts)
 
     return run
 
 
-_DEALT = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("sigs", pa.binary()), ("runs", pa.binary()), ("hashes", pa.binary())])
-_SHARED = pa.schema([("part", pa.int32()), ("sigs", pa.binary()), ("hashes", pa.binary()), ("ranks", pa.binary())])
-
-
-def _blob(column, dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype)
-
-
-def _count(classes: int, common):
-    """In one hash range: the shingles of two classes or more with their frequency, dealt by class."""
-
-    def run(table):
+def _count(table: pa.Table) -> pa.Table:
+    """In one hash range: of each piece the shingles that two classes or more hold, with the rank of their frequency."""
+    kind = np.asarray(table["kind"])
+    own = table.filter(pa.array(kind == 0))
+    rest = table.filter(pa.array(kind != 0))
+    who, tokens = own["who"].to_pylist(), own["tokens"].to_pylist()
+    x = _unfive(b"".join(tokens))
+    order = np.argsort(x)
+    s = x[order]
+    cut = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
+    df = np.diff(np.append(cut, len(s)))
+    rank = np.zeros(len(x), np.uint16)
+    rank[order] = np.repeat(np.where(df > 1, np.floor(8 * np.log2(np.maximum(df, 1))), 0).astype(np.uint16), df)
+    keep = rank > 0
+    sizes = np.array([len(t) // 5 for t in tokens], np.int64)
+    to = np.cumsum(sizes)
+    rows = []
+    for i, (a, b) in enumerate(zip((to - sizes).tolist(), to.tolist(), strict=True)):
+        k = keep[a:b]
+        if k.any():
+            rows.append((own["part"][i].as_py(), 0, own["block"][i].as_py(), np.frombuffer(who[i], np.uint16)[k].tobytes(), _five(x[a:b][k]), rank[a:b][k].tobytes()))
+    got = pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECES, strict=True)], schema=_PIECES) if rows else _PIECES.empty_table()
+    return pa.concat_tables([got, rest.cast(_PIECES)])
+
+
+def _gather(bits: int, common):
+    """Of a block's classes those whose shared shingles could make a similarity of 0.75: size, shared shingles rare first, bucket counts."""
+
+    def run(table: pa.Table) -> pa.Table:
         hot, hot_rank = common.value
-        sig, h, rank = [], [], []
-        for kind in (0, 1, 2):
-            t = table.filter(pc.equal(table["kind"], kind))
-            s = np.repeat(_blob(t["sigs"], np.int64), _blob(t["runs"], np.uint32))
-            x = _blob(t["hashes"], np.uint64)
-            if kind == 0 and len(x):
-                order = np.lexsort((s, x))
-                s, x = s[order], x[order]
-                first = np.append(True, (x[1:] != x[:-1]) | (s[1:] != s[:-1]))
-                s, x = s[first], x[first]
-                cut = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
-                df = np.diff(np.append(cut, len(x)))
-                r = np.repeat(df, df)
-                s, x, r = s[r > 1], x[r > 1], r[r > 1]
-            elif kind == 1:
-                r = np.full(len(x), -1, np.int64)
-            elif kind == 2 and len(x):
-                r = hot_rank[np.searchsorted(hot, x)]
+        who, tok, rank, sig, n = [], [], [], None, None
+        for row in table.select(["part", "kind", "who", "tokens", "ranks"]).to_pylist():
+            if row["kind"] == 1:
+                sig, n = np.frombuffer(row["who"], np.int64), np.frombuffer(row["tokens"], np.uint32).astype(np.int64)
+                continue
+            who.append(np.frombuffer(row["who"], np.uint16).astype(np.int64))
+            if row["kind"] == 0:
+                tok.append(_unfive(row["tokens"]) | np.uint64(row["part"] << 40))
+                rank.append(np.frombuffer(row["ranks"], np.uint16))
             else:
-                r = np.zeros(len(x), np.int64)
-            sig.append(s)
-            h.append(x)
-            rank.append(r.astype(np.int64))
-        sig, h, rank = np.concatenate(sig), np.concatenate(h), np.concatenate(rank)
-        p = sig % classes
-        order = np.argsort(p, kind="stable")
-        p, sig, h, rank = p[order], sig[order], h[order], rank[order]
-        cut = np.flatnonzero(np.diff(p, prepend=-1)).tolist()
-        ends = [*cut[1:], len(p)] if cut else []
-        cols = [[v[a:b].tobytes() for a, b in zip(cut, ends, strict=True)] for v in (sig, h, rank)]
-        return pa.table([pa.array([int(p[a]) for a in cut], pa.int32()), *cols], schema=_SHARED)
+                at = np.frombuffer(row["tokens"], np.uint32)
+                tok.append(hot[at] >> np.uint64(24 - bits))
+                rank.append(hot_rank[at])
+        who, tok, rank = (np.concatenate(v) if v else np.zeros(0, t) for v, t in ((who, np.int64), (tok, np.uint64), (rank, np.uint16)))
+        shared = np.bincount(who, minlength=len(sig))
+        fit = (shared > 0) & (4 * shared >= 3 * n)
+        use = fit[who]
+        who, tok, rank = who[use], tok[use], rank[use]
+        order = np.lexsort((tok, rank, who))
+        who, tok = who[order], tok[order]
+        place = np.cumsum(fit) - 1
+        k = int(fit.sum())
+        spread = np.bincount(place[who] * BUCKETS + (tok >> np.uint64(36 + bits)).astype(np.int64), minlength=k * BUCKETS)
+        off = np.append(0, np.cumsum(shared[fit]))
+        return pa.table(
+            [
+                pa.array(sig[fit]),
+                pa.array(n[fit].astype(np.int32)),
+                pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(tok.view(np.int64))),
+                pa.ListArray.from_arrays(pa.array(np.arange(k + 1) * BUCKETS, pa.int32()), pa.array(spread.astype(np.int32))),
+            ],
+            names=["sig", "n", "toks", "spread"],
+        )
 
     return run
 
 
-def _gather(table: pa.Table) -> pa.Table:
-    """Classes whose shared shingles could make a similarity of 0.75: size, shared shingles rare first, bucket counts."""
-    sig, h, rank = (_blob(table[c], t) for c, t in (("sigs", np.int64), ("hashes", np.uint64), ("ranks", np.int64)))
-    order = np.lexsort((h, rank, sig))
-    sig, h, rank = sig[order], h[order], rank[order]
-    if len(sig):
-        keep = np.append(True, (sig[1:] != sig[:-1]) | (h[1:] != h[:-1]) | (rank[1:] != rank[:-1]))
-        sig, h, rank = sig[keep], h[keep], rank[keep]
-    cut = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, int)
-    out = {"sig": [], "n": [], "toks": [], "spread": []}
-    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(sig)], strict=True):
-        n = int(h[a])  # rank -1 sorts first: the set's size
-        if b - a > 1 and 4 * (b - a - 1) >= 3 * n:
-            x = h[a + 1 : b]
-            out["sig"].append(int(sig[a]))
-            out["n"].append(n)
-            out["toks"].append(x.view(np.int64))
-            out["spread"].append(np.bincount((x >> np.uint64(60)).astype(np.int64), minlength=BUCKETS).astype(np.int32))
-    return pa.table(
-        [pa.array(out["sig"], pa.int64()), pa.array(out["n"], pa.int32()), pa.array(out["toks"], pa.list_(pa.int64())), pa.array(out["spread"], pa.list_(pa.int32()))],
-        names=["sig", "n", "toks", "spread"],
-    )
-
-
 def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of similar classes: length and suffix filters first, then whole sets, once a pair."""
     small = classes.select("sig", "n", "spread")
@@ -233,23 +251,28 @@ def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def shingle_classes(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(documents with set size and class signature, candidate classes with their shared shingles)."""
+    """(rows with key, set size and class signature, candidate classes with their shared shingles)."""
     spark = docs.sparkSession
-    scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    info = materialise(scanned.mapInArrow(_scan(width), "doc_id long, n long, sig long, h long, c long"), "scan")
-    hot = info.where("h is not null").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(MOST_COMMON).collect()
-    keys = np.array([r["h"] for r in hot], np.int64).view(np.uint64)
-    ranks = (1 << 40) + np.array([r["c"] for r in hot], np.int64)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text"))
+    scan = materialise(own.mapInArrow(_scan(width), _INFO), "scan")
+    hot = scan.where("h is not null").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(MOST_COMMON).toArrow()
+    keys, count = np.asarray(hot["h"], np.int64).view(np.uint64), np.asarray(hot["c"], np.int64)
     order = np.argsort(keys)
+    ranks = COMMON_RANK + np.floor(8 * np.log2(np.maximum(count, 1))).astype(np.uint16)
     common = spark.sparkContext.broadcast((keys[order], ranks[order]))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    info = scan.where("h is null").select("doc_id", "key", "n", "sig")
     total = info.agg(F.sum("n")).first()[0] or 0
-    want = max(n, 16 * total // RANGE_BYTES)
-    ranges = min(1 << 24, 1 << max(0, (want - 1).bit_length()))
-    dealt = scanned.select("text").mapInArrow(_deal(width, ranges, common), "part int, kind byte, sigs binary, runs binary, hashes binary")
-    shared = dealt.groupBy("part").applyInArrow(_count(ranges, common), "part int, sigs binary, hashes binary, ranks binary")
-    classes = shared.groupBy("part").applyInArrow(_gather, "sig long, n int, toks array<long>, spread array<int>")
-    return info.where("h is null").select("doc_id", "n", "sig"), materialise(classes, "classes")
+    want = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")), total // RANGE_SHINGLES)
+    bits = min(24, (want - 1).bit_length())
+    # one row of each class
+    copies = materialise(surplus(info.where("sig is not null"), "sig"), "copies")
+    texts = settle(own.select("key", "text"), copies)
+    dealt = texts.select("text").mapInArrow(_deal(width, bits, common), _PIECE)
+    shared = dealt.groupBy("part").applyInArrow(_count, _PIECE)
+    classes = shared.groupBy("block").applyInArrow(_gather(bits, common), "sig long, n int, toks array<long>, spread array<int>")
+    classes = materialise(classes, "classes")
+    discard(copies)
+    return info, classes
 
 
 def _large_groups(entries: DataFrame, classes: DataFrame) -> DataFrame:
@@ -298,26 +321,37 @@ def _compare(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def linked_classes(classes: DataFrame) -> DataFrame:
-    """(v, root): components of the graph of classes with a similarity of 0.75 or more."""
+def linked_classes(classes: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(v, root): components of the graph of classes with a similarity of 0.75 or more.
+
+    ``vertices`` has the vertex of each class: ``sig, v``, v being a struct that ends in the ``sig``.
+    """
     # full order: the n - size(toks) unshared shingles come before all shared ones
     prefix = f"n - {_least_overlap('n')} + 1 - (n - size(toks))"
     entries = classes.selectExpr("sig", "n", f"posexplode(slice(toks, 1, {prefix})) as (k, tok)", "n - size(toks) as unshared")
     entries = materialise(entries.selectExpr("tok", "sig", "n", "k + unshared as pos"), "entries")
-    centres = entries.groupBy("tok").agg(F.min("sig").alias("a"), F.count("*").alias("m")).where("m > 1").drop("m")
-    stars = entries.join(centres, "tok").where("a < sig").select("a", F.col("sig").alias("b")).distinct()
-    roots = components(_verified(stars, classes))
-    labels = roots.select(F.col("v").alias("sig"), "root")
-    rooted = materialise(entries.join(labels, "sig", "left").select("tok", "sig", "n", "pos", F.coalesce("root", "sig").alias("root")), "rooted")
+    centres = entries.groupBy("tok").agg(F.min(F.struct("sig", "n", "pos")).alias("c"), F.count("*").alias("m")).where("m > 1").drop("m")
+    near = "4 * least({0}.n, {1}.n) >= 3 * greatest({0}.n, {1}.n)"  # length filter
+    # positional filter: with this shingle the first in common, no more can follow than either side has left
+    could = "7 * least({0}.n - {0}.pos, {1}.n - {1}.pos) >= 3 * ({0}.n + {1}.n)"
+    stars = entries.alias("e").join(centres.select("tok", "c.*").alias("c"), F.expr("e.tok = c.tok and c.sig < e.sig and " + near.format("e", "c")))
+    stars = stars.where(could.format("e", "c")).select(F.col("c.sig").alias("a"), F.col("e.sig").alias("b")).distinct()
+
+    def known(edges: DataFrame, end: str) -> DataFrame:
+        return edges.join(vertices.select(F.col("sig").alias(end), F.col("v").alias(f"v{end}")), end)
+
+    roots = components(known(known(_verified(stars, classes), "a"), "b").select("va", "vb"), "va", "vb")
+    labels = roots.select(F.col("v.sig").alias("sig"), "root")
+    rooted = materialise(entries.join(labels.select("sig", F.col("root.sig").alias("root")), "sig", "left").select("tok", "sig", "n", "pos", F.coalesce("root", "sig").alias("root")), "rooted")
+    discard(entries)
     parts = rooted.groupBy("tok", "root").agg(F.count("*").alias("m"))
     groups = parts.groupBy("tok").agg(F.count("*").alias("k"), F.sum("m").alias("m"), F.max(F.struct("m", "root")).alias("main")).where("k > 1")
     groups = materialise(groups.select("tok", "m", F.col("main.root").alias("main")), "groups")
     left = materialise(rooted.join(groups.where(F.col("m") <= LARGE), "tok"), "open")
     x, y = left.alias("x"), left.alias("y")
-    could = "least(x.n - x.pos, y.n - y.pos)"  # positional filter: this shingle is the first in common
     across = (
-        x.join(y, F.expr("x.tok = y.tok and x.root < y.root and 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n)"))
-        .where(F.expr(f"7 * ({could}) >= 3 * (x.n + y.n)"))
+        x.join(y, F.expr("x.tok = y.tok and x.root < y.root and " + near.format("x", "y")))
+        .where(F.expr(could.format("x", "y")))
         .select(F.expr("least(x.sig, y.sig) as a"), F.expr("greatest(x.sig, y.sig) as b"))
         .distinct()
     )
@@ -326,32 +360,55 @@ def linked_classes(classes: DataFrame) -> DataFrame:
     if not large.isEmpty():
         more = more.union(_large_groups(rooted.join(large, "tok").select("tok", "sig", "root", "main", "m"), classes))
     # what is found between components joins their roots
-    between = more.select(F.col("a").alias("sig"), "b").join(labels, "sig", "left").select(F.coalesce("root", "sig").alias("a"), F.col("b").alias("sig"))
-    between = between.join(labels, "sig", "left").select("a", F.coalesce("root", "sig").alias("b"))
-    joined = components(between)
+    between = known(known(more, "a"), "b")
+    for end in ("a", "b"):
+        of = labels.select(F.col("sig").alias(end), F.col("root").alias(f"r{end}"))
+        between = between.join(of, end, "left").withColumn(f"v{end}", F.coalesce(f"r{end}", f"v{end}"))
+    joined = components(between.select("va", "vb"), "va", "vb")
+    discard(rooted, groups, left)
     over = joined.select(F.col("v").alias("root"), F.col("root").alias("top"))
     return roots.join(over, "root", "left").select("v", F.coalesce("top", "root").alias("root")).union(joined)
 
 
+def grouped(docs: DataFrame, width: int = 5) -> DataFrame:
+    """(doc_id, key, n, sig, n_copies, first) of each row: its set's size and signature, the rows with that set, its component's first.
+
+    ``first`` is the component's least (no id, id, signature); null for a row without words.
+    """
+    info, classes = shingle_classes(docs, width)
+    least = F.struct(F.col("doc_id").isNull().alias("absent"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"))
+    per_class = info.where("sig is not null").groupBy("sig").agg(F.min(least).alias("least"), F.count("*").alias("n_copies"))
+    per_class = materialise(per_class.select("sig", F.struct("least.absent", "least.id", "sig").alias("v"), "n_copies"), "class-vertices")
+    links = linked_classes(classes, per_class.select("sig", "v"))
+    links = materialise(links.select(F.col("v.sig").alias("sig"), "root"), "class-roots")
+    discard(classes)
+    known = per_class.join(links, "sig", "left").select("sig", "n_copies", F.coalesce("root", "v").alias("first"))
+    return info.join(known, "sig", "left")
+
+
 def similar_documents(docs: DataFrame, width: int = 5) -> DataFrame:
     """Documents with set size and component under 5-word-shingle Jaccard similarity of 0.75 or more.
 
-    ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. Returns a row for each row:
-    ``doc_id, n_shingles, component_id, n_copies``. ``n_copies`` counts the rows with the same set,
-    itself included. Null, empty and blank texts have no shingles and are linked with nothing; a null
-    ``doc_id`` takes part, and is the component of itself if alone. Repeated rows are copies.
+    ``docs`` needs ``doc_id`` and ``text``; other columns, whatever their names, are ignored. Returns a row
+    for each row: ``doc_id, n_shingles, component_id, n_copies``. ``n_copies`` counts the rows with the same
+    set, itself included. Null, empty and blank texts have no shingles and are linked with nothing; a text of
+    fewer words than a shingle is one shingle, and a text of any length is taken whole. A null ``doc_id``
+    takes part; a component without any id has a null one. Repeated rows are copies. An empty table gives an
+    empty result.
     """
-    info, classes = shingle_classes(docs, width)
-    links = linked_classes(classes).select(F.col("v").alias("sig"), "root")
-    per_class = info.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n_copies"))
-    per_class = per_class.join(links, "sig", "left").select("sig", "least_id", "n_copies", F.coalesce("root", "sig").alias("root"))
-    per_class = materialise(per_class, "class-roots")
-    linked = per_class.join(links.select("root").distinct(), "root", "left_semi")
-    top = linked.groupBy("root").agg(F.min("least_id").alias("component"))
-    ids = per_class.join(top, "root", "left").select("sig", "n_copies", F.coalesce("component", "least_id").alias("component_id"))
-    return info.join(ids, "sig", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies")
-    )
+    copies, one = F.coalesce("n_copies", F.lit(1).cast("long")), F.when(~F.col("first.absent"), F.col("first.id"))
+    component = F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(one)
+    return grouped(docs, width).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), copies.alias("n_copies"))
+
+
+def not_first(docs: DataFrame, width: int = 5) -> DataFrame:
+    """Flags (see ``rowflags``) of all rows with words but one of each component: its least id's, of equal ones the least key's."""
+    rows = materialise(grouped(docs, width).where("sig is not null").select("doc_id", "key", "sig", "first"), "grouped")
+    own = (F.col("sig") == F.col("first.sig")) & (F.col("doc_id").isNull() == F.col("first.absent")) & (F.coalesce("doc_id", F.lit(0).cast("long")) == F.col("first.id"))
+    rest = rows.where(~own).select("key").distinct().withColumn("once", F.lit(False))
+    flags = materialise(rest.unionByName(surplus(rows.where(own), "sig")), "not-first")
+    discard(rows)
+    return flags
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -10,9 +10,13 @@ import re
 import numpy as np
 import pytest
 
-from driftlex.llm import decontaminate, licenses, ngram_join, topk
+from pyspark.sql import functions as F
+
+from driftlex.llm import decontaminate, licenses, ngram_join, rowflags, topk
 from driftlex.llm.components import components
 from driftlex.llm.npwords import NON_ALNUM, SPACE, Words, text_chunks
+from driftlex.llm.rowflags import row_key, settle
+from driftlex.llm.scratch import materialise
 
 DOCS = "doc_id long, text string, lang string, extra int"
 
@@ -81,6 +85,40 @@ def test_ngram_join_in_blocks(spark, monkeypatch):
     assert got == sorted(brute_components(rows))
 
 
+def test_ngram_join_in_many_blocks_and_ranges(spark, monkeypatch):
+    for name, value in (("BLOCK_BYTES", 300), ("BLOCK_ROWS", 3), ("RANGE_SHINGLES", 40)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = near_copies(9)
+    df = spark.createDataFrame([(d, t, None, 1) for d, t in rows], DOCS).repartition(3)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_documents(df).collect())
+    assert got == sorted(brute_components(rows))
+
+
+def test_ngram_join_with_null_and_repeated_ids(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    near = text("a").replace("a39", "zz")
+    # two texts under one id are two documents; a null id is the least of none
+    rows = [(7, text("a")), (7, text("b")), (None, near), (9, near), (None, text("c")), (3, text("b")), (7, text("a")), (None, None)]
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], DOCS).withColumn("key", F.lit(0)).withColumn("sig", F.lit("s"))
+    got = sorted(((r.doc_id, r.component_id, r.n_copies) for r in ngram_join.similar_documents(df).collect()), key=str)
+    assert got == sorted([(7, 7, 2), (7, 3, 2), (None, 7, 2), (9, 7, 2), (None, None, 1), (3, 3, 2), (7, 7, 2), (None, None, 1)], key=str)
+    kept = settle(df.select("doc_id", "text").withColumn("k", row_key()), ngram_join.not_first(df), "k")
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(7, text("a")), (3, text("b")), (None, text("c")), (None, None)], key=str)
+
+
+@pytest.mark.parametrize("buckets", [2048, 1])
+def test_settled_rows(spark, monkeypatch, buckets):
+    monkeypatch.setattr(rowflags, "MOST_BUCKETS", buckets)
+    monkeypatch.setattr(rowflags, "BUCKET_BITS", 32)
+    rows = [(i, f"t{i % 50}") for i in range(400)] + [(None, "t"), (None, None), (1, "t1"), (1, "t1"), (2, "t2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("k", row_key())
+    gone = df.where("doc_id % 3 = 0 or text is null").select(F.col("k").alias("key"), F.lit(False).alias("once"))
+    once = df.where("doc_id in (1, 2)").select(F.col("k").alias("key"), F.lit(True).alias("once")).distinct()
+    got = settle(df, materialise(gone.union(once), "flags"), "k").select("doc_id", "text").collect()
+    want = [r for r in rows[:401] if r[0] is None or r[0] % 3]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_join.similar_documents(spark.createDataFrame([], DOCS)).collect() == []
 
