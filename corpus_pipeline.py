@@ -3,58 +3,68 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the one before
 it kept; ``run`` writes each result to the shared folder and reads it back.
 All but the last return the columns of ``documents``; the last adds
-``n_copies`` and leaves out what the mixture doesn't take.
+``n_copies`` and leaves out what the mixture doesn't take. Other columns of the
+input are left out, and an empty input gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlex.llm import decontaminate as _decontaminate
 from driftlex.llm import mixing, ngram_join, pii, toxicity
-from driftlex.llm.scratch import materialise
+from driftlex.llm.rowflags import row_key, settle
+from driftlex.llm.scratch import discard, materialise, scope
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+KEY = "__row_key"
 
 
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the network, trained on the labelled ones, scores below a half."""
+    """Documents that the network, trained on the labelled ones, scores below a half. Rows are judged each by its own text; a null one counts as empty."""
     net = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, net, *COLUMNS).where("score < 0.5").select(*COLUMNS)
 
 
 def one_of_each_group(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar texts the document with the smallest id; texts without words all stay."""
-    found = ngram_join.similar_documents(docs)
-    kept = materialise(found.where("n_shingles = 0 or doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("n_shingles").alias("words")), "kept")
-    null = docs.where("doc_id is null")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
-    if not kept.where("n > 1 and words > 0 and doc_id is not null").isEmpty():  # repeated ids: one row of each text
-        out = out.dropDuplicates(["doc_id", "text"])
-    return out.unionByName(null.select(*COLUMNS))
+    """Of each component of similar texts one row, that of the smallest id (null ids last); rows without words all stay.
+
+    Rows go by identifier and text, so a repeated id doesn't carry another text's verdict.
+    """
+    flags = ngram_join.not_first(docs)
+    return settle(docs.select(*COLUMNS).withColumn(KEY, row_key()), flags, KEY).select(*COLUMNS)
 
 
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't made of benchmark windows to a twentieth or more."""
-    found = _decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.where("contaminated").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that aren't made of benchmark windows to a twentieth or more; each row is judged by its own text."""
+    keyed = docs.select(*COLUMNS).withColumn(KEY, row_key())
+    found = _decontaminate.contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=(KEY,))
+    flags = found.where("contaminated").select(F.col(KEY).alias("key"), F.lit(False).alias("once")).distinct()
+    return settle(keyed, materialise(flags, "contaminated"), KEY).select(*COLUMNS)
 
 
 def mask_personal_data(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with spans of personal data replaced by their kind."""
+    """Texts with spans of personal data replaced by their kind; null and empty ones stay as they are."""
     return pii.redact(docs.select(*COLUMNS))
 
 
 def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mixture takes, with their number of copies."""
-    sized = docs.select("doc_id", "source", mixing.size_of(F.col("text")).alias("size"))
-    copies = mixing.copies(materialise(sized, "sizes")).where("n_copies > 0")
-    per = copies.groupBy("doc_id", "source", "size").agg(F.max("n_copies").alias("n_copies"))
-    keys = per.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "n_copies")
-    own = docs.withColumn("__words", mixing.size_of(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
-    return own.join(keys, same).select(*COLUMNS, "n_copies")
+    """Documents that the mixture takes, with their number of copies; those without words are not taken.
+
+    Rows with equal identifier, text and source share out the copies that the mixture gives them.
+    """
+    keyed = docs.select(*COLUMNS).withColumn(KEY, F.xxhash64(row_key(), F.col("source")))
+    sized = materialise(keyed.select("doc_id", F.col(KEY).alias("key"), "source", mixing.size_of(F.col("text")).alias("size")), "sizes")
+    per = mixing.copies(sized).groupBy("key").agg(F.sum("n_copies").alias("n"), F.count("*").alias("m")).where("n > 0")
+    per = materialise(per, "copies-by-key")
+    taken = keyed.join(per.select(F.col("key").alias(KEY), "n", "m"), KEY)
+    one = taken.where("m = 1").select(*COLUMNS, F.col("n").alias("n_copies"))
+    if per.where("m > 1").isEmpty():
+        return one
+    number = F.row_number().over(Window.partitionBy(KEY).orderBy(F.lit(0)))
+    some = taken.where("m > 1").withColumn("__number", number).withColumn("n_copies", F.expr("n div m") + F.when(F.expr("__number <= n % m"), 1).otherwise(0))
+    return one.unionByName(some.where("n_copies > 0").select(*COLUMNS, F.col("n_copies").cast("long").alias("n_copies")))
 
 
 STAGES = [
@@ -70,8 +80,12 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``. A stage's intermediate tables go once its result is written, and that with the next one's."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before = docs
+        with scope() as keep:
+            docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            keep.append(docs)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
