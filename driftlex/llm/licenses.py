@@ -1,30 +1,35 @@
 """License scans with DataFrame functions only.
 
-Templates and texts are compared on five-word shingles. Windows as long as a
-template, beginning at every word near which some template shingle lies,
-get MinHash signatures; bands of them retrieve templates; exact containment of
-the template's shingles in the window, at least ``LEAST``, verifies.
-
-With ``BANDS`` bands of ``ROWS`` rows a window that holds three quarters of
-its template (a similarity of at least 0.6) is retrieved with a probability
-over 0.9999. Windows without any template shingle can't reach the containment
-and aren't built. Only windows near a hit leave their row.
+Templates and texts are compared on five-word shingles. A template of n words
+is looked for in windows of ``n + 2 * stride`` words that begin at every
+multiple of its stride, a quarter of n: a notice with up to a quarter of
+further words put in lies whole within one of them. Each window has a MinHash
+signature of ``BANDS`` bands; equal bands retrieve templates; exact
+containment of the template's shingles in the window, at least ``LEAST``,
+verifies.
+
+A window that holds three quarters of its template has a similarity of a third
+or more, so with ``BANDS`` bands of one row it is retrieved with a probability
+over 0.99999. A band's value is the least of its window's salted hashes: a
+window can only share a template's band if it holds the very shingle that is
+the template's least there. So only windows over such a shingle are built, and
+they alone leave their row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlex.llm.decontaminate import _hashes, _with_hashes, words_of
 from driftlex.llm.nativetext import window_hash
 
 WIDTH, LEAST = 5, 0.75
-BANDS, ROWS = 24, 2
-#: Template shingles sent in the plan at most (8 bytes each).
+BANDS = 32
+#: Least shingles of templates that one pass looks for (8 bytes each in the plan); more are looked for in several.
 MOST_SENT = 200_000
 
-# Wording of common license notices.
+# Wording of common license notices and of whole short licenses.
 TEMPLATES = [
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
@@ -38,70 +43,150 @@ TEMPLATES = [
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
+    (
+        "apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. "
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
+        "software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+        "See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), "
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+        "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+        "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "gpl-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+        "FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. "
+        "You should have received a copy of the GNU General Public License along with this program. If not, see http://www.gnu.org/licenses/.",
+    ),
+    (
+        "bsd-3-clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+        "and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to "
+        "endorse or promote products derived from this software without specific prior written permission.",
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+        "copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO "
+        "THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, "
+        "OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER "
+        "TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
 ]
 
 
-def _signature(shingles):
+def _salted(i: int):
+    return lambda x: F.xxhash64(x, F.lit(i))
+
+
+def _signature(shingles) -> Column:
     """Band values of an array of shingle hashes."""
-    least = [F.array_min(F.transform(shingles, _salted(i))) for i in range(BANDS * ROWS)]
-    return F.array(*[F.xxhash64(F.lit(b), *least[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)])
+    return F.array(*[F.array_min(F.transform(shingles, _salted(b))) for b in range(BANDS)])
 
 
-def _salted(i: int):
-    return lambda x: F.xxhash64(x, F.lit(i))
+def stride_of(length: int) -> int:
+    return max(1, length // 4)
+
+
+def _least_of(marks: Column) -> Column:
+    """The shingles that are the least in some band."""
+    return F.array_distinct(F.array(*[F.array_min(F.transform(marks, lambda x, b=b: F.struct(F.xxhash64(x, F.lit(b)).alias("v"), x.alias("x"))))["x"] for b in range(BANDS)]))
 
 
 def templates(spark: SparkSession, rows: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(template, license, length, marks): distinct shingle hashes of each template; shorter texts than a shingle are none."""
+    """(template, license, length, marks, least): distinct shingle hashes, and those that are least in a band.
+
+    Texts shorter than a shingle, and null ones, are none.
+    """
     made = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(TEMPLATES if rows is None else rows)], "template int, license string, text string")
     df = made.withColumn("words", words_of(F.col("text"))).where(F.size("words") >= WIDTH)
     df = _with_hashes(df, [WIDTH])
     marks = F.array_distinct(F.slice(window_hash(_hashes([WIDTH]), WIDTH), F.lit(1), F.size("words") - WIDTH + 1))
-    return df.select("template", "license", F.size("words").alias("length"), marks.alias("marks"))
+    df = df.select("template", "license", F.size("words").alias("length"), marks.alias("marks"))
+    return df.withColumn("least", _least_of(F.col("marks")))
+
+
+def _among(values: list[int]):
+    return lambda x: x.isin(values)
 
 
 def find_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """A row for each document: ``doc_id, n_licenses, licenses, spans``.
 
-    ``licenses`` lists what was found, sorted; ``spans`` gives license:first:end in words for each
-    run of verified windows. Null and empty texts hold none; repeated rows are judged each by itself;
-    other columns are ignored.
+    ``licenses`` lists what was found, sorted; ``spans`` gives license:first:end in words for each run of
+    verified windows. Null and empty texts hold none, nor do those of fewer words than a shingle; texts of any
+    length are taken whole. Repeated rows are judged each by itself; other columns, whatever their names, are
+    ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     known = templates(spark) if known is None else known
-    rows = known.collect()  # bounded: checked below
-    marks = sorted({m for r in rows for m in r["marks"]})
-    if len(marks) > MOST_SENT:
-        raise ValueError(f"{len(marks)} template shingles; {MOST_SENT} can be sent")
-    lengths = sorted({r["length"] for r in rows})
+    # lengths, and the least shingles by length: BANDS for a template at most
+    wanted: dict[int, set[int]] = {}
+    for r in known.select("length", "least").toLocalIterator():
+        wanted.setdefault(r["length"], set()).update(r["least"])
+    passes: list[dict[int, list[int]]] = [{}]
+    room = MOST_SENT
+    for length, values in sorted(wanted.items()):
+        values = sorted(values)
+        while values:
+            if not room:
+                passes.append({})
+                room = MOST_SENT
+            passes[-1].setdefault(length, []).extend(values[:room])
+            values, room = values[room:], room - len(values[:room])
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text").cast("string")).alias("words"))
+    ids = base.select("row", "doc_id")
     base = _with_hashes(base, [WIDTH])
-    base = base.withColumn("sh", F.slice(window_hash(_hashes([WIDTH]), WIDTH), F.lit(1), F.greatest(F.size("words") - WIDTH + 1, F.lit(0))))
-    none = F.array().cast("array<struct<start:int,length:int,part:array<bigint>>>")
-    if not marks:
-        near = base.select("row", "doc_id", none.alias("near"))
-    else:
-        at = F.filter(F.transform("sh", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["x"].isin(marks))
-        base = base.select("row", "doc_id", "sh", F.when(F.exists("sh", lambda x: x.isin(marks)), F.transform(at, lambda s: s["i"])).otherwise(F.array().cast("array<int>")).alias("at"))
-        near = base.select("row", "doc_id", F.when(F.size("at") > 0, F.concat(*[_near(n) for n in lengths])).otherwise(none).alias("near"))
-    each = near.select("row", F.explode_outer("near").alias("w")).where("w is not null").select("row", "w.start", "w.length", F.array_distinct("w.part").alias("part"))
+    base = base.select("row", F.slice(window_hash(_hashes([WIDTH]), WIDTH), F.lit(1), F.greatest(F.size("words") - WIDTH + 1, F.lit(0))).alias("sh"))
+    each = None
+    for part in passes:
+        some = _windows(base, part)
+        each = some if each is None else each.unionByName(some)
     banded = each.select("row", "start", "length", "part", F.posexplode(_signature(F.col("part"))).alias("band", "value"))
     index = known.select("template", "license", "length", "marks", F.posexplode(_signature(F.col("marks"))).alias("band", "value"))
-    met = banded.join(F.broadcast(index), ["length", "band", "value"])  # bands of the templates checked above
-    met = met.where(F.size(F.array_intersect("part", "marks")) >= LEAST * F.size("marks")).select("row", "start", "length", "license").distinct()
-    found = met.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("license", "start", (F.col("start") + F.col("length")).alias("end")))).alias("found"))
-    ids = near.select("row", "doc_id")
+    met = banded.join(index, ["length", "band", "value"]).dropDuplicates(["row", "start", "template"])
+    met = met.where(F.size(F.array_intersect("part", "marks")) >= LEAST * F.size("marks"))
+    met = met.select("row", "license", "start", (F.col("start") + F.size("part") + WIDTH - 1).alias("end")).distinct()
+    found = met.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("license", "start", "end"))).alias("found"))
     out = ids.join(found, "row", "left")
     names = F.coalesce(F.array_sort(F.array_distinct(F.transform("found", lambda f: f["license"]))), F.array().cast("array<string>"))
     return out.select("doc_id", F.size(names).cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"), F.coalesce(F.array_join(F.transform(_merged("found"), lambda f: F.concat_ws(":", f["license"], f["start"].cast("string"), f["end"].cast("string"))), ","), F.lit("")).alias("spans"))
 
 
-def _near(n: int):
-    """Windows of n words that hold one of the shingles at ``at``."""
-    width = n - WIDTH + 1
-    starts = F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(F.greatest(i - (width - 1), F.lit(0)), F.least(i, F.greatest(F.size("sh") - width, F.lit(0)))))))
-    starts = F.filter(starts, lambda s: s <= F.size("sh") - width)
-    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.lit(n).alias("length"), F.slice(F.col("sh"), s + 1, F.lit(width)).alias("part")))
+def _windows(base: DataFrame, wanted: dict[int, list[int]]) -> DataFrame:
+    """(row, start, length, part): the windows, for templates of each length, that hold a shingle wanted there."""
+    none = F.array().cast("array<struct<start:int,length:int,part:array<bigint>>>")
+    every = sorted({v for values in wanted.values() for v in values})
+    if not every:
+        return base.select("row", F.explode_outer(none).alias("w")).where("w is not null").select("row", "w.start", "w.length", "w.part")
+    at = F.filter(F.transform("sh", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["x"].isin(every))
+    met = base.withColumn("met", F.when(F.exists("sh", _among(every)), at).otherwise(F.array().cast("array<struct<x:bigint,i:int>>")))
+    near = met.select("row", F.when(F.size("met") > 0, F.concat(*[_near(n, values) for n, values in wanted.items()])).otherwise(none).alias("near"))
+    each = near.select("row", F.explode_outer("near").alias("w")).where("w is not null")
+    return each.select("row", "w.start", "w.length", F.array_distinct("w.part").alias("part"))
+
+
+def _near(n: int, values: list[int]) -> Column:
+    """Windows for templates of n words over the shingles met; at the text's end they are shorter."""
+    stride = stride_of(n)
+    width = n + 2 * stride - WIDTH + 1
+    hits = F.filter("met", lambda m: m["x"].isin(values))
+    first = lambda m: F.ceil(F.greatest(m["i"] - width + 1, F.lit(0)) / stride).cast("int")
+    last = lambda m: F.floor(m["i"] / stride).cast("int")
+    starts = F.array_distinct(F.flatten(F.transform(hits, lambda m: F.when(first(m) <= last(m), F.sequence(first(m), F.greatest(first(m), last(m)))).otherwise(F.array().cast("array<int>")))))
+    return F.transform(starts, lambda s: F.struct((s * stride).alias("start"), F.lit(n).alias("length"), F.slice(F.col("sh"), s * stride + 1, F.lit(width)).alias("part")))
 
 
 def _merged(found: str):
@@ -124,12 +209,12 @@ _WORDS = r"regexp_extract_all(translate(coalesce(%s, ''), 'ABCDEFGHIJKLMNOPQRSTU
 OP6_SQL = f"""
 with t as (select row_number() over () as template, * from (values {", ".join("('%s', '%s')" % (n, x.replace("'", "''")) for n, x in TEMPLATES)}) v(license, text)),
 tw as (select template, license, {_WORDS % "text"} as words from t),
-ts as (select distinct template, license, n, array_to_string(words[i:i + {WIDTH - 1}], ' ') as sh from (select template, license, words, len(words) as n, unnest(range(1, len(words) - {WIDTH} + 2)) as i from tw)),
-need as (select template, license, n, count(*) as k from ts group by all),
+ts as (select distinct template, license, n, greatest(n // 4, 1) as stride, array_to_string(words[i:i + {WIDTH - 1}], ' ') as sh from (select template, license, words, len(words) as n, unnest(range(1, len(words) - {WIDTH} + 2)) as i from tw)),
+need as (select template, license, count(*) as k from ts group by all),
 d as (select row_number() over () as rid, doc_id, {_WORDS % "text"} as words from documents),
-ds as (select rid, len(words) as m, i, array_to_string(words[i:i + {WIDTH - 1}], ' ') as sh from (select rid, words, unnest(range(1, len(words) - {WIDTH} + 2)) as i from d where len(words) >= {WIDTH})),
-hit as (select rid, m, i, template, n, ds.sh from ds join ts on ds.sh = ts.sh),
-win as (select rid, template, s, sh from (select rid, m, template, n, sh, i, unnest(range(i - (n - {WIDTH}), i + 1)) as s from hit) where s >= 1 and s + n - 1 <= m),
+ds as (select rid, i, array_to_string(words[i + 1:i + {WIDTH}], ' ') as sh from (select rid, words, unnest(range(0, len(words) - {WIDTH} + 1)) as i from d where len(words) >= {WIDTH})),
+hit as (select rid, i, template, n, stride, ds.sh from ds join ts on ds.sh = ts.sh),
+win as (select rid, template, sh, unnest(range(cast(ceil(greatest(i + {WIDTH} - n - 2 * stride, 0) / stride) as bigint), i // stride + 1)) as s from hit),
 ok as (select distinct w.rid, license from (select rid, template, s, count(distinct sh) as c from win group by all) w join need using (template) where c >= {LEAST} * k),
 l as (select rid, count(*) as n_licenses, string_agg(license, ',' order by license) as licenses from ok group by rid)
 select doc_id, coalesce(n_licenses, 0) as n_licenses, coalesce(licenses, '') as licenses from d left join l using (rid)
