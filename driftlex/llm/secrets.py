@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftlex.llm.rowflags import row_key
+
 KINDS = ("assign", "access", "hex", "token")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -31,12 +33,15 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Further candidates: runs of so many characters that hold a letter and a digit.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-LONGEST_TOKEN = 512
 #: Rows sampled by hash for labels, and generated credentials of each format.
-SAMPLE_ROWS, PER_FORMAT = 2000, 120
+SAMPLE_ROWS, LONGEST, PER_FORMAT = 2000, 20_000, 120
 ALPHA = 0.05
 LEAST_PRECISION = 0.99
-START, DEPTH = 0, 48
+START = 0
+#: Characters of a training string that go into the prefix tree; a longer one goes on without an end there.
+DEPTH = 48
+#: Training strings of an automaton at most; more are cut in the order of a seeded shuffle.
+MOST_STRINGS = 6000
 
 
 def _class(c: str) -> str:
@@ -55,7 +60,10 @@ def classes(token: str) -> str:
 
 
 class Automaton:
-    """A deterministic automaton with counts, merged from a prefix tree (red-blue order, Hoeffding test)."""
+    """A deterministic automaton with counts, merged from a prefix tree (red-blue order, Hoeffding test).
+
+    Fitting is bounded by ``DEPTH`` characters of a string; what is scored is taken whole.
+    """
 
     def __init__(self, samples: list[str], alpha: float = ALPHA):
         self.next: list[dict[str, int]] = [{}]
@@ -74,7 +82,7 @@ class Automaton:
                     self.seen.append(0)
                 state = self.next[state][c]
                 self.seen[state] += 1
-            self.ends[state] += 1
+            self.ends[state] += len(s) <= DEPTH
         self._infer(math.sqrt(0.5 * math.log(2 / alpha)))
         self.symbols = len({c for o in self.out for c in o}) + 1
         self.totals: dict[str, int] = defaultdict(int)
@@ -132,9 +140,9 @@ class Automaton:
                 red.append(b)
 
     def log_likelihood(self, s: str) -> float:
-        """Mean log-likelihood per symbol; unseen continuations fall back on the symbols' frequencies."""
+        """Mean log-likelihood per symbol of the whole string; unseen continuations fall back on the symbols' frequencies."""
         state, total = START, 0.0
-        for c in s[:LONGEST_TOKEN]:
+        for c in s:
             base = (self.totals.get(c, 0) + 0.5) / (self.all + 0.5 * self.symbols)
             if state is None:
                 total += math.log(base)
@@ -142,7 +150,7 @@ class Automaton:
             n = self.seen[state]
             total += math.log((self.out[state].get(c, 0) + 2 * base) / (n + 2))
             state = self.next[state].get(c)
-        return total / max(1, min(len(s), LONGEST_TOKEN))
+        return total / max(1, len(s))
 
 
 class Model:
@@ -192,14 +200,18 @@ def _generated(r: random.Random) -> tuple[list[str], list[str]]:
 
 
 def train(docs: DataFrame, seed: int = 23) -> Model:
-    """Automata from generated tokens and from base matches and plain tokens of at most ``SAMPLE_ROWS`` rows, by hash."""
+    """Automata from generated tokens and from base matches and plain tokens of a sample of the rows.
+
+    The sample is bounded: ``SAMPLE_ROWS`` rows in the order of a hash, of ``LONGEST`` characters at most each;
+    repeated rows count once. An automaton is fitted on ``MOST_STRINGS`` strings at most.
+    """
     r = random.Random(seed)
     good, bad = _generated(r)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text").between(1, 20_000))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text").between(1, LONGEST))
     # a share that gives somewhat more rows than wanted, cut on the driver: what a task sends doesn't add up with their number
     share = min(1.0, 1.2 * SAMPLE_ROWS / max(1, own.count()))
-    unit = F.pmod(F.xxhash64("doc_id", F.length("text"), F.substring("text", 1, 64), F.lit(seed)), F.lit(1 << 30))
-    rows = own.withColumn("unit", unit).where(F.col("unit") < share * (1 << 30)).collect()
+    unit = F.pmod(F.xxhash64(row_key(), F.lit(seed)), F.lit(1 << 30))
+    rows = own.withColumn("unit", unit).where(F.col("unit") < share * (1 << 30)).dropDuplicates(["unit"]).collect()
     rows = sorted(rows, key=lambda x: (x["unit"], x["text"]))[:SAMPLE_ROWS]
     for row in rows:
         base = base_spans(row["text"])
@@ -212,8 +224,8 @@ def train(docs: DataFrame, seed: int = 23) -> Model:
     r.shuffle(good)
     r.shuffle(bad)
     held_good, held_bad = good[::4], bad[::4]
-    secret = Automaton([classes(x) for i, x in enumerate(good) if i % 4][:6000])
-    plain = Automaton([classes(x) for i, x in enumerate(bad) if i % 4][:6000])
+    secret = Automaton([classes(x) for i, x in enumerate(good) if i % 4][:MOST_STRINGS])
+    plain = Automaton([classes(x) for i, x in enumerate(bad) if i % 4][:MOST_STRINGS])
     model = Model(secret, plain, math.inf)
     scored = sorted([(model.score(x), 1) for x in held_good if _mixed(x)] + [(model.score(x), 0) for x in held_bad if _mixed(x)], reverse=True)
     hit = 0
@@ -231,8 +243,9 @@ def _joined(spans) -> str:
 def find_secrets(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """A row for each document: ``doc_id``, numbers of base spans, their digest, all spans, and added ones' number.
 
-    Null and empty texts have no spans. Positions are code points, ends exclusive. Repeated rows are judged
-    each by itself; other columns are ignored.
+    Null and empty texts have no spans; texts and tokens of any length are scanned and scored whole. Positions
+    are code points, ends exclusive. A null ``doc_id`` stays null. Repeated rows are judged each by itself;
+    other columns, whatever their names, are ignored. An empty table gives an empty result.
     """
     model = model or train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # states of at most 12,000 bounded samples
