@@ -1,10 +1,11 @@
 """Personal data with DataFrame functions only: candidates, boosted trees, calibrated thresholds.
 
 Fixed patterns give base spans, which always stay. High-recall generators
-propose further, overlapping candidates (obfuscated addresses, and every run
-of digits and separators as address, card and phone at once). Boosted trees,
-one set for each kind, score a candidate's format and context; those above the
-kind's calibrated threshold are added where no base span lies.
+propose further, overlapping candidates (obfuscated addresses; every run of
+digits and separators, and every part of it without blanks, as address, card
+and phone at once). Boosted trees, one set for each kind, score a candidate's
+format and context; those above the kind's calibrated threshold are added
+where no base span lies, the longer of two that overlap.
 
 The trees are fitted on the driver, in plain Python, on features that the same
 column expressions give for a generated, labelled set of ``EXAMPLES`` texts.
@@ -33,8 +34,10 @@ BASE = {
 _AT = r"(?:\x20?[(\[]\x20?at\x20?[)\]]\x20?|\x20at\x20)"
 _DOT = r"(?:\x20?[(\[]\x20?dot\x20?[)\]]\x20?|\x20dot\x20|\.)"
 PROPOSED = {
-    "mail": rf"(?<![{_LOCAL}])[A-Za-z0-9._%+-]{{1,64}}{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,6}}",
+    "mail": rf"(?<![{_LOCAL}])[{_LOCAL}]++{_AT}{_LABEL}(?:{_DOT}{_LABEL})++",
     "digits": r"(?<![0-9A-Za-z])\+?\(?[0-9](?:[\x20()./:-]{0,2}+[0-9])++",
+    # within those runs what has no blank inside: numbers that stand side by side
+    "tight": r"(?<![0-9A-Za-z])\+?\(?[0-9](?:[()./:-]{0,2}+[0-9])++",
 }
 CUES = {
     "call": r"phone|call|tel\b|telefon|téléphone|mobile|fax|whatsapp|sms",
@@ -127,11 +130,11 @@ def _features(c: Column) -> list[Column]:
 
 
 def _candidates(df: DataFrame) -> DataFrame:
-    """Columns ``__pii_mail`` and ``__pii_digits``: proposed spans with ``f``, their features."""
+    """Columns ``__pii_mail``, ``__pii_digits`` and ``__pii_tight``: proposed spans with ``f``, their features."""
     for key, pattern in PROPOSED.items():
         name = f"__pii_{key}"
         df = _with_spans(df, name, pattern)
-        if key == "digits":
+        if key != "mail":
             df = df.withColumn(name, F.filter(name, lambda c: F.length(_digits(c["value"])) >= 7))
         df = df.withColumn(name, F.transform(name, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.array(*_features(c)).alias("f"))))
     return df
@@ -249,7 +252,7 @@ def _fitted(spark: SparkSession, seed: int = 5) -> dict[str, tuple[list, float]]
     """kind: (trees, threshold on the log-odds)."""
     made = _examples(seed)
     df = spark.createDataFrame(made, "__pii_text string, kind string, start int, end int")
-    got = _candidates(df).select("kind", "start", "end", "__pii_mail", "__pii_digits").collect()
+    got = _candidates(df).select("kind", "start", "end", "__pii_mail", F.array_union("__pii_digits", "__pii_tight").alias("__pii_digits")).collect()
     models = {}
     for kind in KINDS:
         rows, y = [], []
@@ -309,16 +312,18 @@ def with_personal_data(docs: DataFrame) -> DataFrame:
         df = df.withColumn("__pii_mail", F.transform("__pii_mail", _place(0)))
     else:
         df = df.withColumn("__pii_mail", F.slice("__pii_base", 1, 0))
-    df = df.withColumn("__pii_digits", F.filter("__pii_digits", lambda c: clear(c, "__pii_base") & clear(c, "__pii_mail")))
 
     def kind_of(c):
         margins = [(k, _log_odds(models[kind][0], c["f"]) - F.lit(models[kind][1])) for k, kind in enumerate(KINDS) if kind != "email" and math.isfinite(models[kind][1])]
         best = F.array_max(F.array(*[F.struct(m.alias("margin"), F.lit(k).alias("kind")) for k, m in margins]))
         return F.struct(c["start"].alias("start"), best["kind"].alias("kind"), c["end"].alias("end"), best["margin"].alias("margin"))
 
-    df = df.withColumn("__pii_digits", F.filter(F.transform("__pii_digits", kind_of), lambda c: c["margin"] >= 0))
-    added = F.concat("__pii_mail", F.transform("__pii_digits", lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))))
-    return df.withColumn("__pii_added", F.array_sort(added)).drop("__pii_mail", "__pii_digits")
+    df = df.withColumn("__pii_added", F.col("__pii_mail"))
+    for name in ("__pii_digits", "__pii_tight"):
+        df = df.withColumn(name, F.filter(name, lambda c: clear(c, "__pii_base") & clear(c, "__pii_added")))
+        df = df.withColumn(name, F.filter(F.transform(name, kind_of), lambda c: c["margin"] >= 0))
+        df = df.withColumn("__pii_added", F.concat("__pii_added", F.transform(name, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))))
+    return df.withColumn("__pii_added", F.array_sort("__pii_added")).drop("__pii_mail", "__pii_digits", "__pii_tight")
 
 
 def _joined(spans: Column) -> Column:
@@ -329,7 +334,9 @@ def _joined(spans: Column) -> Column:
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """A row for each document: ``doc_id``, numbers of base spans, their digest, and all spans as text.
 
-    Null and empty texts have no spans; repeated rows are judged each by itself; other columns are ignored.
+    Null and empty texts have no spans; texts of any length are scanned whole, in time that rises with their
+    length alone. A null ``doc_id`` stays null. Repeated rows are judged each by itself; other columns, whatever
+    their names, are ignored. An empty table gives an empty result.
     """
     df = with_personal_data(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return df.select(
