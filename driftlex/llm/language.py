@@ -12,17 +12,22 @@ is no letter is one separator, and accented letters are two classes each.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlex.llm.npwords import text_chunks
-
-#: Fit on this many labelled texts of each language at most, with so many of them as landmarks.
-PER_LANGUAGE, LANDMARKS = 300, 48
-#: Languages that a model can hold, the commonest first; characters of a training text at most.
-MOST_LANGUAGES, LONGEST = 200, 20_000
+from driftlex.llm.rowflags import row_key
+from driftlex.llm.scratch import materialise
+
+#: Fit on this many labelled texts of each language, so many in all unless that left a language with fewer than LEAST;
+#: characters of such a text at most.
+PER_LANGUAGE, MOST_TEXTS, LEAST, LONGEST = 300, 12_000, 4, 8000
+#: Landmarks of each language, and in all.
+LANDMARKS, MOST_LANDMARKS = 48, 768
 RIDGE = 1e-2
 SHARPNESS = 6.0
 
@@ -60,6 +65,15 @@ class Model:
         self.languages, self.column, self.landmarks, self.weights = languages, column, landmarks, weights
         self.norm = np.sqrt(np.maximum(landmarks.sum(1), 1))
 
+    def __getstate__(self):
+        return self.languages, np.flatnonzero(self.column).astype(np.int32), np.packbits(self.landmarks > 0, axis=1), self.landmarks.shape[1], self.weights
+
+    def __setstate__(self, state):
+        languages, used, bits, width, weights = state
+        column = np.zeros(IDS, np.int32)
+        column[used] = 1 + np.arange(len(used))
+        self.__init__(languages, column, np.unpackbits(bits, axis=1, count=width).astype(np.float32), weights)
+
     def kernel(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Kernel of each text with each landmark."""
         two, three = _ids(data)
@@ -67,10 +81,14 @@ class Model:
         size = np.sqrt(np.maximum(seen.sum(1), 1))
         return (seen @ self.landmarks.T) / size[:, None] / self.norm
 
+    def scores(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """A score of each text for each language."""
+        k = self.kernel(data, off)
+        return np.hstack([k, np.ones((len(k), 1), k.dtype)]) @ self.weights
+
     def predict(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of the best language, its share under a softmax) of each text."""
-        k = self.kernel(data, off)
-        s = np.hstack([k, np.ones((len(k), 1), k.dtype)]) @ self.weights
+        s = self.scores(data, off)
         e = np.exp(SHARPNESS * (s - s.max(1, keepdims=True)))
         return s.argmax(1), e.max(1) / e.sum(1)
 
@@ -97,13 +115,19 @@ def presence(data, off, column, two, three, width: int) -> np.ndarray:
 
 
 def fit(texts: list[str], labels: list[str]) -> Model:
-    """Kernel ridge regression on Nyström features; texts of a language: the first ones are its landmarks."""
+    """Kernel ridge regression on Nyström features; texts of a language: the first ones are its landmarks.
+
+    With more languages than ``MOST_LANDMARKS``, some have none of their own; each has its column of the regression.
+    """
     languages = sorted(set(labels))
+    each = max(1, min(LANDMARKS, MOST_LANDMARKS // len(languages)))
     raw = [t.encode("utf-8", "replace") for t in texts]
     off = np.append(0, np.cumsum([len(x) for x in raw])).astype(np.int64)
     data = np.frombuffer(b"".join(raw), np.uint8)
-    where = {x: [i for i, y in enumerate(labels) if y == x][:LANDMARKS] for x in languages}
+    where = {x: [i for i, y in enumerate(labels) if y == x][:each] for x in languages}
     chosen = [i for x in languages for i in where[x]]
+    if len(chosen) > MOST_LANDMARKS:
+        chosen = [chosen[k * len(chosen) // MOST_LANDMARKS] for k in range(MOST_LANDMARKS)]
     used = np.zeros(IDS, bool)
     for i in chosen:
         d = data[off[i] : off[i + 1]]
@@ -127,7 +151,8 @@ def fit(texts: list[str], labels: list[str]) -> Model:
     keep = value > 1e-6 * max(value.max(), 1e-12)
     root = vector[:, keep] / np.sqrt(value[keep])  # kernel row -> Nyström features
     gram, moment = 0.0, 0.0
-    y = np.array([languages.index(x) for x in labels])
+    number = {x: i for i, x in enumerate(languages)}
+    y = np.array([number[x] for x in labels])
     count = np.bincount(y, minlength=len(languages))
     for a in range(0, len(texts), 256):
         index = list(range(a, min(a + 256, len(texts))))
@@ -148,25 +173,34 @@ def held_out():
 
 
 def train(docs: DataFrame, seed: int = 11) -> Model | None:
-    """Fit on a sample by hash of the labelled rows, of each language ``PER_LANGUAGE`` at most; None without labels."""
+    """Fit on a bounded sample of the labelled rows that may be learned from, by hash; None without any.
+
+    The sample: ``PER_LANGUAGE`` texts of each language, fewer if there are so many languages that this would
+    exceed ``MOST_TEXTS``, of 1 to ``LONGEST`` characters. Rows with a null id, text or language, or with an
+    empty text, teach nothing; repeated ids are rows of their own, rows with equal id and text count once. Every
+    language that has a text of that length can be predicted, whatever the number of languages.
+    """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = own.where("doc_id is not null and lang is not null and text is not null").where(~held_out()).where(F.length("text").between(1, LONGEST))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not sizes:
+    sizes = materialise(known.groupBy("lang").count(), "languages")
+    languages = sizes.count()
+    if not languages:
         return None
-    unit = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30))
-    # a share that gives somewhat more than is wanted; the rest is cut by rank on the driver
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 1.5 * PER_LANGUAGE / r["count"]))])
-    rows = known.withColumn("unit", unit).where(F.col("unit") < F.try_element_at(share, F.col("lang")) * (1 << 30)).collect()
-    rows.sort(key=lambda r: (r["unit"], r["doc_id"], r["text"]))
-    taken: dict[str, int] = {}
-    texts, labels = [], []
-    for r in rows:
-        if taken.setdefault(r["lang"], 0) < PER_LANGUAGE:
-            taken[r["lang"]] += 1
-            texts.append(r["text"])
-            labels.append(r["lang"])
-    return fit(texts, labels) if texts else None
+    each = max(LEAST, min(PER_LANGUAGE, MOST_TEXTS // languages))
+    # a share that gives somewhat more than is wanted, then the rank among those
+    share = sizes.select("lang", F.greatest(1.5 * each / F.col("count"), F.lit(20.0) / F.col("count")).alias("share"))
+    some = known.withColumn("key", row_key()).withColumn("unit", F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30))).join(share, "lang").where(F.expr(f"unit < share * {1 << 30}"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("unit", "key"))
+    sample = some.dropDuplicates(["lang", "key"]).withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "unit", "key", "text")
+
+    def run(batches):
+        rows = sorted(((u, k, x, t) for b in batches for x, u, k, t in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[:3])
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([r[3] for r in rows], [r[2] for r in rows]))], pa.binary())], names=["model"])
+
+    # the bounded sample meets in one task, whose memory is an executor's and not the driver's
+    fitted = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(fitted["model"]) if fitted else None
 
 
 _ASCII_LETTER = np.zeros(256, bool)
@@ -174,7 +208,12 @@ _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
 
 
 def identify(docs: DataFrame, model: Model | None, *columns: str) -> DataFrame:
-    """``columns`` of docs with ``lang_pred`` and ``score``; ``und`` and 0 for texts that are null or have no letter."""
+    """``columns`` of docs with ``lang_pred`` and ``score``; ``und`` and 0 for texts that are null, empty or have no letter.
+
+    Without a model all are ``und``. Texts of any length are taken whole; ties go to the language that sorts
+    first. Repeated rows are judged each by itself; columns that aren't asked for are left out, whatever their
+    names. An empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the landmarks and the n-gram alphabet
     kept = [f for f in docs.schema.fields if f.name in columns]
     own = docs.select(*columns, F.col("text").cast("string").alias("__text"))
