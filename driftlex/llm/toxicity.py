@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlex.llm.npwords import _INV, _MULT, BYTE_VALUE, NON_ALNUM, SPACE, Words, _powers, mix, shingle_sets, text_chunks
+from driftlex.llm.rowflags import row_key
+from driftlex.llm.scratch import materialise
 
 WINDOW, STRIDE = 32, 24
 UNITS, WORD_DIM, CHAR_DIM = 8, 8, 8
@@ -415,9 +417,18 @@ def held_out(doc_id=None):
 
 
 def train(docs: DataFrame, labels: DataFrame, seed: int = 7) -> Network:
-    """Fit on at most ``MOST_TOXIC`` and ``MOST_CLEAN`` labelled rows, picked by a hash of their ids; of repeated ids one."""
+    """Fit on at most ``MOST_TOXIC`` and ``MOST_CLEAN`` labelled rows, picked by a hash of their ids.
+
+    Picked from are ids with a label that may be learned from and a text of ``LONGEST`` characters at most, so
+    no pick is lost to a long text; of a repeated id one text, of conflicting labels 1. Null ids, labels and texts
+    teach nothing. Without labels of both kinds the network scores all texts alike.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", row_key())
+    texts = texts.where((F.length("text") <= LONGEST) & F.col("doc_id").isNotNull())
+    known = texts.select("doc_id", "key").join(known, "doc_id").groupBy("doc_id").agg(F.min("key").alias("key"), F.max("toxic").alias("toxic"))
+    known = materialise(known, "labelled")
     total = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     unit = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30))
 
@@ -426,29 +437,29 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 7) -> Network:
         some = known.where(F.col("toxic") == y).withColumn("unit", unit).where(F.col("unit") < min(1.0, 1.5 * most / max(1, total.get(y, 0))) * (1 << 30))
         return some.orderBy("unit", "doc_id").limit(most).drop("unit")
 
-    picked = pick(1, MOST_TOXIC).union(pick(0, MOST_CLEAN))
-    sample = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .join(F.broadcast(picked), "doc_id")  # at most MOST_TOXIC + MOST_CLEAN ids
-        .where(F.length("text") <= LONGEST)
-        .select("doc_id", "toxic", "text")
-    )
+    picked = materialise(pick(1, MOST_TOXIC).union(pick(0, MOST_CLEAN)), "picked")
+    # at most MOST_TOXIC + MOST_CLEAN keys
+    sample = texts.select("key", "text").join(F.broadcast(picked), "key").dropDuplicates(["key"]).select("doc_id", "toxic", "text")
 
     def run(batches):
-        own = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-        rows = {i: (y, t) for i, y, t in sorted(own, key=lambda r: (r[0], r[2]), reverse=True)}
-        ids = sorted(rows)
-        y = np.array([rows[i][0] for i in ids], float)
-        weight = np.array([total[rows[i][0]] for i in ids], float) / np.where(y == 1, max(1, y.sum()), max(1, (1 - y).sum()))
-        net = fit([rows[i][1] for i in ids], y, weight, seed)
+        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        y = np.array([r[1] for r in rows], float)
+        weight = np.array([total[r[1]] for r in rows], float) / np.where(y == 1, max(1, y.sum()), max(1, (1 - y).sum()))
+        net = fit([r[2] for r in rows], y, weight, seed)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
 
     # the bounded sample meets in one task, whose memory is an executor's and not the driver's
-    return pickle.loads(sample.repartition(1).mapInArrow(run, "net binary").first()["net"])
+    fitted = sample.repartition(1).mapInArrow(run, "net binary").first()
+    return pickle.loads(fitted["net"]) if fitted else fit([], np.zeros(0), np.zeros(0), seed)
 
 
 def score(docs: DataFrame, net: Network, *columns: str) -> DataFrame:
-    """``columns`` of docs with ``score`` in [0, 1]. Null and empty texts are scored as texts of no words."""
+    """``columns`` of docs with ``score`` in [0, 1].
+
+    Null and empty texts are scored as texts of no words; texts of any length by all their windows. Repeated
+    rows are scored each by itself; columns that aren't asked for are left out, whatever their names. An empty
+    table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(net)  # of fixed size: buckets times dimensions at most
     kept = [f for f in docs.schema.fields if f.name in columns]
     own = docs.select(*columns, F.col("text").cast("string").alias("__text"))
