@@ -6,8 +6,9 @@ completion, with the spans of assistant text that a loss is taken on.
 
 The query pairs conversations that begin with the same turn: in each group the
 first with the second by id, the third with the fourth, and so on. Places in a
-group are counted in two steps, within ranges of ids and over ranges, so a
-very common first turn is no single task's. Besides, a conversation with two
+group are counted in two steps, within ranges that hold about as many ids each
+and over ranges, so a very common first turn is no single task's, however
+sparse the ids. Besides, a conversation with two
 replies or more is paired with itself ending in a stale reply.
 """
 
@@ -18,14 +19,14 @@ from pyspark.sql import functions as F
 
 from driftlex.llm.scratch import materialise
 
-#: Ids of a range whose places are counted together.
+#: Conversations of a range whose places are counted together.
 RANGE = 1024
 
 
 def conversations(turns: DataFrame) -> DataFrame:
-    """(conv_id, turns): turns in order as (role, text); rows with a null conv_id or turn take no part, null text is empty.
+    """(conv_id, turns): turns in order as (role, text); rows with a null conv_id or turn take no part, null role or text is empty.
 
-    Of repeated turn numbers the first by role and text stays.
+    Of repeated turn numbers the first by role and text stays. Other columns, whatever their names, are ignored.
     """
     own = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).where("conv_id is not null and turn is not null")
     per = own.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
@@ -57,7 +58,8 @@ def mask(turns: Column) -> Column:
 def preferences(pairs: DataFrame) -> DataFrame:
     """From ``chosen_id, chosen, rejected_id, rejected`` (arrays of turns) the prompt and both masked completions.
 
-    Equal conversations have empty completions and stay, for the caller to drop.
+    Equal conversations have empty completions and stay, for the caller to drop. A turn has no null role or text
+    (see ``conversations``); turns of any length are taken whole. No pairs give an empty result.
     """
     n = common_turns(F.col("chosen"), F.col("rejected"))
     p = pairs.withColumn("n_common", n)
@@ -75,11 +77,16 @@ def preferences(pairs: DataFrame) -> DataFrame:
 
 
 def paired(convs: DataFrame) -> DataFrame:
-    """Pairs of conversations with the same first turn; chosen is the one with more assistant text, of equals the smaller id."""
+    """Pairs of conversations with the same first turn; chosen is the one with more assistant text, of equals the smaller id.
+
+    The last of an odd number has no pair; conversations without turns take no part. An empty table gives none.
+    """
     said = F.aggregate(F.filter("turns", lambda t: t["role"] == "assistant"), F.lit(0), lambda a, t: a + F.length(t["text"]))
     head = F.sha2(F.concat(F.col("turns")[0]["role"], F.lit("\x1f"), F.col("turns")[0]["text"]), 256)
     convs = materialise(convs.where("size(turns) > 0").withColumn("head", head).withColumn("said", said), "conversations")
-    places = convs.select("conv_id", "head", F.floor(F.col("conv_id") / RANGE).alias("range"))
+    ranges = max(1, -(-convs.count() // RANGE))
+    dealt = convs.select("conv_id", "head").repartitionByRange(ranges, "conv_id").withColumn("range", F.spark_partition_id())
+    places = materialise(dealt, "places")
     before = places.groupBy("head", "range").agg(F.count("*").alias("n"))
     along = Window.partitionBy("head").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     before = before.select("head", "range", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("before"))
