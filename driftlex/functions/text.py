@@ -105,6 +105,11 @@ def target_of_file(name: Text) -> Column:
     return F.btrim(F.regexp_replace(last, r"(?i)[ _-]*(validation|annotated|annotations)$", ""))
 
 
+def holds(text: Text, part: str) -> Column:
+    """Whether a text holds a string as it stands, blanks and case included; null for a null text."""
+    return F.contains(_col(text), F.lit(part))
+
+
 def bounded_pattern(word: str) -> str:
     """Pattern of a word with no ASCII letter beside it, in either case."""
     quoted = "".join("\\" + c if not c.isalnum() and not c.isspace() and ord(c) < 128 else c for c in word)

@@ -18,8 +18,14 @@ def variants(templates: DataFrame) -> DataFrame:
 
 
 def rendered(template: Column, variables: Column) -> Column:
-    """``{name}`` filled in; values hold no braces of their own that would be read again, as pieces are replaced in key order."""
-    return F.aggregate(F.array_sort(F.map_entries(variables)), template, lambda t, e: F.replace(t, F.concat(F.lit("{"), e["key"], F.lit("}")), e["value"]))
+    """``{name}`` filled in, doubled braces as single ones; the template is cut once, so values aren't read again.
+
+    A name without a value stays as it is.
+    """
+    parts = F.regexp_extract_all(template, F.lit(r"\{\{|\}\}|\{[^{}]*\}|[^{}]+|[{}]"), F.lit(0))
+    value = lambda p: F.try_element_at(variables, F.substring(p, F.lit(2), F.length(p) - 2))
+    fill = lambda p: F.when(p == "{{", "{").when(p == "}}", "}").when(p.startswith("{") & (F.length(p) > 2), F.coalesce(value(p), p)).otherwise(p)
+    return F.array_join(F.transform(parts, fill), "")
 
 
 def enabled(templates: DataFrame) -> DataFrame:

@@ -52,9 +52,30 @@ def percent_of_peak(rates: DataFrame, value: str = "rate_per_million", word: str
     return rates.withColumn("pct_of_peak", F.when(top > 0, 100 * F.col(value) / top))
 
 
+def percent_of_peak_with_interval(series: DataFrame, value: str = "smoothed_rate", low: str = "rate_low", high: str = "rate_high", word: str = "target") -> DataFrame:
+    """A series and its bounds as percentages of the series' own peak; as they are where the peak is 0."""
+    top = F.max(value).over(Window.partitionBy(word))
+    out = series.withColumn("__top", top)
+    for c in (value, low, high):
+        out = out.withColumn(c, F.when(F.col("__top") > 0, 100 * F.col(c) / F.col("__top")).otherwise(F.col(c)))
+    return out.drop("__top")
+
+
+def nonzero(series: DataFrame, value: str = "smoothed_rate") -> DataFrame:
+    """The points that a chart marks: those above 0."""
+    return series.where(F.col(value) > 0)
+
+
+def reconstructed_counts(rates: DataFrame, tokens: DataFrame, period: str = "year", value: str = "rate_per_million") -> DataFrame:
+    """``k``: whole counts that a rate and a period's millions of tokens stand for."""
+    t = tokens.select(period, F.col("tokens").alias("__tokens"))
+    return rates.join(t, period).withColumn("k", F.bround(F.col(value) * (F.col("__tokens") / PER)).cast("long")).drop("__tokens")
+
+
 def gated(peak_rows: DataFrame, words: list[str] | None = None, least: int = 30) -> DataFrame:
-    """The listed words, or those with enough hits."""
-    return peak_rows.where(F.col("target").isin(words)) if words else peak_rows.where(F.col("total_hits") >= least)
+    """The listed words, or those with enough hits; by peak year and word, if the result is read in order."""
+    some = peak_rows.where(F.col("target").isin(words)) if words else peak_rows.where(F.col("total_hits") >= least)
+    return some.orderBy("peak_year", "target")
 
 
 def records(rates: DataFrame) -> DataFrame:
@@ -158,8 +179,8 @@ def with_interval(df: DataFrame, hits: str = "window_hits", tokens: str = "windo
     return df.withColumn("__b", bounds(F.col(hits).cast("double"))).withColumn("rate_low", F.col("__b.low") * scale).withColumn("rate_high", F.col("__b.high") * scale).drop("__b")
 
 
-def cubic(df: DataFrame, x: str, y: str, word: str = "target") -> DataFrame:
-    """``fitted``: least-squares cubic per word, cut at 0. A word's series is a bounded group: one row per period."""
+def cubic(df: DataFrame, x: str, y: str, word: str = "target", clip: bool = True) -> DataFrame:
+    """``fitted``: least-squares cubic per word, cut at 0 if ``clip``. A word's series is a bounded group: one row per period."""
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", fitted double"
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
@@ -167,7 +188,8 @@ def cubic(df: DataFrame, x: str, y: str, word: str = "target") -> DataFrame:
         if ok.sum() < 4:
             return g.assign(fitted=None)
         c = np.polynomial.Polynomial.fit(g[x][ok].astype(float), g[y][ok].astype(float), 3)
-        return g.assign(fitted=np.maximum(c(g[x].astype(float)), 0))
+        at = c(g[x].astype(float))
+        return g.assign(fitted=np.maximum(at, 0) if clip else at)
 
     return df.groupBy(word).applyInPandas(fit, out)
 

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 # First words that read as yes and as no.
 YES = "yes|yeah|yep|yup|sure|absolutely|definitely|totally|true|appropriate|ok|okay|current|contemporary"
 NO = "no|nope|nah|never|not|inappropriate|false|dated|anachronistic|archaic|early"
+# Words that read as yes and as no anywhere, and those that keep a yes from counting.
+YES_ANYWHERE, NO_ANYWHERE, DENIAL_ANYWHERE = r"\byes\b|\bappropriate\b", r"\bno\b|\bnot\b|\binappropriate\b", r"\bnot\b|\binappropriate\b"
 # The option block of a prompt, one option of it, a chosen letter, a bare letter.
 OPTION_BLOCK = r"(?is)multiple choice:\s*(.*)$"
 OPTION = r"(?s)\b([ABCD])\)\s*(.*?)(?=\s+\b[ABCD]\)|$)"
-LETTER = r"^\W*([ABCD])\b"
+LETTER = r"^[^\p{L}\p{N}_]*([ABCD])(?![\p{L}\p{N}_])"
+LONE_LETTER = r"(?<![\p{L}\p{N}_])([ABCD])(?![\p{L}\p{N}_])"
 BARE_LETTER = r"^[ABCD][).]?$"
 # A slot whose word its name can't spell; the years that answers are drawn in.
 SLOT_WORDS = {"exp3_skull": "💀"}
@@ -23,6 +26,12 @@ def canonical(variables: Column) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(variables))))
 
 
+def newest_of_files(rows: DataFrame, keys: list[str], name: str = "file", modified: str = "modified", index: str = "index") -> DataFrame:
+    """Of each key the record of the newest file, the last one there; ``index`` is a record's place in its file."""
+    age = file_order(F.col(name), F.unix_timestamp(modified))
+    return latest(rows, keys, age, F.col(name), F.col(index))
+
+
 def latest(rows: DataFrame, keys: list[str], *newest: Column) -> DataFrame:
     """Of each key the newest record."""
     w = Window.partitionBy(*keys).orderBy(*[c.desc_nulls_last() for c in newest])
@@ -31,7 +40,7 @@ def latest(rows: DataFrame, keys: list[str], *newest: Column) -> DataFrame:
 
 def file_order(name: Column, modified: Column) -> Column:
     """Sortable age of a response file: its run stamp, else ``m`` and its time, which comes after all stamps."""
-    stamp = F.regexp_extract(name, r"(\d{8}[T_-]?\d{6})", 1)
+    stamp = F.regexp_replace(F.regexp_extract(name, r"_(\d{8}_\d{6})(?:\.jsonl)?$", 1), "_", "")
     return F.when(stamp != "", stamp).otherwise(F.concat(F.lit("m"), F.lpad(modified.cast("string"), 20, "0")))
 
 
@@ -39,14 +48,13 @@ def file_order(name: Column, modified: Column) -> Column:
 
 
 def yes_no(response: Column) -> Column:
-    """1 yes, 0 no, null unclear."""
+    """1 yes, 0 no, null unclear: by the first words, else by a word anywhere, the rules in order."""
     t = F.regexp_replace(F.lower(F.btrim(response)), "^[^a-z]+", "")
-    return (
-        F.when(t.rlike(rf"^({YES})\b"), 1)
-        .when(t.rlike(rf"^({NO})\b"), 0)
-        .when(t.rlike(r"\byes\b|\bappropriate\b") & ~t.rlike(r"\bnot\b|\binappropriate\b"), 1)
-        .when(t.rlike(r"\bno\b|\bnot\b|\binappropriate\b"), 0)
-    )
+    out = None
+    for verdict, has, lacks in ((1, rf"^({YES})\b", None), (0, rf"^({NO})\b", None), (1, YES_ANYWHERE, DENIAL_ANYWHERE), (0, NO_ANYWHERE, None)):
+        met = t.rlike(has) if lacks is None else t.rlike(has) & ~t.rlike(lacks)
+        out = F.when(met, verdict) if out is None else out.when(met, verdict)
+    return out
 
 
 def year_in(response: Column) -> Column:
@@ -71,12 +79,19 @@ def answer(response: Column) -> Column:
     """(letter, status) of a forced choice: clean, lenient, enumeration, unparsed or empty."""
     ws = F.lit(" \t\r\n\x0b\x0c")
     s = F.btrim(F.btrim(F.btrim(F.coalesce(response, F.lit("")), ws), F.lit("*")), ws)
-    several = F.size(F.array_distinct(F.regexp_extract_all(s, F.lit(r"\b([ABCD])\b"), F.lit(1)))) >= 3
+    several = F.size(F.array_distinct(F.regexp_extract_all(s, F.lit(LONE_LETTER), F.lit(1)))) >= 3
     first = F.regexp_extract(s, LETTER, 1)
     status = F.when(s == "", "empty").when(several, "enumeration").when(first == "", "unparsed").when(s.rlike(BARE_LETTER), "clean").otherwise("lenient")
     return F.struct(F.when(status.isin("clean", "lenient"), first).alias("letter"), status.alias("status"))
 
 
+def choice(response: Column, opts: Column, target: Column) -> Column:
+    """(letter, status) of a forced choice with its options: ``no_options`` without any or without the target's letter."""
+    a = answer(response)
+    lost = (F.coalesce(F.size(opts), F.lit(0)) <= 0) | target.isNull()
+    return F.struct(F.when(~lost, a["letter"]).alias("letter"), F.when(lost, "no_options").otherwise(a["status"]).alias("status"))
+
+
 def normal_word(word: Column) -> Column:
     return F.regexp_replace(F.lower(F.btrim(word)), r"[\s_-]+", " ")
 
@@ -108,10 +123,31 @@ def json_rows(response: Column, schema: str) -> Column:
 # --- token log-probabilities ----------------------------------------------
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often and deep the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _last(entries: Column) -> Column:
+    """(key, value) entries, of equal keys the last."""
+    return _let(entries, lambda e: F.filter(e, lambda x, i: ~F.exists(F.slice(e, i + 2, F.greatest(F.size(e), F.lit(1))), lambda y: y["key"] == x["key"])))
+
+
+def _last_of_each(entries: Column) -> Column:
+    """A map of (key, value) entries; null keys are left out, null entries give an empty map."""
+    e = F.filter(F.coalesce(entries, F.array().cast("array<struct<key:string,value:double>>")), lambda x: x["key"].isNotNull())
+    return F.map_from_entries(_last(e))
+
+
 def tokens_of(content: Column, tokens: Column, logprobs: Column, tops: Column) -> Column:
-    """Both payload layouts as array<struct<token, logprob, top map>>; a null log-probability is 0."""
-    one = F.transform(content, lambda c: F.struct(c["token"].alias("token"), c["logprob"].cast("double").alias("logprob"), F.map_from_entries(F.transform(F.coalesce(c["top_logprobs"], F.array()), lambda a: F.struct(a["token"], a["logprob"].cast("double")))).alias("top")))
-    two = F.transform(tokens, lambda t, i: F.struct(t.alias("token"), F.coalesce(F.get(logprobs, i), F.lit(0.0)).cast("double").alias("logprob"), F.coalesce(F.get(tops, i), F.create_map().cast("map<string,double>")).alias("top")))
+    """Both payload layouts as array<struct<token, logprob, top map>>; a null log-probability is 0, of equal top tokens the last counts."""
+    top = lambda c: _last_of_each(F.transform(c["top_logprobs"], lambda a: F.struct(a["token"].alias("key"), a["logprob"].cast("double").alias("value"))))
+    one = F.transform(content, lambda c: F.struct(c["token"].alias("token"), c["logprob"].cast("double").alias("logprob"), top(c).alias("top")))
+    none = F.create_map().cast("map<string,double>")
+    two = _let(
+        F.struct(logprobs.alias("p"), tops.alias("t")),
+        lambda s: F.transform(tokens, lambda t, i: F.struct(t.alias("token"), F.coalesce(F.get(s["p"], i), F.lit(0.0)).cast("double").alias("logprob"), F.coalesce(F.get(s["t"], i), none).alias("top"))),
+    )
     return F.when(F.size(content) > 0, one).otherwise(two)
 
 
@@ -155,20 +191,46 @@ def first_distribution(tokens: Column) -> Column:
     e = F.map_entries(F.coalesce(F.get(tokens, F.lit(0))["top"], F.create_map().cast("map<string,double>")))
     e = F.filter(e, lambda x: F.btrim(x["key"]) != "")
     e = F.transform(e, lambda x: F.struct(F.lower(F.btrim(x["key"])).alias("key"), F.exp(x["value"]).alias("value")))
-    e = F.filter(e, lambda x, i: ~F.exists(F.slice(e, i + 2, F.greatest(F.size(e), F.lit(1))), lambda y: y["key"] == x["key"]))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x["value"])
-    return F.map_from_entries(F.transform(e, lambda x: F.struct(x["key"], F.when(total > 0, x["value"] / total).otherwise(x["value"]))))
+    share = lambda s: F.transform(s["e"], lambda x: F.struct(x["key"], F.when(s["total"] > 0, x["value"] / s["total"]).otherwise(x["value"])))
+    summed = lambda e: F.struct(e.alias("e"), F.aggregate(e, F.lit(0.0), lambda a, x: a + x["value"]).alias("total"))
+    return F.map_from_entries(_let(_let(_last(e), summed), share))
 
 
 def combined_probability(tokens: Column, response: Column) -> Column:
-    """Probability of the first token span that spells the response, blanks and case aside; else of all tokens."""
-    flat = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
-    n = F.size(tokens)
-    starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    all_spans = F.flatten(F.transform(starts, lambda a: F.transform(F.sequence(a, F.greatest(n, a)), lambda b: F.struct(a.alias("a"), (b - a + 1).alias("k")))))
-    fits = F.filter(all_spans, lambda s: flat(F.array_join(F.transform(F.slice(tokens, s["a"], s["k"]), lambda t: t["token"]), "")) == flat(response))
-    span = F.coalesce(F.get(fits, F.lit(0)), F.struct(F.lit(1).alias("a"), n.alias("k")))
-    return F.when(n > 0, F.exp(F.aggregate(F.slice(tokens, span["a"], span["k"]), F.lit(0.0), lambda x, t: x + t["logprob"])))
+    """Probability of the first token span that spells the response, blanks and case aside; else of all tokens.
+
+    Tokens are flattened and joined once: a span fits where the joined text goes on with the response and a
+    token ends where that ends.
+    """
+    blanks = F.lit(" \t\r\n\x0b\x0c")
+    flat = F.transform(tokens, lambda t: F.lower(F.btrim(t["token"], blanks)))
+    want = F.lower(F.replace(F.btrim(response, blanks), F.lit(" "), F.lit("")))
+    ends = lambda f: F.aggregate(f, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
+    made = lambda f: F.struct(F.array_join(f, "").alias("whole"), ends(f).alias("ends"), want.alias("want"))
+
+    def span(s: Column) -> Column:
+        # ends[i] is where token i begins; the first end from there on that closes the response
+        begin = lambda i: F.get(s["ends"], i)
+        close = lambda i: F.array_position(F.slice(s["ends"], i + 2, F.size(s["ends"])), begin(i) + F.length(s["want"])).cast("int")
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(s["ends"]) - 2, F.lit(0))), lambda i: F.coalesce(F.substring(s["whole"], begin(i) + 1, F.length(s["want"])) == s["want"], F.lit(False)))
+        fits = F.filter(F.transform(starts, lambda i: F.struct(i.alias("a"), close(i).alias("k"))), lambda x: x["k"] > 0)
+        return F.coalesce(F.get(fits, F.lit(0)), F.struct(F.lit(0).alias("a"), F.size(tokens).alias("k")))
+
+    found = _let(_let(flat, made), span)
+    part = _let(found, lambda x: F.slice(tokens, x["a"] + 1, x["k"]))
+    return F.when(F.size(tokens) > 0, F.exp(F.aggregate(part, F.lit(0.0), lambda x, t: x + t["logprob"])))
+
+
+def with_text_response(records: DataFrame, texts: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """Log-probability records with ``response``, trimmed, of the first text record with the same keys, by ``order``; null without one.
+
+    Keys match null with null. Of a key's text records only the first travels on.
+    """
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    first = texts.where(F.col("response").isNotNull()).withColumn("__r", rank).where("__r = 1")
+    first = first.select(*[F.col(k).alias(f"__{k}") for k in keys], F.btrim("response", F.lit(" \t\r\n\x0b\x0c")).alias("response"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return records.drop("response").join(first, same, "left").drop(*[f"__{k}" for k in keys])
 
 
 # --- aggregates -----------------------------------------------------------
@@ -203,6 +265,12 @@ def year_error(rows: DataFrame, peak_rows: DataFrame, *by: str) -> DataFrame:
     return off.groupBy(*by).agg(F.avg(F.abs(F.col("mean_year") - F.col("peak_year"))).alias("mae_mean"), F.avg(F.abs(F.col("median_year") - F.col("peak_year"))).alias("mae_median"), F.count("*").alias("words"))
 
 
+def year_accuracy(rows: DataFrame, *by: str) -> DataFrame:
+    """Correct and all answers of each (``by``, word, year), and their share; rows without a year are left out."""
+    g = rows.where(F.col("year").isNotNull() & (F.col("year").cast("string") != "")).groupBy(*by, "word", "year")
+    return g.agg(F.sum(F.col("correct").cast("long")).alias("n_correct"), F.count("*").alias("n_total")).withColumn("accuracy", F.col("n_correct") / F.col("n_total"))
+
+
 def macro_mean(cells: DataFrame, value: str, n: str, *by: str, least: int = 1) -> DataFrame:
     """Unweighted mean over models of their own rates; thin cells are left out."""
     return cells.groupBy(*by).agg(F.avg(F.when(F.col(n) >= least, F.col(value))).alias("macro_mean"), F.count(F.when(F.col(n) >= least, F.col(value))).alias("models"))

@@ -42,10 +42,10 @@ def two_stage(rows: DataFrame, by: str, total: int, parts: int, *keys: str, seed
     return sample(sample_by(inside, by, -(-total // parts), *keys, seed=seed), total, *keys, seed=seed + 1)
 
 
-def sample_tokens(rows: DataFrame, by: str, tokens: Column, n: int, seed: int = 0) -> DataFrame:
-    """n tokens of each group, uniform over occurrences."""
-    each = rows.select(by, F.posexplode(tokens).alias("at", "word"), F.monotonically_increasing_id().alias("__row"))
-    return sample_by(each, by, n, "__row", "at", seed=seed).select(by, "word")
+def sample_tokens(rows: DataFrame, by: str, tokens: Column, n: int, *keys: str, seed: int = 0) -> DataFrame:
+    """n tokens of each group, uniform over occurrences; ``keys`` name a row, so the sample is the same in any partitioning."""
+    each = rows.select(by, *[F.col(k).alias(f"__{k}") for k in keys], F.posexplode(tokens).alias("at", "word"))
+    return sample_by(each, by, n, *[f"__{k}" for k in keys], "at", seed=seed).select(by, "word")
 
 
 def fixed(rows: DataFrame, by: str, n: int, *keys: str, seed: int = 0) -> DataFrame:
@@ -54,16 +54,33 @@ def fixed(rows: DataFrame, by: str, n: int, *keys: str, seed: int = 0) -> DataFr
     return sample_by(rows.join(sizes.drop("__n"), by, "left_semi"), by, n, *keys, seed=seed)
 
 
+#: Ranges of the hash that a split's cut is first looked for in.
+RANGES = 1 << 16
+
+
 def stratified_split(rows: DataFrame, label: str, share: float, *keys: str, seed: int = 42) -> DataFrame:
-    """``is_train``: the share of each label, by hash order; exact to a row in each label."""
-    w = Window.partitionBy(label).orderBy(chance(*keys, seed=seed), *keys)
-    n = F.count("*").over(Window.partitionBy(label))
-    return rows.withColumn("is_train", F.row_number().over(w) <= F.round(n * share))
+    """``is_train``: the share of each label, by hash order; exact to a row in each label.
+
+    The cut is found in counts by range of the hash; only the range that it falls in is ordered row by row.
+    """
+    r = rows.withColumn("__chance", chance(*keys, seed=seed))
+    r = r.withColumn("__range", F.shiftright("__chance", 64 - RANGES.bit_length() + 1))
+    counts = r.groupBy(F.col(label).alias("__label"), "__range").agg(F.count("*").alias("__m"))
+    along = Window.partitionBy("__label").orderBy("__range")  # RANGES rows of a label at most
+    cut = counts.withColumn("__upto", F.sum("__m").over(along)).withColumn("__n", F.sum("__m").over(Window.partitionBy("__label")))
+    cut = cut.withColumn("__left", F.round(F.col("__n") * share) - F.col("__upto") + F.col("__m")).select("__label", F.col("__range").alias("__r"), "__m", "__left")
+    r = r.join(cut, F.col(label).eqNullSafe(F.col("__label")) & (F.col("__range") == F.col("__r")))
+    some = (F.col("__left") > 0) & (F.col("__left") < F.col("__m"))
+    order = Window.partitionBy("__label", "__range").orderBy("__chance", *keys)
+    inside = r.where(some).withColumn("is_train", F.row_number().over(order) <= F.col("__left"))
+    whole = r.where(~some).withColumn("is_train", F.col("__left") > 0)
+    return whole.unionByName(inside).drop("__chance", "__range", "__label", "__r", "__m", "__left")
 
 
 def top_up(rows: DataFrame, have: DataFrame, by: str, n: int, *keys: str, seed: int = 0) -> DataFrame:
-    """What groups with fewer than n collected rows still need, from rows not collected yet."""
+    """What groups with fewer than n collected rows still need, from rows not collected yet; groups are first cut to n in salted parts."""
     got = have.groupBy(by).agg(F.count("*").alias("__have"))
-    fresh = rows.join(have.select(*keys).distinct(), list(keys), "left_anti").join(got, by, "left").withColumn("__need", n - F.coalesce("__have", F.lit(0)))
-    ranked = fresh.where("__need > 0").withColumn("__rank", F.row_number().over(Window.partitionBy(by).orderBy(chance(*keys, seed=seed ^ 0x5A5A5A5A), *keys)))
+    fresh = rows.join(have.select(*keys).distinct(), list(keys), "left_anti").join(got, by, "left").withColumn("__need", n - F.coalesce("__have", F.lit(0))).where("__need > 0")
+    few = sample_by(fresh, by, n, *keys, seed=seed ^ 0x5A5A5A5A)
+    ranked = few.withColumn("__rank", F.row_number().over(Window.partitionBy(by).orderBy(chance(*keys, seed=seed ^ 0x5A5A5A5A), *keys)))
     return ranked.where("__rank <= __need").drop("__have", "__need", "__rank")

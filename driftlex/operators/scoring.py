@@ -31,25 +31,57 @@ ALWAYS_SLANG = (
     "yoooooo", "nahhh", "nahhhh", "nahhhhh", "omggg",
 )
 LANG_LEAST, QUALITY_LEAST = 0.85, 0.70
+# Fewest tokens of prose; (share, penalty) below which function words are too few; above which commas and
+# separators are too many.
+LEAST_TOKENS = 8
+FEW_FUNCTION_WORDS = ((0.04, 0.5), (0.08, 0.2))
+MANY_COMMAS = ((0.12, 0.4), (0.06, 0.15))
+MANY_SEPARATORS = ((0.04, 0.4),)
+#: Share of function words at which a text is taken for English with certainty.
+ENGLISH_SHARE = 0.2
 # What trends leave out, and the sense score from which a row counts.
 EXCLUDED_TERMS, EXCLUDED_YEARS, SENSE_LEAST = ("💀", "😭"), (2013,), 0.99
 
 
-def quality(text: Column | str, words: tuple[str, ...] = FUNCTION_WORDS) -> Column:
-    """Heuristic share of running prose, 0 to 1; 0 for fewer than eight tokens or a null."""
-    c = F.col(text) if isinstance(text, str) else text
-    tokens = F.regexp_extract_all(c, F.lit(f"[^{T.WS}]+"), F.lit(0))
-    n = F.size(tokens)
-    ratio = F.size(F.filter(tokens, lambda x: F.lower(F.btrim(x, F.lit(STRIPPED))).isin(list(words)))) / n
-    count = lambda sign: (F.length(c) - F.length(F.replace(c, F.lit(sign), F.lit("")))) / len(sign)
-    commas, bars = count(",") / n, (count("|") + count(" / ")) / n
-    score = (
-        F.lit(1.0)
-        - F.when(ratio < 0.04, 0.5).when(ratio < 0.08, 0.2).otherwise(0.0)
-        - F.when(commas > 0.12, 0.4).when(commas > 0.06, 0.15).otherwise(0.0)
-        - F.when(bars > 0.04, 0.4).otherwise(0.0)
-    )
-    return F.when(c.isNull() | (n < 8), 0.0).otherwise(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)))
+def _penalty(share: Column, steps: tuple, above: bool) -> Column:
+    out = None
+    for limit, loss in steps:
+        met = share > limit if above else share < limit
+        out = F.when(met, loss) if out is None else out.when(met, loss)
+    return out.otherwise(0.0)
+
+
+def _counted(rows: DataFrame, text: str, words: tuple[str, ...]) -> DataFrame:
+    """``__n`` tokens and ``__f`` function words; the text is cut once, in a projection of its own."""
+    tokens = F.regexp_extract_all(F.col(text), F.lit(f"[^{T.WS}]+"), F.lit(0))
+    known = F.filter("__tokens", lambda x: F.lower(F.btrim(x, F.lit(STRIPPED))).isin(list(words)))
+    return rows.withColumn("__tokens", tokens).withColumn("__n", F.size("__tokens")).withColumn("__f", F.size(known)).drop("__tokens")
+
+
+def with_quality(rows: DataFrame, text: str = "text", name: str = "quality_score", words: tuple[str, ...] = FUNCTION_WORDS) -> DataFrame:
+    """``name``: heuristic share of running prose, 0 to 1; 0 for fewer than eight tokens or a null."""
+    c, n = F.col(text), F.col("__n")
+    count = lambda sign: F.length(c) - F.length(F.replace(c, F.lit(sign), F.lit("")))
+    df = _counted(rows, text, words).withColumn("__c", count(",")).withColumn("__s", count("|") + count(" / ") / 3)
+    score = F.lit(1.0) - _penalty(F.col("__f") / n, FEW_FUNCTION_WORDS, False) - _penalty(F.col("__c") / n, MANY_COMMAS, True) - _penalty(F.col("__s") / n, MANY_SEPARATORS, True)
+    score = F.when(c.isNull() | (n < LEAST_TOKENS), 0.0).otherwise(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)))
+    return df.withColumn(name, score).drop("__n", "__f", "__c", "__s")
+
+
+def with_english(rows: DataFrame, text: str = "text", name: str = "lang_score", model: Callable[[Iterator[pd.Series]], Iterator[pd.Series]] | None = None) -> DataFrame:
+    """``name``: how likely a text is English, 0 to 1, and 0 for a null or a text without tokens.
+
+    ``model`` maps batches of texts to probabilities; without one, it is the share of English function words
+    among the tokens, as a part of ``ENGLISH_SHARE``.
+    """
+    if model is None:
+        share = F.col("__f") / F.greatest("__n", F.lit(1)) / ENGLISH_SHARE
+        return _counted(rows, text, FUNCTION_WORDS).withColumn(name, F.when(F.col("__n") > 0, F.least(share, F.lit(1.0))).otherwise(0.0)).drop("__n", "__f")
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from model(batches)
+
+    return rows.withColumn(name, F.coalesce(F.pandas_udf(run, t.DoubleType())(F.coalesce(F.col(text), F.lit(""))), F.lit(0.0)))
 
 
 def cascade(rows: DataFrame, lang: Column, quality_: Column, least: float = LANG_LEAST) -> DataFrame:
@@ -87,6 +119,17 @@ def scored(rows: DataFrame, score: Callable[[Iterator[pd.Series]], Iterator[pd.S
     return known.unionByName(rest)
 
 
+def sense_scored(rows: DataFrame, score: Callable[[Iterator[pd.Series]], Iterator[pd.Series]], prompt: Column, always: tuple[str, ...] = ALWAYS_SLANG, least: int = 50, name: str = "sense_score") -> DataFrame:
+    """``name``, ``group_key`` and ``rare``: 1 for targets that are slang in any sense, null for those of rare groups, else the model's.
+
+    Neither kind of row reaches the model.
+    """
+    known = list(always)
+    routed = rare_groups(rows, least, always=always)
+    rare = routed.where("rare").withColumn(name, F.lit(None).cast("double"))
+    return scored(routed.where("not rare"), score, prompt, known, name=name).unionByName(rare)
+
+
 def prompt(template: str, target: Column, context: Column) -> Column:
     """``{target}`` and ``{context}`` of a template filled in; values aren't read again."""
     out, rest = [], template
@@ -102,11 +145,15 @@ def prompt(template: str, target: Column, context: Column) -> Column:
 
 
 def rare_groups(rows: DataFrame, least: int = 50, low: int = 40, high: int = 600, always: tuple[str, ...] = ()) -> DataFrame:
-    """``rare``: whether a target's group has fewer than ``least`` usable contexts; such rows skip the model."""
+    """``rare``: whether a target's group has fewer than ``least`` usable contexts; such rows skip the model.
+
+    Targets in ``always`` bypass the model anyway: they count for no group and are never rare.
+    """
     rows = rows.withColumn("group_key", T.group_key("target"))
-    usable = F.length(T.clean("target_context")).between(low, high) & ~F.lower(F.btrim("target")).isin(list(always) or [""])
+    sure = F.coalesce(F.lower(F.btrim("target")).isin(list(always) or [""]), F.lit(False))
+    usable = F.length(T.clean("target_context")).between(low, high) & ~sure
     counts = rows.groupBy("group_key").agg(F.sum(usable.cast("long")).alias("usable"))
-    return rows.join(counts, "group_key").withColumn("rare", F.col("usable") < least)
+    return rows.join(counts, "group_key").withColumn("rare", (F.col("usable") < least) & ~sure)
 
 
 def sense_filter(rows: DataFrame, least: float, score: str = "sense_score", score_all: bool = False) -> DataFrame:

@@ -20,6 +20,13 @@ def vintage(counts: DataFrame, peak_rows: DataFrame, *by: str) -> DataFrame:
     return j.groupBy(*by).agg((F.sum(F.col("n") * F.col("peak_year")) / F.sum("n")).alias("vintage"), F.sum("n").alias("hits"), F.count("*").alias("words"))
 
 
+def vintage_lags(model_counts: DataFrame, corpus_counts: DataFrame, peak_rows: DataFrame, *by: str) -> DataFrame:
+    """Each model's vintage, the corpus's over words with a peak, and the lag: how far the model's lies behind."""
+    corpus = vintage(corpus_counts, peak_rows).select(F.col("vintage").alias("corpus_vintage"))
+    models = vintage(model_counts, peak_rows, *by)
+    return models.join(F.broadcast(corpus)).withColumn("lag", F.col("vintage") - F.col("corpus_vintage"))  # one row
+
+
 def contributions(counts: DataFrame, peak_rows: DataFrame) -> DataFrame:
     """Each word's weight and weighted year. ``counts`` has a row for each word."""
     j = counts.where("n > 0").join(F.broadcast(peak_rows.select("word", "peak_year")), "word")
@@ -37,9 +44,19 @@ def pearson(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
 
 
 def ranked(df: DataFrame, x: str, out: str, *by: str) -> DataFrame:
-    """Average ranks, ties sharing theirs. One window for each group of ``by``."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    return df.withColumn(out, F.rank().over(w.orderBy(x)) + (F.count("*").over((Window.partitionBy(*by, x))) - 1) / 2)
+    """Average ranks, ties sharing theirs; counted over the distinct values of each group, within ranges and over them.
+
+    A group's rows are never gathered: a value's rank joins back to them.
+    """
+    counts = df.groupBy(*by, x).agg(F.count("*").alias("__c"))
+    dealt = counts.repartitionByRange(F.col(x)).withColumn("__part", F.spark_partition_id())
+    own = dealt.groupBy(*by, "__part").agg(F.sum("__c").alias("__m"))
+    ahead = own.withColumn("__ahead", F.coalesce(F.sum("__m").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__m")
+    inner = F.coalesce(F.sum("__c").over(Window.partitionBy(*by, "__part").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by] + [F.col("a.__part") == F.col("b.__part")]
+    ranks = dealt.withColumn("__inner", inner).alias("a").join(ahead.alias("b"), same).select(*[F.col(f"a.{c}").alias(f"__{c}") for c in by], F.col(f"a.{x}").alias("__x"), (F.col("b.__ahead") + F.col("a.__inner") + (F.col("a.__c") + 1) / 2).alias(out))
+    match = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by] + [F.col(x) == F.col("__x")]
+    return df.join(ranks, match).drop("__x", *[f"__{c}" for c in by])
 
 
 def spearman(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
@@ -160,6 +177,39 @@ def mixture(spark, years: np.ndarray, p: np.ndarray, q: np.ndarray, method: str
     return spark.createDataFrame(rows, "year int, weight double, divergence double, null_divergence double, vintage double")
 
 
+#: A word's share of the responses over the mixture's, from which it is flagged as over- or under-used.
+OVER, UNDER = 3.0, 0.33
+
+
+def word_fit(spark, words: list[str], p: np.ndarray, q: np.ndarray, method: str = "em") -> DataFrame:
+    """(word, p_model, p_mix, ratio, flag) of the words in use: flag 1 if over-used, -1 if under-used, else 0."""
+    w = em_weights(p, q) if method == "em" else l2_weights(p, q)
+    mix = w @ p
+    rows = [(x, float(a), float(b), float(a / b) if b > 0 else None) for x, a, b in zip(words, q, mix, strict=True) if a > 0]
+    rows = [(*r, 1 if r[3] is None or r[3] > OVER else -1 if r[3] < UNDER else 0) for r in rows]
+    return spark.createDataFrame(rows, "word string, p_model double, p_mix double, ratio double, flag int")
+
+
+def mixture_bootstrap(spark, years: np.ndarray, p: np.ndarray, n: np.ndarray, replicates: int, method: str = "em", seed: int = 42, level: float = 0.95) -> DataFrame:
+    """(year, low, high) of the mixture's weights under Poisson draws of the counts ``n``, refitted each; year null: of its vintage."""
+    fit = em_weights if method == "em" else l2_weights
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for i in b["id"]:
+                x = np.random.default_rng([seed, int(i)]).poisson(n).astype(float)
+                if x.sum():
+                    w = fit(p, x / x.sum())
+                    out += [(float(y), float(v)) for y, v in zip(years, w, strict=True)] + [(None, float(w @ years))]
+            yield pd.DataFrame(out, columns=["year", "value"], dtype="float64")
+
+    tail = (1 - level) / 2
+    draws = spark.range(0, replicates, 1, max(1, min(replicates, spark.sparkContext.defaultParallelism))).mapInPandas(run, "year double, value double")
+    draws = draws.select(F.nanvl("year", F.lit(None)).cast("int").alias("year"), "value")
+    return draws.groupBy("year").agg(F.percentile("value", tail).alias("low"), F.percentile("value", 1 - tail).alias("high"), F.count("*").alias("replicates"))
+
+
 def poisson_bootstrap(spark, n: np.ndarray, value, replicates: int, seed: int = 42, level: float = 0.95) -> DataFrame:
     """Interval of ``value(counts)`` under Poisson draws of the counts. Replicates are dealt over tasks, each with its own seed."""
 

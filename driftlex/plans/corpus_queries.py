@@ -132,15 +132,56 @@ def smoothed_count(spark, d):
     return rates.smoothed_counts(date_grid(spark, d), "day", 5).select("target", F.col("day").cast("string").alias("day"), "smoothed_hits")
 
 
-@query()
+@query(
+    _GRID
+    + """, w as (select target, day, cast(sum(hits) over win as bigint) as k, cast(sum(tokens) over win as bigint) as n from grid window win as (partition by target order by day rows between 4 preceding and 4 following))
+select target, cast(day as varchar) as day, k as window_hits, k * 1000000 / n as smoothed_rate, true as low_ok, true as high_ok, k = 0 as low_is_zero from w"""
+)
 def poisson_ci(spark, d):
-    return rates.with_interval(rates.smoothed(date_grid(spark, d), "day", 9)).select("target", "day", "smoothed_rate", "rate_low", "rate_high")
+    """Bounds of the smoothed rate, held against Wilson and Hilferty's approximation of the exact ones."""
+    r = rates.with_interval(rates.smoothed(date_grid(spark, d), "day", 9))
+    k, per = F.col("window_hits"), 1e6 / F.col("window_tokens")
+    cube = lambda a, z: a * F.pow(1 - 1 / (9 * a) + z / (3 * F.sqrt(a)), F.lit(3.0))
+    near = lambda x, y: F.abs(x - y) <= 0.02 + 0.002 * y
+    low = F.when(k > 0, near(F.col("rate_low") / per, cube(F.greatest(k, F.lit(1)), F.lit(-1.959964)))).otherwise(F.col("rate_low") == 0)
+    high = near(F.col("rate_high") / per, cube(k + 1, F.lit(1.959964)))
+    return r.select("target", F.col("day").cast("string").alias("day"), "window_hits", "smoothed_rate", low.alias("low_ok"), high.alias("high_ok"), (F.col("rate_low") == 0).alias("low_is_zero"))
+
+
+@query(
+    _GRID
+    + """, w as (select target, day, cast(sum(hits) over win as bigint) as k, cast(sum(tokens) over win as bigint) as n from grid window win as (partition by target order by day rows between 4 preceding and 4 following)),
+r as (select target, day, k, k * 1000000 / n as y from w), p as (select *, max(y) over (partition by target) as top from r)
+select target, cast(day as varchar) as day, case when top > 0 then 100 * y / top else y end as pct, k > 0 as marked, true as inside from p"""
+)
+def pct_of_peak_interval(spark, d):
+    r = rates.percent_of_peak_with_interval(rates.with_interval(rates.smoothed(date_grid(spark, d), "day", 9)))
+    marked = rates.nonzero(r).select("target", "day", F.lit(True).alias("marked"))
+    r = r.join(marked, ["target", "day"], "left")
+    inside = (F.col("rate_low") <= F.col("smoothed_rate")) & (F.col("smoothed_rate") <= F.col("rate_high"))
+    return r.select("target", F.col("day").cast("string").alias("day"), F.col("smoothed_rate").alias("pct"), F.coalesce("marked", F.lit(False)).alias("marked"), inside.alias("inside"))
 
 
-@query()
+@query(f"with {RATES} select year, target, cast(hits as bigint) as k from rates")
+def reconstructed(spark, d):
+    tokens = totals(spark, d).where("target is null").groupBy("year").agg(F.sum("n").alias("tokens"))
+    return rates.reconstructed_counts(year_rates(spark, d), tokens).select("year", "target", "k")
+
+
+@query(
+    _GRID
+    + """, g as (select target, epoch(cast(day as timestamp)) / 86400 as x, hits * 1000000.0::double / tokens as y from grid)
+select target, count(*) as n, sum(y) as total, true as meets_normal_equations from g group by 1"""
+)
 def cubic_fit(spark, d):
+    """A least-squares cubic: its residuals are orthogonal to every power up to the third."""
     g = date_grid(spark, d).withColumn("rate", F.col("hits") * 1e6 / F.col("tokens")).withColumn("x", F.unix_date("day").cast("double")).select("target", "day", "x", "rate")
-    return rates.cubic(g, "x", "rate").select("target", "day", "rate", "fitted")
+    f = rates.cubic(g, "x", "rate", clip=False)
+    scale = Window.partitionBy("target")
+    z = (F.col("x") - F.avg("x").over(scale)) / F.stddev_pop("x").over(scale)
+    f = f.withColumn("z", z).withColumn("rest", F.col("rate") - F.col("fitted"))
+    bad = F.greatest(*[F.abs(F.sum(F.col("rest") * F.pow("z", F.lit(float(k))))) for k in range(4)])
+    return f.groupBy("target").agg(F.count("*").alias("n"), F.sum("rate").alias("total"), (bad <= 1e-6 * (1 + F.sum("rate"))).alias("meets_normal_equations"))
 
 
 @query(f"with {CORPUS} select distinct dump, cast(cast(date_trunc('week', make_date(year, 1, 4)) as date) + cast(7 * (cast(right(dump, 2) as integer) - 1) as integer) as varchar) as monday from corpus")
@@ -160,22 +201,32 @@ def trajectory_metrics(spark, d):
     return trajectory.roughness(rates.percent_of_peak(year_rates(spark, d)))
 
 
-@query(
-    f"""with {PEAKS},
-x as (select *, cast(row_number() over (partition by target order by year) - 1 as double) as x from pct),
-c as (select target, count(*) as n, avg(pct_of_peak) as my, regr_slope(pct_of_peak, x) as b1, sum((pct_of_peak - ym) * (pct_of_peak - ym)) as tot from (select *, avg(pct_of_peak) over (partition by target) as ym from x) group by 1)
-select target, n, tot as total_squares from c"""
-)
+_PARABOLA = """x as (select *, cast(row_number() over (partition by target order by year) - 1 as double) as x from {0}),
+m as (select target, count(*) as n, sum(x) as s1, sum(x*x) as s2, sum(x*x*x) as s3, sum(x*x*x*x) as s4, sum({1}) as t0, sum(x*{1}) as t1, sum(x*x*{1}) as t2, avg({1}) as mean from x group by 1),
+c as (select *, n * (s2*s4 - s3*s3) - s1 * (s1*s4 - s3*s2) + s2 * (s1*s3 - s2*s2) as det from m),
+k as (select *, (t0 * (s2*s4 - s3*s3) - s1 * (t1*s4 - s3*t2) + s2 * (t1*s3 - s2*t2)) / det as c0, (n * (t1*s4 - s3*t2) - t0 * (s1*s4 - s3*s2) + s2 * (s1*t2 - t1*s2)) / det as c1,
+  (n * (s2*t2 - t1*s3) - s1 * (s1*t2 - t1*s2) + t0 * (s1*s3 - s2*s2)) / det as c2 from c),
+f as (select x.*, k.mean, c0 + c1 * x.x + c2 * x.x * x.x as fit from x join k on x.target = k.target)"""
+
+
+@query(f"with {PEAKS}, {_PARABOLA.format('pct', 'pct_of_peak')} select target, count(*) as n, round(1 - sum((pct_of_peak - fit) * (pct_of_peak - fit)) / sum((pct_of_peak - mean) * (pct_of_peak - mean)), 6) as r2 from f group by 1")
 def series_spread(spark, d):
-    s = rates.percent_of_peak(year_rates(spark, d)).withColumn("m", F.avg("pct_of_peak").over(Window.partitionBy("target")))
-    return s.groupBy("target").agg(F.count("*").alias("n"), F.sum((F.col("pct_of_peak") - F.col("m")) * (F.col("pct_of_peak") - F.col("m"))).alias("total_squares"))
+    """How much of a series' spread its parabola explains."""
+    s = trajectory.quadratic(rates.percent_of_peak(year_rates(spark, d)))
+    return s.groupBy("target").agg(F.count("*").alias("n"), F.round(F.first("r2"), 6).alias("r2"))
 
 
-@query()
+@query(
+    f"""with {PEAKS}, {_PARABOLA.format('rates', 'rate')},
+z as (select f.*, ytok.tokens / 1e6 as mt from f join ytok using (year))
+select target, round(1 - sum((rate - fit) * (rate - fit)) / sum((rate - mean) * (rate - mean)), 6) as r2,
+  round(sqrt(sum((rate - fit) * (rate - fit) * mt * mt / greatest(fit * mt, 0.5)) / (count(*) - 3)), 6) as noise_multiple from z group by 1"""
+)
 def quadratic_noise(spark, d):
     c = totals(spark, d).where("target is null").groupBy("year").agg(F.sum("n").alias("tokens"))
-    fitted = trajectory.quadratic(year_rates(spark, d), "rate_per_million").join(F.broadcast(c), "year")
-    return fitted.groupBy("target").agg(F.first("r2").alias("r2")).join(trajectory.noise(fitted), "target")
+    fitted = trajectory.quadratic(year_rates(spark, d), "rate_per_million").join(F.broadcast(c), "year")  # a row for each year
+    out = fitted.groupBy("target").agg(F.first("r2").alias("r2")).join(trajectory.noise(fitted), "target")
+    return out.select("target", F.round("r2", 6).alias("r2"), F.round("noise_multiple", 6).alias("noise_multiple"))
 
 
 @query(f"with {RATES}, h as (select target, list_sort(list(hits) filter (where hits > 0)) as h from rates group by 1) select target, 100 / sqrt(h[len(h) // 2 + 1]) as se_pct from h")
@@ -233,13 +284,24 @@ _QUALITY = f"""q as (
 
 @query(f"with {_QUALITY} select doc_id, quality_score from q")
 def quality_score(spark, d):
-    return table(spark, d, "documents").select("doc_id", scoring.quality("text").alias("quality_score"))
+    return scoring.with_quality(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "quality_score")
+
 
+_ENGLISH = f"e as (select doc_id, case when n > 0 then least(f / n / {scoring.ENGLISH_SHARE}, 1.0::double) else 0.0::double end as lang_score from qc)"
+_QUALITY_PARTS = _QUALITY.replace("q as (", "", 1)
+_COUNTED = "qc as (" + _QUALITY_PARTS[_QUALITY_PARTS.index("from (select doc_id, text, len(t) as n") + len("from ("): -2] + ")"
 
-@query(f"with {_QUALITY} select doc_id, l as lang_score, case when l >= 0.85 then quality_score else 1.0::double end as quality_score from (select q.*, case when lang = 'en' then 0.99::double when lang = 'de' then 0.86::double else 0.1::double end as l from q join documents using (doc_id)) where l >= 0.85 and (case when l >= 0.85 then quality_score else 1.0::double end) >= 0.7")
+
+@query(f"with {_COUNTED}, {_ENGLISH} select doc_id, lang_score from e")
+def english_score(spark, d):
+    return scoring.with_english(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "lang_score")
+
+
+@query(f"with {_QUALITY}, {_COUNTED}, {_ENGLISH} select doc_id, lang_score, quality_score from q join e using (doc_id) where lang_score >= 0.85 and quality_score >= 0.7")
 def cascade_filter(spark, d):
-    lang = F.when(F.col("lang") == "en", 0.99).when(F.col("lang") == "de", 0.86).otherwise(0.1)
-    return scoring.passes(scoring.cascade(table(spark, d, "documents"), lang, scoring.quality("text"))).select("doc_id", "lang_score", "quality_score")
+    docs = scoring.with_quality(scoring.with_english(table(spark, d, "documents").select("doc_id", "text"), name="__english"), name="__quality")
+    scores = scoring.cascade(docs, F.col("__english"), F.col("__quality"))
+    return scoring.passes(scores).select("doc_id", "lang_score", "quality_score")
 
 
 @query("select doc_id, s as sbert_score from (select doc_id, case when doc_id % 5 = 0 then null when doc_id % 5 = 1 then '' when doc_id % 5 = 2 then 'n/a' else cast((doc_id % 100) / 100.0 as varchar) end as s from documents) where coalesce(try_cast(s as double) >= 0.4, true)")
@@ -259,9 +321,36 @@ def sense_filter(spark, d):
 @query(f"with {SCORED} select doc_id, pos::integer as pos, target, case when target in ('haha', 'hahaha') then 1.0::double else sense_score end as sense_score from scored where sense_score is null or target in ('haha', 'hahaha') or sense_score >= 0.9")
 def sense_bypass(spark, d):
     rows = scored(spark, d).withColumn("sense_score", F.when(F.col("target").isin("haha", "hahaha"), 1.0).otherwise(F.col("sense_score")))
-    raw = scored(spark, d).select("doc_id", "pos", F.col("sense_score").isNull().alias("blank"))
-    kept = rows.join(raw, ["doc_id", "pos"]).where("blank or target in ('haha', 'hahaha') or sense_score >= 0.9")
-    return kept.select("doc_id", "pos", "target", "sense_score")
+    blank = pseudo_score(F.col("doc_id"), F.col("pos")).isNull()
+    return scoring.sense_filter(rows.where(~blank | F.col("sense_score").isNull() | F.col("target").isin("haha", "hahaha")), 0.9).select("doc_id", "pos", "target", "sense_score")
+
+
+def _prompt_length_model(batches):
+    """A stand-in for a sense model that can be told in SQL: a probability from a prompt's length."""
+    for prompts in batches:
+        yield (prompts.str.len() % 101) / 100.0
+
+
+_CONTEXTS = f"{HITS.replace('pos, key as target from keys', 'pos, key as target, pieces from keys')}, ctx as (select doc_id, pos, target, {_RTRIM % 'pieces[greatest(pos - 5, 0) + 1:pos + 6]'} as target_context from hits)"
+
+
+@query(
+    f"""with {_CONTEXTS},
+g as (select target, sum(case when length(trim(regexp_replace(target_context, '[{WS}]+', ' ', 'g'), ' ')) between 40 and 600 then 1 else 0 end) as usable from ctx where target <> 'haha' group by 1),
+s as (select doc_id, pos, target, coalesce(usable < 3000, false) as rare, case when target = 'haha' then 1.0::double when usable < 3000 then null else round(2 * (length('Is ' || target || ' slang in: ' || target_context) % 101) / 100.0::double - 1, 4) end as sense_score from ctx left join g using (target))
+select doc_id, cast(pos as integer) as pos, target, rare, sense_score from s where sense_score is null or sense_score >= 0.5"""
+)
+def sense_scored(spark, d):
+    """Always-slang targets, rare groups and the model in one pass over the contexts."""
+    rows = kwic(corpus(spark, d), SINGLES, 5, ("doc_id",))
+    prompt = scoring.prompt("Is {target} slang in: {context}", F.col("target"), F.col("target_context"))
+    out = scoring.sense_filter(scoring.sense_scored(rows, _prompt_length_model, prompt, ("haha",), least=3000), 0.5)
+    return out.select("doc_id", "pos", "target", "rare", "sense_score")
+
+
+@query("select lang, count(*) filter (contains(text, ' the ')) as holds, count(*) as n from documents group by 1")
+def substring_flag(spark, d):
+    return table(spark, d, "documents").groupBy("lang").agg(F.count(F.when(T.holds("text", " the "), 1)).alias("holds"), F.count("*").alias("n"))
 
 
 @query(
@@ -277,25 +366,48 @@ def group_key(spark, d):
     return table(spark, d, "documents").select("doc_id", T.group_key("text").alias("group_key"))
 
 
-@query("select lower(trim(regexp_replace(text, '[\\x09-\\x0D ]+', ' ', 'g'), ' ')) as clean, min(doc_id) as doc_id, count(*) as copies from documents where doc_id not in (select item_id from benchmark) group by 1")
+@query(
+    f"""with t as (select doc_id, text, 'd' as kind from documents union all select item_id, text, 'b' from benchmark),
+c as (select doc_id, kind, trim(regexp_replace(text, '[{WS}]+', ' ', 'g'), ' ') as clean from t where text is not null)
+select md5(lower(clean)) as clean_md5, min(doc_id) as doc_id, count(*) as copies from c where kind = 'd' and length(clean) between 40 and 3000 and lower(clean) not in (select lower(clean) from c where kind = 'b') group by 1"""
+)
 def exclude_contexts(spark, d):
-    docs = table(spark, d, "documents").join(F.broadcast(table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"))), "doc_id", "left_anti")
-    return docs.select(F.lower(T.clean("text")).alias("clean"), "doc_id").groupBy("clean").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    """Texts of a fit length that are no benchmark text, grouped by a hash of the clean text."""
+    rows = table(spark, d, "documents").select("doc_id", F.col("text").alias("target_context"))
+    kept = annotation.usable_contexts(rows, table(spark, d, "benchmark"), 40, 3000)
+    return kept.groupBy(F.md5(F.lower("clean")).alias("clean_md5")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
-@query()
+@query(f"with {CORPUS} select dump, least(count(*), 10) as n, true as least_hashes, 0 as strangers from corpus group by 1")
 def reservoir_docs(spark, d):
-    return sampling.sample_by(corpus(spark, d).select("dump", "doc_id"), "dump", 10, "doc_id", seed=7)
+    """Ten documents of each crawl: the sample's sizes, and that no other document's hash comes before."""
+    c = corpus(spark, d).select("dump", "doc_id")
+    s = sampling.sample_by(c, "dump", 10, "doc_id", seed=7).withColumn("chance", sampling.chance("doc_id", seed=7))
+    drawn = s.groupBy("dump").agg(F.count("*").alias("n"), F.max("chance").alias("last"))
+    rest = c.join(s.select("doc_id"), "doc_id", "left_anti").groupBy("dump").agg(F.min(sampling.chance("doc_id", seed=7)).alias("next"))
+    strangers = s.join(c.withColumnRenamed("dump", "own"), "doc_id").groupBy("dump").agg(F.sum((F.col("dump") != F.col("own")).cast("int")).alias("strangers"))
+    return drawn.join(rest, "dump", "left").join(strangers, "dump").select("dump", "n", F.coalesce(F.col("last") <= F.col("next"), F.lit(True)).alias("least_hashes"), F.col("strangers").cast("int").alias("strangers"))
 
 
-@query()
+@query(f"with {CORPUS}, n as (select dump, count(*) as m from corpus group by 1) select cast(least(60, sum(least(m, 10))) as bigint) as n, 6 as dumps, 10 as most_of_a_dump, true as distinct_docs from (select * from n order by m desc limit 6)")
 def two_stage_sample(spark, d):
-    return sampling.two_stage(corpus(spark, d).select("dump", "doc_id"), "dump", 60, 6, "doc_id", seed=7)
+    """Sixty documents of six crawls: numbers that any such sample has."""
+    s = sampling.two_stage(corpus(spark, d).select("dump", "doc_id"), "dump", 60, 6, "doc_id", seed=7)
+    per = s.groupBy("dump").agg(F.count("*").alias("m"), F.countDistinct("doc_id").alias("k"))
+    return per.agg(F.sum("m").cast("long").alias("n"), F.count("*").cast("int").alias("dumps"), F.max("m").cast("int").alias("most_of_a_dump"), F.every(F.col("m") == F.col("k")).alias("distinct_docs"))
 
 
-@query()
+@query(
+    f"""with {CORPUS}, w as (select dump, list_filter(list_transform(regexp_extract_all(text, '[a-zA-Z''-]+'), lambda x: lower(x)), lambda x: length(x) >= 3) as ws from corpus)
+select dump, cast(least(20, sum(len(ws))) as bigint) as n, true as all_there from w group by 1"""
+)
 def token_sample(spark, d):
-    return sampling.sample_tokens(corpus(spark, d), "dump", T.sampler_tokens("text"), 20, seed=3)
+    """Twenty tokens of each crawl, all of which it holds."""
+    c = corpus(spark, d)
+    s = sampling.sample_tokens(c, "dump", T.sampler_tokens("text"), 20, "doc_id", seed=3)
+    drawn = s.groupBy("dump").agg(F.count("*").alias("n"), F.collect_set("word").alias("words"))
+    there = c.join(drawn.select("dump", "words"), "dump").select("dump", F.explode(F.array_intersect(T.sampler_tokens("text"), "words")).alias("word")).groupBy("dump").agg(F.countDistinct("word").alias("k"))
+    return drawn.join(there, "dump").select("dump", F.col("n").cast("long").alias("n"), (F.col("k") == F.size("words")).alias("all_there"))
 
 
 @query("select source, count(*) as n, (sum(doc_id) * 0 + 1000003 * 7 + min(cast(substr(source, 4) as integer))) & 2147483647 as seed from documents group by 1")
@@ -339,9 +451,14 @@ def ranked_groups(spark, d):
     return n.withColumn("rank", rank).withColumn("grp", F.floor((F.col("rank") - 1) / 4))
 
 
-@query(f"with {CORPUS} select cast(count(*) as bigint) as docs, count(distinct uri) as uris, count(distinct dump) as dumps from corpus")
+@query(rf"with {HITS}, c as (select doc_id from corpus where regexp_matches(text, '(?i)(?:^|\s)[[:punct:]]*(?:haha|la)[[:punct:]]*(?:\s|$)')) select (select count(*) from corpus) as docs, (select count(*) from c) as candidates, (select count(*) from hits where target in ('haha', 'la')) as contexts, (select count(distinct target) from hits where target in ('haha', 'la')) as targets")
 def run_summary(spark, d):
-    return corpus(spark, d).agg(F.count("*").alias("docs"), F.countDistinct("uri").alias("uris"), F.countDistinct("dump").alias("dumps"))
+    """Counters of an extraction: documents, those that may match, contexts and targets found."""
+    words = ["haha", "la"]
+    c = corpus(spark, d)
+    docs = c.agg(F.count("*").alias("docs"), F.count(F.when(F.col("text").rlike(prefilter_pattern(words)), 1)).alias("candidates"))
+    found = kwic(c, words, 5, ("doc_id",)).agg(F.count("*").alias("contexts"), F.countDistinct("target").alias("targets"))
+    return docs.join(F.broadcast(found))  # a row each
 
 
 @query(
@@ -398,23 +515,85 @@ def _mixture_input(spark, d):
     return S.matrices(m, words.join(n, "word", "left").fillna(0, ["n"]))
 
 
-@query()
+@query(f"with {RATES} select year, true as simplex, true as better_than_uniform, true as stationary from (select distinct year from rates)")
 def mixture_em(spark, d):
-    return S.mixture(spark, *_mixture_input(spark, d), "em")
+    """The mixture nearest in relative entropy: weights on the simplex, and the conditions of the optimum."""
+    years, p, q = _mixture_input(spark, d)
+    m = S.mixture(spark, years, p, q, "em")
+    w = S.em_weights(p, q)
+    pull = p @ (q / (w @ p))  # at the optimum 1 where there is weight, and no more elsewhere
+    ok = bool((pull <= 1.02).all() and (abs(pull[w > 1e-3] - 1) <= 0.02).all())
+    one = m.agg(F.sum("weight").alias("total")).select((F.abs(F.col("total") - 1) < 1e-9).alias("simplex"))
+    return m.join(F.broadcast(one)).select("year", (F.col("simplex") & (F.col("weight") >= 0)).alias("simplex"), (F.col("divergence") <= F.col("null_divergence")).alias("better_than_uniform"), F.lit(ok).alias("stationary"))
 
 
-@query()
+@query(f"with {RATES} select year, true as simplex, true as better_than_uniform, true as stationary from (select distinct year from rates)")
 def mixture_l2(spark, d):
-    return S.mixture(spark, *_mixture_input(spark, d), "l2")
+    years, p, q = _mixture_input(spark, d)
+    m = S.mixture(spark, years, p, q, "l2")
+    w = S.l2_weights(p, q)
+    slope = p @ (w @ p - q)  # equal where there is weight, and no less elsewhere
+    level = float(w @ slope)
+    ok = bool((slope >= level - 1e-7).all() and (abs(slope[w > 1e-3] - level) <= 1e-6).all())
+    one = m.agg(F.sum("weight").alias("total")).select((F.abs(F.col("total") - 1) < 1e-9).alias("simplex"))
+    return m.join(F.broadcast(one)).select("year", (F.col("simplex") & (F.col("weight") >= 0)).alias("simplex"), (F.col("divergence") <= F.col("null_divergence") + 1e-12).alias("better_than_uniform"), F.lit(ok).alias("stationary"))
 
 
-@query()
+@query(
+    f"""with {PEAKS}, a as (select key as word, count(*) as n from (select lower(trim(regexp_replace(u, '[{WS}]+$', ''), '{T.PUNCTUATION.replace("'", "''")}')) as key from (select unnest(regexp_extract_all(text, '[^{WS}]+[{WS}]*')) as u from conversations where role = 'assistant' and text is not null)) where key in ({quoted(SINGLES)}) group by 1),
+k as (select word, n / (select sum(n) from a join peaks on word = target) as p_model from a join peaks on word = target) select word, p_model, true as consistent from k"""
+)
+def mixture_words(spark, d):
+    """Each word's share of the replies against the fitted mixture's, flagged if more than three times off."""
+    years, p, q = _mixture_input(spark, d)
+    words = sorted(r[0] for r in year_rates(spark, d).select("target").distinct().collect())  # the target words
+    f = S.word_fit(spark, words, p, q)
+    flag = F.when(F.col("ratio") > S.OVER, 1).when(F.col("ratio") < S.UNDER, -1).otherwise(0)
+    return f.select("word", "p_model", ((F.col("flag") == flag) & (F.abs(F.col("ratio") * F.col("p_mix") - F.col("p_model")) < 1e-9)).alias("consistent"))
+
+
+@query(f"with {RATES} select distinct year, 200 as replicates, true as around from rates union all select null, 200, true")
+def mixture_interval(spark, d):
+    """Intervals of the mixture's weights and of its vintage (a null year), refitted to 200 draws."""
+    years, p, q = _mixture_input(spark, d)
+    n = q * 2000
+    b = S.mixture_bootstrap(spark, years, p, n, 200, "em")
+    w = S.em_weights(p, q)
+    point = spark.createDataFrame([(int(y), float(x)) for y, x in zip(years, w, strict=True)] + [(None, float(w @ years))], "y int, point double")
+    wide = F.when(F.col("year").isNull(), 0.5).otherwise(0.05)
+    j = b.join(F.broadcast(point), F.col("year").eqNullSafe(F.col("y")))  # a row for each year
+    return j.select("year", F.col("replicates").cast("int").alias("replicates"), ((F.col("low") - wide <= F.col("point")) & (F.col("point") <= F.col("high") + wide)).alias("around"))
+
+
+@query(f"with {PEAKS} select 2000 as replicates, true as around, true as as_wide_as_theory from peaks limit 1")
 def bootstrap_vintage(spark, d):
+    """The interval of the vintage: about the estimate, and as wide as the delta method has it."""
     import numpy as np
 
     rows = rates.peaks(year_rates(spark, d)).select("peak_year", "total_hits").collect()  # a row for each target word
     years, n = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float)
-    return S.poisson_bootstrap(spark, n, lambda x: float(x @ years / x.sum()), 2000)
+    point = float(n @ years / n.sum())
+    se = float(np.sqrt((n * (years - point) ** 2).sum()) / n.sum())
+    b = S.poisson_bootstrap(spark, n, lambda x: float(x @ years / x.sum()), 2000)
+    width = (F.col("high") - F.col("low")) / (2 * 1.959964 * se)
+    return b.select(F.col("replicates").cast("int").alias("replicates"), ((F.col("low") <= point) & (F.col("high") >= point)).alias("around"), width.between(0.9, 1.1).alias("as_wide_as_theory"))
+
+
+@query(
+    f"""with {PEAKS}, a as (select key as word, count(*) as n, role from (select role, lower(trim(regexp_replace(u, '[{WS}]+$', ''), '{T.PUNCTUATION.replace("'", "''")}')) as key from (select role, unnest(regexp_extract_all(text, '[^{WS}]+[{WS}]*')) as u from conversations where text is not null)) where key in ({quoted(SINGLES)}) group by 1, 3),
+c as (select cast(sum(total_hits * peak_year) as bigint) / cast(sum(total_hits) as bigint) as corpus_vintage from peaks)
+select role as model, sum(n * peak_year)::bigint / sum(n)::bigint as vintage, sum(n)::bigint as hits, count(*) as words, corpus_vintage, sum(n * peak_year)::bigint / sum(n)::bigint - corpus_vintage as lag from a join peaks on word = target cross join c group by role, corpus_vintage"""
+)
+def vintage_lag(spark, d):
+    p = rates.peaks(year_rates(spark, d)).withColumnRenamed("target", "word")
+    said = table(spark, d, "conversations").select(F.col("role").alias("model"), F.explode(T.keys("text")).alias("word")).where(F.col("word").isin(SINGLES)).groupBy("model", "word").agg(F.count("*").alias("n"))
+    return S.vintage_lags(said, p.select("word", F.col("total_hits").alias("n")), p, "model")
+
+
+@query(f"with {PEAKS}, t as (select sum(total_hits)::bigint as total from peaks) select target as word, total_hits::bigint as n, peak_year, total_hits::bigint / total as weight, total_hits::bigint / total * peak_year as contribution from peaks cross join t where total_hits > 0")
+def vintage_words(spark, d):
+    p = rates.peaks(year_rates(spark, d)).withColumnRenamed("target", "word")
+    return S.contributions(p.select("word", F.col("total_hits").alias("n")), p)
 
 
 @query(f"with {KEYS} select d.lang, key as target, count(*) as n from keys k join documents d using (doc_id) where key in ({quoted(SINGLES)}) group by 1, 2")
@@ -428,13 +607,24 @@ def aggregate_series(spark, d):
     return t.groupBy("dump").agg(F.sum("n").alias("hits"))
 
 
-@query()
+@query(
+    f"""with {HITS.replace('pos, key as target from keys', 'pos, key as target, pieces from keys')},
+c as (select doc_id, pos, target, trim(regexp_replace({_RTRIM % 'pieces[greatest(pos - 20, 0) + 1:pos + 21]'}, '[{WS}]+', ' ', 'g'), ' ') as clean from hits where target in ('haha', 'hahaha', 'und')),
+u as (select target, lower(clean) as text, count(*) as n from c where length(clean) between 40 and 600 group by 1, 2)
+select target as group_key, true as bounded, true as texts_once, true as usable from u group by 1"""
+)
 def annotation_pool(spark, d):
+    """At most 25 contexts of each group, each text once, of a fit length."""
     rows = kwic(corpus(spark, d), ["haha", "hahaha", "und"], 20, ("doc_id", "uri"))
-    return annotation.annotation_batch(annotation.usable_contexts(rows, table(spark, d, "benchmark")), 25, "doc_id", "pos").select("group_key", "doc_id", "pos", "clean")
+    usable = annotation.usable_contexts(rows, table(spark, d, "benchmark"))
+    b = annotation.annotation_batch(usable, 25, "doc_id", "pos")
+    return b.groupBy("group_key").agg((F.count("*") <= 25).alias("bounded"), (F.countDistinct(F.lower("clean")) == F.count("*")).alias("texts_once"), F.every(F.length("clean").between(40, 600)).alias("usable"))
 
 
-@query()
+@query("select d.lang, l.toxic as label, least(5, count(*)) as n, true as of_group from labels l join documents d using (doc_id) where l.toxic is not null and d.lang is not null group by 1, 2")
 def reference_examples(spark, d):
     labelled = corpus(spark, d).select("doc_id", "lang", "uri").join(table(spark, d, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id")
-    return annotation.reference_examples(labelled, "lang", 5, "doc_id").select("lang", "label", "doc_id")
+    e = annotation.reference_examples(annotation.valid_labels(labelled).where("lang is not null"), "lang", 5, "doc_id")
+    own = labelled.select("doc_id", F.col("lang").alias("l"), F.col("label").alias("y"))
+    j = e.join(own, "doc_id")
+    return j.groupBy("lang", "label").agg(F.countDistinct("doc_id").alias("n"), F.every((F.col("l") == F.col("lang")) & (F.col("y") == F.col("label"))).alias("of_group"))

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlex.functions import text as T
-from driftlex.operators import prompts, responses, sampling
+from driftlex.operators import annotation, prompts, responses, sampling
 from driftlex.operators import stats as S
 from driftlex.operators.kwic import vocabulary_hits
-from driftlex.plans.base import query, table
+from driftlex.plans.base import CORPUS, corpus, pseudo_score, query, table
+from driftlex.sources import files
+from driftlex.streaming.ingest import collect_until
 
 # Answers of every kind that the parsers tell apart, by turn.
 REPLIES = ["B", "**B) rad**", "A, B, C, D", "A lot of people", "", "no idea", "C.", "D) lol"]
@@ -18,14 +24,16 @@ YEARS = ["2010s", "in 12010", "around 2014, maybe 2015", "1999", "no year", "It
 VOCABULARY = ["the", "of", "and", "la", "un", "haha", "on"]
 
 
-def _pick(values: list[str]):
-    """One of ``values`` by conversation and turn."""
-    return F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.col("conv_id") * 7 + F.col("turn") * 3, F.lit(len(values))) + 1).cast("int"))
+def _reply(values: list[str]):
+    """One of ``values`` by conversation and turn, or else the turn's own text."""
+    k = F.pmod(F.col("conv_id") * 7 + F.col("turn") * 3, F.lit(len(values) + 1))
+    return F.when(k < len(values), F.element_at(F.array(*map(F.lit, values)), F.least(k + 1, F.lit(len(values))).cast("int"))).otherwise(F.coalesce("text", F.lit("")))
 
 
-def _sql_pick(values: list[str]) -> str:
+def _sql_reply(values: list[str]) -> str:
     listed = ", ".join("'" + v.replace("'", "''") + "'" for v in values)
-    return f"list_extract([{listed}], cast((conv_id * 7 + turn * 3) % {len(values)} + 1 as integer))"
+    k = f"(conv_id * 7 + turn * 3) % {len(values) + 1}"
+    return f"case when {k} < {len(values)} then list_extract([{listed}], cast({k} + 1 as integer)) else coalesce(text, '') end"
 
 
 def turns(spark, d: str) -> DataFrame:
@@ -46,13 +54,15 @@ def dedupe_latest(spark, d):
     return responses.latest(table(spark, d, "events"), ["user_id", "event_type"], F.col("ts"), F.col("event_id")).select("user_id", "event_type", "ts", "value")
 
 
-_REPLY = f"""r as (select role as model, conv_id, turn, trim(trim(trim({_sql_pick(REPLIES)}), '*')) as s from conversations),
-a as (select *, case when s = '' then 'empty' when len(list_distinct(regexp_extract_all(s, '\\b([ABCD])\\b', 1))) >= 3 then 'enumeration' when regexp_extract(s, '^\\W*([ABCD])\\b', 1) = '' then 'unparsed' when regexp_matches(s, '^[ABCD][).]?$') then 'clean' else 'lenient' end as status, regexp_extract(s, '^\\W*([ABCD])\\b', 1) as l from r),
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_WORD = "\\p{L}\\p{N}_"
+_REPLY = f"""r as (select role as model, conv_id, turn, trim(trim(trim({_sql_reply(REPLIES)}, {_BLANKS}), '*'), {_BLANKS}) as s from conversations),
+a as (select *, case when s = '' then 'empty' when len(list_distinct(regexp_extract_all(regexp_replace(s, '([^{_WORD}])', '\\1\\1', 'g'), '(?:^|[^{_WORD}])([ABCD])(?:[^{_WORD}]|$)', 1))) >= 3 then 'enumeration' when regexp_extract(s, '^[^{_WORD}]*([ABCD])(?:[^{_WORD}]|$)', 1) = '' then 'unparsed' when regexp_matches(s, '^[ABCD][).]?$') then 'clean' else 'lenient' end as status, regexp_extract(s, '^[^{_WORD}]*([ABCD])(?:[^{_WORD}]|$)', 1) as l from r),
 p as (select model, conv_id, turn, status, case when status in ('clean', 'lenient') then l end as letter from a)"""
 
 
 def choices(spark, d: str) -> DataFrame:
-    r = turns(spark, d).select(F.col("role").alias("model"), "conv_id", "turn", responses.answer(_pick(REPLIES)).alias("a"))
+    r = turns(spark, d).select(F.col("role").alias("model"), "conv_id", "turn", responses.answer(_reply(REPLIES)).alias("a"))
     return r.select("model", "conv_id", "turn", "a.status", "a.letter").withColumn("is_target", F.col("letter") == "B").withColumn("choice", F.col("letter"))
 
 
@@ -81,32 +91,41 @@ def macro_mean(spark, d):
     return responses.macro_mean(forced_choice(spark, d), "target_rate", "n", "turn", least=3)
 
 
-_YN = f"""v as (select role as model, conv_id, turn, regexp_replace(lower(trim({_sql_pick(VERDICTS)})), '^[^a-z]+', '') as t from conversations),
-y as (select *, case when regexp_matches(t, '^({responses.YES})\\b') then 1 when regexp_matches(t, '^({responses.NO})\\b') then 0 when regexp_matches(t, '\\byes\\b|\\bappropriate\\b') and not regexp_matches(t, '\\bnot\\b|\\binappropriate\\b') then 1 when regexp_matches(t, '\\bno\\b|\\bnot\\b|\\binappropriate\\b') then 0 end as verdict from v)"""
+_EDGE = f"(?:[^{_WORD}]|$)"
+_YES_SQL, _NO_SQL, _DENY_SQL = (f"(?:^|[^{_WORD}])(?:{w}){_EDGE}" for w in ("yes|appropriate", "no|not|inappropriate", "not|inappropriate"))
+_YN = f"""v as (select role as model, conv_id, turn, regexp_replace(lower(trim({_sql_reply(VERDICTS)}, ' ')), '^[^a-z]+', '') as t from conversations),
+y as (select *, case when regexp_matches(t, '^({responses.YES}){_EDGE}') then 1 when regexp_matches(t, '^({responses.NO}){_EDGE}') then 0 when regexp_matches(t, '{_YES_SQL}') and not regexp_matches(t, '{_DENY_SQL}') then 1 when regexp_matches(t, '{_NO_SQL}') then 0 end as verdict from v)"""
 
 
 @query(f"with {_YN} select model, cast(sum(case when verdict = 1 then 1 else 0 end) as bigint) as yes, count(verdict) as decided, count(*) as total, sum(case when verdict = 1 then 1 else 0 end)::double / nullif(count(verdict), 0) as yes_rate from y group by 1")
 def yes_rate(spark, d):
-    return responses.yes_rate(turns(spark, d).select(F.col("role").alias("model"), responses.yes_no(_pick(VERDICTS)).alias("verdict")), "model")
+    return responses.yes_rate(turns(spark, d).select(F.col("role").alias("model"), responses.yes_no(_reply(VERDICTS)).alias("verdict")), "model")
 
 
-_YEAR = f"""a as (select role as model, 'w' || cast(conv_id % 9 as varchar) as word, conv_id % 9 as k, {_sql_pick(YEARS)} as r from conversations),
+_YEAR = f"""a as (select role as model, 'w' || cast(conv_id % 9 as varchar) as word, conv_id % 9 as k, {_sql_reply(YEARS)} as r from conversations),
 b as (select *, try_cast(nullif(coalesce(nullif(regexp_extract(r, '(?:^|[^0-9])(1[0-9]{{3}}|20[0-9]{{2}})(?:[^0-9]|$)', 1), ''), ''), '') as integer) as year from a)"""
 
 
 @query(f"with {_YEAR}, c as (select model, word, 2010 + k as peak_year, avg(year) as m, quantile_cont(year, 0.5) as q from b where year is not null group by 1, 2, 3) select model, avg(abs(m - peak_year)) as mae_mean, avg(abs(q - peak_year)) as mae_median, count(*) as words from c group by 1")
 def year_answer_error(spark, d):
-    r = turns(spark, d).select(F.col("role").alias("model"), F.concat(F.lit("w"), (F.col("conv_id") % 9).cast("string")).alias("word"), responses.year_in(_pick(YEARS)).alias("year"))
+    r = turns(spark, d).select(F.col("role").alias("model"), F.concat(F.lit("w"), (F.col("conv_id") % 9).cast("string")).alias("word"), responses.year_in(_reply(YEARS)).alias("year"))
     peaks = spark.range(9).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("word"), (2010 + F.col("id")).alias("peak_year"))
     return responses.year_error(r, peaks, "model")
 
 
 @query(f"with {_YEAR} select model, least(greatest(year, 2010), 2024) as marker, count(*) as n from b where year is not null group by 1, 2")
 def year_markers(spark, d):
-    r = turns(spark, d).select(F.col("role").alias("model"), responses.year_in(_pick(YEARS)).alias("year")).where("year is not null")
+    r = turns(spark, d).select(F.col("role").alias("model"), responses.year_in(_reply(YEARS)).alias("year")).where("year is not null")
     return r.groupBy("model", responses.clamped(F.col("year")).alias("marker")).agg(F.count("*").alias("n"))
 
 
+@query("select role as model, 'w' || cast(conv_id % 5 as varchar) as word, cast(2015 + turn % 4 as varchar) as year, count(*) filter (length(text) % 3 = 0) as n_correct, count(*) as n_total, count(*) filter (length(text) % 3 = 0) / count(*) as accuracy from conversations where turn % 7 <> 0 group by 1, 2, 3")
+def year_accuracy(spark, d):
+    year = F.when(F.col("turn") % 7 != 0, (2015 + F.col("turn") % 4).cast("string"))
+    r = turns(spark, d).select(F.col("role").alias("model"), F.concat(F.lit("w"), (F.col("conv_id") % 5).cast("string")).alias("word"), year.alias("year"), F.coalesce(F.length("text") % 3 == 0, F.lit(False)).alias("correct"))
+    return responses.year_accuracy(r, "model")
+
+
 @query("select g.role as model, g.conv_id from (select r.role, c.conv_id from (select distinct role from conversations) r cross join (select distinct conv_id from conversations) c) g left join (select distinct role, conv_id from conversations) h on g.role = h.role and g.conv_id = h.conv_id where h.role is null")
 def coverage_gaps(spark, d):
     t = turns(spark, d).select(F.col("role").alias("model"), "conv_id").distinct()
@@ -130,9 +149,24 @@ def spearman(spark, d):
     return S.spearman(_lengths(spark, d), "turn", "tokens", "role")
 
 
-@query()
+@query(f"with {_LEN}, c as (select role, count(*) as n, corr(chars, tokens) as r from l group by 1) select role, n, r, case when n >= 3 and abs(r) < 1 then true end as p_ok from c")
 def correlation_p(spark, d):
-    return S.with_p_value(pearson(spark, d))
+    """Two-tailed p, held against Student's t by the trapezoid rule on its density."""
+
+    @F.pandas_udf("boolean")
+    def agrees(r: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
+        out = []
+        for a, m, v in zip(r, n, p, strict=True):
+            if pd.isna(v):
+                out.append(None)
+                continue
+            df, t = m - 2, abs(a) * math.sqrt((m - 2) / (1 - a * a))
+            x = np.tan(np.linspace(math.atan(t), math.pi / 2 - 1e-9, 400_001))
+            front = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
+            out.append(abs(2 * np.trapezoid(front * np.exp(-(df + 1) / 2 * np.log1p(x * x / df)), x) - v) < 1e-4)
+        return pd.Series(out, dtype="object")
+
+    return S.with_p_value(pearson(spark, d)).select("role", "n", "r", agrees("r", "n", "p").alias("p_ok"))
 
 
 @query(f"with {_LEN} select role, regr_slope(tokens, chars) as slope, regr_intercept(tokens, chars) as intercept, count(*) as n from l group by 1")
@@ -156,38 +190,136 @@ def prompt_expand(spark, d):
 
 
 def _payload(rows):
-    """Token payloads made from the words of a turn: a routing header, three words, a stop, commentary."""
-    w = F.slice(F.split("text", " "), 1, 3)
-    words = F.concat(F.array(F.lit("<|channel|>"), F.lit("final")), F.transform(w, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.lit(" "), x))), F.array(F.lit("."), F.lit(" ok")))
-    lp = F.transform(words, lambda x, i: -(F.length(x) + i) / 10.0)
-    tops = F.transform(words, lambda x, i: F.map_from_arrays(F.array(x, F.concat(x, F.lit("s"))), F.array(-(F.length(x) + i) / 10.0, F.lit(-2.0))))
+    """Token payloads made from a turn's text: a routing header, its words, a stop, commentary; each step in its own projection."""
+    w = rows.where("text is not null").select(F.col("role").alias("model"), "conv_id", "turn", F.split("text", " ").alias("w"))
+    words = F.concat(F.array(F.lit("<|channel|>"), F.lit("final")), F.transform("w", lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.lit(" "), x))), F.array(F.lit("."), F.lit(" ok")))
+    p = w.withColumn("words", words)
+    p = p.withColumn("lp", F.transform("words", lambda x, i: -(F.length(x) + i) / 10.0))
+    p = p.withColumn("tops", F.transform("words", lambda x, i: F.map_from_arrays(F.array(x, F.concat(x, F.lit("s"))), F.array(-(F.length(x) + i) / 10.0, F.lit(-2.0)))))
     empty = F.array().cast("array<struct<token:string,logprob:double,top_logprobs:array<struct<token:string,logprob:double>>>>")
-    return rows.select(F.col("role").alias("model"), "conv_id", "turn", responses.without_routing(responses.tokens_of(empty, words, lp, tops)).alias("tokens"))
+    p = p.withColumn("all", responses.tokens_of(empty, F.col("words"), F.col("lp"), F.col("tops")))
+    return p.withColumn("tokens", responses.without_routing(F.col("all"))).select("model", "conv_id", "turn", "tokens")
 
 
-@query(
-    """with w as (select role as model, conv_id, turn, string_split(text, ' ')[1:3] as ws from conversations where turn = 1),
+_ANSWER = """w as (select role as model, conv_id, turn, string_split(text, ' ') as ws from conversations where text is not null),
 t as (select *, list_concat(list_transform(ws, lambda x, i: case when i = 1 then x else ' ' || x end), ['.', ' ok']) as ts from w),
-l as (select *, list_transform(ts, lambda x, i: -(length(x) + i + 1) / 10.0::double) as lps, list_transform(ts, lambda x: regexp_matches(x, '[.!?,\\n]') or starts_with(x, '<')) as stops from t),
-n as (select *, coalesce(list_position(stops, true), len(ts) + 1) - 1 as n from l)
-select model, conv_id, turn, case when n > 0 then array_to_string(ts[1:n], '') end as answer, n::integer as n, case when n > 0 then list_sum(lps[1:n]) end as logprob from n"""
-)
+l as (select *, list_transform(ts, lambda x, i: -(length(x) + i + 1) / 10.0::double) as lps, list_transform(ts, lambda x: regexp_matches(x, '[.!?,\\n]') or starts_with(x, '<')) as stops, list_transform(ts, lambda x: trim(x, ' ') = '') as blanks from t),
+s as (select *, coalesce(list_position(stops, true), len(ts) + 1) as stop, coalesce(list_position(blanks, false), len(ts) + 1) as word from l),
+n as (select *, least(stop, coalesce((select min(i) from unnest(range(greatest(2, word), len(ts) + 1)) u(i) where blanks[i]), len(ts) + 1), case when blanks[1] and blanks[2] then 2 else len(ts) + 1 end) - 1 as n from s)"""
+
+
+@query(f"with {_ANSWER} select model, conv_id, turn, case when n > 0 then array_to_string(ts[1:n], '') end as answer, n::integer as n, case when n > 0 then round(list_sum(lps[1:n]), 6) end as logprob from n")
 def logprob_answer(spark, d):
-    # the words and turns that its SQL takes
-    p = _payload(turns(spark, d).where("turn = 1")).withColumn("n", responses.answer_length(F.col("tokens")))
-    return p.select("model", "conv_id", "turn", F.when(F.col("n") > 0, responses.joined_tokens(F.col("tokens"), F.col("n"))).alias("answer"), "n", responses.joint_logprob(F.col("tokens"), F.col("n")).alias("logprob"))
+    p = _payload(turns(spark, d)).withColumn("n", responses.answer_length(F.col("tokens")))
+    return p.select("model", "conv_id", "turn", F.when(F.col("n") > 0, responses.joined_tokens(F.col("tokens"), F.col("n"))).alias("answer"), "n", F.round(responses.joint_logprob(F.col("tokens"), F.col("n")), 6).alias("logprob"))
+
+
+@query(f"with {_ANSWER} select model, turn, round(avg(case when n > 0 then list_sum(lps[1:n]) end), 6) as mean_logprob, count(case when n > 0 then 1 end) as n from n group by 1, 2")
+def mean_logprob(spark, d):
+    p = _payload(turns(spark, d)).withColumn("k", responses.answer_length(F.col("tokens"))).withColumn("lp", responses.joint_logprob(F.col("tokens"), F.col("k")))
+    return p.groupBy("model", "turn").agg(F.round(F.avg("lp"), 6).alias("mean_logprob"), F.count("lp").alias("n"))
 
 
-@query()
+@query(
+    """with w as (select role as model, string_split(text, ' ')[1] as a from conversations where text is not null),
+p as (select model, a, exp(-(length(a) + 2) / 10.0::double) as x, exp(-2.0::double) as y from w),
+e as (select model, lower(trim(a, ' ')) as token, x / (x + y) as p from p where trim(a, ' ') <> '' union all select model, lower(trim(a || 's', ' ')), case when trim(a, ' ') <> '' then y / (x + y) else 1.0::double end from p),
+m as (select model, token, round(avg(p), 9) as mean_p, count(*) as records from e group by 1, 2)
+select model, token, mean_p, records, cast(rank as integer) as rank from (select *, row_number() over (partition by model order by mean_p desc, token) as rank from m) where rank <= 10"""
+)
 def first_token_dist(spark, d):
-    # later words begin with a blank, so only the first can be routing: the answer's first token is the third word at most
     p = _payload(turns(spark, d)).withColumn("distribution", responses.first_distribution(F.col("tokens")))
-    return responses.first_token_means(p, ["model"])
+    e = p.select("model", F.explode("distribution").alias("token", "p"))
+    m = e.groupBy("model", "token").agg(F.round(F.avg("p"), 9).alias("mean_p"), F.count("*").alias("records"))
+    rank = F.row_number().over(Window.partitionBy("model").orderBy(F.desc("mean_p"), "token"))
+    return m.withColumn("rank", rank).where(F.col("rank") <= 10)
 
 
-@query(f"with {_LEN}, m as (select role as model, turn, avg(-chars / 100.0) as mean_logprob, count(*) as n from l group by 1, 2) select * from m")
-def mean_logprob(spark, d):
-    return _lengths(spark, d).groupBy(F.col("role").alias("model"), "turn").agg(F.avg(-F.col("chars") / 100.0).alias("mean_logprob"), F.count("*").alias("n"))
+@query(
+    f"""with w as (select role as model, conv_id, turn, regexp_extract_all(text, '[^{T.WS}]+') as ws from conversations where text is not null)
+select model, conv_id, turn, len(ws) as n, case when len(ws) > 0 then -2.5::double end as first_top, case when len(ws) > 0 then 2 end as tops from w"""
+)
+def logprob_content(spark, d):
+    """The other payload layout, with a top token that is given twice: the last counts."""
+    w = turns(spark, d).where("text is not null").select(F.col("role").alias("model"), "conv_id", "turn", F.regexp_extract_all("text", F.lit(f"[^{T.WS}]+"), F.lit(0)).alias("ws"))
+    top = lambda x, v: F.struct(x.alias("token"), F.lit(v).alias("logprob"))
+    content = F.transform("ws", lambda x: F.struct(x.alias("token"), F.lit(-1.0).alias("logprob"), F.array(top(x, -1.0), top(F.concat(x, F.lit("s")), -2.0), top(x, -2.5)).alias("top_logprobs")))
+    none = F.array().cast("array<string>")
+    p = w.withColumn("content", content)
+    p = p.withColumn("tokens", responses.tokens_of(F.col("content"), none, F.array().cast("array<double>"), F.array().cast("array<map<string,double>>")))
+    first = F.get("tokens", F.lit(0))
+    p = p.withColumn("top", first["top"]).withColumn("token", first["token"])
+    return p.select("model", "conv_id", "turn", F.size("tokens").cast("long").alias("n"), F.try_element_at("top", F.col("token")).alias("first_top"), F.when(F.size("tokens") > 0, F.size("top")).alias("tops"))
+
+
+@query(
+    f"""with w as (select role as model, conv_id, turn, regexp_extract_all(text, '[^{T.WS}]+') as ws from conversations where text is not null)
+select model, conv_id, turn, case when conv_id % 2 = 0 and len(ws) > 0 then array_to_string(ws[1:2], ' ') end as response,
+  case when len(ws) > 0 then round(exp(-(case when conv_id % 2 = 0 then least(len(ws), 2) else len(ws) end) / 100.0::double), 9) end as probability from w"""
+)
+def response_probability(spark, d):
+    """Log-probability records with the text response of the same request, and the probability of the tokens that spell it."""
+    w = turns(spark, d).where("text is not null").select(F.col("role").alias("model"), "conv_id", "turn", F.regexp_extract_all("text", F.lit(f"[^{T.WS}]+"), F.lit(0)).alias("ws"))
+    token = lambda x: F.struct(x.alias("token"), F.lit(-0.01).alias("logprob"))
+    records = w.select("model", "conv_id", "turn", F.transform("ws", token).alias("tokens"))
+    texts = w.where("conv_id % 2 = 0 and size(ws) > 0").select("model", "conv_id", "turn", F.concat(F.lit("  "), F.array_join(F.slice("ws", 1, 2), " ")).alias("response"))
+    j = responses.with_text_response(records, texts, ["model", "conv_id", "turn"], "response")
+    return j.select("model", "conv_id", "turn", "response", F.round(responses.combined_probability(F.col("tokens"), F.col("response")), 9).alias("probability"))
+
+
+# --- files and prompts --------------------------------------------------------
+
+
+@query("select conv_id, cast(row_number() over (partition by conv_id order by turn, role, text) - 1 as integer) as index, turn, role, length(text) as chars from conversations")
+def json_objects(spark, d):
+    """Records one after another in one text, pretty-printed or compact, the last one cut off."""
+    row = F.struct("turn", "role", "text")
+    pretty = F.to_json(row, {"pretty": "true"})
+    each = turns(spark, d).select("conv_id", row.alias("r"), F.when(F.col("conv_id") % 2 == 0, pretty).otherwise(F.to_json(row)).alias("json"))
+    whole = each.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "json"))), lambda x: x["json"]), "\n").alias("value"))
+    cut = whole.withColumn("value", F.concat("value", F.lit(' {"turn": 99, "role": "cut')))
+    values = files.json_values(cut, "value").withColumn("r", F.from_json("json", "turn long, role string, text string"))
+    return values.select("conv_id", "index", "r.turn", "r.role", F.length("r.text").cast("long").alias("chars"))
+
+
+@query(
+    """with f as (select *, case when event_id % 3 <> 0 then 'run_' || strftime(ts, '%Y%m%d_%H%M%S') || '.jsonl' else 'plain.jsonl' end as file,
+  case when event_id % 3 <> 0 then strftime(ts, '%Y%m%d%H%M%S') else 'm' || lpad(cast(cast(floor(epoch(ts)) as bigint) as varchar), 20, '0') end as age from events)
+select user_id, event_type, file, event_id from (select *, row_number() over (partition by user_id, event_type order by age desc, file desc, event_id desc) as rn from f) where rn = 1"""
+)
+def newest_records(spark, d):
+    """Of records in several files that of the newest one; files without a stamp come after those with one."""
+    stamped = F.concat(F.lit("run_"), F.date_format("ts", "yyyyMMdd_HHmmss"), F.lit(".jsonl"))
+    rows = table(spark, d, "events").select("user_id", "event_type", "event_id", F.when(F.col("event_id") % 3 != 0, stamped).otherwise("plain.jsonl").alias("file"), F.col("ts").alias("modified"))
+    return responses.newest_of_files(rows, ["user_id", "event_type"], index="event_id").select("user_id", "event_type", "file", "event_id")
+
+
+@query("select conv_id, turn, md5(case when conv_id % 3 = 0 then '{text}' else role end || ': ' || coalesce(text, '') || ' {x} {missing}') as prompt_md5 from conversations")
+def prompt_render(spark, d):
+    """Values that look like names of other variables are not read again."""
+    role = F.when(F.col("conv_id") % 3 == 0, "{text}").otherwise(F.col("role"))
+    values = F.create_map(F.lit("role"), role, F.lit("text"), F.coalesce("text", F.lit("")))
+    return turns(spark, d).select("conv_id", "turn", F.md5(prompts.rendered(F.lit("{role}: {text} {{x}} {missing}"), values)).alias("prompt_md5"))
+
+
+@query("select conv_id, turn, 'exp3_' || replace(role, '-', '_') as slot, lower(trim(case when text <> '' then trim(text, ' ') else 'lol' end, '\"''.')) as word from conversations")
+def responded_word(spark, d):
+    t = turns(spark, d)
+    return t.select("conv_id", "turn", responses.slot_of(F.col("role")).alias("slot"), responses.word_of(F.col("text"), F.lit(' "Lol".')).alias("word"))
+
+
+@query("select role, count(*) as n, count(*) filter (q in ('0', '1')) as kept from (select role, case conv_id % 5 when 0 then ' 1' when 1 then '0 ' when 2 then '' when 3 then '2' else '1' end as l, trim(l, ' ') as q from conversations) group by 1")
+def label_validity(spark, d):
+    k = F.col("conv_id") % 5
+    t = turns(spark, d).select("role", F.when(k == 0, " 1").when(k == 1, "0 ").when(k == 2, "").when(k == 3, "2").otherwise("1").alias("label"))
+    kept = annotation.valid_labels(t).groupBy("role").agg(F.count("*").alias("kept"))
+    return t.groupBy("role").agg(F.count("*").alias("n")).join(kept, "role", "left").select("role", "n", F.coalesce("kept", F.lit(0).cast("long")).alias("kept"))
+
+
+@query("with a as (select distinct lower(role) as word from conversations), p as (select distinct lower(lang) as word from documents where lang is not null) select word from a where word not in (select word from p)")
+def missing_words(spark, d):
+    asked = turns(spark, d).select(F.col("role").alias("word"))
+    return files.missing_words(asked, table(spark, d, "documents").where("lang is not null").select(F.col("lang").alias("word")))
 
 
 # --- surveys ----------------------------------------------------------------
@@ -232,54 +364,80 @@ def survey_sources(spark, d):
     return table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@query()
+@query("select least(200, count(*)) as n, least(200, count(*)) as distinct_docs, true as least_hashes from documents")
 def shuffled_take(spark, d):
-    return sampling.sample(table(spark, d, "documents").select("doc_id", "source"), 200, "doc_id", seed=9)
+    """200 documents in the order of a hash: none that is left out comes before."""
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    s = sampling.sample(docs, 200, "doc_id", seed=9)
+    drawn = s.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("distinct_docs"), F.max(sampling.chance("doc_id", seed=9)).alias("last"))
+    rest = docs.join(s.select("doc_id"), "doc_id", "left_anti").agg(F.min(sampling.chance("doc_id", seed=9)).alias("next"))
+    return drawn.join(F.broadcast(rest)).select("n", "distinct_docs", F.coalesce(F.col("last") <= F.col("next"), F.lit(True)).alias("least_hashes"))  # a row each
 
 
-@query("select lang, source, n from (select lang, source, count(*) as n from documents group by 1, 2) pivot_source where n > 0")
+@query("select lang, source, count(*) as n from documents group by 1, 2")
 def lang_matrix(spark, d):
-    wide = table(spark, d, "documents").groupBy("source").pivot("lang", ["de", "en", "es", "fr"]).count()
-    return wide.unpivot("source", ["de", "en", "es", "fr"], "lang", "n").where("n > 0").select("lang", "source", "n")
+    """Languages found in the table as columns, and back; a null language has a column of its own."""
+    docs = table(spark, d, "documents").select("source", F.coalesce(F.concat(F.lit("l_"), "lang"), F.lit("none")).alias("lang"))
+    found = sorted(r[0] for r in docs.select("lang").distinct().limit(2000).collect())  # columns of a table
+    wide = docs.groupBy("source").pivot("lang", found).count()
+    long = wide.unpivot("source", found, "lang", "n").where("n > 0")
+    return long.select(F.when(F.col("lang") != "none", F.substring("lang", 3, 1 << 30)).alias("lang"), "source", "n")
 
 
-@query()
+@query(f"with {CORPUS}, s as (select dump, case when doc_id % 37 <> 0 then ((doc_id * 7919) % 20001 - 10000) / 10000.0::double end as score from corpus) select dump, least(5, count(*) filter (score >= 0.2)) >= 1 as found, true as enough_or_exhausted from s group by 1 having count(*) filter (score >= 0.2) > 0")
 def topup_loop(spark, d):
-    from driftlex.plans.base import corpus, pseudo_score
-    from driftlex.streaming.ingest import collect_until
-
+    """The loop ends with five kept documents of each crawl, or with all that it has."""
     c = corpus(spark, d).select("dump", "doc_id")
     score = lambda rows: rows.withColumn("score", pseudo_score(F.col("doc_id"), F.lit(0)))
-    kept = collect_until(c, None, score, lambda rows: rows.where("score >= 0.2"), "dump", 5, ("doc_id",), rounds=4)
-    return kept.select("dump", "doc_id", "score")
+    keep = lambda rows: rows.where("score >= 0.2")
+    kept = collect_until(c, None, score, keep, "dump", 5, ("doc_id",), rounds=40)
+    there = keep(score(c)).groupBy("dump").agg(F.count("*").alias("all"))
+    got = kept.groupBy("dump").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+    j = there.join(got, "dump", "left")
+    return j.select("dump", (F.coalesce("n", F.lit(0)) >= 1).alias("found"), ((F.col("least") >= 0.2) & (F.col("n") >= F.least(F.col("all"), F.lit(5)))).alias("enough_or_exhausted"))
 
 
 WORDS = ["glow-up", "red pill", "lol", "solo dolo"]
 
 
+def _prompt(k):
+    """A prompt whose first ``k`` options are the four words in an order that turns with the conversation."""
+    turn = F.col("conv_id") % 4
+    word = lambda i: F.element_at(F.array(*map(F.lit, WORDS)), (F.pmod(F.lit(i) - turn, F.lit(4)) + 1).cast("int"))
+    listed = F.concat(*[F.when(F.lit(i) < k, F.concat(F.lit(f" {'ABCD'[i]}) "), word(i))).otherwise("") for i in range(4)])
+    return F.concat(F.lit("Choose. Multiple choice:"), listed)
+
+
 @query("select conv_id, turn, 4 as n_options, chr(cast(65 + conv_id % 4 as integer)) as target_letter, 'glow-up' as target from conversations")
 def option_parse(spark, d):
-    # the four words in an order that turns with the conversation, the target at place conv_id % 4
-    k = F.col("conv_id") % 4
-    word = lambda i: F.element_at(F.array(*map(F.lit, WORDS)), (F.pmod(F.lit(i) - k, F.lit(4)) + 1).cast("int"))
-    text = F.concat(F.lit("Choose. Multiple choice: A) "), word(0), F.lit(" B) "), word(1), F.lit(" C) "), word(2), F.lit(" D) "), word(3))
-    rows = turns(spark, d).select("conv_id", "turn", responses.options(text).alias("o"))
-    letter = responses.target_letter(F.lit("exp3_glow_up"), F.col("o"))
-    return rows.select("conv_id", "turn", F.size("o").alias("n_options"), letter.alias("target_letter")).join(rows.select("conv_id", "turn", "o"), ["conv_id", "turn"]).select("conv_id", "turn", "n_options", "target_letter", F.try_element_at("o", F.col("target_letter")).alias("target"))
+    rows = turns(spark, d).select("conv_id", "turn", _prompt(F.lit(4)).alias("prompt")).withColumn("o", responses.options(F.col("prompt")))
+    rows = rows.withColumn("target_letter", responses.target_letter(F.lit("exp3_glow_up"), F.col("o")))
+    return rows.select("conv_id", "turn", F.size("o").alias("n_options"), "target_letter", F.try_element_at("o", F.col("target_letter")).alias("target"))
+
 
+@query(f"with {_REPLY}, h as (select p.model, case when conv_id % 4 >= turn % 5 then 'no_options' else status end as status, case when conv_id % 4 >= turn % 5 then null else letter end as letter from p) select model, status, count(*) as n, count(letter) as letters from h group by 1, 2")
+def choice_health(spark, d):
+    """Outcomes of forced choices, with prompts that don't offer the target."""
+    rows = turns(spark, d).withColumn("prompt", _prompt(F.col("turn") % 5)).withColumn("o", responses.options(F.col("prompt")))
+    rows = rows.withColumn("target", responses.target_letter(F.lit("exp3_glow_up"), F.col("o")))
+    rows = rows.select(F.col("role").alias("model"), responses.choice(_reply(REPLIES), F.col("o"), F.col("target")).alias("a"))
+    return rows.groupBy("model", F.col("a.status").alias("status")).agg(F.count("*").alias("n"), F.count("a.letter").alias("letters"))
 
-@query("select 0.25::double as chance_rate")
+
+@query("select round(coalesce(avg(case when turn % 5 > 0 then 1.0::double / (turn % 5) end), 0.25::double), 9) as chance_rate from conversations")
 def chance_rate(spark, d):
-    text = F.lit("Multiple choice: A) a B) b C) c D) d")
-    return responses.chance_rate(turns(spark, d).select(responses.options(text).alias("options")))
+    rows = turns(spark, d).select(_prompt(F.col("turn") % 5).alias("prompt")).select(responses.options(F.col("prompt")).alias("options"))
+    return responses.chance_rate(rows).select(F.round("chance_rate", 9).alias("chance_rate"))
 
 
-@query()
+@query("select 500 as replicates, true as around from conversations limit 1")
 def bootstrap_responses(spark, d):
-    """Assistant replies that hold a word of the vocabulary, resampled."""
-    import numpy as np
-
+    """Assistant replies that hold a word of the vocabulary, resampled: the interval holds the estimate."""
     hits = [T.bounded_count("text", w).cast("long").alias(w) for w in VOCABULARY]
     found = turns(spark, d).where("role = 'assistant' and text <> ''").select(*hits).where(F.greatest(*VOCABULARY) > 0)
     years = np.arange(2013, 2013 + len(VOCABULARY), dtype=float)
-    return S.response_bootstrap(found, VOCABULARY, lambda x: float(x @ years / x.sum()), 500)
+    b = S.response_bootstrap(found, VOCABULARY, lambda x: float(x @ years / x.sum()), 500)
+    total = found.agg(*[F.sum(w).alias(w) for w in VOCABULARY])
+    weighted = sum((F.col(w) * float(y) for w, y in zip(VOCABULARY, years, strict=True)), F.lit(0.0))
+    point = total.select((weighted / sum((F.col(w) for w in VOCABULARY), F.lit(0))).alias("point"))
+    return b.join(F.broadcast(point)).select(F.col("replicates").cast("int").alias("replicates"), F.col("point").between(F.col("low"), F.col("high")).alias("around"))  # a row each

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from driftlex.operators import responses
+
 
 def read_corpus(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     """Column-pruned Parquet scan; splits of files are dealt by Spark."""
@@ -12,8 +17,8 @@ def read_corpus(spark: SparkSession, path: str, *columns: str) -> DataFrame:
 
 
 def write_by_dump(rows: DataFrame, path: str) -> None:
-    """One folder for each crawl, zstd; rows of a crawl are gathered so that a task writes few files."""
-    rows.repartition("dump").write.mode("overwrite").partitionBy("dump").option("compression", "zstd").parquet(path)
+    """One folder for each crawl, zstd; rows of a crawl meet in few tasks, and a large crawl is cut into several files."""
+    rows.hint("rebalance", "dump").write.mode("overwrite").partitionBy("dump").option("compression", "zstd").parquet(path)
 
 
 def write_csv(rows: DataFrame, path: str, by: str | None = None, one_file: bool = False) -> None:
@@ -28,20 +33,81 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.toDF(*[c.lstrip("﻿").strip("\"' ") for c in df.columns])
 
 
-def merge_shards(spark: SparkSession, path: str, out: str) -> None:
-    """Shards of a crawl as one CSV folder each; the committer makes it whole or not at all."""
-    write_csv(spark.read.parquet(path), out, by="dump")
+def merge_shards(spark: SparkSession, path: str, out: str, delete: bool = False) -> None:
+    """Shards of a crawl as one CSV file each, in a folder of its name; the committer makes all whole or none.
+
+    One file a crawl is what readers of these exports want: a task writes it. With ``delete`` the shards go,
+    once the files are there.
+    """
+    rows = spark.read.parquet(path)
+    write_csv(rows.repartition("dump"), out, by="dump")
+    if delete:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def file_name() -> Column:
     return F.regexp_replace(F.col("_metadata.file_name"), r"\.[A-Za-z0-9]+$", "")
 
 
-def read_json_objects(spark: SparkSession, path: str, schema: str, required: str) -> DataFrame:
-    """Files of pretty-printed objects one after another; a truncated last one is left out."""
-    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("modified"))
-    each = whole.select("file", "modified", F.explode(F.split("value", r"(?m)(?<=^\})\s*(?=^\{)")).alias("json"))
-    return each.select("file", "modified", F.from_json("json", schema).alias("r")).select("file", "modified", "r.*").where(F.col(required).isNotNull())
+def json_values(rows: DataFrame, text: str, strict: bool = False) -> DataFrame:
+    """A row for each JSON value in ``text``, one after another in any layout: other columns, ``index``, and ``json``, the value's text.
+
+    Reading of a text ends at what is no JSON, as a record that is still being written; if ``strict``, that is an error.
+    """
+    kept = [f for f in rows.schema.fields if f.name != text]
+    names = [f.name for f in kept]
+
+    def run(batches):
+        decoder = json.JSONDecoder()
+        for batch in batches:
+            owner, index, found = [], [], []
+            for i, cell in enumerate(batch.column(batch.num_columns - 1)):
+                value, at, n = cell.as_py() or "", 0, 0
+                while True:
+                    while at < len(value) and value[at] in " \t\r\n\ufeff":
+                        at += 1
+                    if at >= len(value):
+                        break
+                    try:
+                        end = decoder.raw_decode(value, at)[1]
+                    except ValueError as e:
+                        if strict:
+                            raise ValueError(f"no JSON at position {at}: {e}") from e
+                        break
+                    owner.append(i)
+                    index.append(n)
+                    found.append(value[at:end])
+                    at, n = end, n + 1
+            own = batch.take(pa.array(owner, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns[:-1], pa.array(index, pa.int32()), pa.array(found, pa.string())], names=[*names, "index", "json"])
+
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + "index int, json string"
+    return rows.select(*[F.col(f"`{c}`") for c in names], F.col(text).cast("string")).mapInArrow(run, schema)
+
+
+def read_json_objects(spark: SparkSession, path: str, schema: str, required: str | None = None, strict: bool = False) -> DataFrame:
+    """Records of files of objects one after another, compact or pretty-printed: ``file, modified, index`` and the fields.
+
+    A truncated last record is left out, or an error if ``strict``; rows without ``required`` are left out.
+    A file is one cell, of 2 GB at most.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("modified"), "value")
+    each = json_values(whole, "value", strict).select("file", "modified", "index", F.from_json("json", schema).alias("r")).where("r is not null").select("file", "modified", "index", "r.*")
+    return each if required is None else each.where(F.col(required).isNotNull())
+
+
+def read_responses(spark: SparkSession, path: str, schema: str, latest_only: bool = True) -> DataFrame:
+    """Response records of a file, or of all ``*.jsonl`` files of a folder; of repeated ones that of the newest file.
+
+    Records are the same if model, prompt, variables (whatever their order) and sample are.
+    """
+    one_file = path.endswith(".jsonl")
+    rows = read_json_objects(spark, path if one_file else f"{path}/*.jsonl", schema)
+    if one_file or not latest_only:
+        return rows
+    keyed = rows.withColumn("__variables", responses.canonical(F.col("variables")))
+    return responses.newest_of_files(keyed, ["model", "prompt_id", "__variables", "sample"]).drop("__variables")
 
 
 def read_json_map(spark: SparkSession, path: str, key: str = "dump", value: str = "tokens") -> DataFrame:
@@ -75,9 +141,25 @@ def read_path_index(spark: SparkSession, path: str, prefix: str = "") -> DataFra
     return spark.read.text(path).where((t != "") & ~t.startswith("#")).select(F.concat(F.lit(prefix), t).alias("path"))
 
 
-def write_responses(rows: DataFrame, path: str) -> None:
-    """JSON lines, a folder for each model."""
-    rows.withColumn("model_file", F.regexp_replace("model", "[^A-Za-z0-9._-]+", "_")).write.mode("append").partitionBy("model_file").json(path)
+def write_responses(rows: DataFrame, path: str, stamp: str) -> None:
+    """JSON lines, a folder for each model and run: ``<path>/run=<stamp>/model_file=<model>``; what is there stays."""
+    named = rows.withColumn("model_file", F.regexp_replace("model", "[^A-Za-z0-9._-]+", "_")).withColumn("run", F.lit(stamp))
+    named.write.mode("append").partitionBy("run", "model_file").json(path)
+
+
+def union_words(*lists: DataFrame) -> DataFrame:
+    """(word, line): words of several lists once each, numbered in the order in which they are first seen."""
+    out = None
+    for i, words in enumerate(lists):
+        part = words.select("word", F.struct(F.lit(i).alias("list"), F.col("line").cast("long").alias("line")).alias("seen"))
+        out = part if out is None else out.unionByName(part)
+    first = out.groupBy("word").agg(F.min("seen").alias("seen"))
+    return first.select("word", (F.row_number().over(Window.orderBy("seen", "word")) - 1).alias("line"))  # a vocabulary: a list of words
+
+
+def missing_words(asked: DataFrame, present: DataFrame) -> DataFrame:
+    """Words asked for that aren't there, in lower case."""
+    return asked.select(F.lower("word").alias("word")).distinct().join(present.select(F.lower("word").alias("word")).distinct(), "word", "left_anti")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -90,9 +172,34 @@ def remaining(rows: DataFrame, done: DataFrame | None, *keys: str) -> DataFrame:
     return rows if done is None else rows.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def summary(rows: DataFrame, name: str = "run"):
-    """Rows with counters that are filled in as they pass, and the observation that holds them."""
+def summary(rows: DataFrame, name: str, **counters: Column):
+    """Rows with counters that are filled in as they pass, and the observation that holds them.
+
+    ``rows`` are counted; each further counter is an aggregate, as of candidates or words.
+    """
     from pyspark.sql import Observation
 
     o = Observation(name)
-    return rows.observe(o, F.count("*").alias("rows"), F.approx_count_distinct("target").alias("targets")), o
+    return rows.observe(o, F.count("*").alias("rows"), *[c.alias(k) for k, c in counters.items()]), o
+
+
+class Run:
+    """Counters and seconds of a run: documents read, those that may hold a target, contexts found."""
+
+    def __init__(self, docs: DataFrame, may_match: Column):
+        import time
+
+        self._began = time.time()
+        held, self._documents = summary(docs, "documents", candidates=F.count(F.when(may_match, 1)))
+        self.documents = held
+
+    def watched(self, contexts: DataFrame) -> DataFrame:
+        out, self._contexts = summary(contexts, "contexts", targets=F.approx_count_distinct("target"))
+        return out
+
+    def report(self) -> dict:
+        """After an action on the watched contexts."""
+        import time
+
+        d, c = self._documents.get, self._contexts.get
+        return {"documents": d["rows"], "candidates": d["candidates"], "contexts": c["rows"], "targets": c["targets"], "seconds": round(time.time() - self._began, 3)}

@@ -20,11 +20,41 @@ def one(spark, c):
 
 
 def test_quality(spark):
-    prose = "The cat sat on the mat and it was happy to be there."
-    assert one(spark, scoring.quality(F.lit(prose))) == 1.0
-    assert one(spark, scoring.quality(F.lit("too short"))) == 0.0 and one(spark, scoring.quality(F.lit(None).cast("string"))) == 0.0
-    assert one(spark, scoring.quality(F.lit("a, b, c, d, e, f, g, h, i, j"))) == pytest.approx(0.6)
-    assert one(spark, scoring.quality(F.lit("x | y | z | q | r | s | t | u"))) == pytest.approx(0.1)
+    texts = ["The cat sat on the mat and it was happy to be there.", "too short", None, "a, b, c, d, e, f, g, h, i, j", "x | y | z | q | r | s | t | u", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = [r.quality_score for r in scoring.with_quality(df).orderBy("i").collect()]
+    assert got == pytest.approx([1.0, 0.0, 0.0, 0.6, 0.1, 0.0])
+    plan = scoring.with_quality(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1  # the text is cut once
+
+
+def test_english(spark):
+    df = spark.createDataFrame([(0, "the cat is on the mat"), (1, "der Hund und die Katze"), (2, None), (3, "")], "i int, text string")
+    got = [r.lang_score for r in scoring.with_english(df).orderBy("i").collect()]
+    assert got == [1.0, 0.0, 0.0, 0.0]
+
+    def model(batches):
+        for b in batches:
+            yield b.str.len() / 100.0
+
+    got = [r.p for r in scoring.with_english(df, name="p", model=model).orderBy("i").collect()]
+    assert got == pytest.approx([0.21, 0.22, 0.0, 0.0])
+
+
+def test_sense_scores_of_sure_and_rare_targets(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def model(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield pd.Series(np.full(len(b), 0.9))
+
+    long = "a context that is surely long enough to be usable "
+    rows = [("lit", long + str(i)) for i in range(5)] + [("dope", long), ("OMG ", long), ("omg", "x"), (None, long)]
+    df = spark.createDataFrame(rows, "target string, target_context string")
+    got = sorted(((r.target, r.rare, r.sense_score) for r in scoring.sense_scored(df, model, F.col("target_context"), least=3).collect()), key=str)
+    assert got == sorted([("lit", False, 0.8)] * 5 + [("dope", True, None), ("OMG ", False, 1.0), ("omg", False, 1.0)], key=str)
+    assert seen.value == 5
 
 
 def test_scored_with_bypass(spark):
@@ -88,6 +118,11 @@ def test_samples(spark):
     assert sampling.two_stage(df, "g", 20, 2, "id").count() == 20
     split = sampling.stratified_split(df, "g", 0.8, "id").groupBy("g", "is_train").count().collect()
     assert {(r.g, r.is_train): r["count"] for r in split}[(0, True)] == round(167 * 0.8)
+    words = lambda n: [(r.g, r.word) for r in sampling.sample_tokens(df.withColumn("t", F.array(F.concat(F.lit("a"), "id"), F.lit("b"))).repartition(n), "g", F.col("t"), 7, "id", seed=2).orderBy("g", "word").collect()]
+    assert words(2) == words(9) and len(words(3)) == 21
+    some = df.withColumn("g", F.when(F.col("id") < 5, None).otherwise(F.lit("x")))
+    parts = {(r.g, r.is_train): r["count"] for r in sampling.stratified_split(some, "g", 0.6, "id").groupBy("g", "is_train").count().collect()}
+    assert parts == {(None, True): 3, (None, False): 2, ("x", True): 297, ("x", False): 198}
     more = sampling.top_up(df, df.where("id < 6"), "g", 4, "id")
     assert more.count() == 6 and more.where("id < 6").count() == 0
     assert sampling.fixed(df.where("id < 100"), "g", 34, "id").select("g").distinct().count() == 1
@@ -139,6 +174,50 @@ def test_token_payloads(spark):
     assert one(spark, responses.first_distribution(top)) == {"lit": pytest.approx(0.5), "dope": pytest.approx(0.5)}
 
 
+def test_repeated_top_tokens_and_null_payloads(spark):
+    top = "array<struct<token:string,logprob:double>>"
+    content = F.array(F.struct(F.lit("x").alias("token"), F.lit(-1.0).alias("logprob"), F.expr("array(named_struct('token', 'x', 'logprob', -1D), named_struct('token', 'y', 'logprob', -2D), named_struct('token', 'x', 'logprob', -3D))").cast(top).alias("top_logprobs")), F.struct(F.lit("z").alias("token"), F.lit(0.0).alias("logprob"), F.lit(None).cast(top).alias("top_logprobs")))
+    none = F.array().cast("array<string>")
+    got = one(spark, responses.tokens_of(content, none, F.array().cast("array<double>"), F.array().cast("array<map<string,double>>")))
+    assert [(t.token, t.top) for t in got] == [("x", {"y": -2.0, "x": -3.0}), ("z", {})]
+    other = one(spark, responses.tokens_of(F.lit(None).cast("array<struct<token:string,logprob:double,top_logprobs:" + top + ">>"), F.array(F.lit("a"), F.lit("b")), F.array(F.lit(None).cast("double")), F.lit(None).cast("array<map<string,double>>")))
+    assert [(t.token, t.logprob, t.top) for t in other] == [("a", 0.0, {}), ("b", 0.0, {})]
+
+
+def plain_span(tokens, response):
+    want = (response or "").strip().replace(" ", "").lower()
+    for i in range(len(tokens)):
+        for j in range(i + 1, len(tokens) + 1):
+            if response is not None and "".join(t.strip() for t, _ in tokens[i:j]).lower() == want:
+                return math.exp(sum(p for _, p in tokens[i:j]))
+    return math.exp(sum(p for _, p in tokens))
+
+
+def test_combined_probability_equals_a_plain_search(spark):
+    r = np.random.default_rng(1)
+    rows = []
+    for i in range(150):
+        toks = [(str(r.choice(["a", " b", "B ", "ab", " ", "", "c"])), float(-r.random())) for _ in range(r.integers(1, 9))]
+        rows.append((i, toks, [None, "", "b", " A B", "abc", "zz", "ab"][i % 7]))
+    df = spark.createDataFrame(rows, "i int, tokens array<struct<token:string,logprob:double>>, response string")
+    got = {x.i: x.p for x in df.select("i", responses.combined_probability(F.col("tokens"), F.col("response")).alias("p")).collect()}
+    for i, toks, want in rows:
+        assert got[i] == pytest.approx(plain_span(toks, want)), (toks, want)
+
+
+def test_text_responses_of_records(spark):
+    records = spark.createDataFrame([("p", "m", None, 1), ("p", "n", "x", 2)], "prompt_id string, model string, variables string, k int")
+    texts = spark.createDataFrame([("p", "m", None, " second ", 2), ("p", "m", None, " first", 1), ("p", "n", "y", "no", 1), ("p", "m", None, None, 0)], "prompt_id string, model string, variables string, response string, at int")
+    got = {r.k: r.response for r in responses.with_text_response(records, texts, ["prompt_id", "model", "variables"], "at").collect()}
+    assert got == {1: "first", 2: None}
+
+
+def test_prompts_are_cut_once(spark):
+    values = F.create_map(F.lit("a"), F.lit("{b}"), F.lit("b"), F.lit("X"))
+    show = lambda t: one(spark, prompts.rendered(F.lit(t), values))
+    assert show("{a} {b}") == "{b} X" and show("{{a}} {c} {} }{") == "{a} {c} {} }{" and show("") == "" and show("{{{b}}}") == "{X}"
+
+
 def test_prompt_grid(spark):
     t = spark.createDataFrame([("p", "{a}-{b}", {"a": ["1", "2"], "b": ["x"]}, 2, None, None, None), ("off", "z", {"a": ["1"]}, 1, True, None, None), ("open", "{a}", {"a": ["1"]}, 0, None, None, "open")], "id string, user string, variables map<string,array<string>>, samples int, disabled boolean, enabled boolean, model_type string")
     models = spark.createDataFrame([("gpt-4",), ("org/m",)], "model string")
@@ -162,6 +241,47 @@ def test_statistics(spark):
     assert stats.pearson(df.withColumn("x", F.lit(1)), "x", "y").first().r is None
 
 
+def test_ranks_without_and_with_groups(spark):
+    r = np.random.default_rng(2)
+    rows = [(int(r.integers(0, 9)), str(r.choice(["a", "b"])) if r.random() < 0.9 else None) for _ in range(200)]
+    df = spark.createDataFrame(rows, "x int, g string")
+    got = sorted((v.x, v.rank) for v in stats.ranked(df, "x", "rank").collect())
+    want = pd.Series([x for x, _ in rows]).rank()
+    assert got == sorted(zip([x for x, _ in rows], want))
+    by = sorted(((v.g, v.x, v.rank) for v in stats.ranked(df, "x", "rank", "g").collect()), key=str)
+    f = pd.DataFrame(rows, columns=["x", "g"])
+    f["rank"] = f.fillna({"g": "?"}).groupby("g").x.rank()
+    assert by == sorted([(None if pd.isna(g) else g, x, k) for x, g, k in f.itertuples(index=False)], key=str)
+
+
+def test_vintages_and_fits(spark):
+    peaks = spark.createDataFrame([("a", 2013), ("b", 2020)], "word string, peak_year int")
+    said = spark.createDataFrame([("m", "a", 3), ("m", "b", 1), ("n", "b", 2), ("n", "c", 9)], "model string, word string, n long")
+    corpus = spark.createDataFrame([("a", 1), ("b", 1)], "word string, n long")
+    got = {r.model: (r.vintage, r.corpus_vintage, r.lag) for r in stats.vintage_lags(said, corpus, peaks, "model").collect()}
+    assert got == {"m": (2014.75, 2016.5, -1.75), "n": (2020.0, 2016.5, 3.5)}
+    p = np.array([[0.7, 0.2, 0.1, 0.0], [0.1, 0.2, 0.7, 0.0]])
+    q = np.array([0.1, 0.7, 0.1, 0.1])
+    fit = {r.word: (r.ratio, r.flag) for r in stats.word_fit(spark, ["a", "b", "c", "d"], p, q).collect()}
+    assert fit["b"][1] == 1 and fit["b"][0] == pytest.approx(3.5) and fit["a"][1] == (-1 if fit["a"][0] < 0.33 else 0) and fit["d"] == (None, 1)
+    b = stats.mixture_bootstrap(spark, np.array([2013, 2020]), p[:, :3] / p[:, :3].sum(1, keepdims=True), np.array([70.0, 40.0, 30.0]), 60).collect()
+    assert {r.year for r in b} == {2013, 2020, None} and all(r.low <= r.high and r.replicates == 60 for r in b)
+
+
+def test_interval_and_counts_as_shares(spark):
+    df = spark.createDataFrame([("a", 1, 2.0, 1.0, 4.0), ("a", 2, 4.0, 3.0, 6.0), ("z", 1, 0.0, 0.0, 1.0)], "target string, day int, smoothed_rate double, rate_low double, rate_high double")
+    got = {(r.target, r.day): (r.smoothed_rate, r.rate_low, r.rate_high) for r in rates.percent_of_peak_with_interval(df).collect()}
+    assert got == {("a", 1): (50.0, 25.0, 100.0), ("a", 2): (100.0, 75.0, 150.0), ("z", 1): (0.0, 0.0, 1.0)}
+    assert rates.nonzero(df).count() == 2
+    r = spark.createDataFrame([("a", 2013, 2.0001)], "target string, year int, rate_per_million double")
+    assert rates.reconstructed_counts(r, spark.createDataFrame([(2013, 3_000_000)], "year int, tokens long"), "year").first().k == 6
+
+
+def test_year_accuracy(spark):
+    df = spark.createDataFrame([("m", "w", "2013", True), ("m", "w", "2013", False), ("m", "w", None, True), ("m", "w", "", True)], "model string, word string, year string, correct boolean")
+    assert [tuple(r) for r in responses.year_accuracy(df, "model").collect()] == [("m", "w", "2013", 1, 2, 0.5)]
+
+
 def test_mixtures():
     r = np.random.default_rng(0)
     p = r.dirichlet(np.ones(30), 5)
@@ -185,6 +305,11 @@ def test_sources(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{\n  "model": "m",\n  "sample": 1\n}\n\n{\n  "model": "n",\n  "sample": 2\n}\n{\n  "model": "cut')
     got = files.read_json_objects(spark, str(tmp_path / "a.jsonl"), "model string, sample int", "model")
     assert sorted((r.model, r.sample) for r in got.collect()) == [("m", 1), ("n", 2)]
+    (tmp_path / "compact.jsonl").write_text('{"model": "a}{", "sample": 1}\n{"model": "b\\"}", "sample": 2}{"model": "c", "sample": 3}\n')
+    got = files.read_json_objects(spark, str(tmp_path / "compact.jsonl"), "model string, sample int", strict=True)
+    assert sorted((r["index"], r.model, r.sample) for r in got.collect()) == [(0, "a}{", 1), (1, 'b"}', 2), (2, "c", 3)]
+    with pytest.raises(Exception, match="no JSON at position"):
+        files.read_json_objects(spark, str(tmp_path / "a.jsonl"), "model string", strict=True).collect()
     (tmp_path / "d.json").write_text(json.dumps({"CC-MAIN-2013-20": 5, "CC-MAIN-2014-10": 7}))
     assert {r.dump: r.tokens for r in files.read_json_map(spark, str(tmp_path / "d.json")).collect()}["CC-MAIN-2014-10"] == 7
     (tmp_path / "w.txt").write_text("# c\nLol\n\n rad # no\nlol\n")
@@ -203,6 +328,43 @@ def test_sources(spark, tmp_path):
     assert tuple(files.read_word_counts(spark, str(tmp_path / "n.json")).first()) == ("a", 2, 9)
 
 
+def test_latest_responses_of_a_folder(spark, tmp_path):
+    import os
+
+    rec = lambda sample, text, v='{"a": "1", "b": "2"}': '{"model": "m", "prompt_id": "p", "variables": %s, "sample": %d,\n "response": "%s"}\n' % (v, sample, text)
+    (tmp_path / "m_20240102_000000.jsonl").write_text(rec(0, "new", '{"b": "2", "a": "1"}') + rec(2, "twice") + rec(2, "last"))
+    (tmp_path / "m_20240101_000000.jsonl").write_text(rec(0, "old") + rec(1, "only"))
+    (tmp_path / "plain.jsonl").write_text(rec(3, "undated") + rec(1, "wins, as undated files come last"))
+    os.utime(tmp_path / "plain.jsonl", (1, 1))
+    schema = "model string, prompt_id string, variables map<string,string>, sample int, response string"
+    got = {r.sample: r.response for r in files.read_responses(spark, str(tmp_path), schema).collect()}
+    assert got == {0: "new", 1: "wins, as undated files come last", 2: "last", 3: "undated"}
+    assert files.read_responses(spark, str(tmp_path), schema, latest_only=False).count() == 7
+
+
+def test_sinks_words_and_counters(spark, tmp_path):
+    rows = spark.createDataFrame([("org/m", 1), ("n", 2)], "model string, k int")
+    for stamp in ("20240101_000000", "20240102_000000"):
+        files.write_responses(rows, str(tmp_path / "out"), stamp)
+    back = spark.read.json(str(tmp_path / "out"))
+    assert back.count() == 4 and {r[0] for r in back.select("model_file").distinct().collect()} == {"org_m", "n"}
+    words = lambda *w: spark.createDataFrame([(x, i) for i, x in enumerate(w)], "word string, line int")
+    assert [r.word for r in files.union_words(words("b", "a"), words("c", "a", "d")).orderBy("line").collect()] == ["b", "a", "c", "d"]
+    assert sorted(r.word for r in files.missing_words(words("A", "x"), words("a")).collect()) == ["x"]
+    from driftlex.operators.kwic import kwic, prefilter_pattern
+
+    docs = spark.createDataFrame([("a lol b lol",), ("nothing",), (None,)], "text string")
+    run = files.Run(docs, F.col("text").rlike(prefilter_pattern(["lol"])))
+    run.watched(kwic(run.documents, ["lol"])).write.mode("overwrite").parquet(str(tmp_path / "ctx"))
+    got = run.report()
+    assert (got["contexts"], got["targets"]) == (2, 1) and got["candidates"] == 1 and got["seconds"] >= 0
+    shards = spark.createDataFrame([("d1", i) for i in range(50)] + [("d2", 1)], "dump string, k int").repartition(4)
+    files.write_by_dump(shards, str(tmp_path / "shards"))
+    files.merge_shards(spark, str(tmp_path / "shards"), str(tmp_path / "merged"), delete=True)
+    assert len(list((tmp_path / "merged/dump=d1").glob("*.csv"))) == 1 and not (tmp_path / "shards").exists()
+    assert spark.read.option("header", True).csv(str(tmp_path / "merged")).count() == 51
+
+
 def test_archives(spark, tmp_path):
     def rec(kind, head, body):
         h = f"WARC/1.0\r\nWARC-Type: {kind}\r\n{head}Content-Length: {len(body)}\r\n\r\n"
@@ -234,21 +396,16 @@ def test_stream_equals_batch(spark, data, tmp_path):
     assert spark.sql("select sum(hits) from running").first()[0] == want.where("target = 'the'").count()
 
 
-def test_response_bootstrap_equals_brute_force(spark, tmp_path):
-    from driftlex.plans import reply_queries
-
+def test_response_bootstrap_equals_brute_force(spark):
     r = np.random.default_rng(3)
-    # the later conversations speak of the last word only
-    text = lambda i: " ".join(["the"] * r.integers(1, 4) if i < 2000 else ["on"] * r.integers(1, 4))
-    rows = [(i, 1, "assistant", text(i)) for i in range(1900, 2100)] + [(5, 0, "user", "la la"), (6, 1, "assistant", "nothing"), (7, 1, "assistant", None)]
-    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    got = reply_queries.bootstrap_responses(spark, str(tmp_path)).first()
-    x = np.array([[t.count("the"), t.count("on")] for _, _, role, t in rows if role == "assistant" and t and t != "nothing"], float)
+    x = np.array([(r.integers(1, 4), 0) if i < 100 else (0, r.integers(1, 4)) for i in range(200)], float)
+    df = spark.createDataFrame([tuple(int(v) for v in row) for row in x], "the long, on long")
+    got = stats.response_bootstrap(df, ["the", "on"], lambda v: float(v @ [2013, 2019] / v.sum()), 500).first()
     sums = np.array([x[r.integers(0, len(x), len(x))].sum(0) for _ in range(4000)])
     want = sums @ [2013, 2019] / sums.sum(1)
     assert got.replicates == 500 and got.mean == pytest.approx(want.mean(), abs=0.05)
     assert [got.low, got.high] == pytest.approx(np.percentile(want, [2.5, 97.5]).tolist(), abs=0.12)
-    assert reply_queries.S.response_bootstrap(spark.createDataFrame([], "a long, b long"), ["a", "b"], lambda v: 1.0, 10).first().replicates == 0
+    assert stats.response_bootstrap(spark.createDataFrame([], "a long, b long"), ["a", "b"], lambda v: 1.0, 10).first().replicates == 0
 
 
 def test_first_token_dist_takes_all_turns(spark, tmp_path):
