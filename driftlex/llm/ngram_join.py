@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlex.llm.components import components
-from driftlex.llm.npwords import SPACE, Words, shingle_sets, text_chunks
+from driftlex.llm.npwords import SPACE, Words, release_memory, shingle_sets, text_chunks
 from driftlex.llm.rowflags import row_key, settle, surplus
 from driftlex.llm.scratch import discard, materialise
 
@@ -95,6 +95,7 @@ def _scan(width: int):
             h = keys[keep].view(np.int64)
             z = pa.nulls(len(h), pa.int64())
             yield pa.RecordBatch.from_arrays([z, z, z, z, pa.array(h), pa.array(counts[keep])], names=names)
+        release_memory()
 
     return run
 
@@ -155,6 +156,8 @@ def _deal(width: int, bits: int, common):
                     sigs, parts, held = sigs[BLOCK_ROWS:], parts[BLOCK_ROWS:], 0
         if sigs:
             yield pieces(sigs[0], sigs, parts)
+        del sigs, parts
+        release_memory()
 
     return run
 

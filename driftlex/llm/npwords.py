@@ -6,6 +6,7 @@ follows the chunk (or the longest single text) and not the partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,6 +82,15 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[in
         at = end
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: the processes that run tasks are kept for later ones."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the C library of this system
+        return
+
+
 class Words:
     """Words of a chunk: byte spans, and the range of words of each row."""
 

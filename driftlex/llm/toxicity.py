@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlex.llm.npwords import _INV, _MULT, BYTE_VALUE, NON_ALNUM, SPACE, Words, _powers, mix, shingle_sets, text_chunks
+from driftlex.llm.npwords import _INV, _MULT, BYTE_VALUE, NON_ALNUM, SPACE, Words, _powers, mix, release_memory, shingle_sets, text_chunks
 from driftlex.llm.rowflags import row_key
 from driftlex.llm.scratch import materialise
 
@@ -37,6 +37,8 @@ LEAST_DF, LEAST_EVIDENCE = 4, 10.83
 PRIOR = 12
 BATCH, PRESENTED = 512, 120_000
 N_FEATURES = 6
+#: Bytes of text that a task scores at once; a longer text is scored alone.
+SCORED_BYTES = 1 << 20
 
 
 def _sigmoid(x):
@@ -447,6 +449,8 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 7) -> Network:
         weight = np.array([total[r[1]] for r in rows], float) / np.where(y == 1, max(1, y.sum()), max(1, (1 - y).sum()))
         net = fit([r[2] for r in rows], y, weight, seed)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
+        del rows, net
+        release_memory()
 
     # the bounded sample meets in one task, whose memory is an executor's and not the driver's
     fitted = sample.repartition(1).mapInArrow(run, "net binary").first()
@@ -462,17 +466,21 @@ def score(docs: DataFrame, net: Network, *columns: str) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)  # of fixed size: buckets times dimensions at most
     kept = [f for f in docs.schema.fields if f.name in columns]
-    own = docs.select(*columns, F.col("text").cast("string").alias("__text"))
+    # a text that is asked for travels once
+    own = docs.select(*[F.col(f"`{f.name}`") for f in kept]) if any(f.name == "text" and f.dataType.simpleString() == "string" for f in kept) else docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col("text").cast("string").alias("__text"))
+    at, names = own.columns.index("__text" if "__text" in own.columns else "text"), [f.name for f in kept]
 
     def run(batches):
         model = shared.value
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for a, b, data, off in text_chunks(batch.column(batch.num_columns - 1)):
+            for a, b, data, off in text_chunks(batch.column(at), SCORED_BYTES):
                 out[a:b] = model.scores(data, off)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], names=[*columns, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(out)], names=[*names, "score"])
+        release_memory()
 
-    return own.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", score double")
+    scored = own.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", score double")
+    return scored.select(*columns, "score")
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
