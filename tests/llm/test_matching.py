@@ -229,6 +229,31 @@ def test_top_k(spark, monkeypatch):
     assert sorted(tuple(x) for x in topk.top_k(df).collect()) == brute_top(rows)
 
 
+def test_top_k_in_slices_looks_at_few(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CHUNK", 400)
+    monkeypatch.setattr(topk, "SLICE_BYTES", 4096)
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(20, 32)) * 0.2
+    rows = [(i, (centres[i % 20] + r.normal(size=32) * 0.03).tolist()) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = topk.top_k(df, looked_at=True).collect()
+    assert sorted(tuple(x)[:4] for x in got) == brute_top(rows)
+    assert np.mean([x.looked_at for x in got]) < 0.25 * 400
+
+
+def test_lists_and_cutoffs_lose_nothing():
+    r = np.random.default_rng(6)
+    for scale in (1, 1e5, 1e9, 1e13):
+        q, v = np.floor(r.normal(size=(3, 10)) * scale), np.floor(r.normal(size=(300, 10)) * scale)
+        lists, off = topk.block_lists(q, v)
+        for j in range(3):
+            exact = [sum(int(a) * int(b) for a, b in zip(q[j], x)) for x in v]
+            assert [int(x) for x in topk.resolved(q[j], v)] == exact
+            cutoff = float(sorted(exact)[-7])
+            at = topk.collected(lists, off[j], j, np.zeros(300, bool), cutoff)
+            assert {i for i, x in enumerate(exact) if x >= cutoff} <= set(at.tolist())
+
+
 def test_top_k_of_few(spark):
     s = "vec_id long, embedding array<float>"
     assert topk.top_k(spark.createDataFrame([], s)).collect() == []
@@ -236,9 +261,24 @@ def test_top_k_of_few(spark):
     assert [tuple(x) for x in topk.top_k(spark.createDataFrame([(0, [1.0]), (7, [0.5])], s)).collect()] == [(0, 1, 7, 256 * 128)]
 
 
+def brute_licenses(text, known=None):
+    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    w, found = re.findall(pattern, lower(text)), set()
+    for name, template in known or licenses.TEMPLATES:
+        t = re.findall(pattern, lower(template))
+        want = {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+        step = max(1, len(t) // 4)
+        for s in range(0, max(1, len(w)), step):
+            part = w[s : s + len(t) + 2 * step]
+            if want and 4 * len(want & {tuple(part[i : i + 5]) for i in range(len(part) - 4)}) >= 3 * len(want):
+                found.add(name)
+    return ",".join(sorted(found))
+
+
 def test_licenses(spark):
     apache = licenses.TEMPLATES[1][1]
     gpl = licenses.TEMPLATES[4][1].split()
+    mit = licenses.TEMPLATES[13][1].split()
     docs = [
         (0, "Text before. Released under the MIT License. And after"),
         (1, "x " * 30 + apache.upper() + " y" * 30 + " licensed under the apache license, version 2.0"),
@@ -248,8 +288,32 @@ def test_licenses(spark):
         (5, ""),
         (6, "a b"),
         (0, "Released under the MIT License."),
+        (7, "word " * 400 + " ".join(mit[:60] + ["inserted"] + mit[60:100] + mit[102:]) + " more" * 77),
+        (8, "word " * 20_000 + " ".join(gpl[:-3])),
+        (9, "Released very under the MIT License"),
     ]
     got = [(x.doc_id, x.licenses) for x in licenses.find_licenses(spark.createDataFrame([(d, t, "", 0) for d, t in docs], DOCS)).orderBy("doc_id", "spans").collect()]
-    assert got == [(0, "mit"), (0, "mit"), (1, "apache-2.0"), (2, "gpl-3.0"), (3, ""), (4, ""), (5, ""), (6, "")]
+    assert got == [(0, "mit"), (0, "mit"), (1, "apache-2.0"), (2, "gpl-3.0"), (3, ""), (4, ""), (5, ""), (6, ""), (7, "mit"), (8, "gpl-3.0"), (9, "")]
     spans = licenses.find_licenses(spark.createDataFrame([(0, docs[0][1], "", 0)], DOCS)).first().spans
-    assert spans == "mit:2:7"
+    assert spans == "mit:0:9"
+    assert licenses.find_licenses(spark.createDataFrame([], DOCS)).collect() == []
+
+
+@pytest.mark.parametrize("sent", [200_000, 7])
+def test_licenses_with_words_put_in_and_left_out(spark, monkeypatch, sent):
+    monkeypatch.setattr(licenses, "MOST_SENT", sent)
+    r = random.Random(12)
+    docs, meant = [], 0
+    for i in range(120):
+        name, template = licenses.TEMPLATES[i % len(licenses.TEMPLATES)]
+        w = template.split()
+        for _ in range(r.randrange(0, 1 + len(w) // 30)):
+            k = r.randrange(len(w))
+            w[k : k + 1] = r.choice([[], [w[k], "other"], ["changed"]])
+        before, after = (["".join(r.choice("abcdef") for _ in range(r.randrange(1, 7))) for _ in range(r.randrange(0, 90))] for _ in range(2))
+        docs.append((i, " ".join(before + w + after)))
+    got = {x.doc_id: x.licenses for x in licenses.find_licenses(spark.createDataFrame([(d, t, "", 0) for d, t in docs], DOCS)).collect()}
+    want = {i: brute_licenses(t) for i, t in docs}
+    assert sum(bool(x) for x in want.values()) > 90
+    missed = [i for i in want if set(want[i].split(",")) - set(got[i].split(","))]
+    assert len(missed) <= 0.01 * len(docs) and all(set(got[i].split(",")) <= set(want[i].split(",")) for i in want)

@@ -60,6 +60,21 @@ def test_personal_data_of_very_long_texts(spark):
     assert got[0].n_email == 1 and got[1].n_email == 1 and got[0].n_card == 0
 
 
+def test_mail_candidates_of_any_length(spark):
+    texts = [f"write to {'a' * n} [at] {'b' * n} [dot] org today" for n in (12, 65, 5000)] + ["mail x [at] y" + " [dot] z" * 30]
+    df = spark.createDataFrame([(i, t, "x", 0.0) for i, t in enumerate(texts)], DOCS).withColumn("__pii_text", pii.F.col("text"))
+    got = {r.doc_id: r["__pii_mail"] for r in pii._candidates(df).collect()}
+    for i, n in enumerate((12, 65, 5000)):
+        assert [(c.start, c.end) for c in got[i]] == [(9, 9 + 2 * n + 16)]
+    assert [(c.start, c.end) for c in got[3]] == [(5, len(texts[3]))]
+
+
+def test_numbers_side_by_side(spark):
+    df = spark.createDataFrame([(0, "phone (212)555-0199 10 times", "x", 0.0)], DOCS)
+    assert "phone:6:19" in pii.find_personal_data(df).first().spans
+    assert pii.find_personal_data(df.where("false")).collect() == []
+
+
 def test_boosted_trees_add_what_the_patterns_miss(spark):
     texts = ["please write to jo.miller [at] example [dot] org today", "phone: (212) 555-0199 at night", "on 2024-01-31 10:30:00", "order 1234567812345678 was sent", "nothing here at all dot"]
     df = spark.createDataFrame([(i, t, "x", 0.0) for i, t in enumerate(texts)], DOCS)
@@ -102,6 +117,29 @@ def test_secrets(spark):
     assert secrets.find_secrets(df.where("false")).collect() == []
 
 
+def test_long_tokens_are_scored_whole():
+    r = random.Random(8)
+    key = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    a = secrets.Automaton([secrets.classes(key(40)) for _ in range(50)])
+    assert a.ends[0] == 50 or sum(a.ends) == 50
+    assert sum(secrets.Automaton([secrets.classes(key(secrets.DEPTH + 9)) for _ in range(50)]).ends) == 0
+    # the same beginning, 600 characters of it: what comes later decides
+    digits, other = "0" * 600, "0" * 600 + "g" * 3000
+    assert a.log_likelihood(other) < a.log_likelihood(digits) - 1
+    state, total = 0, 0.0
+    for c in other:  # the plain walk
+        base = (a.totals.get(c, 0) + 0.5) / (a.all + 0.5 * a.symbols)
+        total += np.log(base) if state is None else np.log((a.out[state].get(c, 0) + 2 * base) / (a.seen[state] + 2))
+        state = None if state is None else a.next[state].get(c)
+    assert a.log_likelihood(other) == pytest.approx(total / len(other))
+
+
+def test_secrets_of_repeated_rows_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "token = abcdef123", "x", 0.0)] * 3 + [(None, "token: abcdef", "y", 1.0)], DOCS).withColumn("spans", pii.F.lit(1)).withColumn("unit", pii.F.lit(2))
+    got = [(x.doc_id, x.n_assign, x.spans) for x in secrets.find_secrets(df).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1, "assign:0:17")] * 3 + [(None, 1, "assign:0:13")], key=str)
+
+
 def test_automata_tell_formats_apart():
     r = random.Random(3)
     key = lambda: "k" + "".join(r.choice("0123456789") for _ in range(12))
@@ -128,6 +166,57 @@ def test_language(spark):
     assert {x.lang_pred for x in language.identify(df, None, "doc_id").collect()} == {"und"}
 
 
+def test_language_with_repeated_ids_and_clashing_columns(spark):
+    r = random.Random(9)
+    words = {"aa": ["the", "thing", "with", "under"], "bb": ["der", "schön", "über", "nicht"]}
+    for one in (7, 14):  # ids that may be learned from
+        rows = [(one, " ".join(r.choice(words[x]) for _ in range(12)), x) for _ in range(400) for x in ("aa", "bb")]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("unit", pii.F.lit("u")).withColumn("key", pii.F.lit(1)).withColumn("lang_pred", pii.F.lit("q"))
+        if zlib.crc32(str(one).encode()) % 3 == 1:
+            continue
+        model = language.train(df)
+        assert model is not None and model.languages == ["aa", "bb"]
+        got = [x.lang_pred for x in language.identify(df.drop("lang_pred"), model, "doc_id", "lang").collect()]
+        assert got == [x for _, _, x in rows]
+    copies = spark.createDataFrame([(7, "the thing", "aa")] * 3000 + [(7, "der über", "bb")], "doc_id long, text string, lang string")
+    assert language.train(copies).languages == ["aa", "bb"]
+
+
+@pytest.mark.parametrize("most, least", [(768, 0.95), (60, 0.25)])
+def test_more_than_200_languages(monkeypatch, most, least):
+    monkeypatch.setattr(language, "MOST_LANDMARKS", most)
+    r = random.Random(10)
+    made = {f"l{i:03}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(6)] for i in range(205)}
+    texts, labels = zip(*[(" ".join(r.choice(w) for _ in range(30)), x) for x, w in made.items() for _ in range(5)])
+    model = language.fit(list(texts), list(labels))
+    assert len(model.languages) == 205 and len(model.landmarks) == min(most, 615)
+    raw = [t.encode() for t in texts]
+    data, off = np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw]))
+    best, _ = model.predict(data, off)
+    assert np.mean([model.languages[b] == y for b, y in zip(best, labels)]) > least and len(set(best.tolist())) > 150 * least
+
+
+def test_language_scores_equal_exact_kernel_ridge():
+    r = random.Random(2)
+    words = {"aa": ["the", "thing", "with", "under"], "bb": ["der", "schön", "über", "nicht"], "cc": ["ça", "être", "les", "deux"]}
+    texts, labels = zip(*[(" ".join(r.choice(words[x]) for _ in range(r.randrange(2, 9))), x) for x in words for _ in range(14)])
+
+    def grams(t):
+        c = [int(language.BYTE_CLASS[b]) for b in t.encode()]
+        return {(1, c[i], c[i - 1] if i else 0) for i in range(len(c))} | {(3, *c[i - 2 : i + 1]) for i in range(2, len(c))}
+
+    sets = [grams(t) for t in texts]
+    kernel = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    k = np.array([[kernel(a, b) for b in sets] for a in sets])
+    y = np.array([[1.0 if x == z else -1.0 for z in sorted(words)] for x in labels])
+    w = np.full(len(texts), 1 / 14)
+    alpha = np.linalg.solve(k + 1 + language.RIDGE * np.diag(1 / w), y)  # all texts are landmarks: the dual solution
+    model = language.fit(list(texts), list(labels))
+    raw = [t.encode() for t in texts]
+    got = model.scores(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw])))
+    assert got == pytest.approx((k + 1) @ alpha, abs=0.01)
+
+
 def test_language_presence_equals_brute_force():
     texts = ["Ab cé", "", "b", "éé zz"]
     raw = [t.encode() for t in texts]
@@ -162,6 +251,65 @@ def test_toxicity(spark):
     assert max(x.score for x in toxicity.score(docs, none, "doc_id").collect()) < 0.01
 
 
+def test_toxicity_of_repeated_ids_and_edges(spark):
+    r = random.Random(16)
+    plain = ["river", "stone", "tree", "house", "green", "walk"]
+    text = lambda bad: " ".join([r.choice(plain) for _ in range(30)] + ["blargh"] * 3 * bad)
+    rows = [(i, text(i % 3 == 0), "x", 0.0) for i in range(600)]
+    rows += [(i, "tree " * 30_000, "x", 0.0) for i in range(600, 900)] + [rows[1]] * 50 + [(1, text(0), "y", 1.0)]
+    labels = [(i, int(i % 3 == 0)) for i in range(900)] * 2
+    docs = spark.createDataFrame(rows, DOCS).withColumn("key", pii.F.lit(0)).withColumn("toxic", pii.F.lit("t"))
+    net = toxicity.train(docs.repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    again = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int").repartition(2))
+    assert (net.text == again.text).all()
+    got = {(x.doc_id, x.text): x.score for x in toxicity.score(docs.where("doc_id < 600"), net, "doc_id", "text").collect()}
+    assert np.mean([(v >= 0.5) == ("blargh" in t) for (_, t), v in got.items()]) > 0.95
+    empty = docs.where("false")
+    assert toxicity.score(empty, net, "doc_id").collect() == []
+    assert toxicity.score(docs.limit(1), toxicity.train(empty, spark.createDataFrame([], "doc_id long, toxic int")), "doc_id").first().score < 0.01
+
+
+def test_network_equals_a_plain_loop():
+    net = toxicity.Network(3)
+    r = np.random.default_rng(4)
+    for k in ("bf", "bb"):
+        net.p[k] = r.normal(size=net.p[k].shape).astype(np.float32)
+    net.text, net.usual = r.normal(size=toxicity.N_FEATURES), -0.3
+    net.word_of[:] = r.integers(0, 50, len(net.word_of))
+    net.gram_of[:] = r.integers(0, 50, len(net.gram_of))
+    net.words, net.chars = (r.normal(size=(50, 8)).astype(np.float32) for _ in range(2))
+    texts = ["one two three", "", " ".join(f"w{i}x{i % 7}" for i in range(70)), "a"]
+    data, off = toxicity._bytes(texts)
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    u = toxicity.UNITS
+
+    def gru(xs, side):
+        h, out = np.zeros(u), []
+        for x in xs:
+            g, a = x @ net.p["W" + side] + net.p["b" + side], h @ net.p["U" + side]
+            z, m = sig(g[:u] + a[:u]), sig(g[u : 2 * u] + a[u : 2 * u])
+            n = np.tanh(g[2 * u :] + m * a[2 * u :])
+            h = (1 - z) * n + z * h
+            out.append(h)
+        return out
+
+    for i, t in enumerate(texts):
+        d, o = toxicity._bytes([t])
+        words = toxicity.Words(d, o, toxicity.NON_ALNUM)
+        v = toxicity.Vocabulary(words)
+        x = net.inputs(v)[v.of] if len(v.of) else np.zeros((0, 16))
+        logits = []
+        for a in range(0, max(1, len(x) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE) if len(x) else []:
+            part = x[a : a + toxicity.WINDOW].astype(float)
+            h = np.hstack([gru(part, "f"), gru(part[::-1], "b")[::-1]])
+            e = np.exp(h @ net.p["v"])
+            logits.append(float((e / e.sum()) @ h @ net.p["w"] + net.p["b"][0]))
+        rise = sorted((max(z - net.usual, 0) for z in logits), reverse=True)
+        want = [1, *(rise + [0, 0, 0])[:3], np.log1p(sum(rise)), np.log1p(len(x)) - 5]
+        assert net.features(data, off)[i] == pytest.approx(want, abs=2e-3), t
+        assert net.scores(data, off)[i] == pytest.approx(sig(np.dot(want, net.text)), abs=2e-3)
+
+
 def test_toxicity_of_a_rare_language():
     r = random.Random(11)
     made = lambda n: ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(n)]
@@ -251,6 +399,48 @@ def test_mixing(spark):
     assert mixing.mix(df.where("false")).collect() == []
 
 
+def test_mixing_rates_are_the_optimum(spark):
+    r = random.Random(17)
+    rows = [(i, r.choice("abcde"), r.randrange(0, 300) ** (1 + (i % 3 == 0))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long").withColumn("key", pii.F.xxhash64("doc_id"))
+    df = mixing.materialise(df, "rows")
+    got = mixing.with_copies(df, mixing.solve(df)).collect()
+    for s in "abcde":
+        own = [x for x in got if x.source == s and x["size"] > 0]
+        sizes, rates, target = np.array([x["size"] for x in own], float), np.array([x.rate for x in own]), own[0].target
+        assert (sizes * rates).sum() == pytest.approx(target, rel=1e-6)
+        if target < 3 * sizes.sum() * (1 - 1e-9):
+            # stationary: the logarithm of a rate that isn't cut is the multiplier times the size, and nothing else meets the target
+            free = rates < 3
+            tilt = np.log(rates[free]) / sizes[free]
+            assert tilt == pytest.approx(np.full(free.sum(), tilt[0]), rel=1e-6, abs=1e-12)
+            lo, hi = -1.0, 1.0
+            for _ in range(200):
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if (sizes * np.minimum(3, np.exp(np.minimum(mid * sizes, 50)))).sum() < target else (lo, mid)
+            assert tilt[0] == pytest.approx(lo, rel=1e-5, abs=1e-9)
+            assert (np.log(3) / tilt[0] <= sizes[~free].min() + 1e-6) if (~free).any() else True
+        taken = sum(x["size"] * x.n_copies for x in own)
+        assert abs(taken - target) <= sizes.max() and all(abs(x.n_copies - x.rate) < 1.2 for x in own)
+
+
+def test_mixing_many_sources_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 3)
+    rows = [(i, "w " * (1 + i % 9), f"s{i % 40:02}") for i in range(800)] + [(i, "w w", None) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for c in ("size", "rate", "key", "target", "number", "tilt"):
+        df = df.withColumn(c, pii.F.lit("x"))
+    got = mixing.mix(df).collect()
+    order, total = [f"s{i:02}" for i in range(40)] + [None], sum(len(t.split()) for _, t, _ in rows)
+    sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in order}
+    capped, share = set(), 0
+    for _ in range(50):
+        share = (total - sum(3 * sizes[s] for s in capped)) / sum((5, 2, 1)[i % 3] for i, s in enumerate(order) if s not in capped)
+        capped |= {s for i, s in enumerate(order) if (5, 2, 1)[i % 3] * share > 3 * sizes[s]}
+    want = sorted(3.0 * sizes[s] if s in capped else (5, 2, 1)[i % 3] * share for i, s in enumerate(order) for _ in [x for x in rows if x[2] == s])
+    assert sorted(x.target for x in got) == pytest.approx(want)
+
+
 def test_preference_format(spark):
     c = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (1, 2, "user", "more"), (1, 3, "assistant", "long answer"), (2, 0, "user", "hi"), (2, 1, "assistant", "yo"), (2, 2, "user", "else"), (2, 3, "assistant", "é"),
          (3, 0, "user", "hi"), (4, 0, "user", "alone"), (5, 1, "user", "later"), (5, 0, "system", None), (6, 0, "system", ""), (6, 1, "user", "later"), (None, 0, "user", "hi"), (7, None, "user", "hi"), (2, 3, "assistant", "é")]
@@ -271,6 +461,41 @@ def test_preference_format(spark):
     assert stale[0].chosen == "<|assistant|>\nlong answer\n" and stale[0].rejected == "<|assistant|>\nyo\n"
 
 
+def test_pairs_of_sparse_ids_with_one_first_turn(spark, monkeypatch):
+    monkeypatch.setattr(chat, "RANGE", 7)
+    ids = [i * i * 1_000_003 - 5000 for i in range(101)]
+    rows = [(i, t, "user" if t % 2 == 0 else "assistant", "hi" if t == 0 else f"{i}" * (1 + i % 3)) for i in ids for t in range(3)]
+    rows.append((ids[0], 3, "user", "long " * 50_000))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("head", pii.F.lit(1)).withColumn("range", pii.F.lit("r")).withColumn("place", pii.F.lit(0))
+    got = {frozenset((x.chosen_id, x.rejected_id)) for x in chat.paired(chat.conversations(df)).collect()}
+    assert got == {frozenset(ids[i : i + 2]) for i in range(0, 100, 2)}
+    assert any("long long" in x.chosen + x.rejected for x in chat.preferences(chat.paired(chat.conversations(df))).collect())
+
+
+def test_pipeline_stages_on_odd_rows(spark, data, tmp_path):
+    import corpus_pipeline as p
+
+    bench = " ".join(f"b{i}" for i in range(20))
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, toxic int, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    clean, near = " ".join(f"a{i}" for i in range(50)), " ".join(f"a{i}" for i in range(49)) + " zz"
+    rows = [(1, clean), (1, bench), (None, near), (None, bench), (2, None), (3, ""), (3, ""), (None, None), (4, "mail a.b@example.com " + "x" * 90_000), (5, clean), (1, clean)]
+    df = spark.createDataFrame([(i, t, None, "s" if t else None, len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    odd = df.withColumn("key", pii.F.lit(1)).withColumn("size", pii.F.lit("x")).withColumn("row", pii.F.lit("x"))
+    seen = lambda out: sorted(((x.doc_id, x.text) for x in out.collect()), key=str)
+    where = str(tmp_path)
+    assert seen(p.drop_toxic(spark, odd, where)) == sorted(rows, key=str)
+    # of the group of clean and its near copies one row; of the two benchmark texts the one with an id
+    empty = [(2, None), (3, ""), (3, ""), (None, None)]
+    assert seen(p.one_of_each_group(spark, odd, where)) == sorted([(1, clean), (1, bench), rows[8], *empty], key=str)
+    assert seen(p.drop_contaminated(spark, odd, where)) == sorted([r for r in rows if r[1] != bench], key=str)
+    assert "[EMAIL]" in dict(seen(p.mask_personal_data(spark, odd, where)))[4]
+    mixed = p.mix_sources(spark, odd, where)
+    assert mixed.columns == [*p.COLUMNS, "n_copies"] and set(seen(mixed)) <= {r for r in rows if r[1]}
+    for _, stage in p.STAGES:
+        assert stage(spark, odd.where("false"), where).collect() == []
+
+
 def test_pipeline(spark, data):
     import corpus_pipeline as p
     from driftlex.llm import decontaminate, ngram_join
