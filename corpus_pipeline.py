@@ -9,7 +9,7 @@ input are left out, and an empty input gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlex.llm import decontaminate as _decontaminate
@@ -52,19 +52,11 @@ def mask_personal_data(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mixture takes, with their number of copies; those without words are not taken.
 
-    Rows with equal identifier, text and source share out the copies that the mixture gives them.
+    Rows with equal identifier, text and source get the same number of copies.
     """
-    keyed = docs.select(*COLUMNS).withColumn(KEY, F.xxhash64(row_key(), F.col("source")))
-    sized = materialise(keyed.select("doc_id", F.col(KEY).alias("key"), "source", mixing.size_of(F.col("text")).alias("size")), "sizes")
-    per = mixing.copies(sized).groupBy("key").agg(F.sum("n_copies").alias("n"), F.count("*").alias("m")).where("n > 0")
-    per = materialise(per, "copies-by-key")
-    taken = keyed.join(per.select(F.col("key").alias(KEY), "n", "m"), KEY)
-    one = taken.where("m = 1").select(*COLUMNS, F.col("n").alias("n_copies"))
-    if per.where("m > 1").isEmpty():
-        return one
-    number = F.row_number().over(Window.partitionBy(KEY).orderBy(F.lit(0)))
-    some = taken.where("m > 1").withColumn("__number", number).withColumn("n_copies", F.expr("n div m") + F.when(F.expr("__number <= n % m"), 1).otherwise(0))
-    return one.unionByName(some.where("n_copies > 0").select(*COLUMNS, F.col("n_copies").cast("long").alias("n_copies")))
+    sized = docs.select(*COLUMNS, row_key().alias("key"), mixing.size_of(F.col("text")).alias("size"))
+    solved = mixing.solve(materialise(sized.select("source", "size", "key"), "sizes"))
+    return mixing.with_copies(sized, solved).where("n_copies > 0").select(*COLUMNS, "n_copies")
 
 
 STAGES = [
