@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlex.llm.components import components
+from driftlex.llm.components import components, forest
 from driftlex.llm.npwords import SPACE, Words, release_memory, shingle_sets, text_chunks
 from driftlex.llm.rowflags import row_key, settle, surplus
 from driftlex.llm.scratch import discard, materialise
@@ -343,7 +343,9 @@ def linked_classes(classes: DataFrame, vertices: DataFrame) -> DataFrame:
     def known(edges: DataFrame, end: str) -> DataFrame:
         return edges.join(vertices.select(F.col("sig").alias(end), F.col("v").alias(f"v{end}")), end)
 
-    roots = components(known(known(_verified(stars, classes), "a"), "b").select("va", "vb"), "va", "vb")
+    similar = materialise(_verified(stars, classes), "similar")
+    roots = components(known(known(forest(similar), "a"), "b").select("va", "vb"), "va", "vb")
+    discard(similar)
     labels = roots.select(F.col("v.sig").alias("sig"), "root")
     rooted = materialise(entries.join(labels.select("sig", F.col("root.sig").alias("root")), "sig", "left").select("tok", "sig", "n", "pos", F.coalesce("root", "sig").alias("root")), "rooted")
     discard(entries)
@@ -363,12 +365,13 @@ def linked_classes(classes: DataFrame, vertices: DataFrame) -> DataFrame:
     if not large.isEmpty():
         more = more.union(_large_groups(rooted.join(large, "tok").select("tok", "sig", "root", "main", "m"), classes))
     # what is found between components joins their roots
-    between = known(known(more, "a"), "b")
+    more = materialise(more, "similar")
+    between = known(known(forest(more), "a"), "b")
     for end in ("a", "b"):
         of = labels.select(F.col("sig").alias(end), F.col("root").alias(f"r{end}"))
         between = between.join(of, end, "left").withColumn(f"v{end}", F.coalesce(f"r{end}", f"v{end}"))
     joined = components(between.select("va", "vb"), "va", "vb")
-    discard(rooted, groups, left)
+    discard(rooted, groups, left, more)
     over = joined.select(F.col("v").alias("root"), F.col("root").alias("top"))
     return roots.join(over, "root", "left").select("v", F.coalesce("top", "root").alias("root")).union(joined)
 

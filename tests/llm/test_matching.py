@@ -12,6 +12,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from driftlex.llm import components as components_module
 from driftlex.llm import decontaminate, licenses, ngram_join, rowflags, topk
 from driftlex.llm.components import components
 from driftlex.llm.npwords import NON_ALNUM, SPACE, Words, text_chunks
@@ -123,6 +124,18 @@ def test_ngram_join_of_nothing(spark):
     assert ngram_join.similar_documents(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_forest_keeps_components(spark, monkeypatch):
+    monkeypatch.setattr(components_module, "LEAST_TASKS", 3)
+    r = random.Random(14)
+    edges = [(r.randrange(90), r.randrange(90)) for _ in range(60)] + [(200 + i, 201 + i) for i in range(90)] + [(500, 600 + i) for i in range(300)] * 3
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    few = components_module.forest(materialise(df, "edges"))
+    assert few.count() < 0.75 * len(edges)
+    pairs = lambda e: {(x.v, x.root) for x in components(e).collect()}
+    assert pairs(few) == pairs(df)
+    assert components_module.forest(materialise(df.where("false"), "edges")).collect() == []
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(40)] + [(7, 7), (None, 3)]
