@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from driftlex.llm.components import components, forest
 from driftlex.llm.npwords import SPACE, Words, release_memory, shingle_sets, text_chunks
 from driftlex.llm.rowflags import row_key, settle, surplus
-from driftlex.llm.scratch import discard, materialise
+from driftlex.llm.scratch import bounded_batches, discard, materialise
 
 #: A shingle is common if it lies in more than this share of the documents that a task has seen.
 COMMON_SHARE = 1 / 1000
@@ -256,6 +256,7 @@ def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def shingle_classes(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame]:
     """(rows with key, set size and class signature, candidate classes with their shared shingles)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text"))
     scan = materialise(own.mapInArrow(_scan(width), _INFO), "scan")
     hot = scan.where("h is not null").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(MOST_COMMON).toArrow()

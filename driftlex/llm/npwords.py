@@ -83,7 +83,8 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[in
 
 
 def release_memory() -> None:
-    """Give freed memory back to the system: the processes that run tasks are kept for later ones."""
+    """Give freed memory and cached powers back to the system: the processes that run tasks are kept for later ones."""
+    _pow.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from driftlex.llm.npwords import _INV, _MULT, BYTE_VALUE, NON_ALNUM, SPACE, Words, _powers, mix, release_memory, shingle_sets, text_chunks
 from driftlex.llm.rowflags import row_key
-from driftlex.llm.scratch import materialise
+from driftlex.llm.scratch import bounded_batches, materialise
 
 WINDOW, STRIDE = 32, 24
 UNITS, WORD_DIM, CHAR_DIM = 8, 8, 8
@@ -464,6 +464,7 @@ def score(docs: DataFrame, net: Network, *columns: str) -> DataFrame:
     rows are scored each by itself; columns that aren't asked for are left out, whatever their names. An empty
     table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)  # of fixed size: buckets times dimensions at most
     kept = [f for f in docs.schema.fields if f.name in columns]
     # a text that is asked for travels once

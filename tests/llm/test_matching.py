@@ -8,12 +8,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
 
 from driftlex.llm import components as components_module
-from driftlex.llm import decontaminate, licenses, ngram_join, rowflags, topk
+from driftlex.llm import decontaminate, licenses, ngram_join, rowflags, scratch, topk
 from driftlex.llm.components import components
 from driftlex.llm.npwords import NON_ALNUM, SPACE, Words, text_chunks
 from driftlex.llm.rowflags import row_key, settle
@@ -120,6 +121,27 @@ def test_settled_rows(spark, monkeypatch, buckets):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_ngram_join_in_small_arrow_batches(spark):
+    name, rows = "spark.sql.execution.arrow.maxBytesPerBatch", near_copies(9)
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "2000")  # a bound of the session's own stays
+    try:
+        df = spark.createDataFrame([(d, t, None, 1) for d, t in rows], DOCS).repartition(2)
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_documents(df).collect())
+        assert spark.conf.get(name) == "2000"
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    assert got == sorted(brute_components(rows))
+
+
+def test_arrow_batches_are_bounded(spark):
+    scratch.bounded_batches(spark)
+    rows = spark.range(40).select(F.repeat(F.lit("x"), 1 << 19).alias("text")).coalesce(1)
+    sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long")
+    found = [r.n for r in sizes.collect()]
+    assert sum(found) >= 40 << 19 and max(found) <= scratch.BATCH_BYTES + (1 << 20)
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_join.similar_documents(spark.createDataFrame([], DOCS)).collect() == []
 
