@@ -1,20 +1,25 @@
-"""Keyword in context: row-local extraction of target words and phrases.
+"""Keyword in context: extraction of target words and phrases, row by row.
 
-Everything stays in one row and one stage: tokens are cut once, positions that
-may begin a target are found by set membership of the first word, and only
-those few positions are compared, folded and cut out.
-
-Rows without a match are dropped after an outer explode: a filter on the
-derived arrays, written here or inferred from a plain explode, would be pushed
-below them and evaluate their whole expressions once more, nested.
+Texts go to tasks in Arrow batches, and each is walked once by a trie over its
+tokens (``matcher``). Nothing is shuffled, and only the columns asked for and the
+text leave the scan. Where matches are counted only, their tokens are never cut
+out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlex.functions import text as T
+from driftlex.operators.matcher import LETTERS, TOKEN, Matcher
+
+#: Rows and characters of contexts after which a batch is handed on.
+BATCH_ROWS, BATCH_CHARS = 20_000, 8 << 20
 
 
 def read_targets(lines: list[str], comment: str = "#") -> list[str]:
@@ -22,43 +27,44 @@ def read_targets(lines: list[str], comment: str = "#") -> list[str]:
     return [x for x in (line.strip().lower() for line in lines) if x and not x.startswith(comment)]
 
 
-def _matches(targets: list[str], phrases_first: bool) -> Column:
-    """Array of (at, n, target) over ``__keys``: at each position the first target in order, before overlaps."""
-    ranked = sorted(enumerate(targets), key=lambda t: (" " not in t[1], t[0])) if phrases_first else list(enumerate(targets))
-    ranks: dict[str, tuple[int, int]] = {}
-    for rank, (_, t) in enumerate(ranked):
-        ranks.setdefault(t, (rank, len(t.split(" "))))
-    sizes = sorted({n for _, n in ranks.values()})
-    heads = sorted({t.split(" ")[0] for t in ranks})
-    table = F.create_map(*[x for t, (rank, n) in ranks.items() for x in (F.lit(t), F.struct(F.lit(rank).alias("rank"), F.lit(n).alias("n"), F.lit(t).alias("target")))])
+def prefilter_pattern(targets: list[str]) -> str:
+    """Pattern of documents worth reading: a target between white space, with punctuation around it."""
+    quoted = [r"\s+".join(f"\\Q{w}\\E" for w in t.split(" ")) for t in targets]
+    return rf"(?i)(?:^|\s)\p{{Punct}}*(?:{'|'.join(quoted)})\p{{Punct}}*(?:\s|$)"
 
-    def best(c: Column) -> Column:
-        grams = [c["key"] if n == 1 else F.when(c["at"] + n <= F.size("__keys"), F.array_join(F.slice("__keys", c["at"] + 1, F.lit(n)), " ")) for n in sizes]
-        found = F.array(*[F.when(g.isNotNull(), F.try_element_at(table, g)) for g in grams])
-        return F.struct(c["at"].alias("at"), F.array_min(F.filter(found, lambda f: f.isNotNull())).alias("hit"))
 
-    begin = F.filter(F.transform("__keys", lambda k, i: F.struct(k.alias("key"), i.alias("at"))), lambda c: c["key"].isin(heads))
-    return F.filter(F.transform(begin, best), lambda m: m["hit"].isNotNull())
+def _each_text(rows: DataFrame, keep: tuple[str, ...], text: str, found: Callable[[str], list[tuple]], fields: list[pa.Field], schema: str) -> DataFrame:
+    """``keep`` columns and what ``found`` gives for each text, a row for each of its tuples; null texts are left out."""
+    own = rows.where(F.col(text).isNotNull()).select(*keep, F.col(text).cast("string").alias("__text"))
+    names = [*keep, *[f.name for f in fields]]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner: list[int] = []
+            out: list[tuple] = []
+            size = 0
 
-def _folded(hits: str) -> Column:
-    """Matches kept from left to right, none inside one that was kept before."""
-    none = F.array().cast("array<struct<at:int,n:int,target:string>>")
-    return F.aggregate(
-        hits,
-        F.struct(F.lit(0).alias("next"), none.alias("out")),
-        lambda a, m: F.when(
-            m["at"] >= a["next"],
-            F.struct((m["at"] + m["hit"]["n"]).alias("next"), F.concat(a["out"], F.array(F.struct(m["at"].alias("at"), m["hit"]["n"].alias("n"), m["hit"]["target"].alias("target")))).alias("out")),
-        ).otherwise(a),
-        lambda a: a["out"],
-    )
+            def put(batch=batch):
+                kept = batch.take(pa.array(owner, pa.int64()))
+                columns = list(zip(*out, strict=True)) if out else [()] * len(fields)
+                return pa.RecordBatch.from_arrays([*kept.columns[:-1], *[pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)]], names=names)
 
+            for i, value in enumerate(batch.column(batch.num_columns - 1)):
+                got = found(value.as_py())
+                owner += [i] * len(got)
+                out += got
+                size += sum(len(x) for r in got for x in r if isinstance(x, str))
+                if len(out) >= BATCH_ROWS or size >= BATCH_CHARS:
+                    yield put()
+                    owner, out, size = [], [], 0
+            if out:
+                yield put()
+
+    kept = "".join(f"`{c}` {own.schema[c].dataType.simpleString()}, " for c in keep)
+    return own.mapInArrow(run, kept + schema)
 
-def prefilter_pattern(targets: list[str]) -> str:
-    """Pattern of documents worth reading: a target between white space, with punctuation around it."""
-    quoted = [r"\s+".join(f"\\Q{w}\\E" for w in t.split(" ")) for t in targets]
-    return rf"(?i)(?:^|\s)\p{{Punct}}*(?:{'|'.join(quoted)})\p{{Punct}}*(?:\s|$)"
+
+_POS, _TARGET, _CONTEXT = pa.field("pos", pa.int32()), pa.field("target", pa.string()), pa.field("target_context", pa.string())
 
 
 def kwic(docs: DataFrame, targets: list[str], k: int = 20, keep: tuple[str, ...] = (), text: str = "text", context: bool = True, strict_prefilter: bool = False) -> DataFrame:
@@ -68,21 +74,24 @@ def kwic(docs: DataFrame, targets: list[str], k: int = 20, keep: tuple[str, ...]
     matches; matches don't overlap, across all targets. The context is the original text.
     ``strict_prefilter`` first drops documents that the plain pattern misses.
     """
-    df = docs.where(F.col(text).isNotNull())
     if strict_prefilter:
-        df = df.where(F.col(text).rlike(prefilter_pattern(targets)))
-    df = df.select(*keep, T.pieces(text).alias("__pieces"))
-    df = df.withColumn("__keys", F.transform("__pieces", T.token_key)).withColumn("__hits", _matches(targets, False))
-    df = df.withColumn("__kept", _folded("__hits"))
-    if not context:
-        return df.select(*keep, F.explode_outer("__kept").alias("m")).where("m is not null").select(*keep, F.col("m.at").alias("pos"), F.col("m.target").alias("target"))
+        docs = docs.where(F.col(text).rlike(prefilter_pattern(targets)))
+    matcher = Matcher(targets)
 
-    def cut(m: Column) -> Column:
-        first = F.greatest(m["at"] - k, F.lit(0))
-        last = F.least(m["at"] + m["n"] + k, F.size("__pieces"))
-        return F.struct(m["at"].alias("pos"), m["target"].alias("target"), F.rtrim(F.array_join(F.slice("__pieces", first + 1, last - first), ""), F.lit(T.WS_CHARS)).alias("target_context"))
+    def places(value: str) -> list[tuple]:
+        return [(at, target) for at, _, target in matcher.matches(value.split())]
 
-    return df.select(*keep, F.explode_outer(F.transform("__kept", cut)).alias("m")).where("m is not null").select(*keep, "m.*")
+    def contexts(value: str) -> list[tuple]:
+        tokens = value.split()
+        kept = matcher.matches(tokens)
+        if not kept:
+            return []
+        spans = [m.span() for m in TOKEN.finditer(value)]
+        return [(at, target, value[spans[max(0, at - k)][0] : spans[min(len(tokens), at + n + k) - 1][1]]) for at, n, target in kept]
+
+    if not context:
+        return _each_text(docs, keep, text, places, [_POS, _TARGET], "pos int, target string")
+    return _each_text(docs, keep, text, contexts, [_POS, _TARGET, _CONTEXT], "pos int, target string, target_context string")
 
 
 def count_targets(docs: DataFrame, targets: list[str], by: tuple[str, ...], text: str = "text") -> DataFrame:
@@ -91,25 +100,25 @@ def count_targets(docs: DataFrame, targets: list[str], by: tuple[str, ...], text
     The result has a row for each group and target, and is cached: what is derived from it (lists of
     periods and words, rates, grids) doesn't read the texts again.
     """
-    df = docs.select(*by, T.pieces(F.coalesce(F.col(text), F.lit(""))).alias("__pieces"))
-    df = df.withColumn("__keys", F.transform("__pieces", T.token_key)).withColumn("__hits", _matches(targets, False)).withColumn("__kept", _folded("__hits"))
-    tokens = F.struct(F.lit(None).cast("string").alias("target"), F.size("__pieces").cast("long").alias("n"))
-    found = F.transform("__kept", lambda m: F.struct(m["target"].alias("target"), F.lit(1).cast("long").alias("n")))
-    each = df.select(*by, F.explode_outer(F.concat(F.array(tokens), found)).alias("m"))
-    return each.groupBy(*by, F.col("m.target").alias("target")).agg(F.sum("m.n").alias("n")).cache()
+    matcher = Matcher(targets)
+
+    def counts(value: str) -> list[tuple]:
+        tokens = value.split()
+        return [(None, len(tokens)), *Counter(target for _, _, target in matcher.matches(tokens)).items()]
+
+    each = _each_text(docs.withColumn(text, F.coalesce(F.col(text), F.lit(""))), by, text, counts, [_TARGET, pa.field("n", pa.int64())], "target string, n long")
+    return each.groupBy(*by, "target").agg(F.sum("n").alias("n")).cache()
 
 
 def kwic_tokens(docs: DataFrame, targets: list[str], k: int = 10, keep: tuple[str, ...] = (), text: str = "text") -> DataFrame:
     """The crawl variant: letter tokens, phrases before single words, the context lower-case tokens joined by blanks."""
-    df = docs.where(F.col(text).isNotNull()).select(*keep, T.alpha_tokens(text).alias("__keys"))
-    df = df.withColumn("__hits", _matches(targets, True)).withColumn("__kept", _folded("__hits"))
+    matcher = Matcher(targets, phrases_first=True, key=str.lower)
 
-    def cut(m: Column) -> Column:
-        first = F.greatest(m["at"] - k, F.lit(0))
-        last = F.least(m["at"] + m["n"] + k, F.size("__keys"))
-        return F.struct(m["at"].alias("pos"), m["target"].alias("target"), F.array_join(F.slice("__keys", first + 1, last - first), " ").alias("target_context"))
+    def contexts(value: str) -> list[tuple]:
+        tokens = LETTERS.findall(value)
+        return [(at, target, " ".join(tokens[max(0, at - k) : at + n + k]).lower()) for at, n, target in matcher.matches(tokens)]
 
-    return df.select(*keep, F.explode_outer(F.transform("__kept", cut)).alias("m")).where("m is not null").select(*keep, "m.*")
+    return _each_text(docs, keep, text, contexts, [_POS, _TARGET, _CONTEXT], "pos int, target string, target_context string")
 
 
 def vocabulary_hits(rows: DataFrame, vocabulary: list[str], keep: tuple[str, ...], text: str = "text") -> DataFrame:

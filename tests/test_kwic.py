@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from driftlex.functions import dumps as D
 from driftlex.functions import text as T
-from driftlex.operators.kwic import kwic, kwic_tokens, read_targets, vocabulary_hits
+from driftlex.operators.kwic import count_targets, kwic, kwic_tokens, read_targets, vocabulary_hits
+from driftlex.operators.matcher import Matcher
 
 PIECES = ["the", "The,", "of", "and", "red,", "pill", "(LOL!)", "...", "basic", "bitch", "lol’", "💀", "tl;dr", "É"]
 SPACES = [" ", "\n", " ", " ", "  ", "\x0b", "\t"]
@@ -95,3 +96,34 @@ def test_dumps(spark):
     assert str(one(D.monday_of(F.lit("CC-MAIN-2013-20")))) == "2013-05-13"
     assert one(D.monday_of(F.lit("other"))) is None and one(D.in_dates(F.lit("other"), "2013-01-01", "2014-01-01"))
     assert one(D.in_range(F.lit("CC-MAIN-2015-06"), 2015, "CC-MAIN-2014", "CC-MAIN-2016")) and not one(D.in_range(F.lit("x"), 2015))
+
+
+def test_a_long_target_list_in_rank_order(spark):
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(30)] + ["the", "of"]
+    targets = []
+    while len(targets) < 276:
+        t = " ".join(r.choice(words) for _ in range(r.choice([1, 1, 2, 2, 3, 4])))
+        if t not in targets:
+            targets.append(t)
+    r.shuffle(targets)
+    texts = [" ".join(r.choice([*words, "x", "W3,", "(the)"]) for _ in range(r.randrange(0, 60))) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = sorted((x.doc_id, x.pos, x.target, x.target_context) for x in kwic(df, targets, 3, ("doc_id",)).collect())
+    assert got == sorted((i, *c) for i, t in enumerate(texts) for c in contexts(t, targets, 3))
+    hidden = [t for t in targets if " " in t and t.split(" ")[0] in targets[: targets.index(t)]]
+    assert hidden and not {x[2] for x in got} & set(hidden)
+
+
+def test_matches_after_a_failed_prefix():
+    m = Matcher(["a b c d", "b c", "c", "a a b"])
+    assert m.matches("a b c x".split()) == [(1, 2, "b c")]
+    assert m.matches("a b c d".split()) == [(0, 4, "a b c d")]
+    assert m.matches("a a a b c".split()) == [(1, 3, "a a b"), (4, 1, "c")]
+    assert Matcher(["c", "b c"]).matches("b c".split()) == [(0, 2, "b c")]
+    assert Matcher([]).matches(["a"]) == [] and Matcher(["a"]).matches([]) == []
+
+
+def test_counts_in_one_pass(spark):
+    df = spark.createDataFrame([("d", "The the x"), ("d", None), ("e", ""), (None, "the, end")], "dump string, text string")
+    assert {tuple(r) for r in count_targets(df, ["the", "end"], ("dump",)).collect()} == {("d", None, 3), ("d", "the", 2), ("e", None, 0), (None, None, 2), (None, "the", 1), (None, "end", 1)}
