@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
 from driftlex.functions import text as T
+from driftlex.operators import langscore
 
 # English function words that a running text holds, and signs stripped from its words.
 FUNCTION_WORDS = (
@@ -37,8 +38,6 @@ LEAST_TOKENS = 8
 FEW_FUNCTION_WORDS = ((0.04, 0.5), (0.08, 0.2))
 MANY_COMMAS = ((0.12, 0.4), (0.06, 0.15))
 MANY_SEPARATORS = ((0.04, 0.4),)
-#: Share of function words at which a text is taken for English with certainty.
-ENGLISH_SHARE = 0.2
 # What trends leave out, and the sense score from which a row counts.
 EXCLUDED_TERMS, EXCLUDED_YEARS, SENSE_LEAST = ("💀", "😭"), (2013,), 0.99
 
@@ -68,15 +67,13 @@ def with_quality(rows: DataFrame, text: str = "text", name: str = "quality_score
     return df.withColumn(name, score).drop("__n", "__f", "__c", "__s")
 
 
-def with_english(rows: DataFrame, text: str = "text", name: str = "lang_score", model: Callable[[Iterator[pd.Series]], Iterator[pd.Series]] | None = None) -> DataFrame:
-    """``name``: how likely a text is English, 0 to 1, and 0 for a null or a text without tokens.
+def with_english(rows: DataFrame, model: langscore.EnglishModel | Callable[[Iterator[pd.Series]], Iterator[pd.Series]], text: str = "text", name: str = "lang_score") -> DataFrame:
+    """``name``: how likely a text is English, 0 to 1, and 0 for a null or a text without letters.
 
-    ``model`` maps batches of texts to probabilities; without one, it is the share of English function words
-    among the tokens, as a part of ``ENGLISH_SHARE``.
+    ``model`` is a trained one, or maps batches of texts to probabilities.
     """
-    if model is None:
-        share = F.col("__f") / F.greatest("__n", F.lit(1)) / ENGLISH_SHARE
-        return _counted(rows, text, FUNCTION_WORDS).withColumn(name, F.when(F.col("__n") > 0, F.least(share, F.lit(1.0))).otherwise(0.0)).drop("__n", "__f")
+    if isinstance(model, langscore.EnglishModel):
+        return langscore.with_score(rows, model, text, name)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield from model(batches)

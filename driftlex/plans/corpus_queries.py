@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from driftlex.functions import dumps as D
 from driftlex.functions import text as T
-from driftlex.operators import annotation, rates, sampling, scoring, trajectory
+from driftlex.operators import annotation, langscore, rates, sampling, scoring, sensemodel, trajectory
 from driftlex.operators import stats as S
 from driftlex.operators.kwic import count_targets, kwic, kwic_tokens, prefilter_pattern
 from driftlex.plans.base import CORPUS, HITS, KEYS, LEAST_SCORE, PEAKS, PHRASES, RATES, SCORED, SINGLES, TOKENS, WS, corpus, pseudo_score, query, quoted, table
+from driftlex.sources.shared import stored
 
 _RTRIM = f"regexp_replace(array_to_string(%s, ''), '[{WS}]+$', '')"
 
@@ -287,19 +288,50 @@ def quality_score(spark, d):
     return scoring.with_quality(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "quality_score")
 
 
-_ENGLISH = f"e as (select doc_id, case when n > 0 then least(f / n / {scoring.ENGLISH_SHARE}, 1.0::double) else 0.0::double end as lang_score from qc)"
-_QUALITY_PARTS = _QUALITY.replace("q as (", "", 1)
-_COUNTED = "qc as (" + _QUALITY_PARTS[_QUALITY_PARTS.index("from (select doc_id, text, len(t) as n") + len("from ("): -2] + ")"
+# trigrams of every text, those of texts that may be learned from by language, and each text's score
+_ENGLISH = f"""chars as (select doc_id, lang, doc_id % 5 = 0 as held_out, list_transform(string_split(coalesce(text, ''), ''), lambda x: case
+    when ord(x) >= 128 then 27 + ord(x) % 37 when ord(lower(x)) between 97 and 122 then ord(lower(x)) - 96 else 0 end) as c from documents),
+places as (select doc_id, lang, held_out, c[1:len(c) - 2] as x, c[2:len(c) - 1] as y, c[3:len(c)] as z from chars where len(c) >= 3),
+grams as (select doc_id, lang, held_out, x * {langscore.CLASSES**2} + y * {langscore.CLASSES} + z as gram from (select doc_id, lang, held_out, unnest(x) as x, unnest(y) as y, unnest(z) as z from places) where y > 0),
+learned as (select gram, count(*) filter (lang = 'en') as e, count(*) filter (lang <> 'en') as o from grams where not held_out and lang is not null group by 1),
+known as (select count(*) filter (lang = 'en') as e, count(*) filter (lang <> 'en') as o from documents where doc_id % 5 <> 0 and lang is not null and text is not null),
+whole as (select sum(e) + {langscore.SMOOTHING} * count(*) as e, sum(o) + {langscore.SMOOTHING} * count(*) as o from learned),
+weights as (select gram, ln((l.e + {langscore.SMOOTHING}) / w.e) - ln((l.o + {langscore.SMOOTHING}) / w.o) as weight from learned l cross join whole w),
+evidence as (select doc_id, sum(weight) as s, count(*) as n from grams join weights using (gram) group by 1),
+e as (select doc_id, doc_id % 5 = 0 as held_out, round(case when n is null then 0.0::double else 1 / (1 + exp(-(s / n * least(n, {langscore.MOST_EVIDENCE}) + (select ln(e / o) from known)))) end, 6) as lang_score
+  from documents left join evidence using (doc_id))"""
 
 
-@query(f"with {_COUNTED}, {_ENGLISH} select doc_id, lang_score from e")
+def english_model(spark, d: str) -> langscore.EnglishModel:
+    """Learned from the languages of four fifths of the documents."""
+    docs = table(spark, d, "documents")
+    return langscore.train(docs.where("doc_id % 5 <> 0"), F.col("lang") == "en")
+
+
+def with_english_score(spark, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return scoring.with_english(docs, english_model(spark, d)).withColumn("lang_score", F.round("lang_score", 6))
+
+
+@query(f"with {_ENGLISH} select doc_id, held_out, lang_score from e")
 def english_score(spark, d):
-    return scoring.with_english(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "lang_score")
+    return with_english_score(spark, d).select("doc_id", (F.col("doc_id") % 5 == 0).alias("held_out"), "lang_score")
 
 
-@query(f"with {_QUALITY}, {_COUNTED}, {_ENGLISH} select doc_id, lang_score, quality_score from q join e using (doc_id) where lang_score >= 0.85 and quality_score >= 0.7")
+@query(
+    f"""with {_ENGLISH}, j as (select lang, lang = 'en' as y, lang_score >= 0.5 as p from e join documents using (doc_id) where held_out and lang is not null)
+select lang, count(*) as n, count(*) filter (y = p) as n_right, count(*) filter (y = p) / count(*) as accuracy from j group by 1"""
+)
+def english_accuracy(spark, d):
+    """Of texts that weren't learned from, how many are told right, by language."""
+    rows = with_english_score(spark, d).where("doc_id % 5 = 0 and lang is not null")
+    right = F.count(F.when((F.col("lang") == "en") == (F.col("lang_score") >= 0.5), 1))
+    return rows.groupBy("lang").agg(F.count("*").alias("n"), right.alias("n_right"), (right / F.count("*")).alias("accuracy"))
+
+
+@query(f"with {_QUALITY}, {_ENGLISH} select doc_id, lang_score, quality_score from q join e using (doc_id) where lang_score >= 0.85 and quality_score >= 0.7")
 def cascade_filter(spark, d):
-    docs = scoring.with_quality(scoring.with_english(table(spark, d, "documents").select("doc_id", "text"), name="__english"), name="__quality")
+    docs = scoring.with_quality(with_english_score(spark, d).withColumnRenamed("lang_score", "__english").select("doc_id", "text", "__english"), name="__quality")
     scores = scoring.cascade(docs, F.col("__english"), F.col("__quality"))
     return scoring.passes(scores).select("doc_id", "lang_score", "quality_score")
 
@@ -318,6 +350,38 @@ def sense_filter(spark, d):
     return scoring.counted(scored(spark, d), LEAST_SCORE, ("is",), (2013,)).select("doc_id", "pos", "target", "sense_score")
 
 
+SENSE_TARGETS = ["the", "la", "und", "der", "of"]
+
+
+def labelled_contexts(spark, d: str) -> DataFrame:
+    """Contexts of target words with their document's label, kept: what a sense model learns from and is judged by."""
+    known = table(spark, d, "labels").where("quality is not null").select("doc_id", F.col("quality").alias("label"))
+    docs = corpus(spark, d).join(known, "doc_id")
+    return stored(kwic(docs, SENSE_TARGETS, 10, ("doc_id", "label"))).withColumn("held_out", F.col("doc_id") % 5 == 0)
+
+
+_MARGIN = f"""with {KEYS},
+spots as (select doc_id, pieces, pos, key as target from keys where key in ({quoted(SENSE_TARGETS)})),
+ctx as (select doc_id, pos, target, quality as label, {_RTRIM % "pieces[greatest(pos - 10, 0) + 1:pos + 11]"} as context from spots join labels using (doc_id) where quality is not null),
+feat as (select label, unnest(list_distinct(list_transform(regexp_extract_all(context, '[^{WS}]+'), lambda x: cast('0x' || left(md5(x), 6) as integer) % {sensemodel.BUCKETS}))) as bucket from ctx where doc_id % 5 <> 0)"""
+
+
+@query(f"{_MARGIN} select cast(bucket as integer) as bucket, count(*) as n, cast(sum(label) as bigint) as n_1, true as at_optimum from feat group by 1")
+def sense_fit(spark, d):
+    """A fitted model: rows by bucket, and whether the objective's slope is zero in each."""
+    rows = labelled_contexts(spark, d).where("not held_out")
+    model = sensemodel.train(rows, "target_context")
+    return sensemodel.gradient(rows, model, "target_context").select("bucket", "n", "n_1", (F.abs("slope") < 1e-8).alias("at_optimum"))
+
+
+@query()
+def sense_metrics(spark, d):
+    """Confusion of a fitted model on contexts of documents that it hasn't learned from, in all and by target."""
+    rows = labelled_contexts(spark, d)
+    model = sensemodel.train(rows.where("not held_out"), "target_context")
+    return annotation.confusion(rows.where("held_out").withColumn("p", model.probability("target_context")), F.col("label"), F.col("p") >= 0.5, "target")
+
+
 @query(f"with {SCORED} select doc_id, pos::integer as pos, target, case when target in ('haha', 'hahaha') then 1.0::double else sense_score end as sense_score from scored where sense_score is null or target in ('haha', 'hahaha') or sense_score >= 0.9")
 def sense_bypass(spark, d):
     rows = scored(spark, d).withColumn("sense_score", F.when(F.col("target").isin("haha", "hahaha"), 1.0).otherwise(F.col("sense_score")))

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import json
 import math
+import random
+import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from driftlex.operators import annotation, prompts, rates, responses, sampling, scoring, stats, trajectory
+from driftlex.operators import annotation, langscore, prompts, rates, responses, sampling, scoring, sensemodel, stats, trajectory
 from driftlex.sources import files, warc
 
 
@@ -28,16 +32,35 @@ def test_quality(spark):
     assert plan.count("regexp_extract_all") == 1  # the text is cut once
 
 
-def test_english(spark):
+def test_english(spark, tmp_path):
     df = spark.createDataFrame([(0, "the cat is on the mat"), (1, "der Hund und die Katze"), (2, None), (3, "")], "i int, text string")
-    got = [r.lang_score for r in scoring.with_english(df).orderBy("i").collect()]
-    assert got == [1.0, 0.0, 0.0, 0.0]
+    known = spark.createDataFrame([("the cat sat on the mat", "en"), ("is the hat on the cat", "en"), ("der Hund und die Maus", "de"), ("die Katze und der Hut", "de"), (None, "en"), ("x", None)], "text string, lang string")
+    trained = langscore.train(known, F.col("lang") == "en")
+    assert math.isclose(trained.odds, 0.0)
+    got = [r.lang_score for r in scoring.with_english(df, trained).orderBy("i").collect()]
+    assert got[0] > 0.9 and got[1] < 0.1 and got[2:] == [0.0, 0.0]
+    # the same by brute force
+    count = {k: Counter() for k in (True, False)}
+    for text, lang in [("the cat sat on the mat", "en"), ("is the hat on the cat", "en"), ("der Hund und die Maus", "de"), ("die Katze und der Hut", "de")]:
+        t = re.sub("[^a-z]", " ", text.lower())
+        count[lang == "en"].update(t[i : i + 3] for i in range(len(t) - 2) if t[i + 1] != " ")
+    every = set(count[True]) | set(count[False])
+    share = lambda k, g: (count[k][g] + 0.5) / (sum(count[k].values()) + 0.5 * len(every))
+    for i, text in enumerate(["the cat is on the mat", "der hund und die katze"]):
+        own = [g for g in (text[i : i + 3] for i in range(len(text) - 2)) if g[1] != " " and g in every]
+        x = sum(math.log(share(True, g) / share(False, g)) for g in own) / len(own) * min(40, len(own))
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-x)))
+    trained.save(spark, str(tmp_path / "model"))
+    again = langscore.EnglishModel.load(spark, str(tmp_path / "model"))
+    assert (again.weights == trained.weights).all() and again.odds == trained.odds and again.score("é ü") == trained.score("é ü") == 0.0
+    long = "the cat " * 300_000  # longer than a part
+    assert again.score(long) > 0.9
 
     def model(batches):
         for b in batches:
             yield b.str.len() / 100.0
 
-    got = [r.p for r in scoring.with_english(df, name="p", model=model).orderBy("i").collect()]
+    got = [r.p for r in scoring.with_english(df, model, name="p").orderBy("i").collect()]
     assert got == pytest.approx([0.21, 0.22, 0.0, 0.0])
 
 
@@ -416,3 +439,35 @@ def test_first_token_dist_takes_all_turns(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = {(x.model, x.token): x.records for x in reply_queries.first_token_dist(spark, str(tmp_path)).collect()}
     assert got == {("assistant", w + s): 1 for w in ("rad", "lol", "glow") for s in ("", "s")} | {("user", "hm" + s): 1 for s in ("", "s")}
+
+
+def test_sense_model_equals_a_plain_fit(spark, tmp_path):
+    r = random.Random(2)
+    words = [f"w{i}" for i in range(25)]
+    rows = []
+    for i in range(240):
+        label = int(r.random() < 0.25)
+        rows.append((i, " ".join(r.choices(words[:12] if label else words[6:], k=r.randint(0, 7))), label))
+    rows += [(900, None, 1), (901, "w1", None), (902, "w2", 3)]
+    df = spark.createDataFrame(rows, "i int, context string, label int").repartition(7)
+    model = sensemodel.train(df, buckets=16)
+    known = [x for x in rows if x[1] is not None and x[2] in (0, 1)]
+    x = np.zeros((len(known), 17))
+    x[:, -1] = 1
+    for i, (_, text, _) in enumerate(known):
+        for w in text.split():
+            x[i, int(hashlib.md5(w.encode()).hexdigest()[:6], 16) % 16] = 1
+    y = np.array([k[2] for k in known], float)
+    w = np.where(y == 1, (y == 0).sum() / (y == 1).sum(), 1.0)
+    beta, keep = np.append(model.weights, model.bias), np.append(np.ones(16), 0)
+    p = 1 / (1 + np.exp(-x @ beta))
+    assert np.abs(x.T @ (w * (y - p)) - sensemodel.RIDGE * w.sum() * keep * beta).max() < 1e-6 * w.sum()
+    got = {g.i: g.s for g in df.select("i", model.probability("context").alias("s")).collect()}
+    assert [got[k[0]] for k in known] == pytest.approx(p.tolist()) and got[900] == pytest.approx(1 / (1 + math.exp(-model.bias)))
+    slopes = sensemodel.gradient(df, model).collect()
+    assert {s.bucket: s.n for s in slopes} == {b: int(n) for b, n in enumerate(x[:, :16].sum(0)) if n} and max(abs(s.slope) for s in slopes) < 1e-8
+    model.save(spark, str(tmp_path / "sense"))
+    again = sensemodel.SenseModel.load(spark, str(tmp_path / "sense"))
+    assert again.bias == model.bias and (again.weights == model.weights).all()
+    empty = sensemodel.train(df.limit(0), buckets=4)
+    assert empty.bias == 0 and not empty.weights.any()
