@@ -24,7 +24,7 @@ from driftlex.llm.rowflags import row_key
 from driftlex.llm.scratch import materialise
 
 #: Fit on this many labelled texts of each language, so many in all unless that left a language with fewer than LEAST;
-#: characters of such a text at most.
+#: characters of such a text at most: of a longer one a window.
 PER_LANGUAGE, MOST_TEXTS, LEAST, LONGEST = 300, 12_000, 4, 8000
 #: Landmarks of each language, and in all.
 LANDMARKS, MOST_LANDMARKS = 48, 768
@@ -176,20 +176,23 @@ def train(docs: DataFrame, seed: int = 11) -> Model | None:
     """Fit on a bounded sample of the labelled rows that may be learned from, by hash; None without any.
 
     The sample: ``PER_LANGUAGE`` texts of each language, fewer if there are so many languages that this would
-    exceed ``MOST_TEXTS``, of 1 to ``LONGEST`` characters. Rows with a null id, text or language, or with an
-    empty text, teach nothing; repeated ids are rows of their own, rows with equal id and text count once. Every
-    language that has a text of that length can be predicted, whatever the number of languages.
+    exceed ``MOST_TEXTS``. Of one beyond ``LONGEST`` characters, a window at a place that its hash gives is learned
+    from. Rows with a null id, text or language, or with an empty text, teach nothing; repeated ids are rows of their
+    own, rows with equal id and text count once. Every language that has a text can be predicted, whatever the
+    number of languages.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    known = own.where("doc_id is not null and lang is not null and text is not null").where(~held_out()).where(F.length("text").between(1, LONGEST))
-    sizes = materialise(known.groupBy("lang").count(), "languages")
+    known = own.where("doc_id is not null and lang is not null and text is not null").where(~held_out()).where("text <> ''").withColumn("key", row_key())
+    sizes = materialise(known.select("lang", "key").distinct().groupBy("lang").count(), "languages")
     languages = sizes.count()
     if not languages:
         return None
     each = max(LEAST, min(PER_LANGUAGE, MOST_TEXTS // languages))
     # a share that gives somewhat more than is wanted, then the rank among those
     share = sizes.select("lang", F.greatest(1.5 * each / F.col("count"), F.lit(20.0) / F.col("count")).alias("share"))
-    some = known.withColumn("key", row_key()).withColumn("unit", F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30))).join(share, "lang").where(F.expr(f"unit < share * {1 << 30}"))
+    some = known.withColumn("unit", F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30))).join(share, "lang").where(F.expr(f"unit < share * {1 << 30}"))
+    place = F.pmod(F.xxhash64("key", F.lit(seed + 1)), F.greatest(F.length("text") - LONGEST + 1, F.lit(1)).cast("long")).cast("int")
+    some = some.withColumn("text", F.substring("text", place + 1, F.lit(LONGEST)))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("unit", "key"))
     sample = some.dropDuplicates(["lang", "key"]).withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "unit", "key", "text")
 

@@ -28,6 +28,8 @@ WIDTH, LEAST = 5, 0.75
 BANDS = 32
 #: Least shingles of templates that one pass looks for (8 bytes each in the plan); more are looked for in several.
 MOST_SENT = 200_000
+#: Templates whose bands (32 rows, each with the template's shingles) may be broadcast; more are joined.
+MOST_BROADCAST = 2000
 
 # Wording of common license notices and of whole short licenses.
 TEMPLATES = [
@@ -146,43 +148,50 @@ def find_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
                 room = MOST_SENT
             passes[-1].setdefault(length, []).extend(values[:room])
             values, room = values[room:], room - len(values[:room])
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text").cast("string")).alias("words"))
-    ids = base.select("row", "doc_id")
-    base = _with_hashes(base, [WIDTH])
-    base = base.select("row", F.slice(window_hash(_hashes([WIDTH]), WIDTH), F.lit(1), F.greatest(F.size("words") - WIDTH + 1, F.lit(0))).alias("sh"))
-    each = None
-    for part in passes:
-        some = _windows(base, part)
-        each = some if each is None else each.unionByName(some)
-    banded = each.select("row", "start", "length", "part", F.posexplode(_signature(F.col("part"))).alias("band", "value"))
-    index = known.select("template", "license", "length", "marks", F.posexplode(_signature(F.col("marks"))).alias("band", "value"))
-    met = banded.join(index, ["length", "band", "value"]).dropDuplicates(["row", "start", "template"])
-    met = met.where(F.size(F.array_intersect("part", "marks")) >= LEAST * F.size("marks"))
-    met = met.select("row", "license", "start", (F.col("start") + F.size("part") + WIDTH - 1).alias("end")).distinct()
-    found = met.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("license", "start", "end"))).alias("found"))
-    out = ids.join(found, "row", "left")
-    names = F.coalesce(F.array_sort(F.array_distinct(F.transform("found", lambda f: f["license"]))), F.array().cast("array<string>"))
-    return out.select("doc_id", F.size(names).cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"), F.coalesce(F.array_join(F.transform(_merged("found"), lambda f: F.concat_ws(":", f["license"], f["start"].cast("string"), f["end"].cast("string"))), ","), F.lit("")).alias("spans"))
-
-
-def _windows(base: DataFrame, wanted: dict[int, list[int]]) -> DataFrame:
-    """(row, start, length, part): the windows, for templates of each length, that hold a shingle wanted there."""
-    none = F.array().cast("array<struct<start:int,length:int,part:array<bigint>>>")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # rows go by what they hold, in one lineage: row numbers would differ from one reading of the input to the next
+    own = own.select("doc_id", F.xxhash64("doc_id", "text").alias("one"), F.xxhash64(F.lit("two"), "text", "doc_id").alias("two"), words_of(F.col("text")).alias("words"))
+    own = _with_hashes(own, [WIDTH]).withColumn("sh", F.slice(window_hash(_hashes([WIDTH]), WIDTH), F.lit(1), F.greatest(F.size("words") - WIDTH + 1, F.lit(0))))
+    own = own.select("doc_id", "one", "two", "sh")
+    for i, part in enumerate(passes):
+        own = own.withColumn(f"met{i}", _met(part))
+    row = F.array(F.struct(F.lit(-1).alias("start"), F.lit(0).alias("length"), F.array().cast("array<bigint>").alias("part")))
+    near = F.concat(row, *[F.when(F.size(f"met{i}") > 0, F.concat(*[_near(f"met{i}", n, values) for n, values in part.items()])).otherwise(_none()) for i, part in enumerate(passes) if part])
+    # the first window of each row is none, and stands for the row; it has no band and meets nothing
+    each = own.select("doc_id", "one", "two", F.explode_outer(near).alias("w")).select("doc_id", "one", "two", "w.start", "w.length", F.array_distinct("w.part").alias("part"))
+    bands = F.when(F.col("start") >= 0, _signature(F.col("part")))
+    banded = each.select("doc_id", "one", "two", "start", "length", "part", F.posexplode_outer(bands).alias("band", "value"))
+    banded = banded.withColumn("band", F.coalesce("band", F.lit(-1))).withColumn("value", F.coalesce("value", "one"))
+    index = known.select("license", "length", "marks", F.posexplode(_signature(F.col("marks"))).alias("band", "value"))
+    index = F.broadcast(index) if known.count() <= MOST_BROADCAST else index
+    met = banded.join(index, ["length", "band", "value"], "left")
+    held = F.size(F.array_intersect("part", "marks")) >= LEAST * F.size("marks")
+    span = F.struct("license", "start", (F.col("start") + F.size("part") + WIDTH - 1).alias("end"))
+    out = met.groupBy("doc_id", "one", "two").agg(F.count(F.when(F.col("start") < 0, 1)).alias("copies"), F.array_sort(F.collect_set(F.when(F.col("license").isNotNull() & held, span))).alias("found"))
+    out = out.select("doc_id", "found", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    names = F.array_sort(F.array_distinct(F.transform("found", lambda f: f["license"])))
+    return out.select("doc_id", F.size(names).cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"), F.array_join(F.transform(_merged("found"), lambda f: F.concat_ws(":", f["license"], f["start"].cast("string"), f["end"].cast("string"))), ",").alias("spans"))
+
+
+def _none() -> Column:
+    return F.array().cast("array<struct<start:int,length:int,part:array<bigint>>>")
+
+
+def _met(wanted: dict[int, list[int]]) -> Column:
+    """Places of the shingles that some template wants."""
+    none = F.array().cast("array<struct<x:bigint,i:int>>")
     every = sorted({v for values in wanted.values() for v in values})
     if not every:
-        return base.select("row", F.explode_outer(none).alias("w")).where("w is not null").select("row", "w.start", "w.length", "w.part")
+        return none
     at = F.filter(F.transform("sh", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["x"].isin(every))
-    met = base.withColumn("met", F.when(F.exists("sh", _among(every)), at).otherwise(F.array().cast("array<struct<x:bigint,i:int>>")))
-    near = met.select("row", F.when(F.size("met") > 0, F.concat(*[_near(n, values) for n, values in wanted.items()])).otherwise(none).alias("near"))
-    each = near.select("row", F.explode_outer("near").alias("w")).where("w is not null")
-    return each.select("row", "w.start", "w.length", F.array_distinct("w.part").alias("part"))
+    return F.when(F.exists("sh", _among(every)), at).otherwise(none)
 
 
-def _near(n: int, values: list[int]) -> Column:
+def _near(met: str, n: int, values: list[int]) -> Column:
     """Windows for templates of n words over the shingles met; at the text's end they are shorter."""
     stride = stride_of(n)
     width = n + 2 * stride - WIDTH + 1
-    hits = F.filter("met", lambda m: m["x"].isin(values))
+    hits = F.filter(met, lambda m: m["x"].isin(values))
     first = lambda m: F.ceil(F.greatest(m["i"] - width + 1, F.lit(0)) / stride).cast("int")
     last = lambda m: F.floor(m["i"] / stride).cast("int")
     starts = F.array_distinct(F.flatten(F.transform(hits, lambda m: F.when(first(m) <= last(m), F.sequence(first(m), F.greatest(first(m), last(m)))).otherwise(F.array().cast("array<int>")))))

@@ -352,3 +352,14 @@ def test_licenses_with_words_put_in_and_left_out(spark, monkeypatch, sent):
     assert sum(bool(x) for x in want.values()) > 90
     missed = [i for i in want if set(want[i].split(",")) - set(got[i].split(","))]
     assert len(missed) <= 0.01 * len(docs) and all(set(got[i].split(",")) <= set(want[i].split(",")) for i in want)
+
+
+def test_licenses_stay_with_their_documents_on_any_input(spark):
+    mit = licenses.TEMPLATES[2][1]
+    rows = [(i, f"text number {i} of the plain kind " * 3 + (mit if i % 50 == 0 else ""), i % 7, "x", None) for i in range(1500)] + [(50, "text number 50 of the plain kind " * 3 + mit, 1, "x", None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int, key string, words string")
+    grouped = df.repartition(5).groupBy("doc_id", "row").agg(F.max("text").alias("text"))
+    for given in (df, df.repartition(7), df.repartitionByRange(5, "row").sortWithinPartitions("text"), grouped):
+        got = licenses.find_licenses(given).collect()
+        assert len(got) == given.count()
+        assert all((r.licenses == "mit") == (r.doc_id % 50 == 0) for r in got)

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from driftlex.llm import chat, language, mixing, pii, secrets, toxicity
 
@@ -516,3 +517,15 @@ def test_pipeline(spark, data):
             assert not any(base(r.text) for r in out.collect())
         docs = out if name != "mixing" else docs
     assert all(r.n_copies in (1, 2, 3) for r in out.select("n_copies").distinct().collect())
+
+
+def test_language_of_one_repeated_text_and_of_long_texts_only(spark):
+    own = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, "the cat and the dog sat on a mat " * (1 + i % 3), "en") for i in own[:60]]
+    rows += [(own[70], "der hund und die katze", "de")] * 3000  # equal rows of one text
+    rows += [(i, f"el perro {i} y la gata duermen " * 500, "es") for i in own[100:130]]  # over LONGEST characters each
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    model = language.train(df)
+    assert model.languages == ["de", "en", "es"]
+    told = {r["lang"]: r["right"] for r in language.identify(df, model, "doc_id", "lang").groupBy("lang").agg(F.min((F.col("lang") == F.col("lang_pred")).cast("int")).alias("right")).collect()}
+    assert told == {"de": 1, "en": 1, "es": 1}
