@@ -33,6 +33,8 @@ STEPS, CLOSE = 60, 1e-7
 ROUNDS, CUTS = 3, 1024
 #: Sources whose rows (about 60 bytes) may be broadcast; more are joined.
 MOST_BROADCAST = 200_000
+#: Equal rows are numbered in parts of so many.
+PART = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -180,16 +182,29 @@ def with_copies(docs: DataFrame, solved: DataFrame) -> DataFrame:
     return own.withColumn("rate", rate).withColumn("n_copies", F.when(F.col("size") > 0, n).otherwise(0).cast("long")).drop("mean", "tilt", "shift")
 
 
+def apart(rows: DataFrame) -> DataFrame:
+    """``rows`` (``doc_id, key, source, size``) with a key of its own for each of several equal rows.
+
+    Equal rows are counted, not gathered, and dealt out again in parts of ``PART`` rows.
+    """
+    counted = materialise(rows.groupBy("doc_id", "key", "source", "size").agg(F.count("*").alias("m")), "equal-rows")
+    few = counted.where(F.col("m") <= PART).withColumn("number", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    parts = counted.where(F.col("m") > PART).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(m - 1) div {PART}"))))
+    many = parts.repartition("key", "part").withColumn("number", F.explode(F.sequence(F.col("part") * PART, F.least(F.col("m"), (F.col("part") + 1) * PART) - 1))).drop("part")
+    own = F.when(F.col("number") > 0, F.xxhash64("key", "number")).otherwise(F.col("key"))
+    return few.unionByName(many).select("doc_id", own.alias("key"), "source", "size")
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` for each document; ``taken`` counts a word once for each copy.
 
     Null and empty texts have no words and are not taken; a null source is a source of its own; a null
-    ``doc_id`` is an identifier like any other, and rows with equal identifier and text get the same. Texts
-    of any length count whole. Other columns, whatever their names, are ignored. An empty table gives an
-    empty result.
+    ``doc_id`` is an identifier like any other. Rows with equal identifier, text and source are documents of
+    their own, some of which may have a copy more than others. Texts of any length count whole. Other columns,
+    whatever their names, are ignored. An empty table gives an empty result.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("source").cast("string").alias("source"), size_of(F.col("text").cast("string")).alias("size"))
-    own = materialise(own, "sizes-of-documents")
+    own = materialise(apart(own), "sizes-of-documents")
     return with_copies(own, solve(own)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"))
 
 

@@ -529,3 +529,16 @@ def test_language_of_one_repeated_text_and_of_long_texts_only(spark):
     assert model.languages == ["de", "en", "es"]
     told = {r["lang"]: r["right"] for r in language.identify(df, model, "doc_id", "lang").groupBy("lang").agg(F.min((F.col("lang") == F.col("lang_pred")).cast("int")).alias("right")).collect()}
     assert told == {"de": 1, "en": 1, "es": 1}
+
+
+def test_mixing_of_equal_rows_meets_the_target(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PART", 64)
+    rows = [(1, "one two three four five six seven eight", "a")] * 1000 + [(i, "w " * (1 + i % 40), "b") for i in range(2, 900)] + [(None, "x y", None)] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    out = mixing.mix(df).collect()
+    assert len(out) == len(rows)
+    for source_size in {r["source_size"] for r in out}:
+        own = [r for r in out if r["source_size"] == source_size]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own)
+    assert all(r["taken"] <= 3 * r["size"] for r in out)
+    assert sorted(map(tuple, mixing.mix(df.repartition(3)).collect()), key=str) == sorted(map(tuple, out), key=str)
