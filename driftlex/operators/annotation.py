@@ -20,8 +20,9 @@ def usable_contexts(rows: DataFrame, exclude: DataFrame | None = None, low: int
     rows = rows.withColumn("clean", T.clean("target_context")).where(F.length("clean").between(low, high))
     if exclude is None:
         return rows
-    keys = exclude.select(F.lower(T.clean("text")).alias("__key")).distinct()
-    return rows.join(keys, F.lower("clean") == F.col("__key"), "left_anti")
+    # texts meet by a hash of 128 bits, not as they are
+    keys = exclude.select(F.md5(F.lower(T.clean("text"))).alias("__key")).distinct()
+    return rows.join(keys, F.md5(F.lower("clean")) == F.col("__key"), "left_anti")
 
 
 def annotation_batch(rows: DataFrame, per_word: int, *keys: str, seed: int = 0) -> DataFrame:

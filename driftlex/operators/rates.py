@@ -214,3 +214,15 @@ def variation(rates: DataFrame, least_periods: int = 5, least_mean: float = 2e-5
     """log2 of the highest over the lowest positive rate of words seen often enough."""
     per = rates.where("rate_per_million > 0").groupBy("target").agg(F.count("*").alias("periods"), F.avg("rate_per_million").alias("mean_rate"), F.log2(F.max("rate_per_million") / F.min("rate_per_million")).alias("variation"))
     return per.where((F.col("periods") >= least_periods) & (F.col("mean_rate") >= least_mean * PER))
+
+
+#: Columns that a wide table may have.
+MOST_COLUMNS = 10_000
+
+
+def wide_columns(rows: DataFrame, name: str) -> list[str]:
+    """The values of a column that become columns of a wide table, sorted. None is left out: too many are an error, and the long form is the way."""
+    found = sorted(r[0] for r in rows.select(name).where(F.col(name).isNotNull()).distinct().limit(MOST_COLUMNS + 1).collect())
+    if len(found) > MOST_COLUMNS:
+        raise ValueError(f"over {MOST_COLUMNS} values of {name}: keep the table long")
+    return found

@@ -10,15 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftlex.sources.shared import stored
+
 
 def crawl_seed(base: int, index: Column, top_up: bool = False) -> Column:
     seed = (F.lit(base).cast("long") * 1000003 + index).bitwiseAND(0x7FFFFFFF)
     return seed.bitwiseXOR(0x5A5A5A5A) if top_up else seed
 
 
-def chance(*keys: str, seed: int = 0) -> Column:
-    """The order of a sample: a hash of the row's keys and the seed."""
-    return F.xxhash64(*keys, F.lit(seed))
+def chance(*keys: str | Column, seed: int = 0) -> Column:
+    """The order of a sample: the first 16 digits of the MD5 of a row's keys and the seed, which any engine can tell."""
+    own = [(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]
+    return F.substring(F.md5(F.concat_ws("|", *own, F.lit(str(seed)))), 1, 16)
 
 
 def sample(rows: DataFrame, n: int, *keys: str, seed: int = 0) -> DataFrame:
@@ -42,10 +45,42 @@ def two_stage(rows: DataFrame, by: str, total: int, parts: int, *keys: str, seed
     return sample(sample_by(inside, by, -(-total // parts), *keys, seed=seed), total, *keys, seed=seed + 1)
 
 
+#: Tokens beyond n and six of its deviations that a cutoff is to leave.
+MARGIN = 20.0
+#: Groups whose cutoffs (a name and a hash each) may be broadcast; more are joined.
+MOST_BROADCAST = 100_000
+
+
 def sample_tokens(rows: DataFrame, by: str, tokens: Column, n: int, *keys: str, seed: int = 0) -> DataFrame:
-    """n tokens of each group, uniform over occurrences; ``keys`` name a row, so the sample is the same in any partitioning."""
-    each = rows.select(by, *[F.col(k).alias(f"__{k}") for k in keys], F.posexplode(tokens).alias("at", "word"))
-    return sample_by(each, by, n, *[f"__{k}" for k in keys], "at", seed=seed).select(by, "word")
+    """(by, keys, at, word): n tokens of each group, uniform over occurrences; ``keys`` name a row, so the sample is the same in any partitioning.
+
+    The n tokens of least hash. A group's number of tokens gives a cutoff that somewhat more than n hashes lie
+    below; only those become rows. Where that many don't, the group is read again without a cutoff.
+    """
+    base = rows.select(by, *keys, tokens.alias("__tokens"))
+    sizes = base.groupBy(by).agg(F.sum(F.size("__tokens").cast("long")).alias("__size")).where("__size > 0")
+    share = (n + MARGIN + 6 * n**0.5) / F.col("__size")
+    # as the first digits of a hash
+    cut = F.when(share < 1, F.lpad(F.lower(F.hex((share * float(1 << 48)).cast("long"))), 12, "0")).otherwise("g")
+    sizes = stored(sizes.select(F.col(by).alias("__by"), "__size", cut.alias("__cut")))
+    few = sizes.count() <= MOST_BROADCAST
+
+    def below(cutoffs: DataFrame) -> DataFrame:
+        own = base.join(F.broadcast(cutoffs) if few else cutoffs, F.col(by).eqNullSafe(F.col("__by")))
+        each = F.transform("__tokens", lambda w, i: F.struct(chance(*keys, i, seed=seed).alias("chance"), i.alias("at"), w.alias("word")))
+        some = F.filter(each, lambda t: t["chance"] < F.col("__cut"))
+        out = own.withColumn("__some", some).select(by, *keys, "__size", F.explode_outer("__some").alias("__t")).where("__t is not null")
+        return out.select(by, *keys, "__size", "__t.*")
+
+    drawn = stored(below(sizes))
+    got = drawn.groupBy(F.col(by).alias("__got")).agg(F.count("*").alias("__n"))
+    short = stored(sizes.join(got, F.col("__by").eqNullSafe(F.col("__got")), "left").where(F.coalesce("__n", F.lit(0)) < F.least(F.lit(n), F.col("__size"))).select("__by", "__size", F.lit("g").alias("__cut")))
+    if not short.isEmpty():
+        again = below(short)
+        held = drawn.join(F.broadcast(short.select("__by")) if few else short.select("__by"), F.col(by).eqNullSafe(F.col("__by")), "left_anti")
+        drawn = held.unionByName(again)
+    order = Window.partitionBy(by).orderBy("chance", *keys, "at")  # about n rows of a group
+    return drawn.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= n).select(by, *keys, "at", "word")
 
 
 def fixed(rows: DataFrame, by: str, n: int, *keys: str, seed: int = 0) -> DataFrame:
@@ -54,8 +89,8 @@ def fixed(rows: DataFrame, by: str, n: int, *keys: str, seed: int = 0) -> DataFr
     return sample_by(rows.join(sizes.drop("__n"), by, "left_semi"), by, n, *keys, seed=seed)
 
 
-#: Ranges of the hash that a split's cut is first looked for in.
-RANGES = 1 << 16
+#: Leading digits of the hash that make the ranges in which a split's cut is first looked for.
+RANGE_DIGITS = 4
 
 
 def stratified_split(rows: DataFrame, label: str, share: float, *keys: str, seed: int = 42) -> DataFrame:
@@ -64,9 +99,9 @@ def stratified_split(rows: DataFrame, label: str, share: float, *keys: str, seed
     The cut is found in counts by range of the hash; only the range that it falls in is ordered row by row.
     """
     r = rows.withColumn("__chance", chance(*keys, seed=seed))
-    r = r.withColumn("__range", F.shiftright("__chance", 64 - RANGES.bit_length() + 1))
+    r = r.withColumn("__range", F.conv(F.substring("__chance", 1, RANGE_DIGITS), 16, 10).cast("int"))
     counts = r.groupBy(F.col(label).alias("__label"), "__range").agg(F.count("*").alias("__m"))
-    along = Window.partitionBy("__label").orderBy("__range")  # RANGES rows of a label at most
+    along = Window.partitionBy("__label").orderBy("__range")  # 16 ** RANGE_DIGITS rows of a label at most
     cut = counts.withColumn("__upto", F.sum("__m").over(along)).withColumn("__n", F.sum("__m").over(Window.partitionBy("__label")))
     cut = cut.withColumn("__left", F.round(F.col("__n") * share) - F.col("__upto") + F.col("__m")).select("__label", F.col("__range").alias("__r"), "__m", "__left")
     r = r.join(cut, F.col(label).eqNullSafe(F.col("__label")) & (F.col("__range") == F.col("__r")))

@@ -13,6 +13,11 @@ from driftlex.operators.kwic import count_targets, kwic, kwic_tokens, prefilter_
 from driftlex.plans.base import CORPUS, HITS, KEYS, LEAST_SCORE, PEAKS, PHRASES, RATES, SCORED, SINGLES, TOKENS, WS, corpus, pseudo_score, query, quoted, table
 from driftlex.sources.shared import stored
 
+
+def _chance(keys: str, seed: int) -> str:
+    return f"left(md5(concat_ws('|', {keys}, '{seed}')), 16)"
+
+
 _RTRIM = f"regexp_replace(array_to_string(%s, ''), '[{WS}]+$', '')"
 
 
@@ -442,36 +447,30 @@ def exclude_contexts(spark, d):
     return kept.groupBy(F.md5(F.lower("clean")).alias("clean_md5")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
-@query(f"with {CORPUS} select dump, least(count(*), 10) as n, true as least_hashes, 0 as strangers from corpus group by 1")
+@query(f"with {CORPUS} select dump, doc_id from (select dump, doc_id, row_number() over (partition by dump order by {_chance('doc_id', 7)}, doc_id) as r from corpus) where r <= 10")
 def reservoir_docs(spark, d):
-    """Ten documents of each crawl: the sample's sizes, and that no other document's hash comes before."""
-    c = corpus(spark, d).select("dump", "doc_id")
-    s = sampling.sample_by(c, "dump", 10, "doc_id", seed=7).withColumn("chance", sampling.chance("doc_id", seed=7))
-    drawn = s.groupBy("dump").agg(F.count("*").alias("n"), F.max("chance").alias("last"))
-    rest = c.join(s.select("doc_id"), "doc_id", "left_anti").groupBy("dump").agg(F.min(sampling.chance("doc_id", seed=7)).alias("next"))
-    strangers = s.join(c.withColumnRenamed("dump", "own"), "doc_id").groupBy("dump").agg(F.sum((F.col("dump") != F.col("own")).cast("int")).alias("strangers"))
-    return drawn.join(rest, "dump", "left").join(strangers, "dump").select("dump", "n", F.coalesce(F.col("last") <= F.col("next"), F.lit(True)).alias("least_hashes"), F.col("strangers").cast("int").alias("strangers"))
+    """Ten documents of each crawl."""
+    return sampling.sample_by(corpus(spark, d).select("dump", "doc_id"), "dump", 10, "doc_id", seed=7)
 
 
-@query(f"with {CORPUS}, n as (select dump, count(*) as m from corpus group by 1) select cast(least(60, sum(least(m, 10))) as bigint) as n, 6 as dumps, 10 as most_of_a_dump, true as distinct_docs from (select * from n order by m desc limit 6)")
+@query(
+    f"""with {CORPUS}, p as (select dump from (select distinct dump from corpus) order by {_chance('dump', 7)}, dump limit 6),
+i as (select dump, doc_id, row_number() over (partition by dump order by {_chance('doc_id', 7)}, doc_id) as r from corpus where dump in (select dump from p))
+select dump, doc_id from i where r <= 10 order by {_chance('doc_id', 8)}, doc_id limit 60"""
+)
 def two_stage_sample(spark, d):
-    """Sixty documents of six crawls: numbers that any such sample has."""
-    s = sampling.two_stage(corpus(spark, d).select("dump", "doc_id"), "dump", 60, 6, "doc_id", seed=7)
-    per = s.groupBy("dump").agg(F.count("*").alias("m"), F.countDistinct("doc_id").alias("k"))
-    return per.agg(F.sum("m").cast("long").alias("n"), F.count("*").cast("int").alias("dumps"), F.max("m").cast("int").alias("most_of_a_dump"), F.every(F.col("m") == F.col("k")).alias("distinct_docs"))
+    """Sixty documents of six crawls."""
+    return sampling.two_stage(corpus(spark, d).select("dump", "doc_id"), "dump", 60, 6, "doc_id", seed=7)
 
 
 @query(
-    f"""with {CORPUS}, w as (select dump, list_filter(list_transform(regexp_extract_all(text, '[a-zA-Z''-]+'), lambda x: lower(x)), lambda x: length(x) >= 3) as ws from corpus)
-select dump, cast(least(20, sum(len(ws))) as bigint) as n, true as all_there from w group by 1"""
+    f"""with {CORPUS}, w as (select dump, doc_id, list_filter(list_transform(regexp_extract_all(text, '[a-zA-Z''-]+'), lambda x: lower(x)), lambda x: length(x) >= 3) as ws from corpus),
+t as (select dump, doc_id, unnest(ws) as word, unnest(range(len(ws))) as pos from w)
+select dump, doc_id, cast(pos as integer) as pos, word from (select *, row_number() over (partition by dump order by {_chance('doc_id, pos', 3)}, doc_id, pos) as r from t) where r <= 20"""
 )
 def token_sample(spark, d):
-    """Twenty tokens of each crawl, all of which it holds."""
-    c = corpus(spark, d)
-    s = sampling.sample_tokens(c, "dump", T.sampler_tokens("text"), 20, "doc_id", seed=3)
-    drawn = s.groupBy("dump").agg(F.count("*").alias("n"), F.collect_set("word").alias("words"))
-    there = c.join(drawn.select("dump", "words"), "dump").select("dump", F.explode(F.array_intersect(T.sampler_tokens("text"), "words")).alias("word")).groupBy("dump").agg(F.countDistinct("word").alias("k"))
-    return drawn.join(there, "dump").select("dump", F.col("n").cast("long").alias("n"), (F.col("k") == F.size("words")).alias("all_there"))
+    """Twenty tokens of each crawl, with their places."""
+    return sampling.sample_tokens(corpus(spark, d), "dump", T.sampler_tokens("text"), 20, "doc_id", seed=3).withColumnRenamed("at", "pos")
 
 
 @query("select source, count(*) as n, (sum(doc_id) * 0 + 1000003 * 7 + min(cast(substr(source, 4) as integer))) & 2147483647 as seed from documents group by 1")
@@ -546,10 +545,9 @@ def class_weights(spark, d):
     return annotation.class_weights(table(spark, d, "labels"), "toxic")
 
 
-@query("select toxic as label, count(*) as n, cast(floor(count(*) * 0.8::double + 0.5) as bigint) as n_train from labels group by 1")
+@query(f"select doc_id, toxic as label, row_number() over (partition by toxic order by {_chance('doc_id', 42)}, doc_id) <= round(count(*) over (partition by toxic) * 0.8::double) as is_train from labels")
 def stratified_split(spark, d):
-    s = sampling.stratified_split(table(spark, d, "labels"), "toxic", 0.8, "doc_id")
-    return s.groupBy(F.col("toxic").alias("label")).agg(F.count("*").alias("n"), F.sum(F.col("is_train").cast("long")).alias("n_train"))
+    return sampling.stratified_split(table(spark, d, "labels"), "toxic", 0.8, "doc_id").select("doc_id", F.col("toxic").alias("label"), "is_train")
 
 
 @query(f"with {CORPUS} select doc_id, dump from corpus where doc_id not in (select doc_id from labels)")
@@ -559,11 +557,14 @@ def anti_join_unscored(spark, d):
     return remaining(corpus(spark, d), table(spark, d, "labels"), "doc_id").select("doc_id", "dump")
 
 
-@query(f"with {CORPUS}, n as (select dump, sum(case when doc_id in (select doc_id from labels) then 1 else 0 end) as have, sum(case when doc_id in (select doc_id from labels) then 0 else 1 end) as fresh from corpus group by 1) select dump, cast(least(greatest(400 - have, 0), fresh) as bigint) as drawn from n where least(greatest(400 - have, 0), fresh) > 0")
+@query(
+    f"""with {CORPUS}, h as (select dump, count(*) as have from corpus where doc_id in (select doc_id from labels) group by 1),
+f as (select c.dump, doc_id, have, row_number() over (partition by c.dump order by {_chance('doc_id', 1 ^ 0x5A5A5A5A)}, doc_id) as r from corpus c left join h using (dump) where doc_id not in (select doc_id from labels))
+select dump, doc_id from f where r <= 400 - coalesce(have, 0)"""
+)
 def topup_resume(spark, d):
     c = corpus(spark, d).select("dump", "doc_id")
-    got = sampling.top_up(c, c.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi"), "dump", 400, "doc_id", seed=1)
-    return got.groupBy("dump").agg(F.count("*").alias("drawn"))
+    return sampling.top_up(c, c.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi"), "dump", 400, "doc_id", seed=1).select("dump", "doc_id")
 
 
 @query(f"with {PEAKS}, c as (select target as word, sum(hits) as n from rates group by 1) select cast(sum(n * peak_year) as bigint) / cast(sum(n) as bigint) as vintage, cast(sum(n) as bigint) as hits, count(*) as words from c join peaks on word = target where n > 0")
@@ -674,21 +675,23 @@ def aggregate_series(spark, d):
 @query(
     f"""with {HITS.replace('pos, key as target from keys', 'pos, key as target, pieces from keys')},
 c as (select doc_id, pos, target, trim(regexp_replace({_RTRIM % 'pieces[greatest(pos - 20, 0) + 1:pos + 21]'}, '[{WS}]+', ' ', 'g'), ' ') as clean from hits where target in ('haha', 'hahaha', 'und')),
-u as (select target, lower(clean) as text, count(*) as n from c where length(clean) between 40 and 600 group by 1, 2)
-select target as group_key, true as bounded, true as texts_once, true as usable from u group by 1"""
+u as (select *, {_chance("doc_id, pos", 0)} as h from c where length(clean) between 40 and 600
+  and md5(lower(clean)) not in (select md5(lower(trim(regexp_replace(text, '[{WS}]+', ' ', 'g'), ' '))) from benchmark where text is not null)),
+p as (select * from (select *, row_number() over (partition by target order by h, doc_id, pos) as r from u) where r <= 400),
+o as (select * from (select *, row_number() over (partition by target, lower(clean) order by h, doc_id, pos) as k from p) where k = 1)
+select target as group_key, doc_id, cast(pos as integer) as pos, md5(clean) as clean_md5 from (select *, row_number() over (partition by target order by h, doc_id, pos) as n from o) where n <= 25"""
 )
 def annotation_pool(spark, d):
     """At most 25 contexts of each group, each text once, of a fit length."""
     rows = kwic(corpus(spark, d), ["haha", "hahaha", "und"], 20, ("doc_id", "uri"))
     usable = annotation.usable_contexts(rows, table(spark, d, "benchmark"))
-    b = annotation.annotation_batch(usable, 25, "doc_id", "pos")
-    return b.groupBy("group_key").agg((F.count("*") <= 25).alias("bounded"), (F.countDistinct(F.lower("clean")) == F.count("*")).alias("texts_once"), F.every(F.length("clean").between(40, 600)).alias("usable"))
+    return annotation.annotation_batch(usable, 25, "doc_id", "pos").select("group_key", "doc_id", "pos", F.md5("clean").alias("clean_md5"))
 
 
-@query("select d.lang, l.toxic as label, least(5, count(*)) as n, true as of_group from labels l join documents d using (doc_id) where l.toxic is not null and d.lang is not null group by 1, 2")
+@query(
+    f"""with l as (select d.lang, l.toxic as label, doc_id from labels l join documents d using (doc_id) where l.toxic is not null and d.lang is not null)
+select lang, label, doc_id from (select *, row_number() over (partition by lang, label order by {_chance('doc_id', 0)}, doc_id) as r from l) where r <= 5"""
+)
 def reference_examples(spark, d):
     labelled = corpus(spark, d).select("doc_id", "lang", "uri").join(table(spark, d, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id")
-    e = annotation.reference_examples(annotation.valid_labels(labelled).where("lang is not null"), "lang", 5, "doc_id")
-    own = labelled.select("doc_id", F.col("lang").alias("l"), F.col("label").alias("y"))
-    j = e.join(own, "doc_id")
-    return j.groupBy("lang", "label").agg(F.countDistinct("doc_id").alias("n"), F.every((F.col("l") == F.col("lang")) & (F.col("y") == F.col("label"))).alias("of_group"))
+    return annotation.reference_examples(annotation.valid_labels(labelled).where("lang is not null"), "lang", 5, "doc_id").select("lang", "label", "doc_id")

@@ -13,6 +13,7 @@ from driftlex.functions import text as T
 from driftlex.operators import annotation, prompts, responses, sampling
 from driftlex.operators import stats as S
 from driftlex.operators.kwic import vocabulary_hits
+from driftlex.operators.rates import wide_columns
 from driftlex.plans.base import CORPUS, corpus, pseudo_score, query, table
 from driftlex.sources import files
 from driftlex.streaming.ingest import collect_until
@@ -364,21 +365,17 @@ def survey_sources(spark, d):
     return table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@query("select least(200, count(*)) as n, least(200, count(*)) as distinct_docs, true as least_hashes from documents")
+@query("select doc_id, source from documents order by left(md5(concat_ws('|', doc_id, '9')), 16), doc_id limit 200")
 def shuffled_take(spark, d):
-    """200 documents in the order of a hash: none that is left out comes before."""
-    docs = table(spark, d, "documents").select("doc_id", "source")
-    s = sampling.sample(docs, 200, "doc_id", seed=9)
-    drawn = s.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("distinct_docs"), F.max(sampling.chance("doc_id", seed=9)).alias("last"))
-    rest = docs.join(s.select("doc_id"), "doc_id", "left_anti").agg(F.min(sampling.chance("doc_id", seed=9)).alias("next"))
-    return drawn.join(F.broadcast(rest)).select("n", "distinct_docs", F.coalesce(F.col("last") <= F.col("next"), F.lit(True)).alias("least_hashes"))  # a row each
+    """200 documents in the order of a hash."""
+    return sampling.sample(table(spark, d, "documents").select("doc_id", "source"), 200, "doc_id", seed=9)
 
 
 @query("select lang, source, count(*) as n from documents group by 1, 2")
 def lang_matrix(spark, d):
-    """Languages found in the table as columns, and back; a null language has a column of its own."""
+    """Languages found in the table as columns, and back; a null language has a column of its own. A table that would be too wide raises an error."""
     docs = table(spark, d, "documents").select("source", F.coalesce(F.concat(F.lit("l_"), "lang"), F.lit("none")).alias("lang"))
-    found = sorted(r[0] for r in docs.select("lang").distinct().limit(2000).collect())  # columns of a table
+    found = wide_columns(docs, "lang")
     wide = docs.groupBy("source").pivot("lang", found).count()
     long = wide.unpivot("source", found, "lang", "n").where("n > 0")
     return long.select(F.when(F.col("lang") != "none", F.substring("lang", 3, 1 << 30)).alias("lang"), "source", "n")
@@ -432,9 +429,9 @@ def chance_rate(spark, d):
 
 @query("select 500 as replicates, true as around from conversations limit 1")
 def bootstrap_responses(spark, d):
-    """Assistant replies that hold a word of the vocabulary, resampled: the interval holds the estimate."""
-    hits = [T.bounded_count("text", w).cast("long").alias(w) for w in VOCABULARY]
-    found = turns(spark, d).where("role = 'assistant' and text <> ''").select(*hits).where(F.greatest(*VOCABULARY) > 0)
+    """All assistant replies resampled, those without a word of the vocabulary too: the interval holds the estimate."""
+    hits = [F.coalesce(T.bounded_count("text", w), F.lit(0)).cast("long").alias(w) for w in VOCABULARY]
+    found = turns(spark, d).where("role = 'assistant'").select(*hits)
     years = np.arange(2013, 2013 + len(VOCABULARY), dtype=float)
     b = S.response_bootstrap(found, VOCABULARY, lambda x: float(x @ years / x.sum()), 500)
     total = found.agg(*[F.sum(w).alias(w) for w in VOCABULARY])

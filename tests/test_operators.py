@@ -141,8 +141,14 @@ def test_samples(spark):
     assert sampling.two_stage(df, "g", 20, 2, "id").count() == 20
     split = sampling.stratified_split(df, "g", 0.8, "id").groupBy("g", "is_train").count().collect()
     assert {(r.g, r.is_train): r["count"] for r in split}[(0, True)] == round(167 * 0.8)
-    words = lambda n: [(r.g, r.word) for r in sampling.sample_tokens(df.withColumn("t", F.array(F.concat(F.lit("a"), "id"), F.lit("b"))).repartition(n), "g", F.col("t"), 7, "id", seed=2).orderBy("g", "word").collect()]
-    assert words(2) == words(9) and len(words(3)) == 21
+    tokens = df.withColumn("t", F.array(F.concat(F.lit("a"), "id"), F.lit("b")))
+    words = lambda n: sorted(tuple(r) for r in sampling.sample_tokens(tokens.repartition(n), "g", F.col("t"), 7, "id", seed=2).collect())
+    order = lambda i, at: (hashlib.md5(f"{i}|{at}|2".encode()).hexdigest()[:16], i, at)
+    want = [sorted((order(i, at), (g, i, at, f"a{i}" if at == 0 else "b")) for i in range(g, 500, 3) for at in (0, 1))[:7] for g in range(3)]
+    assert words(2) == words(9) == sorted(x for w in want for _, x in w)
+    few = tokens.where("id < 4").unionByName(spark.createDataFrame([(9, None, None), (10, None, ["c"] * 900), (11, 5, [])], "id long, g long, t array<string>"))
+    got = Counter(r.g for r in sampling.sample_tokens(few, "g", F.col("t"), 7, "id").collect())
+    assert got == {0: 4, 1: 2, 2: 2, None: 7}
     some = df.withColumn("g", F.when(F.col("id") < 5, None).otherwise(F.lit("x")))
     parts = {(r.g, r.is_train): r["count"] for r in sampling.stratified_split(some, "g", 0.6, "id").groupBy("g", "is_train").count().collect()}
     assert parts == {(None, True): 3, (None, False): 2, ("x", True): 297, ("x", False): 198}
@@ -471,3 +477,18 @@ def test_sense_model_equals_a_plain_fit(spark, tmp_path):
     assert again.bias == model.bias and (again.weights == model.weights).all()
     empty = sensemodel.train(df.limit(0), buckets=4)
     assert empty.bias == 0 and not empty.weights.any()
+
+
+def test_a_short_cutoff_is_made_good(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, i % 2, ["w"] * 50) for i in range(40)], "id long, g long, t array<string>")
+    want = sorted(map(tuple, sampling.sample_tokens(rows, "g", F.col("t"), 9, "id").collect()))
+    monkeypatch.setattr(sampling, "MARGIN", -26.0)  # cutoffs that hold too few
+    assert sorted(map(tuple, sampling.sample_tokens(rows, "g", F.col("t"), 9, "id").collect())) == want
+
+
+def test_2001_columns(spark, monkeypatch):
+    df = spark.range(2001).select(F.format_string("l%04d", "id").alias("lang"))
+    assert len(rates.wide_columns(df, "lang")) == 2001
+    monkeypatch.setattr(rates, "MOST_COLUMNS", 2000)
+    with pytest.raises(ValueError, match="long"):
+        rates.wide_columns(df, "lang")
