@@ -1,7 +1,7 @@
 """Estimators over words and years: vintages, correlations, mixtures, bootstrap intervals.
 
-Sums over rows are distributed. What is left for numpy is a matrix of years
-by words, a dimension table, and replicates, which are dealt over tasks.
+Sums over rows are distributed. What is left for numpy are fits and replicates,
+which are dealt over tasks (``mixtures`` has those of whole tables).
 """
 
 from __future__ import annotations
@@ -114,18 +114,6 @@ def smoothed_matrix(counts: DataFrame, epsilon: float = 0.5) -> DataFrame:
     return counts.withColumn("p", c / F.sum(c).over(Window.partitionBy("year")))
 
 
-def matrices(probabilities: DataFrame, counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(years, P years x words, q words) of a dense (year, word, p) and (word, n): a dimension table, brought to the driver."""
-    words = counts.select(F.col("word").alias("target"), "n")
-    pdf = probabilities.select("year", "target", "p").join(F.broadcast(words), "target").toPandas()
-    p = pdf.pivot(index="year", columns="target", values="p").sort_index().sort_index(axis=1)
-    n = pdf.groupby("target").n.first().sort_index().to_numpy(float)
-    if n.sum() <= 0:
-        raise ValueError("no counts within the vocabulary")
-    p = p.to_numpy(float) / p.to_numpy(float).sum(1, keepdims=True)
-    return np.array(sorted(pdf.year.unique())), p, n / n.sum()
-
-
 def em_weights(p: np.ndarray, q: np.ndarray, rounds: int = 2000, close: float = 1e-10) -> np.ndarray:
     """Mixture weights of the rows of p that come nearest to q in relative entropy."""
     w = np.full(len(p), 1 / len(p))
@@ -168,48 +156,6 @@ def relative_entropy(q: np.ndarray, model: np.ndarray) -> float:
     return float((q[ok] * np.log(q[ok] / model[ok])).sum())
 
 
-def mixture(spark, years: np.ndarray, p: np.ndarray, q: np.ndarray, method: str = "em") -> DataFrame:
-    """(year, weight, divergence, null_divergence, vintage): the fit, and the uniform mixture's divergence."""
-    w = em_weights(p, q) if method == "em" else l2_weights(p, q)
-    uniform = np.full(len(p), 1 / len(p))
-    of = (lambda x: relative_entropy(q, x @ p)) if method == "em" else (lambda x: float(np.linalg.norm(q - x @ p)))
-    rows = [(int(y), float(x), of(w), of(uniform), float(w @ years)) for y, x in zip(years, w, strict=True)]
-    return spark.createDataFrame(rows, "year int, weight double, divergence double, null_divergence double, vintage double")
-
-
-#: A word's share of the responses over the mixture's, from which it is flagged as over- or under-used.
-OVER, UNDER = 3.0, 0.33
-
-
-def word_fit(spark, words: list[str], p: np.ndarray, q: np.ndarray, method: str = "em") -> DataFrame:
-    """(word, p_model, p_mix, ratio, flag) of the words in use: flag 1 if over-used, -1 if under-used, else 0."""
-    w = em_weights(p, q) if method == "em" else l2_weights(p, q)
-    mix = w @ p
-    rows = [(x, float(a), float(b), float(a / b) if b > 0 else None) for x, a, b in zip(words, q, mix, strict=True) if a > 0]
-    rows = [(*r, 1 if r[3] is None or r[3] > OVER else -1 if r[3] < UNDER else 0) for r in rows]
-    return spark.createDataFrame(rows, "word string, p_model double, p_mix double, ratio double, flag int")
-
-
-def mixture_bootstrap(spark, years: np.ndarray, p: np.ndarray, n: np.ndarray, replicates: int, method: str = "em", seed: int = 42, level: float = 0.95) -> DataFrame:
-    """(year, low, high) of the mixture's weights under Poisson draws of the counts ``n``, refitted each; year null: of its vintage."""
-    fit = em_weights if method == "em" else l2_weights
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for i in b["id"]:
-                x = np.random.default_rng([seed, int(i)]).poisson(n).astype(float)
-                if x.sum():
-                    w = fit(p, x / x.sum())
-                    out += [(float(y), float(v)) for y, v in zip(years, w, strict=True)] + [(None, float(w @ years))]
-            yield pd.DataFrame(out, columns=["year", "value"], dtype="float64")
-
-    tail = (1 - level) / 2
-    draws = spark.range(0, replicates, 1, max(1, min(replicates, spark.sparkContext.defaultParallelism))).mapInPandas(run, "year double, value double")
-    draws = draws.select(F.nanvl("year", F.lit(None)).cast("int").alias("year"), "value")
-    return draws.groupBy("year").agg(F.percentile("value", tail).alias("low"), F.percentile("value", 1 - tail).alias("high"), F.count("*").alias("replicates"))
-
-
 def poisson_bootstrap(spark, n: np.ndarray, value, replicates: int, seed: int = 42, level: float = 0.95) -> DataFrame:
     """Interval of ``value(counts)`` under Poisson draws of the counts. Replicates are dealt over tasks, each with its own seed."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftlex.functions import dumps as D
 from driftlex.functions import text as T
-from driftlex.operators import annotation, langscore, rates, sampling, scoring, sensemodel, trajectory
+from driftlex.operators import annotation, langscore, mixtures, rates, sampling, scoring, sensemodel, trajectory
 from driftlex.operators import stats as S
 from driftlex.operators.kwic import count_targets, kwic, kwic_tokens, prefilter_pattern
 from driftlex.plans.base import CORPUS, HITS, KEYS, LEAST_SCORE, PEAKS, PHRASES, RATES, SCORED, SINGLES, TOKENS, WS, corpus, pseudo_score, query, quoted, table
@@ -573,61 +573,78 @@ def vintage(spark, d):
     return S.vintage(p.select("word", F.col("total_hits").alias("n")), p)
 
 
-def _mixture_input(spark, d):
-    m = S.smoothed_matrix(year_rates(spark, d))
-    n = table(spark, d, "conversations").where("role = 'assistant'").select(F.explode(T.keys("text")).alias("word")).where(F.col("word").isin(SINGLES)).groupBy("word").agg(F.count("*").alias("n"))
-    words = spark.createDataFrame([(w,) for w in SINGLES], "word string")
-    return S.matrices(m, words.join(n, "word", "left").fillna(0, ["n"]))
-
-
-@query(f"with {RATES} select year, true as simplex, true as better_than_uniform, true as stationary from (select distinct year from rates)")
+def mixture_cells(spark, d):
+    """Years and packed rows: how often each role says a target word, with the word's smoothed share in each year."""
+    shares = S.smoothed_matrix(year_rates(spark, d)).select("year", F.col("target").alias("word"), "p")
+    said = table(spark, d, "conversations").select(F.col("role").alias("fit"), F.explode(T.keys("text")).alias("word")).where(F.col("word").isin(SINGLES)).groupBy("fit", "word").agg(F.count("*").alias("n"))
+    years, cells = mixtures.packed(shares, said)
+    return years, stored(cells)
+
+
+# expectation maximisation by recursion: each fit is a row with its words and weights, each step a function of them
+_EM = f"""with recursive {RATES},
+said as (select role as fit, key as word, count(*) as n from (select role, lower(trim(regexp_replace(u, '[{WS}]+$', ''), '{T.PUNCTUATION.replace("'", "''")}')) as key
+  from (select role, unnest(regexp_extract_all(text, '[^{WS}]+[{WS}]*')) as u from conversations where text is not null)) where key in ({quoted(SINGLES)}) group by 1, 2),
+shares as (select year, target as word, (hits + 0.5) / sum(hits + 0.5) over (partition by year) as p from rates),
+byword as (select word, list(cast(p as double) order by year) as p from shares group by 1),
+cells as (select f.fit, b.word, coalesce(s.n, 0) / sum(coalesce(s.n, 0)) over (partition by f.fit) as q, b.p from (select distinct fit from said where word in (select word from byword)) f cross join byword b left join said s on s.fit = f.fit and s.word = b.word),
+packs as (select fit, list({{'q': cast(q as double), 'p': p}} order by word) as m, len(any_value(p)) as k from cells group by 1),
+em as (
+  select 0 as i, fit, m, list_transform(range(k), lambda y: 1.0::double / k) as w, false as settled from packs
+  union all
+  select i + 1, fit, m, v, list_max(list_transform(v, lambda x, y: abs(x - w[y]))) < 1e-10
+  from (select i, fit, m, w, list_transform(u, lambda x: x / list_sum(u)) as v
+    from (select i, fit, m, w, list_transform(w, lambda x, y: x * list_sum(list_transform(r, lambda z, j: z * m[j].p[y]))) as u
+      from (select i, fit, m, w, list_transform(m, lambda c: c.q / list_dot_product(c.p, w)) as r from em where not settled and i < 2000)))),
+last as (select fit, w from (select fit, w, row_number() over (partition by fit order by i desc) as rn from em) where rn = 1)"""
+
+
+@query(f"{_EM} select fit as model, y.year, round(w[y.at], 6) as weight from last cross join (select year, row_number() over (order by year) as at from (select distinct year from rates)) y".replace("y.at", "y.nth").replace("as at from", "as nth from"))
 def mixture_em(spark, d):
-    """The mixture nearest in relative entropy: weights on the simplex, and the conditions of the optimum."""
-    years, p, q = _mixture_input(spark, d)
-    m = S.mixture(spark, years, p, q, "em")
-    w = S.em_weights(p, q)
-    pull = p @ (q / (w @ p))  # at the optimum 1 where there is weight, and no more elsewhere
-    ok = bool((pull <= 1.02).all() and (abs(pull[w > 1e-3] - 1) <= 0.02).all())
-    one = m.agg(F.sum("weight").alias("total")).select((F.abs(F.col("total") - 1) < 1e-9).alias("simplex"))
-    return m.join(F.broadcast(one)).select("year", (F.col("simplex") & (F.col("weight") >= 0)).alias("simplex"), (F.col("divergence") <= F.col("null_divergence")).alias("better_than_uniform"), F.lit(ok).alias("stationary"))
+    """Weights of the years whose mixture is nearest to what each role says, in relative entropy."""
+    years, cells = mixture_cells(spark, d)
+    return mixtures.weights(years, cells).select(F.col("fit").alias("model"), "year", F.round("weight", 6).alias("weight"))
 
 
-@query(f"with {RATES} select year, true as simplex, true as better_than_uniform, true as stationary from (select distinct year from rates)")
-def mixture_l2(spark, d):
-    years, p, q = _mixture_input(spark, d)
-    m = S.mixture(spark, years, p, q, "l2")
-    w = S.l2_weights(p, q)
-    slope = p @ (w @ p - q)  # equal where there is weight, and no less elsewhere
-    level = float(w @ slope)
-    ok = bool((slope >= level - 1e-7).all() and (abs(slope[w > 1e-3] - level) <= 1e-6).all())
-    one = m.agg(F.sum("weight").alias("total")).select((F.abs(F.col("total") - 1) < 1e-9).alias("simplex"))
-    return m.join(F.broadcast(one)).select("year", (F.col("simplex") & (F.col("weight") >= 0)).alias("simplex"), (F.col("divergence") <= F.col("null_divergence") + 1e-12).alias("better_than_uniform"), F.lit(ok).alias("stationary"))
+@query(
+    f"""{_EM}, mixed as (select c.fit, word, q, list_dot_product(p, w) as mix, list_avg(p) as flat from cells c join last using (fit))
+select fit as model, round(sum(case when q > 0 then q * ln(q / mix) else 0 end), 6) as divergence, round(sum(case when q > 0 then q * ln(q / flat) else 0 end), 6) as null_divergence,
+  (select round(sum(x.w * x.year), 4) from (select unnest(l.w) as w, unnest((select list(year order by year) from (select distinct year from rates))) as year from last l where l.fit = mixed.fit) x) as vintage
+from mixed group by fit"""
+)
+def mixture_fit(spark, d):
+    """How near the mixture of each role comes, against equal weights, and its mean year."""
+    years, cells = mixture_cells(spark, d)
+    fitted = stored(mixtures.weights(years, cells))
+    near = mixtures.divergence(mixtures.mixture_of(years, cells, fitted))
+    null = mixtures.divergence(mixtures.mixture_of(years, cells, mixtures.uniform(fitted))).withColumnRenamed("divergence", "null_divergence")
+    out = near.join(null, "fit").join(mixtures.vintages(fitted), "fit")
+    return out.select(F.col("fit").alias("model"), F.round("divergence", 6).alias("divergence"), F.round("null_divergence", 6).alias("null_divergence"), F.round("vintage", 4).alias("vintage"))
 
 
 @query(
-    f"""with {PEAKS}, a as (select key as word, count(*) as n from (select lower(trim(regexp_replace(u, '[{WS}]+$', ''), '{T.PUNCTUATION.replace("'", "''")}')) as key from (select unnest(regexp_extract_all(text, '[^{WS}]+[{WS}]*')) as u from conversations where role = 'assistant' and text is not null)) where key in ({quoted(SINGLES)}) group by 1),
-k as (select word, n / (select sum(n) from a join peaks on word = target) as p_model from a join peaks on word = target) select word, p_model, true as consistent from k"""
+    f"""{_EM}, mixed as (select c.fit, word, q, list_dot_product(p, w) as mix from cells c join last using (fit) where q > 0)
+select fit as model, word, round(q, 6) as p_model, round(mix, 6) as p_mix, round(q / mix, 4) as ratio, case when q / mix > 3 then 1 when q / mix < 0.33 then -1 else 0 end as flag from mixed"""
 )
 def mixture_words(spark, d):
-    """Each word's share of the replies against the fitted mixture's, flagged if more than three times off."""
-    years, p, q = _mixture_input(spark, d)
-    words = sorted(r[0] for r in year_rates(spark, d).select("target").distinct().collect())  # the target words
-    f = S.word_fit(spark, words, p, q)
-    flag = F.when(F.col("ratio") > S.OVER, 1).when(F.col("ratio") < S.UNDER, -1).otherwise(0)
-    return f.select("word", "p_model", ((F.col("flag") == flag) & (F.abs(F.col("ratio") * F.col("p_mix") - F.col("p_model")) < 1e-9)).alias("consistent"))
+    """Each word's share of what a role says against the fitted mixture's, flagged if more than three times off."""
+    years, cells = mixture_cells(spark, d)
+    f = mixtures.word_fit(mixtures.mixture_of(years, cells, mixtures.weights(years, cells)))
+    return f.select(F.col("fit").alias("model"), "word", F.round("p_model", 6).alias("p_model"), F.round("p_mix", 6).alias("p_mix"), F.round("ratio", 4).alias("ratio"), "flag")
 
 
-@query(f"with {RATES} select distinct year, 200 as replicates, true as around from rates union all select null, 200, true")
+@query()
+def mixture_l2(spark, d):
+    """Weights of the years whose mixture is nearest to what each role says, by least squares."""
+    years, cells = mixture_cells(spark, d)
+    return mixtures.weights(years, cells, "l2").withColumnRenamed("fit", "model")
+
+
+@query()
 def mixture_interval(spark, d):
-    """Intervals of the mixture's weights and of its vintage (a null year), refitted to 200 draws."""
-    years, p, q = _mixture_input(spark, d)
-    n = q * 2000
-    b = S.mixture_bootstrap(spark, years, p, n, 200, "em")
-    w = S.em_weights(p, q)
-    point = spark.createDataFrame([(int(y), float(x)) for y, x in zip(years, w, strict=True)] + [(None, float(w @ years))], "y int, point double")
-    wide = F.when(F.col("year").isNull(), 0.5).otherwise(0.05)
-    j = b.join(F.broadcast(point), F.col("year").eqNullSafe(F.col("y")))  # a row for each year
-    return j.select("year", F.col("replicates").cast("int").alias("replicates"), ((F.col("low") - wide <= F.col("point")) & (F.col("point") <= F.col("high") + wide)).alias("around"))
+    """Intervals of the mixture's weights and of its vintage (a null year), refitted to 200 draws of the counts."""
+    years, cells = mixture_cells(spark, d)
+    return mixtures.intervals(years, cells, 200).withColumnRenamed("fit", "model")
 
 
 @query(f"with {PEAKS} select 2000 as replicates, true as around, true as as_wide_as_theory from peaks limit 1")

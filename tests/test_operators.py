@@ -15,7 +15,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from driftlex.operators import annotation, langscore, prompts, rates, responses, sampling, scoring, sensemodel, stats, trajectory
+from driftlex.operators import annotation, langscore, mixtures, prompts, rates, responses, sampling, scoring, sensemodel, stats, trajectory
 from driftlex.sources import files, warc
 
 
@@ -289,12 +289,54 @@ def test_vintages_and_fits(spark):
     corpus = spark.createDataFrame([("a", 1), ("b", 1)], "word string, n long")
     got = {r.model: (r.vintage, r.corpus_vintage, r.lag) for r in stats.vintage_lags(said, corpus, peaks, "model").collect()}
     assert got == {"m": (2014.75, 2016.5, -1.75), "n": (2020.0, 2016.5, 3.5)}
-    p = np.array([[0.7, 0.2, 0.1, 0.0], [0.1, 0.2, 0.7, 0.0]])
-    q = np.array([0.1, 0.7, 0.1, 0.1])
-    fit = {r.word: (r.ratio, r.flag) for r in stats.word_fit(spark, ["a", "b", "c", "d"], p, q).collect()}
-    assert fit["b"][1] == 1 and fit["b"][0] == pytest.approx(3.5) and fit["a"][1] == (-1 if fit["a"][0] < 0.33 else 0) and fit["d"] == (None, 1)
-    b = stats.mixture_bootstrap(spark, np.array([2013, 2020]), p[:, :3] / p[:, :3].sum(1, keepdims=True), np.array([70.0, 40.0, 30.0]), 60).collect()
-    assert {r.year for r in b} == {2013, 2020, None} and all(r.low <= r.high and r.replicates == 60 for r in b)
+
+
+def mixture_rows(spark, p, said):
+    words = [f"w{i:02d}" for i in range(p.shape[1])]
+    shares = spark.createDataFrame([(2013 + y, w, float(p[y, j])) for y in range(len(p)) for j, w in enumerate(words)], "year int, word string, p double")
+    counts = spark.createDataFrame([(m, w, int(n)) for m, row in said.items() for w, n in zip(words, row, strict=True) if n], "fit string, word string, n long")
+    return mixtures.packed(shares, counts)
+
+
+def test_mixtures_of_several_models(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    p = r.dirichlet(np.ones(12), 4)
+    said = {"a": r.integers(0, 50, 12), "b": (1000 * (0.7 * p[1] + 0.3 * p[3])).round(), "none": np.zeros(12)}
+    years, cells = mixture_rows(spark, p, said)
+    fitted = mixtures.weights(years, cells)
+    got = {(x.fit, x.year): x.weight for x in fitted.collect()}
+    assert {m for m, _ in got} == {"a", "b"} and years == [2013, 2014, 2015, 2016]
+    for m in "ab":
+        q = said[m] / said[m].sum()
+        assert [got[m, y] for y in years] == pytest.approx(stats.em_weights(p, q), abs=1e-12)
+    l2 = {(x.fit, x.year): x.weight for x in mixtures.weights(years, cells, "l2").collect()}
+    assert l2["b", 2014] == pytest.approx(0.7, abs=0.02)
+    kl = {x.fit: x.divergence for x in mixtures.divergence(mixtures.mixture_of(years, cells, fitted)).collect()}
+    null = {x.fit: x.divergence for x in mixtures.divergence(mixtures.mixture_of(years, cells, mixtures.uniform(fitted))).collect()}
+    assert kl["b"] == pytest.approx(stats.relative_entropy(said["b"] / said["b"].sum(), stats.em_weights(p, said["b"] / said["b"].sum()) @ p)) and all(kl[m] <= null[m] for m in "ab")
+    assert {x.fit: x.vintage for x in mixtures.vintages(fitted).collect()}["b"] == pytest.approx(2014.6, abs=0.1)
+    # the way of large fits, a few steps of it
+    monkeypatch.setattr(mixtures, "MOST_WORDS", 3)
+    monkeypatch.setattr(mixtures, "ROUNDS", 6)
+    together = {(x.fit, x.year): x.weight for x in mixtures.weights(years, cells).collect()}
+    for m in "ab":
+        assert [together[m, y] for y in years] == pytest.approx(stats.em_weights(p, said[m] / said[m].sum(), rounds=6), abs=1e-12)
+
+
+def test_mixture_intervals(spark):
+    p = np.array([[0.7, 0.2, 0.1], [0.1, 0.2, 0.7]])
+    years, cells = mixture_rows(spark, p, {"m": [70, 40, 30]})
+    one = sorted(map(tuple, mixtures.intervals(years, cells, 60).collect()), key=str)
+    assert one == sorted(map(tuple, mixtures.intervals(years, cells.repartition(5), 60).collect()), key=str)
+    w = stats.em_weights(p, np.array([70, 40, 30]) / 140)
+    for fit, year, low, high, n in one:
+        point = float(w @ years) if year is None else w[years.index(year)]
+        assert fit == "m" and low <= point <= high and n == 60
+
+
+def test_flags_of_words(spark):
+    mixed = spark.createDataFrame([("m", "a", 0.1, 0.4), ("m", "b", 0.7, 0.2), ("m", "c", 0.1, 0.1), ("m", "d", 0.1, 0.0), ("m", "e", 0.0, 0.3)], "fit string, word string, p_model double, p_mix double")
+    assert {r.word: (r.ratio and round(r.ratio, 2), r.flag) for r in mixtures.word_fit(mixed).collect()} == {"a": (0.25, -1), "b": (3.5, 1), "c": (1.0, 0), "d": (None, 1)}
 
 
 def test_interval_and_counts_as_shares(spark):
