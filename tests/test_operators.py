@@ -450,6 +450,33 @@ def test_archives(spark, tmp_path):
     assert page.t == "Hi"
 
 
+@pytest.mark.parametrize("zipped", [True, False])
+def test_archives_in_any_ranges(spark, tmp_path, zipped):
+    r = random.Random(8)
+    want, raw, places = [], b"", []
+    for i in range(60):
+        body = bytes(r.randrange(256) for _ in range(r.randrange(0, 900)))
+        if i % 9 == 0:  # what looks like the begin of a record, or of a gzip member
+            body += b"\r\n\r\nWARC/1.0\r\nWARC-Type: no\r\nContent-Length: 4\r\n\r\nabcd" + b"\x1f\x8b\x08\x00" + gzip.compress(b"WARNING")
+        one = f"WARC/1.0\r\nWARC-Type: conversion\r\nWARC-Target-URI: u{i}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+        places.append(len(raw))
+        raw += gzip.compress(one) if zipped else one
+        want.append((f"u{i}", body.decode("utf-8", "replace")))
+    (tmp_path / "x.warc").write_bytes(raw)
+    for split in (len(raw), len(raw) // 4 + 1, 997):
+        df = warc.read_archives(spark, str(tmp_path / "x.warc"), split)
+        assert df.rdd.getNumPartitions() == -(-len(raw) // split)
+        assert sorted((x.uri, x.payload) for x in df.collect()) == sorted(want)
+
+
+def test_pages_as_archives_and_back(spark, data, tmp_path):
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    warc.write_archives(pages.repartition(3), str(tmp_path / "w"), F.col("url"), F.col("html"))
+    back = warc.read_archives(spark, str(tmp_path / "w" / "*.warc.gz"), 20_000)
+    assert back.rdd.getNumPartitions() > 3
+    assert sorted(map(tuple, back.select("uri", "payload").collect())) == sorted((p.url, p.html) for p in pages.collect())
+
+
 def test_stream_equals_batch(spark, data, tmp_path):
     from driftlex.operators.kwic import kwic
     from driftlex.plans.base import corpus
