@@ -15,7 +15,7 @@ from driftlex.operators import stats as S
 from driftlex.operators.kwic import vocabulary_hits
 from driftlex.operators.rates import wide_columns
 from driftlex.plans.base import CORPUS, corpus, pseudo_score, query, table
-from driftlex.sources import files
+from driftlex.sources import files, jsonparts
 from driftlex.streaming.ingest import collect_until
 
 # Answers of every kind that the parsers tell apart, by turn.
@@ -279,7 +279,7 @@ def json_objects(spark, d):
     each = turns(spark, d).select("conv_id", row.alias("r"), F.when(F.col("conv_id") % 2 == 0, pretty).otherwise(F.to_json(row)).alias("json"))
     whole = each.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "json"))), lambda x: x["json"]), "\n").alias("value"))
     cut = whole.withColumn("value", F.concat("value", F.lit(' {"turn": 99, "role": "cut')))
-    values = files.json_values(cut, "value").withColumn("r", F.from_json("json", "turn long, role string, text string"))
+    values = jsonparts.json_values(cut, "value").withColumn("r", F.from_json("json", "turn long, role string, text string"))
     return values.select("conv_id", "index", "r.turn", "r.role", F.length("r.text").cast("long").alias("chars"))
 
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftlex.operators import responses
+from driftlex.sources import jsonparts
 
 
 def read_corpus(spark: SparkSession, path: str, *columns: str) -> DataFrame:
@@ -50,50 +48,14 @@ def file_name() -> Column:
     return F.regexp_replace(F.col("_metadata.file_name"), r"\.[A-Za-z0-9]+$", "")
 
 
-def json_values(rows: DataFrame, text: str, strict: bool = False) -> DataFrame:
-    """A row for each JSON value in ``text``, one after another in any layout: other columns, ``index``, and ``json``, the value's text.
-
-    Reading of a text ends at what is no JSON, as a record that is still being written; if ``strict``, that is an error.
-    """
-    kept = [f for f in rows.schema.fields if f.name != text]
-    names = [f.name for f in kept]
-
-    def run(batches):
-        decoder = json.JSONDecoder()
-        for batch in batches:
-            owner, index, found = [], [], []
-            for i, cell in enumerate(batch.column(batch.num_columns - 1)):
-                value, at, n = cell.as_py() or "", 0, 0
-                while True:
-                    while at < len(value) and value[at] in " \t\r\n\ufeff":
-                        at += 1
-                    if at >= len(value):
-                        break
-                    try:
-                        end = decoder.raw_decode(value, at)[1]
-                    except ValueError as e:
-                        if strict:
-                            raise ValueError(f"no JSON at position {at}: {e}") from e
-                        break
-                    owner.append(i)
-                    index.append(n)
-                    found.append(value[at:end])
-                    at, n = end, n + 1
-            own = batch.take(pa.array(owner, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*own.columns[:-1], pa.array(index, pa.int32()), pa.array(found, pa.string())], names=[*names, "index", "json"])
-
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + "index int, json string"
-    return rows.select(*[F.col(f"`{c}`") for c in names], F.col(text).cast("string")).mapInArrow(run, schema)
-
-
 def read_json_objects(spark: SparkSession, path: str, schema: str, required: str | None = None, strict: bool = False) -> DataFrame:
     """Records of files of objects one after another, compact or pretty-printed: ``file, modified, index`` and the fields.
 
     A truncated last record is left out, or an error if ``strict``; rows without ``required`` are left out.
-    A file is one cell, of 2 GB at most.
+    Large files are read in ranges.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("modified"), "value")
-    each = json_values(whole, "value", strict).select("file", "modified", "index", F.from_json("json", schema).alias("r")).where("r is not null").select("file", "modified", "index", "r.*")
+    values = jsonparts.file_values(spark, path, strict)
+    each = values.select("file", "modified", "index", F.from_json("json", schema).alias("r")).where("r is not null").select("file", "modified", "index", "r.*")
     return each if required is None else each.where(F.col(required).isNotNull())
 
 

@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftlex.operators import annotation, langscore, mixtures, prompts, rates, responses, sampling, scoring, sensemodel, stats, trajectory
-from driftlex.sources import files, warc
+from driftlex.sources import files, jsonparts, warc
 
 
 def one(spark, c):
@@ -379,7 +379,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "compact.jsonl").write_text('{"model": "a}{", "sample": 1}\n{"model": "b\\"}", "sample": 2}{"model": "c", "sample": 3}\n')
     got = files.read_json_objects(spark, str(tmp_path / "compact.jsonl"), "model string, sample int", strict=True)
     assert sorted((r["index"], r.model, r.sample) for r in got.collect()) == [(0, "a}{", 1), (1, 'b"}', 2), (2, "c", 3)]
-    with pytest.raises(Exception, match="no JSON at position"):
+    with pytest.raises(Exception, match="no JSON in a.jsonl"):
         files.read_json_objects(spark, str(tmp_path / "a.jsonl"), "model string", strict=True).collect()
     (tmp_path / "d.json").write_text(json.dumps({"CC-MAIN-2013-20": 5, "CC-MAIN-2014-10": 7}))
     assert {r.dump: r.tokens for r in files.read_json_map(spark, str(tmp_path / "d.json")).collect()}["CC-MAIN-2014-10"] == 7
@@ -561,3 +561,51 @@ def test_2001_columns(spark, monkeypatch):
     monkeypatch.setattr(rates, "MOST_COLUMNS", 2000)
     with pytest.raises(ValueError, match="long"):
         rates.wide_columns(df, "lang")
+
+
+def test_json_values_equal_a_decoder(spark):
+    r = random.Random(6)
+    value = lambda d: r.choice([1, 'a}{\\"[', None, [], {}, {"k": "]"}]) if d == 0 else r.choice([{"x": value(d - 1), "y\\": [value(d - 1)]}, [value(d - 1), value(0)]])
+    texts = ["".join(json.dumps(value(r.randint(0, 3)), indent=r.choice([None, 1])) + r.choice([" ", "\n", "\n\n", "\t\ufeff"]) for _ in range(r.randrange(5))) for _ in range(80)]
+    texts += ['{"a": 1}} {"b": 2}', '{"a": 1},{"b": 2}', '{"a": 1}\n{"cut": "x', "[1 2] {}", "{]}", "true 5 \"s\" nope 6", None, "  "]
+
+    def plain(text):
+        out, at, decoder = [], 0, json.JSONDecoder()
+        while rest := text[at:].lstrip(" \t\r\n\ufeff"):
+            at = len(text) - len(rest)
+            try:
+                _, end = decoder.raw_decode(text, at)
+            except ValueError:
+                break
+            out.append(text[at:end])
+            at = end
+        return out
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {}
+    for x in jsonparts.json_values(df, "t").orderBy("i", "index").collect():
+        got.setdefault(x.i, []).append(x.json)
+    assert got == {i: v for i, t in enumerate(texts) if t and (v := plain(t))}
+
+
+@pytest.mark.parametrize("size", [150, 1 << 20])
+def test_json_files_in_any_ranges(spark, tmp_path, size):
+    r = random.Random(size)
+    want = []
+    for f in ("one", "two"):
+        objects = [{"id": i, "t": '}{ \\" [' * r.randrange(4), "deep": [{"x": [1, {}]}] * r.randrange(6)} for i in range(25)]
+        text = "".join(json.dumps(o, indent=r.choice([None, 2])) + r.choice(["\n", " ", "\n\n"]) for o in objects)
+        (tmp_path / f"{f}.jsonl").write_text(text + ('{"id": 99, "t": "cut' if f == "one" else '}\n{"id": 100}'))
+        want += [(f"{f}.jsonl", i, o["id"], o["t"]) for i, o in enumerate(objects)]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = files.read_json_objects(spark, str(tmp_path), "id long, t string, deep string")
+        assert sorted((x.file, x["index"], x.id, x.t) for x in got.collect()) == sorted(want)
+        assert all(json.loads(x.deep) is not None for x in got.collect())
+        with pytest.raises(ValueError, match="no JSON in one.jsonl"):
+            files.read_json_objects(spark, str(tmp_path), "id long", strict=True)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
