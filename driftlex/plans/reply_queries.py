@@ -381,17 +381,21 @@ def lang_matrix(spark, d):
     return long.select(F.when(F.col("lang") != "none", F.substring("lang", 3, 1 << 30)).alias("lang"), "source", "n")
 
 
-@query(f"with {CORPUS}, s as (select dump, case when doc_id % 37 <> 0 then ((doc_id * 7919) % 20001 - 10000) / 10000.0::double end as score from corpus) select dump, least(5, count(*) filter (score >= 0.2)) >= 1 as found, true as enough_or_exhausted from s group by 1 having count(*) filter (score >= 0.2) > 0")
+@query(
+    f"""with recursive {CORPUS}, s as (select dump, doc_id, coalesce(case when doc_id % 37 <> 0 then ((doc_id * 7919) % 20001 - 10000) / 10000.0::double end >= 0.2, false) as ok from corpus),
+rounds as (
+  select 0 as i, dump, list({{'id': doc_id, 'ok': ok}}) as rest, list({{'id': doc_id, 'ok': ok}}) filter (false) as drawn from s group by 1, 2
+  union all
+  select i + 1, dump, list_transform(q[need + 1:], lambda x: {{'id': x.id, 'ok': x.ok}}), list_concat(coalesce(drawn, []), list_transform(q[1:need], lambda x: {{'id': x.id, 'ok': x.ok}}))
+  from (select i, dump, drawn, greatest(0, 5 - len(list_filter(coalesce(drawn, []), lambda x: x.ok))) as need,
+    list_sort(list_transform(rest, lambda x: {{'h': left(md5(concat_ws('|', x.id, cast(xor(i, {0x5A5A5A5A}) as varchar))), 16), 'id': x.id, 'ok': x.ok}})) as q from rounds where i < 40))
+select dump, x.id as doc_id from (select dump, unnest(drawn) as x from rounds where i = 40) where x.ok"""
+)
 def topup_loop(spark, d):
-    """The loop ends with five kept documents of each crawl, or with all that it has."""
+    """Rounds of draws until five documents of each crawl are kept, or all are drawn."""
     c = corpus(spark, d).select("dump", "doc_id")
     score = lambda rows: rows.withColumn("score", pseudo_score(F.col("doc_id"), F.lit(0)))
-    keep = lambda rows: rows.where("score >= 0.2")
-    kept = collect_until(c, None, score, keep, "dump", 5, ("doc_id",), rounds=40)
-    there = keep(score(c)).groupBy("dump").agg(F.count("*").alias("all"))
-    got = kept.groupBy("dump").agg(F.count("*").alias("n"), F.min("score").alias("least"))
-    j = there.join(got, "dump", "left")
-    return j.select("dump", (F.coalesce("n", F.lit(0)) >= 1).alias("found"), ((F.col("least") >= 0.2) & (F.col("n") >= F.least(F.col("all"), F.lit(5)))).alias("enough_or_exhausted"))
+    return collect_until(c, None, score, lambda rows: rows.where("score >= 0.2"), "dump", 5, ("doc_id",), rounds=40).select("dump", "doc_id")
 
 
 WORDS = ["glow-up", "red pill", "lol", "solo dolo"]

@@ -489,9 +489,80 @@ def test_stream_equals_batch(spark, data, tmp_path):
     q.awaitTermination(120)
     want = kwic(c, ["the", "la"], 20, ("doc_id", "dump"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == want.count()
-    q = ingest.stream_counts(docs, ["the"], "running", str(tmp_path / "cp2"))
+    q = ingest.stream_counts(docs, ["the"], str(tmp_path / "counts"), str(tmp_path / "cp2"))
     q.awaitTermination(120)
-    assert spark.sql("select sum(hits) from running").first()[0] == want.where("target = 'the'").count()
+    counts = sorted(map(tuple, want.where("target = 'the'").groupBy("dump", "target").count().collect()))
+    now = lambda: sorted(map(tuple, ingest.current_counts(spark, str(tmp_path / "counts")).collect()))
+    assert now() == counts
+    versions = ingest._versions(spark, str(tmp_path / "counts"))
+    assert len(versions) == 2
+    # the last batch once more, as after a crash before its offset was committed
+    before = {(r.dump, r.target): r.hits for r in spark.read.parquet(str(tmp_path / "counts" / f"version={versions[0]}")).collect()}
+    again = spark.createDataFrame([(d, t, n - before.get((d, t), 0)) for d, t, n in counts if n > before.get((d, t), 0)], "dump string, target string, hits long")
+    ingest.add_batch(again, versions[-1], str(tmp_path / "counts"))
+    assert now() == counts and ingest._versions(spark, str(tmp_path / "counts")) == versions
+    # and one that was killed half-way: its version is no version
+    (tmp_path / "counts" / f"version={versions[-1] + 1}").mkdir()
+    assert now() == counts
+
+
+def test_a_loop_of_rounds_can_be_stopped(spark, tmp_path):
+    from driftlex.streaming import ingest
+
+    rows = spark.createDataFrame([(i, i % 3) for i in range(90)], "id int, g int")
+    score = lambda r: r.withColumn("score", F.col("id") * 37 % 10)
+    keep = lambda r: r.where("score >= 6")
+    go = lambda rounds, name: ingest.collect_until(rows, None, score, keep, "g", 5, ("id",), rounds=rounds, ledger=str(tmp_path / name))
+    whole = sorted(map(tuple, go(20, "whole").collect()))
+    assert all(sum(r[1] == g for r in whole) == 5 for g in range(3))
+    part = go(2, "stopped")
+    size = len(part._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert part.count() < len(whole)
+    rest = go(20, "stopped")
+    assert sorted(map(tuple, rest.collect())) == whole
+    assert len(rest._jdf.queryExecution().optimizedPlan().toString().splitlines()) == size
+    # by brute force
+    order = lambda i, seed: (hashlib.md5(f"{i}|{seed ^ 0x5A5A5A5A}".encode()).hexdigest()[:16], i)
+    drawn = set()
+    for n in range(20):
+        for g in range(3):
+            need = 5 - sum(i % 3 == g and i * 37 % 10 >= 6 for i in drawn)
+            free = sorted((i for i in range(g, 90, 3) if i not in drawn), key=lambda i: order(i, n))
+            drawn |= set(free[: max(0, need)])
+    assert {r[0] for r in whole} == {i for i in drawn if i * 37 % 10 >= 6}
+
+
+def test_inputs_are_read_once(spark, tmp_path):
+    import os
+
+    from driftlex.sources import ledger
+
+    inside, out, book = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "book")
+    inside.mkdir()
+    for i in range(3):
+        (inside / f"f{i}.txt").write_text(f"a{i}\nb{i}\n")
+    seen = []
+
+    def read(s, files):
+        seen.append([os.path.basename(f) for f in files])
+        return s.read.text(files).select("value")
+
+    run = lambda **o: [os.path.basename(f) for f in ledger.advance(spark, str(inside), out, book, read, **o)]
+    assert run(most_files=2) == ["f0.txt", "f1.txt"] and run() == ["f2.txt"] and run() == []
+    assert seen == [["f0.txt", "f1.txt"], ["f2.txt"]]
+    held = lambda: sorted(r.value for r in ledger.results(spark, out, book).collect())
+    assert held() == ["a0", "a1", "a2", "b0", "b1", "b2"]
+    (inside / "f3.txt").write_text("a3\n")
+
+    def broken(s, files):
+        return s.read.text(files).select(F.raise_error(F.lit("down")).cast("string").alias("value"))
+
+    with pytest.raises(Exception, match="down"):
+        ledger.advance(spark, str(inside), out, book, broken)
+    assert held() == ["a0", "a1", "a2", "b0", "b1", "b2"] and run() == ["f3.txt"]
+    assert "a3" in held()
+    left = ledger.unfinished(spark, str(inside), book)
+    assert left.isEmpty() and "content:binary" not in left._jdf.queryExecution().executedPlan().toString()
 
 
 def test_response_bootstrap_equals_brute_force(spark):
