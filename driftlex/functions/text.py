@@ -6,6 +6,9 @@ since Java's ``\\s`` and RE2's are ASCII only. Punctuation is the 32 ASCII signs
 
 from __future__ import annotations
 
+from html import unescape
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,13 +82,48 @@ def windows_safe(text: Text) -> Column:
     return F.regexp_replace(_col(text), r'[<>:"/\\|?*]', "")
 
 
+def markup_pattern(more: str = "") -> str:
+    """Comments, elements that hold no text, tags and declarations; ``more`` makes repetitions possessive (``+``) where an engine has that.
+
+    A ``>`` within quotes doesn't end a tag, unless its quotes are never closed. What isn't closed reaches to the end.
+    """
+    inside = f"(?:[^>\"']+{more}|\"[^\"]*{more}\"|'[^']*{more}')*{more}"
+    silent = "|".join(rf"<{name}\b{inside}>(?:.*?</{name}\s*>|.*\z)" for name in ("script", "style", "noscript"))
+    return rf"(?is)<!--.*?(?:-->|\z)|{silent}|</?[a-z]{inside}(?:>|\z)|</?[a-z][^>]*{more}(?:>|\z)|<[!?/][^>]*{more}(?:>|\z)"
+
+
 def html_text(html: Text) -> Column:
-    """Text of a page: script, style and noscript dropped with their content, other tags as blanks, entities decoded."""
-    t = F.regexp_replace(_col(html), r"(?is)<(script|style|noscript)\b.*?</\1\s*>", " ")
-    t = F.regexp_replace(F.regexp_replace(t, r"(?s)<!--.*?-->", " "), r"<[^>]+>", " ")
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        t = F.replace(t, F.lit(name), F.lit(char))
-    return clean(t)
+    """Text of a page: comments, script, style and noscript dropped with their content, other tags as blanks, character references of all kinds decoded."""
+    return clean(_decoded(F.regexp_replace(_col(html), markup_pattern("+"), " ")))
+
+
+def _decoded(text: Column) -> Column:
+    """Named and numeric character references as the characters, with or without a semicolon where HTML allows that."""
+    return F.arrow_udf(_unescaped, "string")(text)
+
+
+def _unescaped(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else unescape(t) if "&" in t else t for t in texts.to_pylist()], pa.string())
+
+
+def parsed_date(text: Text) -> Column:
+    """A date given as year-month-day, year-month or year; null for anything else. Months and days may have one digit."""
+    t = _col(text)
+    part = lambda i: F.nullif(F.regexp_extract(t, r"^(\d{4})(?:-(\d{1,2})(?:-(\d{1,2}))?)?$", i), F.lit(""))
+    return F.try_to_date(F.concat_ws("-", part(1), F.lpad(F.coalesce(part(2), F.lit("1")), 2, "0"), F.lpad(F.coalesce(part(3), F.lit("1")), 2, "0")), "yyyy-MM-dd")
+
+
+def from_epoch(seconds: Text) -> Column:
+    """Time of a number of seconds since 1970."""
+    return F.timestamp_seconds(_col(seconds))
+
+
+def duration(seconds: Text) -> Column:
+    """Whole seconds as minutes and seconds, from an hour on as hours and minutes."""
+    s = _col(seconds).cast("long")
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    hours, minutes = F.floor(s / 3600).cast("long"), F.floor(s % 3600 / 60).cast("long")
+    return F.when(hours > 0, F.concat(hours.cast("string"), F.lit("h "), two(minutes), F.lit("m"))).otherwise(F.concat(minutes.cast("string"), F.lit("m "), two((s % 60).cast("long")), F.lit("s")))
 
 
 def uri_root(uri: Text) -> Column:
@@ -113,7 +151,7 @@ def holds(text: Text, part: str) -> Column:
 def bounded_pattern(word: str) -> str:
     """Pattern of a word with no ASCII letter beside it, in either case."""
     quoted = "".join("\\" + c if not c.isalnum() and not c.isspace() and ord(c) < 128 else c for c in word)
-    return f"(?i)(?<![a-z]){quoted}(?![a-z])"
+    return f"(?i)(?<![a-z])(?u){quoted}(?-u)(?![a-z])"
 
 
 def bounded_count(text: Text, word: str) -> Column:

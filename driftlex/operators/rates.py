@@ -226,3 +226,10 @@ def wide_columns(rows: DataFrame, name: str) -> list[str]:
     if len(found) > MOST_COLUMNS:
         raise ValueError(f"over {MOST_COLUMNS} values of {name}: keep the table long")
     return found
+
+
+def ranked_totals(counts: DataFrame, group: int = 20) -> DataFrame:
+    """(word, n, rank, grp) of (model, word, n): totals over the models, the highest first and ties by word, in groups of ``group``."""
+    total = counts.groupBy("word").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.orderBy(F.desc("n"), "word"))  # a row for each word of a vocabulary
+    return total.withColumn("rank", rank).withColumn("grp", F.floor((F.col("rank") - 1) / group))

@@ -71,7 +71,7 @@ def options(prompt: Column) -> Column:
     tail = F.regexp_extract(prompt, OPTION_BLOCK, 1)
     letters, words = F.regexp_extract_all(tail, F.lit(OPTION), F.lit(1)), F.regexp_extract_all(tail, F.lit(OPTION), F.lit(2))
     pairs = F.zip_with(letters, words, lambda a, b: F.struct(a.alias("key"), F.btrim(b).alias("value")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.lit(1000)), lambda q: q["key"] == p["key"]))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q["key"] == p["key"]))
     return F.map_from_entries(last)
 
 
@@ -115,6 +115,17 @@ def word_of(response: Column, joined: Column) -> Column:
     return F.when(F.coalesce(response, F.lit("")) != "", trim(response)).otherwise(trim(joined))
 
 
+def labelled_examples(response: Column) -> Column:
+    """Texts and labels of the object in a free text: array of (text, is_slang), of those that have a text and a label 0 or 1.
+
+    A label may be a number, a string of one or a boolean; null if there is no such object.
+    """
+    found = json_rows(response, "examples array<struct<text: string, is_slang: string>>")["examples"]
+    label = lambda x: F.when(x == "true", 1).when(x == "false", 0).otherwise(F.btrim(x).try_cast("double").cast("int"))
+    rows = F.transform(found, lambda e: F.struct(F.btrim(e["text"], F.lit(" \t\r\n\x0b\x0c")).alias("text"), label(e["is_slang"]).alias("is_slang")))
+    return F.filter(rows, lambda e: (F.coalesce(e["text"], F.lit("")) != "") & e["is_slang"].isin(0, 1))
+
+
 def json_rows(response: Column, schema: str) -> Column:
     """What is between the outermost braces of a free text, parsed; null if it is no such object."""
     return F.from_json(F.nullif(F.regexp_extract(response, r"(?s)(\{.*\})", 1), F.lit("")), schema)

@@ -507,11 +507,15 @@ def cohorts(spark, d):
     return rates.peaks(year_rates(spark, d)).select("target", "peak_year", rates.cohort(F.col("peak_year")).alias("cohort"))
 
 
-@query(f"with {HITS}, n as (select target, count(*) as hits from hits group by 1), r as (select *, row_number() over (order by hits desc, target) as rank from n) select target, hits, rank::integer as rank, cast((rank - 1) // 4 as bigint) as grp from r")
+@query(
+    f"""with a as (select key as word, count(*) as n from (select role, lower(trim(regexp_replace(u, '[{WS}]+$', ''), '{T.PUNCTUATION.replace("'", "''")}')) as key
+  from (select role, unnest(regexp_extract_all(text, '[^{WS}]+[{WS}]*')) as u from conversations where text is not null)) where key in ({quoted(SINGLES)}) group by 1),
+r as (select word, n, row_number() over (order by n desc, word) as rank from a) select word, n, rank::integer as rank, cast((rank - 1) // 20 as bigint) as grp from r"""
+)
 def ranked_groups(spark, d):
-    n = hits(spark, d).groupBy("target").agg(F.count("*").alias("hits"))
-    rank = F.row_number().over(Window.orderBy(F.desc("hits"), "target"))
-    return n.withColumn("rank", rank).withColumn("grp", F.floor((F.col("rank") - 1) / 4))
+    """Words by their total over all models, in groups of twenty."""
+    said = count_targets(table(spark, d, "conversations"), SINGLES, ("role",)).where("target is not null").select(F.col("role").alias("model"), F.col("target").alias("word"), "n")
+    return rates.ranked_totals(said)
 
 
 @query(rf"with {HITS}, c as (select doc_id from corpus where regexp_matches(text, '(?i)(?:^|\s)[[:punct:]]*(?:haha|la)[[:punct:]]*(?:\s|$)')) select (select count(*) from corpus) as docs, (select count(*) from c) as candidates, (select count(*) from hits where target in ('haha', 'la')) as contexts, (select count(distinct target) from hits where target in ('haha', 'la')) as targets")

@@ -175,18 +175,35 @@ def linear_trend(spark, d):
     return S.linear_trend(_lengths(spark, d), "chars", "tokens", "role")
 
 
+_MODELS = ["gpt-x", "o1-mini", "claude-y", "org/model-z"]
+
+
 @query(
-    """with t as (select 'p' || cast(i as varchar) as id, 'Is {word} from {year}? ' || cast(i as varchar) as u, 1 + i % 2 as samples from range(4) x(i)),
-v as (select id, u, samples, w as word, y as year from t, (select unnest(['lol', 'rad']) as w) a, (select unnest(['2013', '2020', '2024']) as y) b),
-m as (select unnest(['gpt-x', 'claude-y', 'org/model-z']) as model)
-select id, model, replace(replace(u, '{word}', word), '{year}', year) as prompt_text, s::integer as sample from v cross join m, lateral (select unnest(range(samples)) as s) r where not (id = 'p0' and model = 'gpt-x')"""
+    f"""with t as (select cast(conv_id as varchar) || '-' || cast(turn as varchar) as id, conv_id, role, 'Is {{word}} from {{year}}? ' || role as u, case when conv_id % 3 = 0 then 0 else conv_id % 3 end as samples,
+  case when conv_id % 4 = 0 then 'open' when conv_id % 4 = 1 then 'closed' end as kind from conversations where conv_id % 5 <> 0 and turn % 7 <> 6),
+v as (select *, w as word, y as year from t, (select unnest(['lol', 'rad']) as w) a, (select unnest(['2013', '2020', '2024']) as y) b),
+m as (select unnest([{", ".join(f"'{m}'" for m in _MODELS)}]) as model)
+select id, model, replace(replace(u, '{{word}}', word), '{{year}}', year) as prompt_text, s::integer as sample
+from v cross join m, lateral (select unnest(range(greatest(samples, 1))) as s) r
+where (kind is null or kind = case when model like 'org/%' then 'open' else 'closed' end) and not (role = 'user' and model = 'gpt-x')"""
 )
 def prompt_expand(spark, d):
-    i = F.col("i")
-    t = spark.range(4).select(F.col("id").alias("i")).select(F.concat(F.lit("p"), i.cast("string")).alias("id"), F.concat(F.lit("Is {word} from {year}? "), i.cast("string")).alias("user"), F.create_map(F.lit("word"), F.array(F.lit("lol"), F.lit("rad")), F.lit("year"), F.array(F.lit("2013"), F.lit("2020"), F.lit("2024"))).alias("variables"), (1 + i % 2).alias("samples"), F.lit(None).cast("boolean").alias("disabled"), F.lit(True).alias("enabled"), F.lit(None).cast("string").alias("model_type"))
-    models = spark.createDataFrame([("gpt-x",), ("claude-y",), ("org/model-z",)], "model string")
+    """Requests of a template for each turn: disabled ones and those that are done left out, models by the type that a template asks for."""
+    k = F.col("conv_id")
+    listed = lambda *v: F.array(*map(F.lit, v))
+    t = turns(spark, d).select(
+        F.concat_ws("-", k.cast("string"), F.col("turn").cast("string")).alias("id"),
+        F.concat(F.lit("Is {word} from {year}? "), "role").alias("user"),
+        F.create_map(F.lit("word"), listed("lol", "rad"), F.lit("year"), listed("2013", "2020", "2024")).alias("variables"),
+        (k % 3).alias("samples"),
+        F.when(k % 5 == 0, True).alias("disabled"),
+        F.when(F.col("turn") % 7 == 6, False).alias("enabled"),
+        F.when(k % 4 == 0, "open").when(k % 4 == 1, "closed").alias("model_type"),
+        "role",
+    )
+    models = spark.createDataFrame([(m,) for m in _MODELS], "model string")
     everything = prompts.requests(t, models)
-    done = everything.where("id = 'p0' and model = 'gpt-x'")
+    done = everything.where("role = 'user' and model = 'gpt-x'")
     return prompts.requests(t, models, done).select("id", "model", "prompt_text", "sample")
 
 
@@ -347,12 +364,10 @@ def uri_roots(spark, d):
     return table(spark, d, "pages").select("page_id", T.uri_root("url").alias("uri_root"))
 
 
-_TAGS = "html"
-for _name in ("script", "style", "noscript"):
-    _TAGS = f"regexp_replace({_TAGS}, '(?is)<{_name}\\b.*?</{_name}\\s*>', ' ', 'g')"
-_TAGS = f"regexp_replace(regexp_replace({_TAGS}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g')"
-for _name, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+_TAGS = f"regexp_replace(html, '{T.markup_pattern().replace(chr(39), chr(39) * 2)}', ' ', 'g')"
+for _name, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·")):
     _TAGS = f"replace({_TAGS}, '{_name}', '{_char}')"
+_TAGS = f"regexp_replace({_TAGS}, '&amp;?', '&', 'g')"
 
 
 @query(f"select page_id, trim(regexp_replace({_TAGS}, '[{T.WS}]+', ' ', 'g'), ' ') as body from pages")
@@ -360,6 +375,33 @@ def html_to_text(spark, d):
     return table(spark, d, "pages").select("page_id", T.html_text("html").alias("body"))
 
 
+@query(
+    r"""with r as (select conv_id, turn, text, conv_id % 5 as k from conversations where text is not null)
+select conv_id, turn, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as example, cast(case k when 0 then 1 when 1 then 0 else 1 end as integer) as is_slang from r
+where k in (0, 1, 2) and trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''"""
+)
+def json_answers(spark, d):
+    """Examples and labels in an object amid free text: labels as numbers, strings and booleans, others left out."""
+    k = F.col("conv_id") % 5
+    label = F.when(k == 0, "1").when(k == 1, '"0"').when(k == 2, "true").when(k == 3, "2")
+    text = F.to_json(F.struct(F.col("text").alias("text")))
+    one = F.concat(F.expr("substring(t, 1, length(t) - 1)"), F.coalesce(F.concat(F.lit(', "is_slang": '), label), F.lit("")), F.lit("}"))
+    rows = turns(spark, d).where("text is not null").withColumn("t", text).withColumn("reply", F.concat(F.lit('Sure: {"examples": ['), one, F.lit(', {"text": " ", "is_slang": 1}]} Done.')))
+    return rows.select("conv_id", "turn", F.explode(responses.labelled_examples(F.col("reply"))).alias("e")).select("conv_id", "turn", F.col("e.text").alias("example"), "e.is_slang")
+
+
+@query(
+    """select event_id, cast(date_trunc('day', ts) as varchar)[:10] as day, cast(date_trunc('month', ts) as varchar)[:10] as month, cast(date_trunc('year', ts) as varchar)[:10] as year,
+  floor(epoch(ts))::bigint as seconds, case when s >= 3600 then cast(s // 3600 as varchar) || 'h ' || lpad(cast(s % 3600 // 60 as varchar), 2, '0') || 'm' else cast(s // 60 as varchar) || 'm ' || lpad(cast(s % 60 as varchar), 2, '0') || 's' end as took
+from (select *, user_id * 37 % 9000 as s from events)"""
+)
+def dates_and_durations(spark, d):
+    """Dates of three precisions, seconds since 1970 and durations."""
+    e = table(spark, d, "events").withColumn("s", F.col("user_id") * 37 % 9000)
+    date = lambda form: T.parsed_date(F.date_format("ts", form)).cast("string")
+    return e.select("event_id", date("yyyy-M-d").alias("day"), date("yyyy-MM").alias("month"), date("yyyy").alias("year"), F.unix_seconds(T.from_epoch(F.unix_seconds(F.col("ts").cast("timestamp")))).alias("seconds"), T.duration("s").alias("took"))
+
+
 @query("select source, lang, count(*) as n, cast(sum(n_chars) as bigint) as chars from documents group by 1, 2")
 def survey_sources(spark, d):
     return table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
