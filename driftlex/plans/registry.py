@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftlex.plans import corpus_queries, reply_queries  # noqa: F401  registers
+from driftlex.plans import corpus_queries, reply_queries, source_queries  # noqa: F401  registers
 from driftlex.plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

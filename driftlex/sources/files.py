@@ -32,18 +32,31 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def merge_shards(spark: SparkSession, path: str, out: str, delete: bool = False) -> None:
-    """Shards of a crawl as one CSV file each, in a folder of its name; the committer makes all whole or none.
+    """Shards of a crawl as CSV in a folder of its name: one file, or for a large crawl several; the committer makes all whole or none.
 
-    One file a crawl is what readers of these exports want: a task writes it. With ``delete`` the shards go,
-    once the files are there.
+    With ``delete`` the shards go, once the files are there.
     """
     rows = spark.read.parquet(path)
-    write_csv(rows.repartition("dump"), out, by="dump")
+    write_csv(rows.hint("rebalance", "dump"), out, by="dump")
     if delete:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def expand_inputs(spark: SparkSession, *patterns: str) -> list[str]:
+    """Paths that patterns name, each pattern's in order; a folder's files; a pattern that fits nothing stays as it is. Each path once."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out: dict[str, None] = {}
+    for pattern in patterns:
+        p = jvm.org.apache.hadoop.fs.Path(pattern)
+        fs = p.getFileSystem(conf)
+        found = [(f.getPath(), f.isDirectory()) for f in fs.globStatus(p) or []]
+        inside = lambda at, fs=fs: [f.getPath().toString() for f in fs.listStatus(at) if not f.isDirectory() and not f.getPath().getName().startswith((".", "_"))]
+        names = sorted(x for at, folder in found for x in (inside(at) if folder else [at.toString()]))
+        out |= dict.fromkeys(names or [pattern])
+    return list(out)
+
+
 def file_name() -> Column:
     return F.regexp_replace(F.col("_metadata.file_name"), r"\.[A-Za-z0-9]+$", "")
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +26,25 @@ def stored(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+_folders: list[tuple[SparkSession, str]] = []
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses; what is written there goes when the interpreter ends."""
+    path = f"{shared_folder(spark)}/files/{name}-{uuid.uuid4().hex}"
+    _folders.append((spark, path))
+    return path
+
+
+def _clean() -> None:
+    for spark, path in _folders:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session has ended: nothing can be deleted through it
+            return
+
+
+atexit.register(_clean)
