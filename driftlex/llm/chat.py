@@ -21,6 +21,8 @@ from driftlex.llm.scratch import materialise
 
 #: Conversations of a range whose places are counted together.
 RANGE = 1024
+#: Ranges at most; beyond that each holds more.
+MOST_RANGES = 4096
 
 
 def conversations(turns: DataFrame) -> DataFrame:
@@ -84,7 +86,7 @@ def paired(convs: DataFrame) -> DataFrame:
     said = F.aggregate(F.filter("turns", lambda t: t["role"] == "assistant"), F.lit(0), lambda a, t: a + F.length(t["text"]))
     head = F.sha2(F.concat(F.col("turns")[0]["role"], F.lit("\x1f"), F.col("turns")[0]["text"]), 256)
     convs = materialise(convs.where("size(turns) > 0").withColumn("head", head).withColumn("said", said), "conversations")
-    ranges = max(1, -(-convs.count() // RANGE))
+    ranges = max(1, min(MOST_RANGES, -(-convs.count() // RANGE)))
     dealt = convs.select("conv_id", "head").repartitionByRange(ranges, "conv_id").withColumn("range", F.spark_partition_id())
     places = materialise(dealt, "places")
     before = places.groupBy("head", "range").agg(F.count("*").alias("n"))

@@ -94,7 +94,8 @@ def _joined(base: DataFrame, hashes: dict[int, Column], grams: DataFrame, length
     clear, maybe = parted(base, hit.select("key"))
     cut = lambda x: F.struct(x["pos"].alias("pos"), x["length"].alias("length"), F.array_join(F.slice(F.col("words"), x["pos"] + 1, x["length"]), " ").alias("gram"))
     found = maybe.join(hit, "key", "left").withColumn("found", F.coalesce(F.transform("at", cut), _none())).drop("at")
-    return clear.withColumn("found", _none()).unionByName(found)
+    # the two branches read the input each for itself, and may number its rows differently: their numbers are kept apart
+    return clear.withColumn("found", _none()).withColumn("row", 2 * F.col("row")).unionByName(found.withColumn("row", 2 * F.col("row") + 1))
 
 
 def _numbered(n: int):

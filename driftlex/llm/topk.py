@@ -200,12 +200,15 @@ def top_k(vectors: DataFrame, k: int = K, looked_at: bool = False) -> DataFrame:
         shared = spark.sparkContext.broadcast((ids, uids, m, None))  # SLICE_BYTES or so
         first = ranked(chunks.mapInArrow(_meet(k, shared, False), _REPORT_SQL)).where(F.col("rank") == k)
         at = first.select("query", "score").toArrow()  # a number for each query of the slice
+        shared.destroy()
         cutoff = dict(zip(at["query"].to_pylist(), at["score"].to_pylist(), strict=True))
         limits = np.array([cutoff.get(u, -np.inf) for u in uids.tolist()], np.float64)  # without k entries there is none
         sent = spark.sparkContext.broadcast((ids, uids, m, limits))
         found = ranked(chunks.mapInArrow(_meet(k, sent, True), _REPORT_SQL)).where(F.col("rank") <= k)
         found = found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", *["looked_at"] * looked_at)
-        found = materialise(found, "top") if slices > 1 else found
+        if slices > 1:
+            found = materialise(found, "top")
+            sent.destroy()
         out = found if out is None else out.unionByName(found)
     return out
 

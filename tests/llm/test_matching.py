@@ -363,3 +363,17 @@ def test_licenses_stay_with_their_documents_on_any_input(spark):
         got = licenses.find_licenses(given).collect()
         assert len(got) == given.count()
         assert all((r.licenses == "mit") == (r.doc_id % 50 == 0) for r in got)
+
+
+def test_many_windows_on_shuffled_inputs(spark, monkeypatch):
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    bench = [(i, " ".join(r.choices(words, k=40))) for i in range(8)]
+    docs = [(i, " ".join(r.choices(words, k=60)) + (" " + bench[i % 8][1] if i % 10 == 0 else "")) for i in range(600)]
+    df = spark.createDataFrame([(i, t, i % 7, "x") for i, t in docs], "doc_id long, text string, row int, words string")
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    grouped = df.repartition(6).groupBy("doc_id").agg(F.max("text").alias("text"))
+    monkeypatch.setattr(decontaminate, "MOST_SENT", 10)
+    for given in (df, df.repartition(7), grouped):
+        got = {x.doc_id: (x.n_words, x.contaminated) for x in decontaminate.contamination(given, items).collect()}
+        assert got == {i: (len(t.split()), i % 10 == 0) for i, t in docs}
