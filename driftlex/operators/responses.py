@@ -292,8 +292,8 @@ def chance_rate(rows: DataFrame, opts: str = "options") -> DataFrame:
 
 
 def coverage_gaps(have: DataFrame, models: DataFrame, words: DataFrame) -> DataFrame:
-    """(model, word) cells without a record; both sides are dimension lists."""
-    return models.crossJoin(F.broadcast(words)).join(have, [*models.columns, *words.columns], "left_anti")
+    """(model, word) cells without a record. Models are a short list, which goes to the words."""
+    return words.crossJoin(F.broadcast(models)).select(*models.columns, *words.columns).join(have, [*models.columns, *words.columns], "left_anti")
 
 
 def first_token_means(rows: DataFrame, by: list[str], distribution: str = "distribution", n: int = 10) -> DataFrame:

@@ -138,20 +138,25 @@ def smoothed_count(spark, d):
     return rates.smoothed_counts(date_grid(spark, d), "day", 5).select("target", F.col("day").cast("string").alias("day"), "smoothed_hits")
 
 
+# bounds by bisection on sums of Poisson terms
 @query(
-    _GRID
-    + """, w as (select target, day, cast(sum(hits) over win as bigint) as k, cast(sum(tokens) over win as bigint) as n from grid window win as (partition by target order by day rows between 4 preceding and 4 following))
-select target, cast(day as varchar) as day, k as window_hits, k * 1000000 / n as smoothed_rate, true as low_ok, true as high_ok, k = 0 as low_is_zero from w"""
+    _GRID.replace("with ", "with recursive ", 1)
+    + """, w as (select target, day, cast(sum(hits) over win as bigint) as k, cast(sum(tokens) over win as bigint) as n from grid window win as (partition by target order by day rows between 4 preceding and 4 following)),
+ks as (select distinct k, range(greatest(0, cast(floor(k - 14 * sqrt(k) - 60) as bigint)), k + 1) as i from w),
+b as (
+  select 0 as step, k, i, greatest(0.0::double, k - 8 * sqrt(k) - 20) as la, cast(k as double) as lb, cast(k as double) as ha, k + 8 * sqrt(k) + 20 as hb from ks
+  union all
+  select step + 1, k, i, case when pl < 0.025 then lm else la end, case when pl < 0.025 then lb else lm end, case when ph > 0.025 then hm else ha end, case when ph > 0.025 then hb else hm end
+  from (select *, 1 - coalesce(list_sum(list_transform(list_filter(i, lambda x: x < k), lambda x: exp(x * ln(lm) - lm - lgamma(x + 1)))), 0) as pl,
+      list_sum(list_transform(i, lambda x: exp(x * ln(hm) - hm - lgamma(x + 1)))) as ph
+    from (select *, greatest((la + lb) / 2, 1e-300) as lm, greatest((ha + hb) / 2, 1e-300) as hm from b where step < 52))),
+bounds as (select k, case when k = 0 then 0.0 else (la + lb) / 2 end as low, (ha + hb) / 2 as high from b where step = 52)
+select target, cast(day as varchar) as day, w.k as window_hits, w.k * 1000000 / n as smoothed_rate, round(low * 1000000 / n, 4) as rate_low, round(high * 1000000 / n, 4) as rate_high from w join bounds using (k)"""
 )
 def poisson_ci(spark, d):
-    """Bounds of the smoothed rate, held against Wilson and Hilferty's approximation of the exact ones."""
+    """The smoothed rate with its exact bounds."""
     r = rates.with_interval(rates.smoothed(date_grid(spark, d), "day", 9))
-    k, per = F.col("window_hits"), 1e6 / F.col("window_tokens")
-    cube = lambda a, z: a * F.pow(1 - 1 / (9 * a) + z / (3 * F.sqrt(a)), F.lit(3.0))
-    near = lambda x, y: F.abs(x - y) <= 0.02 + 0.002 * y
-    low = F.when(k > 0, near(F.col("rate_low") / per, cube(F.greatest(k, F.lit(1)), F.lit(-1.959964)))).otherwise(F.col("rate_low") == 0)
-    high = near(F.col("rate_high") / per, cube(k + 1, F.lit(1.959964)))
-    return r.select("target", F.col("day").cast("string").alias("day"), "window_hits", "smoothed_rate", low.alias("low_ok"), high.alias("high_ok"), (F.col("rate_low") == 0).alias("low_is_zero"))
+    return r.select("target", F.col("day").cast("string").alias("day"), "window_hits", "smoothed_rate", F.round("rate_low", 4).alias("rate_low"), F.round("rate_high", 4).alias("rate_high"))
 
 
 @query(

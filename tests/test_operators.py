@@ -267,6 +267,10 @@ def test_statistics(spark):
     s = stats.spearman(df, "x", "y").first()
     assert s.r == pytest.approx(np.corrcoef(pd.Series(x).rank(), pd.Series(y).rank())[0, 1])
     assert stats.p_value(0.5, 12) == pytest.approx(0.0979, abs=2e-4) and stats.p_value(1.0, 5) is None and stats.p_value(0.3, 2) is None
+    r, m = 0.31, 25  # against the trapezoid rule on the density
+    at = np.tan(np.linspace(math.atan(r * math.sqrt((m - 2) / (1 - r * r))), math.pi / 2 - 1e-9, 400_001))
+    front = math.exp(math.lgamma((m - 1) / 2) - math.lgamma((m - 2) / 2)) / math.sqrt((m - 2) * math.pi)
+    assert stats.p_value(r, m) == pytest.approx(2 * np.trapezoid(front * np.exp(-(m - 1) / 2 * np.log1p(at * at / (m - 2))), at), abs=1e-4)
     assert stats.pearson(df.withColumn("x", F.lit(1)), "x", "y").first().r is None
 
 
