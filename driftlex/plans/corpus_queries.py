@@ -179,20 +179,20 @@ def reconstructed(spark, d):
     return rates.reconstructed_counts(year_rates(spark, d), tokens).select("year", "target", "k")
 
 
+# least squares on polynomials made orthogonal one after another
 @query(
     _GRID
-    + """, g as (select target, epoch(cast(day as timestamp)) / 86400 as x, hits * 1000000.0::double / tokens as y from grid)
-select target, count(*) as n, sum(y) as total, true as meets_normal_equations from g group by 1"""
+    + """, g as (select target, day, epoch(cast(day as timestamp)) / 86400 as x, hits * 1000000.0::double / tokens as y from grid),
+z as (select target, day, y, (x - avg(x) over t) / stddev_pop(x) over t as z from g window t as (partition by target)),
+p2 as (select *, z * z - avg(z * z) over t - z * sum(z * z * z) over t / sum(z * z) over t as q from z window t as (partition by target)),
+p3 as (select *, z * z * z - avg(z * z * z) over t - z * sum(z * z * z * z) over t / sum(z * z) over t - q * sum(z * z * z * q) over t / sum(q * q) over t as c from p2 window t as (partition by target))
+select target, cast(day as varchar) as day, round(greatest(0.0, avg(y) over t + z * sum(y * z) over t / sum(z * z) over t + q * sum(y * q) over t / sum(q * q) over t + c * sum(y * c) over t / sum(c * c) over t), 4) as fitted
+from p3 window t as (partition by target)"""
 )
 def cubic_fit(spark, d):
-    """A least-squares cubic: its residuals are orthogonal to every power up to the third."""
+    """A least-squares cubic for each word, cut at zero."""
     g = date_grid(spark, d).withColumn("rate", F.col("hits") * 1e6 / F.col("tokens")).withColumn("x", F.unix_date("day").cast("double")).select("target", "day", "x", "rate")
-    f = rates.cubic(g, "x", "rate", clip=False)
-    scale = Window.partitionBy("target")
-    z = (F.col("x") - F.avg("x").over(scale)) / F.stddev_pop("x").over(scale)
-    f = f.withColumn("z", z).withColumn("rest", F.col("rate") - F.col("fitted"))
-    bad = F.greatest(*[F.abs(F.sum(F.col("rest") * F.pow("z", F.lit(float(k))))) for k in range(4)])
-    return f.groupBy("target").agg(F.count("*").alias("n"), F.sum("rate").alias("total"), (bad <= 1e-6 * (1 + F.sum("rate"))).alias("meets_normal_equations"))
+    return rates.cubic(g, "x", "rate").select("target", F.col("day").cast("string").alias("day"), F.round("fitted", 4).alias("fitted"))
 
 
 @query(f"with {CORPUS} select distinct dump, cast(cast(date_trunc('week', make_date(year, 1, 4)) as date) + cast(7 * (cast(right(dump, 2) as integer) - 1) as integer) as varchar) as monday from corpus")
