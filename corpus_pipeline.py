@@ -22,7 +22,10 @@ KEY = "__row_key"
 
 
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the network, trained on the labelled ones, scores below a half. Rows are judged each by its own text; a null one counts as empty."""
+    """Documents that the network, trained on the labelled ones, scores below a half.
+
+    Rows are judged each by its own text, in all its windows however long it is; a null one counts as empty.
+    """
     net = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, net, *COLUMNS).where("score < 0.5").select(*COLUMNS)
 
@@ -37,7 +40,10 @@ def one_of_each_group(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't made of benchmark windows to a twentieth or more; each row is judged by its own text."""
+    """Documents that aren't made of benchmark windows to a twentieth or more.
+
+    Each row is judged by its own text, however long; null and empty ones have no words and stay, repeated rows share a verdict.
+    """
     keyed = docs.select(*COLUMNS).withColumn(KEY, row_key())
     found = _decontaminate.contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=(KEY,))
     flags = found.where("contaminated").select(F.col(KEY).alias("key"), F.lit(False).alias("once")).distinct()
@@ -45,7 +51,7 @@ def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mask_personal_data(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with spans of personal data replaced by their kind; null and empty ones stay as they are."""
+    """Texts with spans of personal data replaced by their kind; null and empty ones stay as they are, repeated rows are masked each by itself."""
     return pii.redact(docs.select(*COLUMNS))
 
 

@@ -542,3 +542,23 @@ def test_mixing_of_equal_rows_meets_the_target(spark, monkeypatch):
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own)
     assert all(r["taken"] <= 3 * r["size"] for r in out)
     assert sorted(map(tuple, mixing.mix(df.repartition(3)).collect()), key=str) == sorted(map(tuple, out), key=str)
+
+
+def test_personal_data_on_odd_rows(spark):
+    text = "mail ann@example.com or call +1 (706) 555-3138, from 10.0.0.1"
+    rows = [(1, text, "x", 0.0)] * 3 + [(None, text, "x", 0.0), (2, None, "x", 0.0), (3, "", "x", 0.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kind string, start double").withColumn("spans", pii.F.lit(1)).withColumn("n_email", pii.F.lit("x"))
+    got = pii.find_personal_data(df).collect()
+    assert len(got) == 6 and [(r.n_email, r.n_ip, r.n_phone) for r in got if r.doc_id in (2, 3)] == [(0, 0, 0)] * 2
+    held = [tuple(r) for r in got if r.doc_id == 1]
+    assert len(held) == 3 and len(set(held)) == 1 and held[0][1:] == next(tuple(r)[1:] for r in got if r.doc_id is None)
+    masked = pii.redact(df).select("doc_id", "text", "kind", "start", "spans", "n_email").collect()
+    assert len(masked) == 6 and {r.text for r in masked if r.doc_id in (1, None)} == {"mail [EMAIL] or call [PHONE], from [IP]"}
+    assert all(r.kind == "x" and r.spans == 1 and r.n_email == "x" for r in masked) and {r.text for r in masked if r.doc_id in (2, 3)} == {None, ""}
+
+
+def test_a_long_text_of_many_addresses(spark):
+    text = " ".join(f"user{i}@example.com" for i in range(1200))
+    r = pii.find_personal_data(spark.createDataFrame([(1, text, "x", 0.0)], DOCS)).first()
+    at = [(m.start(), m.end()) for m in re.finditer(r"user\d+@example\.com", text)]
+    assert r.n_email == 1200 and r.base_sha256 == hashlib.sha256(",".join(f"email:{a}:{b}" for a, b in at).encode()).hexdigest()
