@@ -296,8 +296,8 @@ def coverage_gaps(have: DataFrame, models: DataFrame, words: DataFrame) -> DataF
     return words.crossJoin(F.broadcast(models)).select(*models.columns, *words.columns).join(have, [*models.columns, *words.columns], "left_anti")
 
 
-def first_token_means(rows: DataFrame, by: list[str], distribution: str = "distribution", n: int = 10) -> DataFrame:
-    """Mean first-token probability over the records where the token occurs; the n highest."""
+def first_token_means(rows: DataFrame, by: list[str], distribution: str = "distribution", n: int = 10, digits: int = 9) -> DataFrame:
+    """Mean first-token probability, to ``digits`` places, over the records where the token occurs; the n highest, ties by token."""
     e = rows.select(*by, F.explode(distribution).alias("token", "p"))
-    m = e.groupBy(*by, "token").agg(F.avg("p").alias("mean_p"), F.count("*").alias("records"))
+    m = e.groupBy(*by, "token").agg(F.round(F.avg("p"), digits).alias("mean_p"), F.count("*").alias("records"))
     return m.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("mean_p"), "token"))).where(F.col("rank") <= n)

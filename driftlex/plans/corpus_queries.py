@@ -86,6 +86,14 @@ def dump_counts(spark, d):
     return rates.dense(counts, t.select("dump").distinct(), words)
 
 
+@query(f"with {HITS} select distinct year from hits where year % 4 = 0")
+def missing_totals(spark, d):
+    """Years that have counts but no total of tokens."""
+    t = totals(spark, d)
+    tokens = t.where("target is null and year % 4 <> 0").groupBy("year").agg(F.sum("n").alias("tokens"))
+    return rates.missing_tokens(t.where("target is not null").select("year", "target", F.col("n").alias("hits")), tokens, "year").select("year").distinct()
+
+
 @query(f"with {CORPUS}, {TOKENS} select dump, cast(tokens as bigint) as tokens from sizes")
 def token_totals(spark, d):
     return corpus(spark, d).groupBy("dump").agg(F.sum(T.n_tokens("text")).alias("tokens"))

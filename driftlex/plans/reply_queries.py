@@ -239,10 +239,7 @@ select model, token, mean_p, records, cast(rank as integer) as rank from (select
 )
 def first_token_dist(spark, d):
     p = _payload(turns(spark, d)).withColumn("distribution", responses.first_distribution(F.col("tokens")))
-    e = p.select("model", F.explode("distribution").alias("token", "p"))
-    m = e.groupBy("model", "token").agg(F.round(F.avg("p"), 9).alias("mean_p"), F.count("*").alias("records"))
-    rank = F.row_number().over(Window.partitionBy("model").orderBy(F.desc("mean_p"), "token"))
-    return m.withColumn("rank", rank).where(F.col("rank") <= 10)
+    return responses.first_token_means(p, ["model"])
 
 
 @query(
@@ -394,6 +391,14 @@ def dates_and_durations(spark, d):
     return e.select("event_id", date("yyyy-M-d").alias("day"), date("yyyy-MM").alias("month"), date("yyyy").alias("year"), F.unix_seconds(T.from_epoch(F.unix_seconds(F.col("ts").cast("timestamp")))).alias("seconds"), T.duration("s").alias("took"))
 
 
+@query(
+    """select page_id, regexp_replace(url, '[<>:"/\\\\|?*]', '', 'g') as safe, regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g') as file, regexp_replace(url, '[^A-Za-z0-9_]', '', 'g') as word from pages"""
+)
+def file_names(spark, d):
+    """Addresses as names of files and words."""
+    return table(spark, d, "pages").select("page_id", T.windows_safe("url").alias("safe"), T.file_slug("url").alias("file"), T.word_slug("url").alias("word"))
+
+
 @query("select source, lang, count(*) as n, cast(sum(n_chars) as bigint) as chars from documents group by 1, 2")
 def survey_sources(spark, d):
     return table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
