@@ -27,23 +27,3 @@ def window_hash(hashes: dict[int, Column], length: int) -> Column:
     if base == length:
         return hashes[length]
     return F.zip_with(hashes[base], at_offsets(hashes[base], length - base), lambda x, y: F.xxhash64(x, y))
-
-
-def spans(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value) of the leftmost non-overlapping matches, in code points, end exclusive."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(F.length(g).alias("gap"), F.length(m).alias("len"), m.alias("value")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-    return F.when(
-        F.size(found) > 0,
-        F.aggregate(
-            pairs,
-            zero,
-            lambda acc, p: F.struct(
-                (acc["at"] + p["gap"] + p["len"]).alias("at"),
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + p["gap"]).alias("start"), (acc["at"] + p["gap"] + p["len"]).alias("end"), p["value"].alias("value")))).alias("out"),
-            ),
-            lambda acc: acc["out"],
-        ),
-    ).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
