@@ -25,6 +25,11 @@ join, large ones in packed blocks, each class outside the main component
 against the rest, once. That loses no link that could join two components.
 A class is known by its least document id first, so the least vertex of a
 component is the component's id and no join gathers a component's classes.
+
+Links are counted once components are known: classes of one component that
+share a prefix shingle are dealt in chunks, and a chunk meets each class that
+shares one with any of its own once, in blocks bounded by shingles. Counts of
+rows come back, not pairs.
 """
 
 from __future__ import annotations
@@ -52,6 +57,8 @@ COMMON_RANK = 1024
 BUCKETS = 16
 #: Entries up to which a prefix group is simply joined with itself; chunk and block sizes for larger ones.
 LARGE, CHUNK, BLOCK = 1024, 512, 4096
+#: Shingles of a chunk or block of classes whose links are counted: 8 MB, or one class.
+PACK = 1 << 20
 
 
 def _least_overlap(n: str) -> str:
@@ -325,15 +332,20 @@ def _compare(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _prefixes(classes: DataFrame) -> DataFrame:
+    """(tok, sig, n, pos): the shared shingles of each class's prefix with their places."""
+    # full order: the n - size(toks) unshared shingles come before all shared ones
+    prefix = f"n - {_least_overlap('n')} + 1 - (n - size(toks))"
+    entries = classes.selectExpr("sig", "n", f"posexplode(slice(toks, 1, {prefix})) as (k, tok)", "n - size(toks) as unshared")
+    return entries.selectExpr("tok", "sig", "n", "k + unshared as pos")
+
+
 def linked_classes(classes: DataFrame, vertices: DataFrame) -> DataFrame:
     """(v, root): components of the graph of classes with a similarity of 0.75 or more.
 
     ``vertices`` has the vertex of each class: ``sig, v``, v being a struct that ends in the ``sig``.
     """
-    # full order: the n - size(toks) unshared shingles come before all shared ones
-    prefix = f"n - {_least_overlap('n')} + 1 - (n - size(toks))"
-    entries = classes.selectExpr("sig", "n", f"posexplode(slice(toks, 1, {prefix})) as (k, tok)", "n - size(toks) as unshared")
-    entries = materialise(entries.selectExpr("tok", "sig", "n", "k + unshared as pos"), "entries")
+    entries = materialise(_prefixes(classes), "entries")
     centres = entries.groupBy("tok").agg(F.min(F.struct("sig", "n", "pos")).alias("c"), F.count("*").alias("m")).where("m > 1").drop("m")
     near = "4 * least({0}.n, {1}.n) >= 3 * greatest({0}.n, {1}.n)"  # length filter
     # positional filter: with this shingle the first in common, no more can follow than either side has left
@@ -377,35 +389,105 @@ def linked_classes(classes: DataFrame, vertices: DataFrame) -> DataFrame:
     return roots.join(over, "root", "left").select("v", F.coalesce("top", "root").alias("root")).union(joined)
 
 
-def grouped(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, key, n, sig, n_copies, first) of each row: its set's size and signature, the rows with that set, its component's first.
+def link_counts(classes: DataFrame, members: DataFrame) -> DataFrame:
+    """(sig, links): for each class of a component the rows of the other classes that it is similar to.
 
-    ``first`` is the component's least (no id, id, signature); null for a row without words.
+    ``members``: (sig, root, n_copies) of the classes in components of two or more. A class is dealt into a chunk
+    by the largest prefix group of its component that it is in, and a chunk meets once each class that shares a
+    prefix group with one of its own; where the chunk's group holds half the component, it meets all of it.
     """
+    entries = materialise(_prefixes(classes).join(members.select("sig", "root"), "sig").select("tok", "root", "sig", "n"), "member-entries")
+    of = ["root", "tok"]
+    groups = entries.groupBy(of).agg(F.count("*").alias("m"), F.sum("n").alias("held")).where("m > 1")
+    per_root = members.groupBy("root").agg(F.count("*").alias("all"))
+    hubs = entries.join(groups, of).groupBy("sig", "root").agg(F.max(F.struct("m", "tok", "held")).alias("hub"), F.max("n").alias("n")).select("sig", "root", "hub.*", "n")
+    sized = hubs.groupBy(of).agg(F.max("m").alias("m"), F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / PACK)).alias("chunks"))
+    sized = sized.join(per_root, "root").selectExpr("root", "tok", "chunks", "2 * m >= `all` as whole")
+    dealt = hubs.select("sig", "root", "tok").join(sized, of)
+    dealt = materialise(dealt.select("sig", "root", "whole", F.xxhash64("root", "tok", F.pmod(F.xxhash64("sig"), F.col("chunks"))).alias("chunk")), "dealt")
+    # a chunk is of one component, and either meets all of it or what shares a prefix shingle
+    all_met = dealt.where("whole").select("chunk", "root").distinct().join(members.select("sig", "root"), "root").select("chunk", "sig")
+    own_groups = entries.join(dealt.where("not whole").select("sig", "chunk"), "sig").select("chunk", *of).distinct()
+    some_met = own_groups.join(entries.select("sig", *of), of).select("chunk", "sig").distinct()
+    sets = classes.select("sig", "n", "toks").join(members.select("sig", "n_copies"), "sig")
+    met = materialise(all_met.union(some_met).join(sets.select("sig", "n"), "sig"), "met")
+    blocks = met.groupBy("chunk").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / PACK)).alias("blocks"))
+    right = met.select("chunk", "sig").join(blocks, "chunk").select("chunk", F.pmod(F.xxhash64("sig"), F.col("blocks")).alias("block"), "sig").join(sets, "sig")
+    left = dealt.select("chunk", "sig").join(blocks, "chunk")
+    left = left.select("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "sig").join(sets, "sig")
+    left = left.toDF(*left.columns)  # fresh attributes: both sides come from the same tables
+    found = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInArrow(_count_links, "sig long, links long")
+    counts = materialise(found.groupBy("sig").agg(F.sum("links").alias("links")), "link-counts")
+    discard(entries, dealt, met)
+    return counts
+
+
+def _count_links(left: pa.Table, right: pa.Table) -> pa.Table:
+    """For each left class the rows of the right ones, itself left out, that it is similar to."""
+    sig = np.asarray(left["sig"].combine_chunks()) if left.num_rows else np.zeros(0, np.int64)
+    links = np.zeros(len(sig), np.int64)
+    if left.num_rows and right.num_rows:
+        toks = right["toks"].combine_chunks()
+        value, owner = np.asarray(toks.flatten()), np.repeat(np.arange(len(toks)), np.diff(np.asarray(toks.offsets)))
+        order = np.argsort(value, kind="stable")
+        value, owner = value[order], owner[order]
+        other, n, copies = (np.asarray(right[c].combine_chunks()) for c in ("sig", "n", "n_copies"))
+        for row in range(len(sig)):
+            own, size = np.asarray(left["toks"][row].values), left["n"][row].as_py()
+            lo, hi = np.searchsorted(value, own, "left"), np.searchsorted(value, own, "right")
+            k = hi - lo
+            meet = np.bincount(owner[np.repeat(hi - np.cumsum(k), k) + np.arange(k.sum())], minlength=len(n))
+            links[row] = copies[(7 * meet >= 3 * (n + size)) & (other != sig[row])].sum()
+    return pa.table([pa.array(sig), pa.array(links)], names=["sig", "links"])
+
+
+def _graph(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows, candidate classes, all classes with size and vertex, roots of the classes that aren't roots)."""
     info, classes = shingle_classes(docs, width)
     least = F.struct(F.col("doc_id").isNull().alias("absent"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"))
     per_class = info.where("sig is not null").groupBy("sig").agg(F.min(least).alias("least"), F.count("*").alias("n_copies"))
     per_class = materialise(per_class.select("sig", F.struct("least.absent", "least.id", "sig").alias("v"), "n_copies"), "class-vertices")
     links = linked_classes(classes, per_class.select("sig", "v"))
-    links = materialise(links.select(F.col("v.sig").alias("sig"), "root"), "class-roots")
-    discard(classes)
-    known = per_class.join(links, "sig", "left").select("sig", "n_copies", F.coalesce("root", "v").alias("first"))
+    return info, classes, per_class, materialise(links.select(F.col("v.sig").alias("sig"), "root"), "class-roots")
+
+
+def _with_class(info: DataFrame, per_class: DataFrame, links: DataFrame) -> DataFrame:
+    known = per_class.join(links, "sig", "left").withColumn("first", F.coalesce("root", "v")).drop("v", "root")
     return info.join(known, "sig", "left")
 
 
+def grouped(docs: DataFrame, width: int = 5) -> DataFrame:
+    """(doc_id, key, n, sig, n_copies, first) of each row: its set's size and signature, the rows with that set, its component's first.
+
+    ``first`` is the component's least (no id, id, signature); null for a row without words.
+    """
+    info, classes, per_class, links = _graph(docs, width)
+    discard(classes)
+    return _with_class(info, per_class, links)
+
+
 def similar_documents(docs: DataFrame, width: int = 5) -> DataFrame:
     """Documents with set size and component under 5-word-shingle Jaccard similarity of 0.75 or more.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns, whatever their names, are ignored. Returns a row
-    for each row: ``doc_id, n_shingles, component_id, n_copies``. ``n_copies`` counts the rows with the same
-    set, itself included. Null, empty and blank texts have no shingles and are linked with nothing; a text of
+    for each row: ``doc_id, n_shingles, component_id, n_copies, n_links``. ``n_copies`` counts the rows with the
+    same set, itself included, and ``n_links`` all other rows that it is linked with, copies among them. Null,
+    empty and blank texts have no shingles and are linked with nothing; a text of
     fewer words than a shingle is one shingle, and a text of any length is taken whole. A null ``doc_id``
     takes part; a component without any id has a null one. Repeated rows are copies. An empty table gives an
     empty result.
     """
+    info, classes, per_class, links = _graph(docs, width)
+    members = links.select("sig", F.col("root.sig").alias("root"))
+    members = members.union(members.select("root", "root").distinct()).join(per_class.select("sig", "n_copies"), "sig")
+    members = materialise(members, "members")
+    counts = link_counts(classes, members)
+    discard(classes, members)
     copies, one = F.coalesce("n_copies", F.lit(1).cast("long")), F.when(~F.col("first.absent"), F.col("first.id"))
     component = F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(one)
-    return grouped(docs, width).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), copies.alias("n_copies"))
+    rows = _with_class(info, per_class.join(counts, "sig", "left"), links)
+    n_links = copies - 1 + F.coalesce("links", F.lit(0).cast("long"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), copies.alias("n_copies"), n_links.alias("n_links"))
 
 
 def not_first(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -418,5 +500,30 @@ def not_first(docs: DataFrame, width: int = 5) -> DataFrame:
     return flags
 
 
+OP2_SQL = r"""
+with recursive cut as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_sort(list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)])) end as s
+  from cut
+), one as (select doc_id, len(s) as n, unnest(s) as x from sets
+), pairs as (
+  select a.doc_id as a, b.doc_id as b from one a join one b on a.x = b.x and a.doc_id < b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), links as (select a, b from pairs union all select b, a from pairs
+), reach(v, r) as (
+  select doc_id, doc_id from sets
+  union
+  select l.b, t.r from reach t join links l on l.a = t.v where t.r < l.b
+), least as (select v, min(r) as r from reach group by v
+), linked as (select a, count(*) as k from links group by a
+), copies as (select s, count(*) as k from sets group by s)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, least.r as component_id, case when len(s.s) = 0 then 1 else copies.k end as n_copies, coalesce(linked.k, 0) as n_links
+from sets s join least on least.v = s.doc_id join copies on copies.s = s.s left join linked on linked.a = s.doc_id
+"""
+
+
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:
     return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

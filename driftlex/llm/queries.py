@@ -8,7 +8,7 @@ from driftlex.llm.filter_audit import OP13_SQL, op13_filter_audit
 from driftlex.llm.language import op5_language_id
 from driftlex.llm.licenses import OP6_SQL, op6_licenses
 from driftlex.llm.mixing import op7_mixing
-from driftlex.llm.ngram_join import op2_ngram_join
+from driftlex.llm.ngram_join import OP2_SQL, op2_ngram_join
 from driftlex.llm.pii import op1_pii
 from driftlex.llm.quality import op12_quality
 from driftlex.llm.secrets import op8_secrets
@@ -33,6 +33,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_join": OP2_SQL,
     "op3_topk": OP3_SQL,
     "op4_decontaminate": OP4_SQL,
     "op6_licenses": OP6_SQL,

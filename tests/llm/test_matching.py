@@ -34,7 +34,7 @@ def shingles(text):
 
 def brute_components(rows):
     sets = [shingles(t) for _, t in rows]
-    par = list(range(len(rows)))
+    par, links = list(range(len(rows))), [0] * len(rows)
 
     def find(x):
         while par[x] != x:
@@ -45,10 +45,12 @@ def brute_components(rows):
         k = len(sets[i] & sets[j])
         if k and 100 * k >= 75 * (len(sets[i]) + len(sets[j]) - k):
             par[find(j)] = find(i)
+            links[i] += 1
+            links[j] += 1
     least = {}
     for i, (d, _) in enumerate(rows):
         least[find(i)] = min(d, least.get(find(i), d))
-    return [(d, len(s), least[find(i)]) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))]
+    return [(d, len(s), least[find(i)], links[i]) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))]
 
 
 def near_copies(seed=3):
@@ -73,17 +75,17 @@ def near_copies(seed=3):
 def test_ngram_join_equals_brute_force(spark):
     rows = near_copies()
     df = spark.createDataFrame([(d, t, None, 1) for d, t in rows], DOCS).repartition(3)
-    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_documents(df).collect())
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in ngram_join.similar_documents(df).collect())
     assert got == sorted(brute_components(rows))
 
 
 def test_ngram_join_in_blocks(spark, monkeypatch):
-    for name, value in (("LARGE", 2), ("CHUNK", 3), ("BLOCK", 4)):
+    for name, value in (("LARGE", 2), ("CHUNK", 3), ("BLOCK", 4), ("PACK", 150)):
         monkeypatch.setattr(ngram_join, name, value)
     monkeypatch.setattr(ngram_join, "COMMON_SHARE", 1 / 8)
     rows = near_copies(5)
     df = spark.createDataFrame([(d, t, None, 1) for d, t in rows], DOCS).repartition(2)
-    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_documents(df).collect())
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in ngram_join.similar_documents(df).collect())
     assert got == sorted(brute_components(rows))
 
 
@@ -92,10 +94,21 @@ def test_ngram_join_in_many_blocks_and_ranges(spark, monkeypatch):
         monkeypatch.setattr(ngram_join, name, value)
     rows = near_copies(9)
     df = spark.createDataFrame([(d, t, None, 1) for d, t in rows], DOCS).repartition(3)
-    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_documents(df).collect())
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in ngram_join.similar_documents(df).collect())
     assert got == sorted(brute_components(rows))
 
 
+def test_links_along_a_chain(spark, monkeypatch):
+    # each text is near its neighbours only, so no prefix group holds much of the component
+    monkeypatch.setattr(ngram_join, "CHUNK", 2)
+    words = [f"w{i}" for i in range(700)]
+    rows = [(i, " ".join(words[6 * i : 6 * i + 64])) for i in range(100)] + [(100 + i, " ".join(words[60:124])) for i in range(3)]
+    df = spark.createDataFrame([(d, t, None, 1) for d, t in rows], DOCS).repartition(3)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in ngram_join.similar_documents(df).collect())
+    assert got == sorted(brute_components(rows))
+    assert len({c for _, _, c, _ in got}) == 1 and max(k for *_, k in got) < 10
+
+
 def test_ngram_join_with_null_and_repeated_ids(spark):
     text = lambda k: " ".join(f"{k}{i}" for i in range(40))
     near = text("a").replace("a39", "zz")
@@ -127,7 +140,7 @@ def test_ngram_join_in_small_arrow_batches(spark):
     spark.conf.set(name, "2000")  # a bound of the session's own stays
     try:
         df = spark.createDataFrame([(d, t, None, 1) for d, t in rows], DOCS).repartition(2)
-        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_documents(df).collect())
+        got = sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in ngram_join.similar_documents(df).collect())
         assert spark.conf.get(name) == "2000"
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
