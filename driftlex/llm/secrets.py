@@ -18,7 +18,9 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import defaultdict
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -178,11 +180,23 @@ def _mixed(token: str) -> bool:
     return any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
 
 
+def _clear_of(spans: list[tuple[int, int, int]]):
+    """Whether a span overlaps none of the sorted ``spans``: none that begins before its end reaches beyond its start."""
+    starts = [a for a, _, _ in spans]
+    reach = list(accumulate((b for _, _, b in spans), max))
+
+    def clear(a: int, b: int) -> bool:
+        before = bisect_left(starts, b)
+        return not before or reach[before - 1] <= a
+
+    return clear
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]], model: Model) -> list[tuple[int, int, int]]:
     """Candidates that the automata call secrets and that overlap no base span."""
-    out = []
+    out, clear = [], _clear_of(base)
     for m in CANDIDATE.finditer(text):
-        if _mixed(m[0]) and not any(a < m.end() and m.start() < b for a, _, b in base) and model.score(m[0]) >= model.threshold:
+        if _mixed(m[0]) and clear(m.start(), m.end()) and model.score(m[0]) >= model.threshold:
             out.append((m.start(), 3, m.end()))
     return out
 
@@ -218,8 +232,9 @@ def train(docs: DataFrame, seed: int = 23) -> Model:
         for a, kind, b in base:
             value = row["text"][a:b]
             good.append(ASSIGN.match(value)[2] if kind == 0 else value)
+        clear = _clear_of(base)
         for m in CANDIDATE.finditer(row["text"]):
-            if not any(a < m.end() and m.start() < b for a, _, b in base):
+            if clear(m.start(), m.end()):
                 bad.append(m[0])
     r.shuffle(good)
     r.shuffle(bad)

@@ -135,6 +135,16 @@ def test_long_tokens_are_scored_whole():
     assert a.log_likelihood(other) == pytest.approx(total / len(other))
 
 
+def test_spans_clear_of_others():
+    r = random.Random(4)
+    for _ in range(300):
+        spans = sorted((a, 0, a + r.randrange(1, 9)) for a in (r.randrange(60) for _ in range(r.randrange(8))))
+        clear = secrets._clear_of(spans)
+        for a in range(60):
+            b = a + r.randrange(1, 9)
+            assert clear(a, b) == (not any(x < b and a < y for x, _, y in spans))
+
+
 def test_secrets_of_repeated_rows_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "token = abcdef123", "x", 0.0)] * 3 + [(None, "token: abcdef", "y", 1.0)], DOCS).withColumn("spans", pii.F.lit(1)).withColumn("unit", pii.F.lit(2))
     got = [(x.doc_id, x.n_assign, x.spans) for x in secrets.find_secrets(df).collect()]
