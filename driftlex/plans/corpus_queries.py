@@ -664,9 +664,12 @@ def mixture_interval(spark, d):
     return mixtures.intervals(years, cells, 200).withColumnRenamed("fit", "model")
 
 
-@query(f"with {PEAKS} select 2000 as replicates, true as around, true as as_wide_as_theory from peaks limit 1")
+@query(
+    f"""with {PEAKS}, p as (select cast(sum(total_hits * peak_year) as double) / sum(total_hits) as point, cast(sum(total_hits) as double) as total from peaks)
+select 2000 as replicates, round(min(point), 6) as vintage, round(sqrt(sum(total_hits * (peak_year - point) * (peak_year - point))) / min(total), 6) as se, true as around, true as as_wide_as_theory from peaks cross join p"""
+)
 def bootstrap_vintage(spark, d):
-    """The interval of the vintage: about the estimate, and as wide as the delta method has it."""
+    """The vintage, its standard error by the delta method, and whether the resampled interval lies about it and is as wide."""
     import numpy as np
 
     rows = rates.peaks(year_rates(spark, d)).select("peak_year", "total_hits").collect()  # a row for each target word
@@ -675,7 +678,8 @@ def bootstrap_vintage(spark, d):
     se = float(np.sqrt((n * (years - point) ** 2).sum()) / n.sum())
     b = S.poisson_bootstrap(spark, n, lambda x: float(x @ years / x.sum()), 2000)
     width = (F.col("high") - F.col("low")) / (2 * 1.959964 * se)
-    return b.select(F.col("replicates").cast("int").alias("replicates"), ((F.col("low") <= point) & (F.col("high") >= point)).alias("around"), width.between(0.9, 1.1).alias("as_wide_as_theory"))
+    told = [F.lit(round(point, 6)).alias("vintage"), F.lit(round(se, 6)).alias("se")]
+    return b.select(F.col("replicates").cast("int").alias("replicates"), *told, ((F.col("low") <= point) & (F.col("high") >= point)).alias("around"), width.between(0.9, 1.1).alias("as_wide_as_theory"))
 
 
 @query(
