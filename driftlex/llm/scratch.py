@@ -16,18 +16,10 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: dict[str, SparkSession] = {}
-
-#: Bytes of an Arrow batch between the JVM and Python: of long rows, ten thousand are more than a task should hold twice.
-BATCH_BYTES = 4 << 20
-_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Set ``BATCH_BYTES`` for the session, where it hasn't set a bound of its own."""
-    if spark.conf.get(_BATCHES, None) is None:
-        spark.conf.set(_BATCHES, str(BATCH_BYTES))
+from driftlex.sources.shared import BATCH_BYTES as BATCH_BYTES
+from driftlex.sources.shared import bounded_batches as bounded_batches
 
+_made: dict[str, SparkSession] = {}
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where none is set and the master is local."""

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftlex.sources.shared import bounded_batches, worked_out
+
 CLASSES = 64
 GRAMS = CLASSES**3
 SMOOTHING = 0.5
@@ -28,11 +30,18 @@ MOST_EVIDENCE = 40
 CHUNK = 1 << 20
 
 
+def _class_table() -> np.ndarray:
+    c = np.arange(0x110000)
+    small = np.where((c >= 65) & (c <= 90), c + 32, c)
+    return np.where(c >= 128, 27 + c % 37, np.where((small >= 97) & (small <= 122), small - 96, 0)).astype(np.int32)
+
+
+_CLASS = _class_table()
+
+
 def classes(text: str) -> np.ndarray:
     """Class of each character: 0 for ASCII other than letters, 1 to 26 for letters, from 27 on for all else."""
-    c = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
-    small = np.where((c >= 65) & (c <= 90), c + 32, c)
-    return np.where(c >= 128, 27 + c % 37, np.where((small >= 97) & (small <= 122), small - 96, 0))
+    return _CLASS[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
 
 
 def grams(text: str) -> Iterator[np.ndarray]:
@@ -80,17 +89,32 @@ class EnglishModel:
 
 def gram_counts(docs: DataFrame, english: Column, text: str = "text") -> DataFrame:
     """(gram, n_english, n_other): trigrams of the texts that ``english`` is true or false for, and under gram -1 the texts."""
+    bounded_batches(docs.sparkSession)
     own = docs.select(english.cast("boolean").alias("english"), F.col(text).cast("string").alias("text")).where("english is not null and text is not null")
 
     def run(batches):
         for batch in batches:
             count = np.zeros((2, GRAMS), np.int64)
             texts = np.zeros(2, np.int64)
+            found: tuple[list, list] = [], []
+
+            def add(k, count=count, found=found):
+                if found[k]:
+                    count[k] += np.bincount(np.concatenate(found[k]), minlength=GRAMS)
+                    found[k].clear()
+
+            size = [0, 0]
             for flag, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 k = 0 if flag else 1
                 texts[k] += 1
                 for g in grams(value.as_py()):
-                    count[k] += np.bincount(g, minlength=GRAMS)
+                    found[k].append(g)
+                    size[k] += len(g)
+                    if size[k] >= CHUNK:
+                        add(k)
+                        size[k] = 0
+            add(0)
+            add(1)
             at = np.flatnonzero(count.any(0))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.append(-1, at), pa.int32()), pa.array(np.append(texts[0], count[0, at])), pa.array(np.append(texts[1], count[1, at]))],
@@ -116,9 +140,10 @@ def train(docs: DataFrame, english: Column, text: str = "text") -> EnglishModel:
 
 def with_score(rows: DataFrame, model: EnglishModel, text: str = "text", name: str = "lang_score") -> DataFrame:
     """``name`` beside each row: the text's probability of English, by one pass without a shuffle."""
+    bounded_batches(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(model)  # GRAMS numbers
 
     def score(texts: pa.Array) -> pa.Array:
         return pa.array([shared.value.score(t.as_py()) for t in texts], pa.float64())
 
-    return rows.withColumn(name, F.arrow_udf(score, "double")(F.col(text).cast("string")))
+    return worked_out(rows.withColumn(name, F.arrow_udf(score, "double")(F.col(text).cast("string"))), name)

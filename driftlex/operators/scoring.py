@@ -11,6 +11,7 @@ from pyspark.sql import types as t
 
 from driftlex.functions import text as T
 from driftlex.operators import langscore
+from driftlex.sources.shared import worked_out
 
 # English function words that a running text holds, and signs stripped from its words.
 FUNCTION_WORDS = (
@@ -64,7 +65,7 @@ def with_quality(rows: DataFrame, text: str = "text", name: str = "quality_score
     df = _counted(rows, text, words).withColumn("__c", count(",")).withColumn("__s", count("|") + count(" / ") / 3)
     score = F.lit(1.0) - _penalty(F.col("__f") / n, FEW_FUNCTION_WORDS, False) - _penalty(F.col("__c") / n, MANY_COMMAS, True) - _penalty(F.col("__s") / n, MANY_SEPARATORS, True)
     score = F.when(c.isNull() | (n < LEAST_TOKENS), 0.0).otherwise(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)))
-    return df.withColumn(name, score).drop("__n", "__f", "__c", "__s")
+    return worked_out(df, "__n", "__f", "__c", "__s").withColumn(name, score).drop("__n", "__f", "__c", "__s")
 
 
 def with_english(rows: DataFrame, model: langscore.EnglishModel | Callable[[Iterator[pd.Series]], Iterator[pd.Series]], text: str = "text", name: str = "lang_score") -> DataFrame:
@@ -78,7 +79,7 @@ def with_english(rows: DataFrame, model: langscore.EnglishModel | Callable[[Iter
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield from model(batches)
 
-    return rows.withColumn(name, F.coalesce(F.pandas_udf(run, t.DoubleType())(F.coalesce(F.col(text), F.lit(""))), F.lit(0.0)))
+    return worked_out(rows.withColumn(name, F.coalesce(F.pandas_udf(run, t.DoubleType())(F.coalesce(F.col(text), F.lit(""))), F.lit(0.0))), name)
 
 
 def cascade(rows: DataFrame, lang: Column, quality_: Column, least: float = LANG_LEAST) -> DataFrame:

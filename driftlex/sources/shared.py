@@ -7,6 +7,18 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+#: Bytes of an Arrow batch between the JVM and Python: of long rows, ten thousand are more than a task should hold twice.
+BATCH_BYTES = 4 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Set ``BATCH_BYTES`` for the session, where it hasn't set a bound of its own."""
+    if spark.conf.get(_BATCHES, None) is None:
+        spark.conf.set(_BATCHES, str(BATCH_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,6 +43,16 @@ def stored(df: DataFrame) -> DataFrame:
 _folders: list[tuple[SparkSession, str]] = []
 
 
+def worked_out(rows: DataFrame, *names: str) -> DataFrame:
+    """``rows`` with some columns behind a one-row generator: filters on them stay above it.
+
+    A filter that is pushed below a projection holds a copy of what the projection works out, for each use.
+    """
+    rest = [c for c in rows.columns if c not in names]
+    out = rows.select(*[F.col(f"`{c}`") for c in rest], F.inline(F.array(F.struct(*[F.col(f"`{n}`") for n in names]))))
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses; what is written there goes when the interpreter ends."""
     path = f"{shared_folder(spark)}/files/{name}-{uuid.uuid4().hex}"

@@ -64,6 +64,16 @@ def test_english(spark, tmp_path):
     assert got == pytest.approx([0.21, 0.22, 0.0, 0.0])
 
 
+def test_cascade_scores_each_text_once(spark):
+    df = spark.createDataFrame([(0, "the cat is on the mat and so it was for us"), (1, None), (2, "der Hund und die Katze")], "i int, text string")
+    model = langscore.EnglishModel(np.zeros(langscore.GRAMS), np.ones(langscore.GRAMS, bool), 5.0)
+    docs = scoring.with_quality(scoring.with_english(df, model, name="e"), name="q")
+    kept = scoring.passes(scoring.cascade(docs, F.col("e"), F.col("q")))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("score(text") == 1 and plan.count("regexp_extract_all") == 1
+    assert [(r.i, r.quality_score) for r in kept.select("i", "quality_score").collect()] == [(0, 1.0)]
+
+
 def test_sense_scores_of_sure_and_rare_targets(spark):
     seen = spark.sparkContext.accumulator(0)
 
