@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from driftlex.functions import dumps as D
@@ -15,6 +17,10 @@ from driftlex.sources.shared import new_folder
 from driftlex.streaming import ingest
 
 
+#: Most rows of a file that arrives, and batches that all of them come in.
+FILE_ROWS, BATCHES = 5_000, 3
+
+
 @query(f"with {CORPUS} select doc_id, dump, uri, md5(text) as text_md5 from corpus")
 def corpus_scan(spark, d):
     """The columns that a trend needs, out of a table of Parquet."""
@@ -167,7 +173,9 @@ def stream_contexts(spark, d):
 def stream_counts(spark, d):
     """Running counts by an incremental run, one version a batch."""
     arrived, counts, state = new_folder(spark, "arrived"), new_folder(spark, "running"), new_folder(spark, "state")
-    corpus(spark, d).select("doc_id", "text", "dump").repartition(3, "doc_id").write.parquet(arrived)
-    docs = ingest.arrivals(spark, arrived, "doc_id long, text string, dump string", 2)
+    # several files of a bounded number of rows from each part of the input, in a few batches however many there are
+    corpus(spark, d).select("doc_id", "text", "dump").write.option("maxRecordsPerFile", FILE_ROWS).parquet(arrived)
+    files_per_batch = max(1, math.ceil(len(spark.read.parquet(arrived).inputFiles()) / BATCHES))
+    docs = ingest.arrivals(spark, arrived, "doc_id long, text string, dump string", files_per_batch)
     ingest.stream_counts(docs, ["the", "la"], counts, state).awaitTermination()
     return ingest.current_counts(spark, counts)
