@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlex.functions import text as T
-from driftlex.operators.matcher import LETTERS, TOKEN, Matcher
+from driftlex.operators.matcher import LETTERS, TOKEN, Matcher, lowered
+from driftlex.sources.shared import bounded_batches
 
 #: Rows and characters of contexts after which a batch is handed on.
 BATCH_ROWS, BATCH_CHARS = 20_000, 8 << 20
@@ -35,6 +36,7 @@ def prefilter_pattern(targets: list[str]) -> str:
 
 def _each_text(rows: DataFrame, keep: tuple[str, ...], text: str, found: Callable[[str], list[tuple]], fields: list[pa.Field], schema: str) -> DataFrame:
     """``keep`` columns and what ``found`` gives for each text, a row for each of its tuples; null texts are left out."""
+    bounded_batches(rows.sparkSession)
     own = rows.where(F.col(text).isNotNull()).select(*keep, F.col(text).cast("string").alias("__text"))
     names = [*keep, *[f.name for f in fields]]
 
@@ -112,7 +114,7 @@ def count_targets(docs: DataFrame, targets: list[str], by: tuple[str, ...], text
 
 def kwic_tokens(docs: DataFrame, targets: list[str], k: int = 10, keep: tuple[str, ...] = (), text: str = "text") -> DataFrame:
     """The crawl variant: letter tokens, phrases before single words, the context lower-case tokens joined by blanks."""
-    matcher = Matcher(targets, phrases_first=True, key=str.lower)
+    matcher = Matcher(targets, phrases_first=True, key=lowered)
 
     def contexts(value: str) -> list[tuple]:
         tokens = LETTERS.findall(value)
