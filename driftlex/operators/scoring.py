@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from pyspark.sql import types as t
 
 from driftlex.functions import text as T
 from driftlex.operators import langscore
-from driftlex.sources.shared import worked_out
+from driftlex.sources.shared import bounded_batches, worked_out
 
 # English function words that a running text holds, and signs stripped from its words.
 FUNCTION_WORDS = (
@@ -103,18 +105,44 @@ def tolerant(rows: DataFrame, limits: dict[str, float]) -> DataFrame:
 def scored(rows: DataFrame, score: Callable[[Iterator[pd.Series]], Iterator[pd.Series]], prompt: Column, bypass: list[str], target: str = "target", name: str = "sense_score") -> DataFrame:
     """Sense scores from a pluggable model; targets in ``bypass`` get 1 without it.
 
-    ``score`` maps batches of prompts to probabilities p; the score is 2p - 1. The two parts are
-    separate branches, since a conditional wouldn't keep a UDF from running on all rows.
+    ``score`` maps batches of prompts to probabilities p; the score is 2p - 1. The rows are read once:
+    those that the model isn't asked about are left out of its batches.
     """
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        yield from score(batches)
-
+    sure = F.coalesce(F.lower(F.btrim(F.col(target))).isin(bypass), F.lit(False))
+    return _asked(rows, score, prompt, ~sure, F.when(sure, 1.0), name)
+
+
+def _asked(rows: DataFrame, score: Callable[[Iterator[pd.Series]], Iterator[pd.Series]], prompt: Column, wanted: Column, other: Column, name: str) -> DataFrame:
+    """``name``: the model's score where ``wanted``, else ``other``. The model sees the wanted prompts only, in order."""
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        masks: deque[np.ndarray] = deque()
+
+        def prompts() -> Iterator[pd.Series]:
+            for text, ask in batches:
+                masks.append(ask.to_numpy(bool))
+                if masks[-1].any():
+                    yield text[masks[-1]].reset_index(drop=True)
+
+        held = np.empty(0)
+        for got in score(prompts()):
+            held = np.append(held, np.asarray(got, float))
+            while masks and len(held) >= masks[0].sum():
+                mask = masks.popleft()
+                out, n = np.full(len(mask), np.nan), mask.sum()
+                out[mask], held = held[:n], held[n:]
+                yield pd.Series(out)
+        for mask in masks:  # batches without a wanted prompt
+            if mask.any():
+                raise ValueError("the model gave fewer scores than it got prompts")
+            yield pd.Series(np.full(len(mask), np.nan))
+        if len(held):
+            raise ValueError("the model gave more scores than it got prompts")
+
+    bounded_batches(rows.sparkSession)
     model = F.pandas_udf(run, t.DoubleType())
-    sure = F.lower(F.btrim(F.col(target))).isin(bypass)
-    known = rows.where(sure).withColumn(name, F.lit(1.0))
-    rest = rows.where(~F.coalesce(sure, F.lit(False))).withColumn(name, F.round(2 * model(prompt) - 1, 4))
-    return known.unionByName(rest)
+    asked = rows.withColumn("__ask", wanted).withColumn("__p", model(F.when(F.col("__ask"), prompt), F.col("__ask")))
+    return worked_out(asked, "__p").withColumn(name, F.when(F.col("__ask"), F.round(2 * F.col("__p") - 1, 4)).otherwise(other)).drop("__ask", "__p")
 
 
 def sense_scored(rows: DataFrame, score: Callable[[Iterator[pd.Series]], Iterator[pd.Series]], prompt: Column, always: tuple[str, ...] = ALWAYS_SLANG, least: int = 50, name: str = "sense_score") -> DataFrame:
@@ -122,10 +150,9 @@ def sense_scored(rows: DataFrame, score: Callable[[Iterator[pd.Series]], Iterato
 
     Neither kind of row reaches the model.
     """
-    known = list(always)
     routed = rare_groups(rows, least, always=always)
-    rare = routed.where("rare").withColumn(name, F.lit(None).cast("double"))
-    return scored(routed.where("not rare"), score, prompt, known, name=name).unionByName(rare)
+    sure = F.coalesce(F.lower(F.btrim(F.col("target"))).isin(list(always)), F.lit(False))
+    return _asked(routed, score, prompt, ~sure & ~F.col("rare"), F.when(sure & ~F.col("rare"), 1.0), name)
 
 
 def prompt(template: str, target: Column, context: Column) -> Column:
@@ -149,9 +176,9 @@ def rare_groups(rows: DataFrame, least: int = 50, low: int = 40, high: int = 600
     """
     rows = rows.withColumn("group_key", T.group_key("target"))
     sure = F.coalesce(F.lower(F.btrim("target")).isin(list(always) or [""]), F.lit(False))
-    usable = F.length(T.clean("target_context")).between(low, high) & ~sure
+    usable = F.coalesce(F.length(T.clean("target_context")).between(low, high), F.lit(False)) & ~sure
     counts = rows.groupBy("group_key").agg(F.sum(usable.cast("long")).alias("usable"))
-    return rows.join(counts, "group_key").withColumn("rare", (F.col("usable") < least) & ~sure)
+    return rows.join(F.broadcast(counts), "group_key").withColumn("rare", (F.col("usable") < least) & ~sure)
 
 
 def sense_filter(rows: DataFrame, least: float, score: str = "sense_score", score_all: bool = False) -> DataFrame:

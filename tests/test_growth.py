@@ -7,7 +7,10 @@ import pickle
 
 import numpy as np
 
-from driftlex.operators import rates
+import pandas as pd
+from pyspark.sql import functions as F
+
+from driftlex.operators import rates, scoring
 from driftlex.operators.kwic import count_targets
 from driftlex.operators.matcher import Matcher
 from driftlex.plans import source_queries
@@ -53,3 +56,23 @@ def test_matcher_remembers_no_spellings():
         size = len(pickle.dumps(m.__dict__))
         assert m.matches([f"x{i}" for i in range(5000)] + ["(A)", "-", "B!"])[0] == (5000, 1, "a")
         assert len(pickle.dumps(m.__dict__)) == size
+
+
+def test_sense_scores_read_rows_once(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def model(batches):  # all scores at the end, in one batch
+        seen = [b for b in batches]
+        asked.add(sum(map(len, seen)))
+        yield pd.concat(seen).str.len() / 100.0
+
+    rows = [(i, ["haha", "rare", "the"][i % 3] if i < 6 else "the", "w" * (40 + i)) for i in range(50)]
+    df = spark.createDataFrame(rows, "i int, target string, target_context string").coalesce(1)
+    scored = scoring.sense_scored(df, model, F.col("target_context"), ("haha",), least=3)
+    out = scoring.sense_filter(scored, -1.0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    got = {r.i: (r.rare, r.sense_score) for r in out.collect()}
+    assert asked.value == 46
+    for i, target, context in rows:
+        assert got[i] == {"haha": (False, 1.0), "rare": (True, None), "the": (False, round(2 * len(context) / 100 - 1, 4))}[target]
