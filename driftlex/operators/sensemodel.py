@@ -40,8 +40,12 @@ class SenseModel:
     weights: np.ndarray
 
     def margin(self, context: Column | str) -> Column:
+        return self.margin_of(features(context, len(self.weights)))
+
+    def margin_of(self, found: Column) -> Column:
+        """The same of a context's buckets."""
         table = F.array(*[F.lit(float(w)) for w in self.weights])
-        return F.aggregate(features(context, len(self.weights)), F.lit(self.bias), lambda a, b: a + F.element_at(table, b + 1))
+        return F.aggregate(found, F.lit(self.bias), lambda a, b: a + F.element_at(table, b + 1))
 
     def probability(self, context: Column | str) -> Column:
         """How likely a context has the sense that was labelled 1."""
@@ -66,21 +70,27 @@ def sums(rows: DataFrame, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray, flo
     d = len(beta)
 
     def run(batches):
-        g, h, total = np.zeros(d), np.zeros((d, d)), 0.0
+        g, h, total, scale = np.zeros(d), np.zeros((d, d)), 0.0, 0.0
         for batch in batches:
             lists, y, w = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            scale = scale or float(np.abs(w).max(initial=0.0)) or 1.0
             for a in range(0, len(y), 4096):
                 part = lists.slice(a, 4096)
-                x = np.zeros((len(part), d))
-                x[np.repeat(np.arange(len(part)), pa.compute.list_value_length(part).to_numpy()), part.flatten().to_numpy()] = 1
-                x[:, -1] = 1
-                p = 1 / (1 + np.exp(-np.clip(x @ beta, -500, 500)))
+                row, bucket = np.repeat(np.arange(len(part)), pa.compute.list_value_length(part).to_numpy()), part.flatten().to_numpy()
+                p = 1 / (1 + np.exp(-np.clip(beta[-1] + np.bincount(row, beta[bucket], len(part)), -500, 500)))
                 own = w[a : a + 4096]
-                g += x.T @ (own * (y[a : a + 4096] - p))
-                h += (x * (own * p * (1 - p))[:, None]).T @ x
+                off = own * (y[a : a + 4096] - p)
+                g += np.bincount(bucket, off[row], d)
+                g[-1] += off.sum()
+                # the gradient, exact as it is, decides where the steps end; the Hessian gives their direction, for which single precision does
+                root = np.sqrt(own * p * (1 - p) / scale).astype(np.float32)
+                x = np.zeros((len(part), d), np.float32)
+                x[row, bucket] = root[row]
+                x[:, -1] = root
+                h += x.T @ x
                 total += own.sum()
         upper = np.triu_indices(d)
-        value = np.concatenate([g, h[upper], [total]])
+        value = np.concatenate([g, h[upper] * (scale or 1.0), [total]])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(value)), pa.int32()), pa.array(value)], names=["entry", "value"])
 
     added = rows.select("buckets", F.col("label").cast("double"), F.col("weight").cast("double")).mapInArrow(run, "entry int, value double").groupBy("entry").agg(F.sum("value").alias("value")).toArrow()
@@ -91,12 +101,21 @@ def sums(rows: DataFrame, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray, flo
     return value[:d], h + np.triu(h, 1).T, float(value[-1])
 
 
+def learnable(rows: DataFrame, context: str = "context", label: str = "label", buckets: int = BUCKETS) -> DataFrame:
+    """(buckets, label) of the rows with a context and a label of 0 or 1; others teach nothing."""
+    return rows.where(F.col(context).isNotNull() & F.col(label).isin(0, 1)).select(features(context, buckets).alias("buckets"), F.col(label).cast("int").alias("label"))
+
+
 def train(rows: DataFrame, context: str = "context", label: str = "label", buckets: int = BUCKETS, ridge: float = RIDGE) -> SenseModel:
     """Fit on rows with a context and a label of 0 or 1; others teach nothing. A class's rows weigh inversely to their number.
 
     The buckets of the rows are stored, to be read once for each step. Without rows all weights are 0.
     """
-    known = stored(rows.where(F.col(context).isNotNull() & F.col(label).isin(0, 1)).select(features(context, buckets).alias("buckets"), F.col(label).alias("label")))
+    return fit(stored(learnable(rows, context, label, buckets)), buckets, ridge)
+
+
+def fit(known: DataFrame, buckets: int = BUCKETS, ridge: float = RIDGE) -> SenseModel:
+    """The same from (buckets, label), which is read once for each step."""
     weight = annotation.class_weights(known, "label").first()
     known = known.withColumn("weight", F.when(F.col("label") == 1, float(weight["weight_1"] or 0)).otherwise(float(weight["weight_0"])))
     beta = np.zeros(buckets + 1)
@@ -116,7 +135,12 @@ def train(rows: DataFrame, context: str = "context", label: str = "label", bucke
 
 def gradient(rows: DataFrame, model: SenseModel, context: str = "context", label: str = "label", ridge: float = RIDGE) -> DataFrame:
     """(bucket, n, n_1, slope): rows and labels 1 of each bucket, and the objective's slope for a unit of weight, zero at the fit."""
-    known = rows.where(F.col(context).isNotNull() & F.col(label).isin(0, 1)).select(features(context, len(model.weights)).alias("buckets"), F.col(label).cast("int").alias("label"), model.probability(context).alias("p"))
+    return slopes(learnable(rows, context, label, len(model.weights)), model, ridge)
+
+
+def slopes(known: DataFrame, model: SenseModel, ridge: float = RIDGE) -> DataFrame:
+    """The same from (buckets, label)."""
+    known = known.withColumn("p", 1 / (1 + F.exp(-model.margin_of(F.col("buckets")))))
     weight = annotation.class_weights(known, "label").first()
     w = F.when(F.col("label") == 1, float(weight["weight_1"] or 0)).otherwise(float(weight["weight_0"]))
     known = known.withColumn("weight", w)

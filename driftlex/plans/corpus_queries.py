@@ -371,11 +371,11 @@ def sense_filter(spark, d):
 SENSE_TARGETS = ["the", "la", "und", "der", "of"]
 
 
-def labelled_contexts(spark, d: str) -> DataFrame:
-    """Contexts of target words with their document's label, kept: what a sense model learns from and is judged by."""
+def labelled_contexts(spark, d: str, held_out: bool) -> DataFrame:
+    """Contexts of target words with their document's label: what a sense model learns from, or is judged by."""
     known = table(spark, d, "labels").where("quality is not null").select("doc_id", F.col("quality").alias("label"))
-    docs = corpus(spark, d).join(known, "doc_id")
-    return stored(kwic(docs, SENSE_TARGETS, 10, ("doc_id", "label"))).withColumn("held_out", F.col("doc_id") % 5 == 0)
+    docs = corpus(spark, d).where((F.col("doc_id") % 5 == 0) == held_out).join(known, "doc_id")
+    return kwic(docs, SENSE_TARGETS, 10, ("doc_id", "label"))
 
 
 _MARGIN = f"""with {KEYS},
@@ -387,17 +387,16 @@ feat as (select label, unnest(list_distinct(list_transform(regexp_extract_all(co
 @query(f"{_MARGIN} select cast(bucket as integer) as bucket, count(*) as n, cast(sum(label) as bigint) as n_1, true as at_optimum from feat group by 1")
 def sense_fit(spark, d):
     """A fitted model: rows by bucket, and whether the objective's slope is zero in each."""
-    rows = labelled_contexts(spark, d).where("not held_out")
-    model = sensemodel.train(rows, "target_context")
-    return sensemodel.gradient(rows, model, "target_context").select("bucket", "n", "n_1", (F.abs("slope") < 1e-8).alias("at_optimum"))
+    known = stored(sensemodel.learnable(labelled_contexts(spark, d, False), "target_context"))
+    model = sensemodel.fit(known)
+    return sensemodel.slopes(known, model).select("bucket", "n", "n_1", (F.abs("slope") < 1e-8).alias("at_optimum"))
 
 
 @query()
 def sense_metrics(spark, d):
     """Confusion of a fitted model on contexts of documents that it hasn't learned from, in all and by target."""
-    rows = labelled_contexts(spark, d)
-    model = sensemodel.train(rows.where("not held_out"), "target_context")
-    return annotation.confusion(rows.where("held_out").withColumn("p", model.probability("target_context")), F.col("label"), F.col("p") >= 0.5, "target")
+    model = sensemodel.train(labelled_contexts(spark, d, False), "target_context")
+    return annotation.confusion(labelled_contexts(spark, d, True).withColumn("p", model.probability("target_context")), F.col("label"), F.col("p") >= 0.5, "target")
 
 
 @query(f"with {SCORED} select doc_id, pos::integer as pos, target, case when target in ('haha', 'hahaha') then 1.0::double else sense_score end as sense_score from scored where sense_score is null or target in ('haha', 'hahaha') or sense_score >= 0.9")

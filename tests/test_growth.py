@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from driftlex.operators import rates, scoring
+from driftlex.operators import rates, scoring, sensemodel
 from driftlex.operators.kwic import count_targets
 from driftlex.operators.matcher import Matcher
 from driftlex.plans import source_queries
@@ -76,3 +76,24 @@ def test_sense_scores_read_rows_once(spark):
     assert asked.value == 46
     for i, target, context in rows:
         assert got[i] == {"haha": (False, 1.0), "rare": (True, None), "the": (False, round(2 * len(context) / 100 - 1, 4))}[target]
+
+
+def test_sense_gradient_works_buckets_out_once(spark):
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(" ".join(f"w{x}" for x in rng.integers(0, 40, 9)), int(i % 3 == 0)) for i in range(300)], "context string, label int")
+    model = sensemodel.train(df)
+    g = sensemodel.gradient(df, model)
+    assert g._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+    assert all(abs(r.slope) < 1e-8 for r in g.collect())
+    # one step's sums against dense ones in double precision
+    rows = sensemodel.learnable(df).withColumn("weight", F.lit(0.002))
+    beta = rng.normal(size=sensemodel.BUCKETS + 1)
+    grad, hess, total = sensemodel.sums(rows, beta)
+    held = rows.collect()
+    x = np.zeros((len(held), len(beta)))
+    for i, r in enumerate(held):
+        x[i, r.buckets] = 1
+    x[:, -1] = 1
+    p = 1 / (1 + np.exp(-x @ beta))
+    assert np.allclose(grad, x.T @ (0.002 * (np.array([r.label for r in held]) - p)), rtol=1e-12, atol=1e-14) and math.isclose(total, 0.6)
+    assert np.allclose(hess, (x * (0.002 * p * (1 - p))[:, None]).T @ x, rtol=1e-4, atol=1e-9)
