@@ -135,7 +135,7 @@ def fit(known: DataFrame, buckets: int = BUCKETS, ridge: float = RIDGE) -> Sense
 
 def gradient(rows: DataFrame, model: SenseModel, context: str = "context", label: str = "label", ridge: float = RIDGE) -> DataFrame:
     """(bucket, n, n_1, slope): rows and labels 1 of each bucket, and the objective's slope for a unit of weight, zero at the fit."""
-    return slopes(learnable(rows, context, label, len(model.weights)), model, ridge)
+    return slopes(stored(learnable(rows, context, label, len(model.weights))), model, ridge)
 
 
 def slopes(known: DataFrame, model: SenseModel, ridge: float = RIDGE) -> DataFrame:

@@ -83,7 +83,7 @@ def test_sense_gradient_works_buckets_out_once(spark):
     df = spark.createDataFrame([(" ".join(f"w{x}" for x in rng.integers(0, 40, 9)), int(i % 3 == 0)) for i in range(300)], "context string, label int")
     model = sensemodel.train(df)
     g = sensemodel.gradient(df, model)
-    assert g._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+    assert g._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 0  # stored: an explosion's own filter would work them out again
     assert all(abs(r.slope) < 1e-8 for r in g.collect())
     # one step's sums against dense ones in double precision
     rows = sensemodel.learnable(df).withColumn("weight", F.lit(0.002))
