@@ -86,15 +86,28 @@ def markup_pattern(more: str = "") -> str:
     """Comments, elements that hold no text, tags and declarations; ``more`` makes repetitions possessive (``+``) where an engine has that.
 
     A ``>`` within quotes doesn't end a tag, unless its quotes are never closed. What isn't closed reaches to the end.
+    Edges of names and white space are ASCII's in both forms, as Java's differ by version.
     """
+    edge, blank = ("(?![a-z0-9_])", r"[\t\n\f\r ]") if more else (r"\b", r"\s")
     inside = f"(?:[^>\"']+{more}|\"[^\"]*{more}\"|'[^']*{more}')*{more}"
-    silent = "|".join(rf"<{name}\b{inside}>(?:.*?</{name}\s*>|.*\z)" for name in ("script", "style", "noscript"))
+    silent = "|".join(rf"<{name}{edge}{inside}>(?:.*?</{name}{blank}*>|.*\z)" for name in ("script", "style", "noscript"))
     return rf"(?is)<!--.*?(?:-->|\z)|{silent}|</?[a-z]{inside}(?:>|\z)|</?[a-z][^>]*{more}(?:>|\z)|<[!?/][^>]*{more}(?:>|\z)"
 
 
-def html_text(html: Text) -> Column:
-    """Text of a page: comments, script, style and noscript dropped with their content, other tags as blanks, character references of all kinds decoded."""
-    return clean(_decoded(F.regexp_replace(_col(html), markup_pattern("+"), " ")))
+def html_text(html: Text, references: dict[str, str] | None = None) -> Column:
+    """Text of a page: comments, script, style and noscript dropped with their content, other tags as blanks, character references of all kinds decoded.
+
+    With ``references`` only these are, as they are spelled, and ``&amp`` with or without a semicolon; no Python runs.
+    """
+    text = F.regexp_replace(_col(html), markup_pattern("+"), " ")
+    return clean(_decoded(text) if references is None else _replaced(text, references))
+
+
+def _replaced(text: Column, references: dict[str, str]) -> Column:
+    """The ampersand comes last, so that what it begins isn't decoded again."""
+    for name, char in references.items():
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return F.regexp_replace(text, "&amp;?", "&")
 
 
 def _decoded(text: Column) -> Column:
