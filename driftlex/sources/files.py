@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,14 +22,21 @@ def write_by_dump(rows: DataFrame, path: str) -> None:
 
 
 def write_csv(rows: DataFrame, path: str, by: str | None = None, one_file: bool = False) -> None:
-    """CSV with header: many files, one in all, or a folder for each group."""
+    """CSV with header: many files, one in all, or a folder for each group. Cells keep the blanks at their ends; an empty one is quoted, a null isn't."""
     w = (rows.coalesce(1) if one_file else rows).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
+    w = w.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     (w.partitionBy(by) if by else w).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV of strings: quoted line breaks and doubled quotes, any cell length, header cleared of BOM and quotes."""
-    df = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("maxCharsPerColumn", -1).csv(path)
+    """CSV of strings: quoted line breaks and doubled quotes, any cell length, header cleared of BOM and quotes.
+
+    A cell without anything is null, one of two quotes an empty string.
+    """
+    r = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("maxCharsPerColumn", -1)
+    # by default a quoted empty cell is null too, and a zero byte beside a quote is taken for a sign that escapes it
+    r = r.option("nullValue", f"null-{uuid.uuid4().hex}").option("charToEscapeQuoteEscaping", '"')
+    df = r.csv(path)
     return df.toDF(*[c.lstrip("﻿").strip("\"' ") for c in df.columns])
 
 
